@@ -118,6 +118,23 @@ def member(spark: SparkSession, packed: np.ndarray):
     return test
 
 
+def contained(values: DataFrame, limit: int = MAX_BITS):
+    """A pandas UDF that tests 64-bit hashes against a Bloom filter of the one long column of values; no value is missed."""
+    twice = values.union(values)  # each value twice, so that the filter of repeated ones has it
+    return member(values.sparkSession, repeated_filter(twice, 2 * values.count(), limit))
+
+
+def without_ids(df: DataFrame, id_col: str, gone: DataFrame) -> DataFrame:
+    """df without the rows whose id is in the one column of gone; rows that a Bloom filter of gone lacks never shuffle."""
+    gone = stored(gone.toDF("_gone").distinct(), "gone")
+    test = contained(gone.select(F.xxhash64("_gone").alias("h")))
+    flag = free_name(df, "_maybe")
+    rows = df.withColumn(flag, test(F.xxhash64(id_col)))
+    met = rows.where(F.col(flag)).select(df.columns)
+    met = met.join(gone, met[id_col].eqNullSafe(gone["_gone"]), "left_anti")
+    return rows.where(~F.col(flag)).select(df.columns).unionByName(met)
+
+
 def _found(df: DataFrame, id_col: str, text_col: str, limit: int):
     """Unique rows, possibly repeated documents and their exact groups over (doc, sha); the number of rows; the test of a hash."""
     keyed = stored(df.select(F.col(id_col).alias("doc"), text_hash(text_col).alias("sha")), "hashes")

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, language, mixing, toxicity
+from . import bpe, exact_dedup, jaccard_join, language, lattice, mixing, toxicity
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -30,6 +30,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(table(spark, sf_dir, "documents")).withColumnRenamed("doc", "doc_id")
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.classes(table(spark, sf_dir, "documents")).withColumnRenamed("doc", "doc_id")
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(table(spark, sf_dir, "documents"), TOKENIZER).withColumnRenamed("doc", "doc_id")
 
@@ -50,7 +54,12 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("doc").alias("doc_id"), F.coalesce(fold("doc", 3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_mixing, op6_bpe, op7_exact_dedup, op8_toxicity)}
+def op9_lattice_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lattice.near_duplicates(table(spark, sf_dir, "embeddings"))
+    return out.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept")
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_mixing, op3_jaccard_join, op6_bpe, op7_exact_dedup, op8_toxicity, op9_lattice_dedup)}
 
 ORACLES = {
     "op7_exact_dedup": r"""
