@@ -315,3 +315,27 @@ def digest_documents(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text
 
     kind = df.schema[id_col].dataType.simpleString()
     return df.select(F.col(id_col).alias("doc"), text_of(text_col).alias("text")).mapInArrow(run, f"doc {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def encode_rows(df: DataFrame, tokenizer: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id", "source")) -> DataFrame:
+    """The columns `keep` with n_tokens, ids and decoded_sha256 of every row's whole text."""
+    with open(tokenizer, encoding="utf-8") as f:
+        spec = df.sparkSession.sparkContext.broadcast(f.read())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = transducer(spec.value)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                ids, shas = [], []
+                for text in part.column(len(keep)).to_pylist():
+                    ids.append(b"".join(t.encode(text)))
+                    sha = hashlib.sha256()
+                    for piece in t.decode([ids[-1]]):
+                        sha.update(piece.encode())
+                    shas.append(sha.hexdigest())
+                more = [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(shas, pa.string())]
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *more], [*keep, "n_tokens", "ids", "decoded_sha256"])
+
+    kept = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
+    return df.select(*keep, text_of(text_col).alias("_text")).mapInArrow(run, f"{kept}, n_tokens long, ids binary, decoded_sha256 string")

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, jaccard_join, language, lattice, mixing, toxicity
+from . import bpe, exact_dedup, jaccard_join, language, lattice, licenses, mixing, secrets, toxicity, url_filter
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -34,6 +34,14 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.classes(table(spark, sf_dir, "documents")).withColumnRenamed("doc", "doc_id")
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(table(spark, sf_dir, "documents"), TOKENIZER).withColumnRenamed("doc", "doc_id")
 
@@ -59,7 +67,13 @@ def op9_lattice_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_mixing, op3_jaccard_join, op6_bpe, op7_exact_dedup, op8_toxicity, op9_lattice_dedup)}
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find(table(spark, sf_dir, "documents"))
+    counts = [secrets.count("base", k).alias(f"n_{secrets.KINDS[k]}") for k in range(3)]
+    return found.select(F.col("doc").alias("doc_id"), *counts, F.sha2(secrets.named("base"), 256).alias("base_sha256"), secrets.named("spans").alias("spans"), "n_live", "n_copied")
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_mixing, op3_jaccard_join, op4_license_scan, op5_url_filter, op6_bpe, op7_exact_dedup, op8_toxicity, op9_lattice_dedup, op10_secret_scan)}
 
 ORACLES = {
     "op7_exact_dedup": r"""
