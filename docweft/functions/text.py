@@ -1,0 +1,186 @@
+"""Text normalisation and matching as column expressions."""
+
+from __future__ import annotations
+
+import unicodedata
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+# Superscript signs and what they stand for; kept signs; label and section patterns.
+SUPERSCRIPTS, PLAIN = "⁰¹²³⁴⁵⁶⁷⁸⁹⁻⁺", "0123456789−+"
+TO_SUPER_FROM, TO_SUPER_TO = "0123456789+-−()", "⁰¹²³⁴⁵⁶⁷⁸⁹⁺⁻⁻⁽⁾"
+WORDS = r"(?U)(\w+|[−±×Ω°]+)"
+FIGURE = r"(?i)^(?:(?:extended data|supplementary)\s+)?fig(?:ure)?\.?\s*(S?\d+)\b"
+EQUATION = r"\(((?:0|[1-9]\d*)[a-z]?)\)"
+BODY_SECTION = r"(?i)^(?:\d+[. ]+)?(?:introduction|(?:materials and |experimental )?methods|results(?: and discussion)?|discussion|conclusions?|references|acknowledg(?:e)?ments|data availability|code availability)$"
+TEMPLATE_HEADER = r"(?i)^(?:research |original |review )?(?:article|letter|communication|review)$"
+SENTENCE_END = r"(?<=[.!?])\s+(?=[A-Z]|[a-z](?:[\s,.–]|$))"
+#: The same without labels of one small letter: what SQL without look-behind can say too.
+SENTENCE_END_PLAIN = r"(?<=[.!?])\s+(?=[A-Z])"
+KEY_RISK = (
+    r"\bsk-(?:proj-)?[A-Za-z0-9_-]{20,}\b|\bAKIA[A-Z0-9]{16}\b|(?i:\b(?:[A-Z0-9_]*API_KEY|access_token|authorization)[\"']?\s*[:=]\s*"
+    r"(?:\"[A-Za-z0-9_-]{24,}\"|'[A-Za-z0-9_-]{24,}'|[A-Za-z0-9_-]{24,}(?=\s*(?:$|#))))"
+)
+
+
+@F.pandas_udf(StringType())
+def nfkc(text: pd.Series) -> pd.Series:
+    """Compatibility composition (NFKC); no built-in expression has it."""
+    return text.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
+
+
+@F.pandas_udf(StringType())
+def nfkc_folded(text: pd.Series) -> pd.Series:
+    """NFKC and full case folding."""
+    return text.map(lambda x: unicodedata.normalize("NFKC", x).casefold(), na_action="ignore")
+
+
+def compact(text: Column) -> Column:
+    """White space single, none at the ends."""
+    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+
+
+def powers(text: Column, minus: str = "−") -> Column:
+    """Superscript runs as ^ and plain signs, so that an exponent differs from neighbouring digits."""
+    marked = F.regexp_replace(text, f"([{SUPERSCRIPTS}]+)", r"^$1")
+    return F.translate(marked, SUPERSCRIPTS, PLAIN.replace("−", minus))
+
+
+def searchable(text: Column, unicode: bool = True) -> Column:
+    """The searchable form: powers marked, compatibility forms and case folded, wrapped words joined, words and kept signs only.
+
+    Without `unicode` it stays in the JVM: lower case, and ss for sharp s, stand for folding, and compatibility forms stay.
+    """
+    t = powers(text)
+    t = nfkc_folded(t) if unicode else F.replace(F.lower(t), F.lit("ß"), F.lit("ss"))
+    t = F.replace(t, F.lit("\u00ad"), F.lit(""))
+    t = F.regexp_replace(t, r"(?U)(?<=\w)[-‐]\s*\n\s*(?=\w)", "")
+    t = F.regexp_replace(t, r"(?U)(?<!\w)-(?=\d)", "−")
+    return F.array_join(F.regexp_extract_all(t, F.lit(WORDS), F.lit(1)), " ")
+
+
+def relevance(searchable_text: Column, searchable_query: str) -> Column:
+    """0 unless every query word is a word of the text; 2 if the whole query is part of the text, else 1."""
+    words = searchable_query.split()
+    if not words:
+        return F.lit(0)
+    missing = F.size(F.array_except(F.array(*map(F.lit, words)), F.split(searchable_text, " ")))
+    return F.when(searchable_text.isNull() | (missing > 0), 0).when(searchable_text.contains(" ".join(words)), 2).otherwise(1)
+
+
+def numeric_text(text: Column) -> Column:
+    """For comparing quantities: powers marked, compatibility forms folded, plain minus and times, no white space."""
+    t = nfkc(powers(text, "-"))
+    t = F.translate(t, "−×", "-*")
+    t = F.regexp_replace(t, r"(?U)(?<=\w)-\s*\n\s*(?=\w)", "")
+    t = F.regexp_replace(t, r"(?<=\d)-(?=[A-Za-z])", "")
+    return F.regexp_replace(t, r"(?U)\s+", "")
+
+
+def escaped(text: Column) -> Column:
+    """Text as a pattern that matches itself."""
+    return F.regexp_replace(text, r"([\\.^$|?*+()\[\]{}-])", r"\\$1")
+
+
+def quantity_matches(text: Column, value: Column, unit: Column) -> Column:
+    """Does the text state value and unit as a whole number token (not inside a longer, signed or raised one)?"""
+    unit = F.when(unit == "dimensionless", "").otherwise(unit)
+    wanted = numeric_text(F.concat_ws(" ", value, unit))
+    pattern = F.concat(F.lit(r"(?<![0-9.^+\-])"), escaped(wanted), F.lit(r"(?![0-9^/+\-])"))
+    return F.coalesce(F.regexp_like(numeric_text(text), pattern), F.lit(False))
+
+
+def doi(value: Column) -> Column:
+    return F.regexp_replace(F.lower(F.trim(F.coalesce(value, F.lit("")))), r"^(?:https?://(?:dx\.)?doi\.org/|doi:\s*)", "")
+
+
+def title_key(title: Column) -> Column:
+    """A title for weak matching: lower case, sharp s as ss, word characters only."""
+    return F.regexp_replace(F.replace(F.lower(F.coalesce(title, F.lit(""))), F.lit("ß"), F.lit("ss")), r"(?U)[^\w]+", "")
+
+
+def year(issued_year: Column, date: Column) -> Column:
+    """The structured year, else the first 1xxx or 2xxx of the date."""
+    found = F.regexp_extract(F.coalesce(date, F.lit("")), r"\b(1[0-9]{3}|2[0-9]{3})\b", 1)
+    return F.coalesce(issued_year.cast("int"), F.when(found != "", found).cast("int"))
+
+
+def extra_cite_key(extra: Column) -> Column:
+    """A citation key noted on a line of free text; null if there is none."""
+    found = F.regexp_extract(F.coalesce(extra, F.lit("")), r"(?im)^\s*(?:citation\s*key|citekey)\s*:\s*(\S+)", 1)
+    return F.when(found != "", found)
+
+
+def meaningful(value: Column, unknown: str = "TODO(user)") -> Column:
+    return F.coalesce((F.trim(value) != "") & (value != unknown), F.lit(False))
+
+
+def token_set(text: Column) -> Column:
+    """Distinct latin and digit words, and the pairs of neighbouring CJK characters (a lone one as itself); none for unknown text."""
+    low = F.lower(text)
+    latin = F.regexp_extract_all(low, F.lit("([a-z0-9]+)"), F.lit(1))
+    runs = F.regexp_extract_all(low, F.lit("([\\u4e00-\\u9fff]+)"), F.lit(1))
+    pairs = F.flatten(F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), F.greatest(F.length(r) - 1, F.lit(1))), lambda i: F.substring(r, i, F.lit(2)))))
+    return F.when(meaningful(text), F.array_distinct(F.concat(latin, pairs))).otherwise(F.array().cast("array<string>"))
+
+
+def jaccard(a: Column, b: Column) -> Column:
+    """Of two arrays as sets; 0 when both are empty."""
+    return F.coalesce(F.size(F.array_intersect(a, b)) / F.nullif(F.size(F.array_union(a, b)), F.lit(0)), F.lit(0.0))
+
+
+def shortened(text: Column, n: int = 110) -> Column:
+    return F.when(F.length(text) > n, F.concat(F.left(text, F.lit(n)), F.lit("…"))).otherwise(text)
+
+
+def figure_number(text: Column) -> Column:
+    found = F.regexp_extract(compact(text), FIGURE, 1)
+    return F.when(found != "", found)
+
+
+def equation_number(text: Column) -> Column:
+    """A number in brackets that is a line of its own, else one that ends a text of at most 200 characters; null without one."""
+    own = F.get(F.filter(F.split(text, "\n"), lambda x: F.trim(x).rlike(f"^{EQUATION}$")), F.lit(0))
+    flat = compact(text)
+    last = F.regexp_extract(flat, EQUATION + r"\s*$", 1)
+    return F.coalesce(F.regexp_extract(F.trim(own), EQUATION, 1), F.when((F.length(flat) <= 200) & (last != ""), last))
+
+
+def superscripted(text: Column) -> Column:
+    """Digits and signs as their superscript forms."""
+    return F.translate(text, TO_SUPER_FROM, TO_SUPER_TO)
+
+
+def with_notation(text: Column, notes: Column) -> Column:
+    """The text with each note's display put over its range; notes are in order and do not overlap."""
+    return F.aggregate(F.reverse(notes), text, lambda t, n: F.concat(F.substring(t, F.lit(1), n["start_char"]), n["display"], F.substring(t, n["end_char"] + 1, F.length(t))))
+
+
+def sentences(text: Column, plain: bool = False) -> Column:
+    return F.split(text, SENTENCE_END_PLAIN if plain else SENTENCE_END, -1)
+
+
+def line_range(text: Column, first: Column, last: Column) -> Column:
+    """Lines first to last (from 1, inclusive); null if the range lies outside."""
+    lines = F.split(text, "\n", -1)
+    return F.when((first >= 1) & (last >= first) & (last <= F.size(lines)), F.array_join(F.slice(lines, first, last - first + 1), "\n"))
+
+
+def heading_section(text: Column, heading: str) -> Column:
+    """The part of a Markdown text under a heading, to the next one of the same or a higher level; null without it."""
+    from re import escape
+
+    body = F.regexp_extract(text, rf"(?ms)^(#{{1,6}})\s+{escape(heading)}\s*$\n?(.*?)(?=^#{{1,6}}\s|\z)", 2)
+    return F.when(text.rlike(rf"(?m)^#{{1,6}}\s+{escape(heading)}\s*$"), body)
+
+
+def canonical_json(*columns: Column) -> Column:
+    """JSON of the columns in the order given; missing values are left out, numbers that are not finite too."""
+    return F.to_json(F.struct(*columns), {"ignoreNullFields": "true"})
+
+
+def finite(value: Column) -> Column:
+    return F.when(~F.isnan(value) & (F.abs(value) != float("inf")), value)
