@@ -166,9 +166,10 @@ def betweenness(links: DataFrame) -> DataFrame:
     parts = components(links)
     pairs = links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     kind = links.schema["a"].dataType.simpleString()
-    sources = parts.withColumn("share", F.pmod(F.xxhash64("id"), F.lit(32)))
+    sources = written(parts.withColumn("share", F.pmod(F.xxhash64("id"), F.lit(32))), "sources")
     shares = sources.select("component", "share").distinct()
     rows = pairs.join(parts.withColumnRenamed("id", "a"), "a").join(shares, "component").select("component", "share", "a", "b")
+    rows = written(rows, "links")
 
     def brandes(own: pd.DataFrame, graph: pd.DataFrame) -> pd.DataFrame:
         near: dict = {}

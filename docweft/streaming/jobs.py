@@ -53,9 +53,9 @@ def batch_states(events: DataFrame, terminal: tuple[str, ...], lease: int = LEAS
     )
 
 
-def drained(spark: SparkSession, path: str, schema, terminal: tuple[str, ...], at: str, lease: int = LEASE_SECONDS) -> DataFrame:
-    """Runs the stream over all files at path and returns the last state of each key; at: a shared folder for its checkpoint and output."""
-    raw = spark.readStream.schema(schema).parquet(path)
+def drained(spark: SparkSession, path: str, schema, terminal: tuple[str, ...], at: str, lease: int = LEASE_SECONDS, name: str = "*.parquet") -> DataFrame:
+    """Runs the stream over all files in a folder that fit name and returns the last state of each key; at: a shared folder for its checkpoint and output."""
+    raw = spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(path)
     rows = raw.select(F.col("user_id").alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.col("event_type").alias("kind"))
 
     def put(batch: DataFrame, n: int) -> None:
