@@ -28,7 +28,6 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,7 +36,7 @@ from .common import text_of
 
 #: Subsequence length is three; span, decay for each letter too many, letters of a word looked at together.
 SPAN, DECAY, LETTERS = 5, 0.5, 24
-SAMPLE_DOCS, LANDMARKS, ROUNDS, CACHE = 1500, 300, 3, 300_000
+SAMPLE_DOCS, LANDMARKS, ROUNDS, CACHE, PART = 1500, 300, 3, 150_000, 10_000
 #: Predicted toxic from this score on; a decision of 0 scores 0.5.
 THRESHOLD = 0.7
 
@@ -113,6 +112,10 @@ class Machine:
         self.cache: dict[str, float] = {}
 
     def decide(self, words: list[str]) -> np.ndarray:
+        """The decision on each word, in parts of PART words."""
+        return np.concatenate([self._decide(words[i : i + PART]) for i in range(0, len(words), PART)]) if words else np.zeros(0)
+
+    def _decide(self, words: list[str]) -> np.ndarray:
         w, f, v = features(words)
         dot = np.bincount(w, v * self.weights[f], len(words))
         norm = np.sqrt(np.bincount(w, v * v, len(words)))
@@ -124,15 +127,13 @@ class Machine:
     def learn(self, words: Iterable[str]) -> None:
         """Puts the decisions of words into the cache."""
         words = [*words]
-        for i in range(0, len(words), 50_000):
-            part = words[i : i + 50_000]
-            self.cache.update(zip(part, self.decide(part).tolist(), strict=True))
+        self.cache.update(zip(words, self.decide(words).tolist(), strict=True))
 
     def worst(self, texts: list[str]) -> list[float]:
         """The largest decision over the words of each text."""
         out = []
-        for at in range(0, len(texts), 500):
-            split = [pieces(t) for t in texts[at : at + 500]]
+        for at in range(0, len(texts), 100):
+            split = [pieces(t) for t in texts[at : at + 100]]
             if len(self.cache) > CACHE:
                 self.cache.clear()
             self.learn({w for ws in split for w in ws} - self.cache.keys())
@@ -226,7 +227,7 @@ def fit(positives: list[str], negatives: list[str]) -> Machine:
     """The support vector machine in the Nyström space of landmarks from both classes."""
     words = [*positives, *negatives]
     y = np.r_[np.ones(len(positives)), -np.ones(len(negatives))]
-    marks = [*spread(positives[:1500], LANDMARKS // 2), *spread(negatives[:: max(1, len(negatives) // 1500)], LANDMARKS // 2)]
+    marks = [*spread(positives[:600], LANDMARKS // 2), *spread(negatives[:: max(1, len(negatives) // 600)], LANDMARKS // 2)]
     landmarks, used = _dense(marks)
     kernel = landmarks @ landmarks.T
     values, vectors = np.linalg.eigh(kernel)
@@ -238,7 +239,7 @@ def fit(positives: list[str], negatives: list[str]) -> Machine:
     hit = used[col] == f
     cross = np.zeros((len(words), len(marks)))
     order = np.flatnonzero(hit)
-    for part in np.array_split(order, max(1, len(order) // 200_000)):
+    for part in np.array_split(order, max(1, len(order) // 10_000)):
         np.add.at(cross, w[part], landmarks.T[col[part]] * v[part, None])
     x = cross / np.maximum(norm, 1e-12)[:, None] @ white
     x = np.c_[x, np.ones(len(x))]
@@ -292,12 +293,14 @@ def keep_clean(df: DataFrame, machine: Machine, text_col: str = "text", threshol
     """The rows of df that score below the threshold, with df's columns."""
     shared = df.sparkSession.sparkContext.broadcast((machine.weights, machine.bias, machine.scale, machine.shift))
 
-    @F.pandas_udf("double")
-    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-
+    at = df.columns.index(text_col)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Machine(*shared.value)
-        for texts in batches:
-            yield pd.Series([m.score(d) for d in m.worst(texts.tolist())], dtype=float)
+        for batch in batches:
+            for first in range(0, batch.num_rows, 500):
+                part = batch.slice(first, 500)
+                scores = [m.score(d) for d in m.worst([t or "" for t in part.column(at).to_pylist()])]
+                yield part.filter(pa.array([x < threshold for x in scores]))
 
-    return df.where(scored(text_of(text_col)) < threshold)
+    return df.mapInArrow(run, df.schema)
