@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import NOT_WHITE, WHITE, free_name, stored, text_of
+from .common import NOT_WHITE, WHITE, stored, text_of
 
 WEIGHTS, MOST, BLOCK_WORDS, SHARDS, SEED = (5, 2, 1), 3, 128, 16, 11
 #: Buckets of the key histogram: the key's top bits.
@@ -223,9 +223,10 @@ def draws(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     return out.repartition(F.col("shard"), F.pmod("place", F.lit(8))).sortWithinPartitions("shard", "place")
 
 
-def block_texts(column: str) -> Column:
+def block_texts(text: str | Column) -> Column:
     """A text cut into its blocks, white space kept with the word before (at the start: with the first)."""
-    return F.regexp_extract_all(text_of(column), F.lit(rf"(?:\A{WHITE}+)?(?:{NOT_WHITE}++{WHITE}*+){{1,{BLOCK_WORDS}}}"), F.lit(0))
+    text = text_of(text) if isinstance(text, str) else F.coalesce(text, F.lit(""))
+    return F.regexp_extract_all(text, F.lit(rf"(?:\A{WHITE}+)?(?:{NOT_WHITE}++{WHITE}*+){{1,{BLOCK_WORDS}}}"), F.lit(0))
 
 
 def mixed(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = SEED) -> DataFrame:
@@ -234,12 +235,11 @@ def mixed(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     A text without words has no block: it stays once if its source has a whole pass or no words at all.
     """
     p = plan(narrow(df, id_col, source_col, text_col), seed=seed)
-    size, key, drawn, n = (free_name(df, x) for x in ("_size", "_key", "_drawn", "_pass"))
-    rows = df.withColumns({size: words(text_col), key: doc_key(id_col, text_col)})
-    mapped = _with_plan(rows, p, source_col)
-    mapped = mapped.withColumn(drawn, _drawn(F.col(size), F.col(key), F.col("cut"), seed))
-    times = F.when(F.col(size) > 0, F.col("passes") + (F.size(drawn) > 0).cast("int")).otherwise(F.when((F.col("passes") > 0) | (F.col("p_size") == 0), 1).otherwise(0))
-    mapped = mapped.withColumn(n, F.explode(F.when(times > 0, F.sequence(F.lit(1), times)).otherwise(F.array().cast("array<int>"))))
-    whole = (F.col(n) <= F.col("passes")) | (F.size(drawn) * BLOCK_WORDS >= F.col(size))
-    part = F.array_join(F.filter(block_texts(text_col), lambda _, b: block_key(F.col(key), b, seed) <= F.col("cut")), "")
-    return mapped.withColumn(text_col, F.when(whole, F.col(text_col)).otherwise(part)).select(df.columns)
+    rows = df.select(F.struct(*df.columns).alias("row"), F.col(source_col).cast("string").alias("source"), words(text_col).alias("size"), doc_key(id_col, text_col).alias("key"))
+    rows = _with_plan(rows, p, "source").withColumn("drawn", _drawn(F.col("size"), F.col("key"), F.col("cut"), seed))
+    times = F.when(F.col("size") > 0, F.col("passes") + (F.size("drawn") > 0).cast("int")).otherwise(F.when((F.col("passes") > 0) | (F.col("p_size") == 0), 1).otherwise(0))
+    rows = rows.withColumn("pass", F.explode(F.when(times > 0, F.sequence(F.lit(1), times)).otherwise(F.array().cast("array<int>"))))
+    text = F.col("row")[text_col]
+    whole = (F.col("pass") <= F.col("passes")) | (F.size("drawn") * BLOCK_WORDS >= F.col("size"))
+    part = F.array_join(F.filter(block_texts(text), lambda _, b: block_key(F.col("key"), b, seed) <= F.col("cut")), "")
+    return rows.select(*(F.when(whole, text).otherwise(part).alias(c) if c == text_col else F.col("row")[c].alias(c) for c in df.columns))
