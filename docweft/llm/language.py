@@ -57,7 +57,8 @@ def automaton(text: np.ndarray, symbols: int) -> np.ndarray:
     """The suffix automaton of text as a dense table: table[state, symbol] = next state * 2, plus 1 where a new phrase starts.
 
     Where a state has no transition, the entry is that of the start state: the phrase ends and the symbol begins the
-    next one. A symbol that the text lacks altogether makes a phrase of its own.
+    next one. A symbol that the text lacks makes a phrase of its own: it leads to the last state, whose entries all
+    begin a phrase. Parsing starts there too.
     """
     longest, link, step = [0], [-1], [{}]
     last = 0
@@ -84,10 +85,10 @@ def automaton(text: np.ndarray, symbols: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[now] = copy
         last = now
-    start = np.zeros(symbols, np.int32)
+    start = np.full(symbols, len(step), np.int32)
     for c, s in step[0].items():
         start[c] = s
-    table = np.repeat((start * 2 + 1)[None], len(step), 0)
+    table = np.repeat((start * 2 + 1)[None], len(step) + 1, 0)
     for s, to in enumerate(step):
         for c, t in to.items():
             table[s, c] = t * 2
@@ -110,7 +111,7 @@ class Parser:
         tables = [automaton(self.symbol[t[:learned]], symbols) for t in texts]
         at = np.cumsum([0, *(len(t) for t in tables)])[:-1]
         #: All tables in one; states are numbered through, and count in units of a row.
-        self.symbols, self.starts = symbols, np.array(at, np.int32) * symbols
+        self.starts = np.array([a + len(t) - 1 for a, t in zip(at, tables, strict=True)], np.int32) * symbols
         self.table = np.concatenate([((t >> 1) + a) * symbols * 2 + (t & 1) for t, a in zip(tables, at, strict=True)]).astype(np.int32).ravel() if tables else np.zeros(0, np.int32)
         own = [t[learned : learned + chars // 2] for t in texts]
         self.rate = np.ones(len(texts))
@@ -134,7 +135,6 @@ class Parser:
             count = np.zeros((k, len(part)), np.int32)
             for lang in range(k):
                 state, total = np.full(len(part), self.starts[lang], np.int32), count[lang]
-                total += 1  # the first phrase
                 for step in range(sizes[0]):
                     n = alive[step]
                     if n < len(state):
