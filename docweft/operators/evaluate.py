@@ -130,7 +130,9 @@ def contained_items(items: DataFrame, docs: DataFrame, item: str, doc: str, text
     i = i.select(item, "_item", F.array_join(F.slice("_words", 2, n - 2), " ").alias("_key"))
     d = docs.select(doc, flat.alias("_text"))
     words = F.split("_text", " ")
-    last = F.size(words) - (n - 3)
-    grams = F.when(last > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda k: F.array_join(F.slice(words, k, n - 2), " "))))
+    grams = words
+    for k in range(2, n - 1):  # each step appends the k-th word; the rows' last ones, which have none, become null
+        grams = F.zip_with(grams, F.slice(words, k, F.greatest(F.size(words), F.lit(0))), lambda g, w: F.concat(g, F.lit(" "), w))
+    grams = F.array_distinct(F.array_compact(grams))
     keys = d.select(doc, F.explode(grams).alias("_key")).join(i, "_key").select(doc, item, "_item").distinct()
     return keys.join(d, doc).where(F.contains("_text", F.col("_item"))).select(item, doc)
