@@ -21,6 +21,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -104,24 +105,32 @@ def repeated_filter(hashes: DataFrame, rows: int, limit: int = MAX_BITS) -> np.n
     return packed.ravel()
 
 
+def holds(packed: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which of the 64-bit hashes the packed Bloom filter has."""
+    at = _places(h, len(packed) * 8).astype(np.int64)
+    return ((packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(1)
+
+
 def member(spark: SparkSession, packed: np.ndarray):
     """A pandas UDF: does the packed Bloom filter hold the 64-bit hash?"""
-    shared, bits = spark.sparkContext.broadcast(packed), len(packed) * 8
+    shared = spark.sparkContext.broadcast(packed)
 
     @F.pandas_udf("boolean")
-    def test(h):
-        at = _places(h.to_numpy(), bits).astype(np.int64)
-        import pandas as pd
-
-        return pd.Series(((shared.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(1))
+    def test(h: pd.Series) -> pd.Series:
+        return pd.Series(holds(shared.value, h.to_numpy()))
 
     return test
 
 
-def contained(values: DataFrame, limit: int = MAX_BITS):
-    """A pandas UDF that tests 64-bit hashes against a Bloom filter of the one long column of values; no value is missed."""
+def value_filter(values: DataFrame, limit: int = MAX_BITS) -> np.ndarray:
+    """The packed Bloom filter of the one long column of values; no value is missed."""
     twice = values.union(values)  # each value twice, so that the filter of repeated ones has it
-    return member(values.sparkSession, repeated_filter(twice, 2 * values.count(), limit))
+    return repeated_filter(twice, 2 * values.count(), limit)
+
+
+def contained(values: DataFrame, limit: int = MAX_BITS):
+    """A pandas UDF that tests 64-bit hashes against value_filter(values)."""
+    return member(values.sparkSession, value_filter(values, limit))
 
 
 def without_ids(df: DataFrame, id_col: str, gone: DataFrame) -> DataFrame:

@@ -29,13 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import block_pairs, by_key, components, roots, stored, text_of
-from .exact_dedup import contained, without_ids
+from .exact_dedup import holds, value_filter, without_ids
 
 N, THRESHOLD, RECALL, HASHES = 5, 0.8, 0.999, 64
 #: Members of a bucket compared with each other by signature, and of a block verified against another.
 BUCKET, BLOCK = 256, 256
 WORD = re.compile(r"\w+")
-CACHE = 400_000
+CACHE = 150_000
 
 
 def bands(threshold: float = THRESHOLD, recall: float = RECALL, hashes: int = HASHES) -> tuple[int, int]:
@@ -147,8 +147,8 @@ def jaccard(one: list[np.ndarray], other: list[np.ndarray]) -> np.ndarray:
     vocab, col = np.unique(np.concatenate([*one, *other]), return_inverse=True)
     row = np.repeat(np.arange(len(one) + len(other)), [len(s) for s in (*one, *other)])
     both = np.zeros((len(one), len(other)))
-    for first in range(0, len(vocab), 1 << 15):
-        width = min(1 << 15, len(vocab) - first)
+    for first in range(0, len(vocab), 1 << 12):
+        width = min(1 << 12, len(vocab) - first)
         part = (col >= first) & (col < first + width)
         m = np.zeros((len(one) + len(other), width), np.float32)
         m[row[part], col[part] - first] = 1
@@ -235,13 +235,19 @@ def _clusters(sets: DataFrame, shape: tuple[int, int], parts: int) -> DataFrame:
 def _texts(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
     """rep and text of the members: a Bloom filter of their ids first, then the exact join on id and n-gram set."""
 
+    wanted = docs.sparkSession.sparkContext.broadcast(value_filter(members.select(F.xxhash64("rep_doc").alias("h"))))
+
     def gram_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(n)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([_set_key(shingler.set_of(t)) for t in batch.column(1).to_pylist()], pa.binary())], ["doc", "text", "grams"])
+            batch = batch.filter(pa.array(holds(wanted.value, batch.column("h").to_numpy())))
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                keys = [_set_key(shingler.set_of(t)) for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("doc"), part.column("text"), pa.array(keys, pa.binary())], ["doc", "text", "grams"])
 
-    near = docs.where(contained(members.select(F.xxhash64("rep_doc").alias("h")))(F.xxhash64("doc")))
-    near = near.mapInArrow(gram_sets, f"doc {docs.schema['doc'].dataType.simpleString()}, text string, grams binary").where("grams is not null")
+    # One Python step for filter and sets: two in a stage would keep twice as many workers.
+    near = docs.withColumn("h", F.xxhash64("doc")).mapInArrow(gram_sets, f"doc {docs.schema['doc'].dataType.simpleString()}, text string, grams binary").where("grams is not null")
     near = near.groupBy("grams", "doc").agg(F.first("text").alias("text"))
     m = members.select("rep", F.col("grams").alias("_grams"), "rep_doc")
     return near.join(m, (near["grams"] == m["_grams"]) & near["doc"].eqNullSafe(m["rep_doc"])).select("rep", "text")
