@@ -20,7 +20,7 @@ def card_edges(cards: DataFrame) -> DataFrame:
     """(source, target, type) of concept cards' lists; a prerequisite points from what is needed."""
     parts = []
     for field, kind in CARD_RELATION.items():
-        rows = cards.select(F.concat(F.lit("concept:"), "id").alias("own"), F.concat(F.lit("concept:"), F.explode(field)).alias("other"))
+        rows = cards.select(F.concat(F.lit("concept:"), "id").alias("own"), F.explode(F.transform(field, lambda x: F.concat(F.lit("concept:"), x))).alias("other"))
         ends = ("other", "own") if kind == "prerequisite" else ("own", "other")
         parts.append(rows.select(F.col(ends[0]).alias("source"), F.col(ends[1]).alias("target"), F.lit(kind).alias("type")))
     return reduce(DataFrame.unionByName, parts).where("source <> target").distinct()
