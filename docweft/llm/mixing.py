@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from .common import NOT_WHITE, WHITE, stored, text_of
 
 WEIGHTS, MOST, BLOCK_WORDS, SHARDS, SEED = (5, 2, 1), 3, 128, 16, 11
-#: Buckets of the key histogram: the key's top bits.
-BUCKET_BITS = 12
+#: The key histogram's buckets are a key's top bits: 2^12 a source, fewer for many sources, so that the driver holds 2^17 counts and one a source at most.
+BUCKET_BITS, COUNT_BITS = 12, 17
 
 
 def words(column: str) -> Column:
@@ -116,10 +116,11 @@ def plan(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, weights=WEIGHT
     """Quotas, cuts and borders for narrow() rows."""
     sizes = {r[0]: r[1] or 0 for r in docs.groupBy("source").agg(F.sum("size")).collect()}
     goal = targets(sizes, weights, most)
+    bits = max(0, min(BUCKET_BITS, COUNT_BITS - max(1, len(sizes)).bit_length()))
     n_blocks = F.ceil(F.col("size") / BLOCK_WORDS).cast("int")
     blocks = docs.where("size > 0").withColumn("block", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
     blocks = blocks.select("source", block_key(F.col("key"), F.col("block"), seed).alias("k"), F.least(F.lit(BLOCK_WORDS), F.col("size") - F.col("block") * BLOCK_WORDS).alias("words"))
-    blocks = blocks.withColumn("bucket", F.shiftright("k", 62 - BUCKET_BITS).cast("int"))
+    blocks = blocks.withColumn("bucket", F.shiftright("k", 62 - bits).cast("int"))
     hist: dict = {}
     for r in blocks.groupBy("source", "bucket").agg(F.count("*").alias("n"), F.sum("words").alias("words")).toLocalIterator():
         hist.setdefault(r.source, []).append((r.bucket, r.n, r.words))
@@ -131,7 +132,7 @@ def plan(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, weights=WEIGHT
         table[s] = rows[:, 0], np.r_[0, rows[:, 1].cumsum()], np.r_[0, rows[:, 2].cumsum()]
 
     def looked_up(wanted: dict) -> dict:
-        """The blocks of whole (source, bucket) pairs, in order; each bucket holds a 2^-BUCKET_BITS part of its source."""
+        """The blocks of whole (source, bucket) pairs, in order; each bucket holds a small part of its source."""
         pairs = [(s, int(b)) for s, bs in wanted.items() for b in sorted(set(bs))]
         if not pairs:
             return {}
@@ -153,7 +154,7 @@ def plan(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, weights=WEIGHT
         for r in best.collect():
             at = int(np.searchsorted(table[r.source][0], where[r.source][0]))
             if r.need <= r.x.words - r.need and r.x.n == 1:  # nearer without the bucket's first block
-                cut[r.source], quota[r.source] = (int(where[r.source][0]) << (62 - BUCKET_BITS)) - 1, quota[r.source] + int(table[r.source][1][at])
+                cut[r.source], quota[r.source] = (int(where[r.source][0]) << (62 - bits)) - 1, quota[r.source] + int(table[r.source][1][at])
             else:
                 cut[r.source], quota[r.source] = r.x.k, quota[r.source] + r.before + r.x.n
     quotas = split(np.array([quota[s] for s in sources], np.int64), shards, seed) if sources else np.zeros((shards, 0), np.int64)
