@@ -12,7 +12,7 @@ from pyspark.sql.types import StringType
 # Superscript signs and what they stand for; kept signs; label and section patterns.
 SUPERSCRIPTS, PLAIN = "⁰¹²³⁴⁵⁶⁷⁸⁹⁻⁺", "0123456789−+"
 TO_SUPER_FROM, TO_SUPER_TO = "0123456789+-−()", "⁰¹²³⁴⁵⁶⁷⁸⁹⁺⁻⁻⁽⁾"
-WORDS = r"(?U)(\w+|[−±×Ω°]+)"
+SIGNS = "−±×°"
 FIGURE = r"(?i)^(?:(?:extended data|supplementary)\s+)?fig(?:ure)?\.?\s*(S?\d+)\b"
 EQUATION = r"\(((?:0|[1-9]\d*)[a-z]?)\)"
 BODY_SECTION = r"(?i)^(?:\d+[. ]+)?(?:introduction|(?:materials and |experimental )?methods|results(?: and discussion)?|discussion|conclusions?|references|acknowledg(?:e)?ments|data availability|code availability)$"
@@ -59,7 +59,8 @@ def searchable(text: Column, unicode: bool = True) -> Column:
     t = F.replace(t, F.lit("\u00ad"), F.lit(""))
     t = F.regexp_replace(t, r"(?U)(?<=\w)[-‐]\s*\n\s*(?=\w)", "")
     t = F.regexp_replace(t, r"(?U)(?<!\w)-(?=\d)", "−")
-    return F.array_join(F.regexp_extract_all(t, F.lit(WORDS), F.lit(1)), " ")
+    t = F.regexp_replace(t, f"([{SIGNS}]+)", " $1 ")
+    return F.trim(F.regexp_replace(t, rf"(?U)[^\w{SIGNS}]+", " "))
 
 
 def relevance(searchable_text: Column, searchable_query: str) -> Column:
@@ -67,8 +68,13 @@ def relevance(searchable_text: Column, searchable_query: str) -> Column:
     words = searchable_query.split()
     if not words:
         return F.lit(0)
-    missing = F.size(F.array_except(F.array(*map(F.lit, words)), F.split(searchable_text, " ")))
-    return F.when(searchable_text.isNull() | (missing > 0), 0).when(searchable_text.contains(" ".join(words)), 2).otherwise(1)
+
+    def score(t: Column) -> Column:
+        missing = F.size(F.array_except(F.array(*map(F.lit, words)), F.split(t, " ")))
+        return F.when(t.isNull() | (missing > 0), 0).when(t.contains(" ".join(words)), 2).otherwise(1)
+
+    # A one-element array binds the text, so that it is normalised once and not once for each use.
+    return F.get(F.transform(F.array(searchable_text), score), F.lit(0))
 
 
 def numeric_text(text: Column) -> Column:

@@ -61,7 +61,7 @@ def shortest_path(edges: DataFrame, start: str, target: str, most: int = 8, rela
     links = edges.where(~F.col("verification_status").isin(*INACTIVE)) if "verification_status" in edges.columns else edges
     if relations:
         links = links.where(F.col("relation_type").isin(*relations))
-    links = links.select(F.col("source_node_id").alias("a"), F.col("target_node_id").alias("b")).where("a <> b").distinct()
+    links = links.select(F.col("source_node_id").alias("a"), F.col("target_node_id").alias("b")).where("a <> b")
     spark = edges.sparkSession
     frontier = spark.createDataFrame([(start, [start])], "id string, path array<string>")
     seen = frontier.select("id")

@@ -27,5 +27,5 @@ def search(nodes: DataFrame, anchors: DataFrame, query: str, limit: int = 50, un
 
 def ranked_documents(df: DataFrame, query: str, doc: str = "doc_id", text: str = "text", limit: int = 50) -> DataFrame:
     """The best documents for a query in searchable form, without leaving the JVM."""
-    rows = df.select(doc, tx.relevance(tx.searchable(F.col(text), False), query).alias("score")).where("score > 0")
-    return rows.orderBy(F.desc("score"), doc).limit(limit)
+    rows = df.select(doc, tx.relevance(tx.searchable(F.col(text), False), query).alias("score"))
+    return rows.orderBy(F.desc("score"), doc).limit(limit).where("score > 0")  # misses sort last, so the filter can follow the limit

@@ -24,10 +24,11 @@ def paper_similarity(pairs: DataFrame) -> DataFrame:
     """
     rows = pairs.select("paper", "concept").distinct().join(frequencies(pairs), "concept")
     own = rows.groupBy("paper").agg(F.count("*").alias("n"), F.sum("idf").alias("w"))
-    a, b = (rows.select("concept", "idf", F.col("paper").alias(x)) for x in ("a", "b"))
-    both = a.join(b.drop("idf"), "concept").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"), F.sum("idf").alias("common"))
-    for x in ("a", "b"):
-        both = both.join(own.select(F.col("paper").alias(x), F.col("n").alias(f"n_{x}"), F.col("w").alias(f"w_{x}")), x)
+    rows = rows.join(own, "paper")
+    a, b = (rows.select("concept", F.col("idf").alias(f"idf_{x}"), F.col("paper").alias(x), F.col("n").alias(f"n_{x}"), F.col("w").alias(f"w_{x}")) for x in ("a", "b"))
+    # A side's totals depend on the side alone: they ride along instead of being joined to every pair.
+    ride = [F.max(c).alias(c) for c in ("n_a", "n_b", "w_a", "w_b")]
+    both = a.join(b, "concept").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"), F.sum("idf_a").alias("common"), *ride)
     plain = F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared"))
     weighted = F.col("common") / (F.col("w_a") + F.col("w_b") - F.col("common"))
     return both.select("a", "b", "shared", plain.alias("jaccard"), weighted.alias("idf_jaccard"), F.round((plain + weighted) / 2, 6).alias("weight"))
