@@ -1,13 +1,15 @@
 """Embedding near-dedup by lattice hashing.
 
-Unit vectors are projected on eight random directions, scaled, and decoded to the nearest point of the E8 lattice; that
-point is the vector's cell. Each of several tables has its own directions, and besides its own cell a vector is put into
-the next-nearest lattice points found by moving its projection towards the coordinates of the largest error. Within a
-cell of bounded size, cosines in double precision give links; larger cells become one cluster as a whole. Clusters are
+Unit vectors are projected on BLOCKS times eight random directions, scaled, and each eight decoded to the nearest point of
+the E8 lattice; these points together are the vector's cell. Each of several tables has its own directions, and besides
+its own cell a vector is put into neighbouring ones: one block's point at a time is replaced by the lattice points across
+the faces that the projection lies nearest to. Within a cell of bounded size, cosines in double precision give links;
+larger cells become one cluster as a whole. Clusters are
 connected components, and every two members of a cluster meet in exactly one task of bounded size, where the cosine is
 computed in double precision; tasks return per member the number of links and the smallest member reached, never pairs.
 
-TABLES, PROBES and WIDTH give a recall of about 0.99 at cosine 0.95 on random pairs (tests measure it).
+TABLES, PROBES and WIDTH give a recall of about 0.99 at cosine 0.95 on random pairs, while
+unrelated vectors share a cell less than once in several thousand pairs (tests measure both).
 
 Defined results: vectors that are null, zero, or hold null or non-finite components link with nothing. Equal vectors
 are linked. Vectors of several lengths are compared within their length only. Rows with equal ids count as one id: their
@@ -24,10 +26,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from .common import block_pairs, by_key, components, roots, stored
 
-THRESHOLD, TABLES, PROBES, WIDTH, SEED = 0.95, 6, 3, 0.32, 9
+THRESHOLD, TABLES, BLOCKS, PROBES, WIDTH, SEED = 0.95, 10, 2, 1, 0.6, 9
 CELL, BLOCK = 256, 512
 
 
@@ -49,26 +52,32 @@ def nearest_e8(x: np.ndarray) -> np.ndarray:
 
 
 @lru_cache(maxsize=8)
-def directions(dim: int, tables: int, seed: int) -> np.ndarray:
-    return np.random.default_rng([seed, dim]).normal(size=(tables, dim, 8))
+def directions(dim: int, tables: int, blocks: int, seed: int) -> np.ndarray:
+    return np.random.default_rng([seed, dim]).normal(size=(tables, blocks, dim, 8))
 
 
-def cells(unit: np.ndarray, tables: int = TABLES, probes: int = PROBES, width: float = WIDTH, seed: int = SEED) -> np.ndarray:
-    """64-bit cell names of unit vectors: one row a vector, (1 + probes) a table."""
+def cells(unit: np.ndarray, tables: int = TABLES, blocks: int = BLOCKS, probes: int = PROBES, width: float = WIDTH, seed: int = SEED) -> np.ndarray:
+    """64-bit cell names of unit vectors: one row a vector, 1 + blocks * probes a table."""
     out = []
-    mult = np.random.default_rng(seed).integers(1, 1 << 62, 8, np.int64).view(np.uint64) | np.uint64(1)
-    for t, d in enumerate(directions(unit.shape[1], tables, seed)):
-        y = unit @ d / (width * 8**0.5)
-        home = nearest_e8(y)
-        points = [home]
-        # Neighbours: beyond the faces that the projection is nearest to, among the lattice's shortest vectors.
-        step = _shortest()
-        near = np.argsort(-((y - home) @ step.T), 1)[:, :probes]
-        points += [home + step[near[:, i]] for i in range(probes)]
-        for p in points:
-            h = ((2 * p).astype(np.int64).view(np.uint64) * mult).sum(1, dtype=np.uint64)
-            h = (h ^ np.uint64(t + 1 + unit.shape[1] * 64)) * np.uint64(0x9E3779B97F4A7C15)
-            out.append(h ^ (h >> np.uint64(31)))
+    mult = np.random.default_rng(seed).integers(1, 1 << 62, (blocks, 8), np.int64).view(np.uint64) | np.uint64(1)
+    step = _shortest()
+    for t, table in enumerate(directions(unit.shape[1], tables, blocks, seed)):
+        homes, near = [], []
+        for d, m in zip(table, mult, strict=True):
+            y = unit @ d / (width * 8**0.5)
+            home = nearest_e8(y)
+            # Neighbours: beyond the faces that the projection is nearest to, among the lattice's shortest vectors.
+            across = np.argsort(-((y - home) @ step.T), 1)[:, :probes]
+            name = lambda p, m=m: ((2 * p).astype(np.int64).view(np.uint64) * m).sum(1, dtype=np.uint64)
+            homes.append(name(home))
+            near.append([name(home + step[across[:, i]]) for i in range(probes)])
+        names = [homes] + [[*homes[:b], other, *homes[b + 1 :]] for b in range(blocks) for other in near[b]]
+        for parts in names:
+            h = np.full(len(unit), t + 1 + unit.shape[1] * 64, np.uint64)
+            for p in parts:
+                h = (h ^ p) * np.uint64(0x9E3779B97F4A7C15)
+                h ^= h >> np.uint64(31)
+            out.append(h)
     return np.stack(out, 1).view(np.int64)
 
 
@@ -90,45 +99,49 @@ def _shortest() -> np.ndarray:
     return np.array(out)
 
 
-def units(column: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Indices of usable vectors and these at unit length, in double precision."""
-    at, out = [], []
-    for i, v in enumerate(column.to_pylist()):
-        if v and None not in v:
-            v = np.array(v, float)
-            if np.isfinite(v).all() and (big := np.abs(v).max()) > 0:
-                v = v / big
-                at.append(i)
-                out.append(v / np.sqrt(v @ v))
-    return np.array(at, int), out
+def unit_rows(m: np.ndarray) -> np.ndarray:
+    """Rows at unit length in double precision; the largest component goes first, so that squares neither vanish nor overflow."""
+    m = m.astype(float)
+    m /= np.abs(m).max(1)[:, None]
+    return m / np.sqrt((m * m).sum(1))[:, None]
 
 
-def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """id, unit vector (bytes of doubles) and cells of the usable vectors."""
-    for batch in batches:
-        for first in range(0, batch.num_rows, 2000):
-            part = batch.slice(first, 2000)
-            at, vectors = units(part.column(1))
-            by_dim: dict[int, list[int]] = {}
-            for k, v in enumerate(vectors):
-                by_dim.setdefault(len(v), []).append(k)
-            for ks in by_dim.values():
-                names = cells(np.array([vectors[k] for k in ks]))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at[ks])), pa.array([vectors[k].tobytes() for k in ks], pa.binary()), pa.array(names.tolist(), pa.list_(pa.int64()))], ["id", "unit", "cells"])
+def usable(column: pa.Array) -> list[int]:
+    """Indices of vectors without null or non-finite components that are not zero or empty."""
+    return [i for i, v in enumerate(column.to_pylist()) if v and None not in v and np.isfinite(v).all() and any(v)]
 
 
-def _matrix(column: pa.ChunkedArray, s: int, e: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.slice(s, e - s).to_pylist()), float).reshape(e - s, -1)
+def _cells(kind: str):
+    """id, vector (bytes of its own type) and cells of the usable vectors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, 2000):
+                part = batch.slice(first, 2000)
+                part = part.take(pa.array(usable(part.column(1)), pa.int64()))
+                vectors = part.column(1).to_pylist()
+                by_dim: dict[int, list[int]] = {}
+                for k, v in enumerate(vectors):
+                    by_dim.setdefault(len(v), []).append(k)
+                for ks in by_dim.values():
+                    m = np.array([vectors[k] for k in ks], kind)
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(ks)), pa.array([v.tobytes() for v in m], pa.binary()), pa.array(cells(unit_rows(m)).tolist(), pa.list_(pa.int64()))], ["id", "vector", "cells"])
+
+    return run
+
+
+def _matrix(column: pa.ChunkedArray, s: int, e: int, kind: str) -> np.ndarray:
+    return unit_rows(np.frombuffer(b"".join(column.slice(s, e - s).to_pylist()), kind).reshape(e - s, -1))
 
 
-def _cell_links(threshold: float):
-    """Rows of (cell, id, unit) sorted by cell, of at most CELL members each: edges from members to the smallest one linked within the cell."""
+def _cell_links(threshold: float, kind: str):
+    """Rows of (cell, id, vector) sorted by cell, of at most CELL members each: edges from members to the smallest one linked within the cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, at in by_key(batches, ["cell"]):
             ids, x, y = table.column("id").to_numpy(), [], []
             for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-                v = _matrix(table.column("unit"), s, e)
+                v = _matrix(table.column("vector"), s, e, kind)
                 i, j = np.nonzero(np.triu(v @ v.T >= threshold - 1e-9, 1))
                 if len(i):
                     x.append(ids[s:e])
@@ -140,8 +153,8 @@ def _cell_links(threshold: float):
     return run
 
 
-def _verify(threshold: float):
-    """Rows of (cluster, a, b, own, id, unit) sorted by (cluster, a, b, id): links and the smallest member reached, by member."""
+def _verify(threshold: float, kind: str):
+    """Rows of (cluster, a, b, own, id, vector) sorted by (cluster, a, b, id): links and the smallest member reached, by member."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, at in by_key(batches, ["cluster", "a", "b"], 2 * BLOCK):
@@ -150,7 +163,7 @@ def _verify(threshold: float):
             for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
                 p = np.flatnonzero(own[s:e] == a[s])
                 q = p if a[s] == b[s] else np.flatnonzero(own[s:e] == b[s])
-                v = _matrix(table.column("unit"), s, e)
+                v = _matrix(table.column("vector"), s, e, kind)
                 cos = v[p] @ v[q].T
                 i, j = np.nonzero(np.triu(cos >= threshold, 1) if a[s] == b[s] else cos >= threshold)
                 i, j = p[i], q[j]
@@ -166,19 +179,20 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     """id, n_links, component (smallest id reachable by links, itself included) and kept of every row."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
-    usable = stored(rows.where("id is not null").mapInArrow(_cells, "id long, unit binary, cells array<long>"), "cells")
-    put = usable.select("id", F.explode(F.array_distinct("cells")).alias("cell"))
+    kind = "<f4" if df.schema[vector_col].dataType.elementType == FloatType() else "<f8"
+    good = stored(rows.where("id is not null").mapInArrow(_cells(kind), "id long, vector binary, cells array<long>"), "cells")
+    put = good.select("id", F.explode(F.array_distinct("cells")).alias("cell"))
     shared = put.groupBy("cell").agg(F.count("*").alias("n"), F.min("id").alias("low")).where("n > 1")
     dealt = stored(put.join(shared, "cell"), "dealt")
     large = dealt.where(F.col("n") > CELL).where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b"))
-    small = dealt.where(F.col("n") <= CELL).join(usable.select("id", "unit"), "id").select("cell", "id", "unit")
-    near = small.repartition(parts, "cell").sortWithinPartitions("cell", "id").mapInArrow(_cell_links(threshold), "a long, b long")
+    small = dealt.where(F.col("n") <= CELL).join(good.select("id", "vector"), "id").select("cell", "id", "vector")
+    near = small.repartition(parts, "cell").sortWithinPartitions("cell", "id").mapInArrow(_cell_links(threshold, kind), "a long, b long")
     clusters = components(stored(near.unionByName(large).distinct(), "near")).select("id", F.col("comp").alias("cluster"))
     clusters = stored(clusters, "clusters")
     sizes = clusters.groupBy("cluster").agg(F.count("*").alias("n"))
-    work = block_pairs(clusters, sizes, "cluster", "id", BLOCK).join(usable.select("id", "unit"), "id")
+    work = block_pairs(clusters, sizes, "cluster", "id", BLOCK).join(good.select("id", "vector"), "id")
     work = work.repartition(parts, "cluster", "a", "b").sortWithinPartitions("cluster", "a", "b", "id")
-    verified = stored(work.mapInArrow(_verify(threshold), "id long, links long, reach long"), "verified")
+    verified = stored(work.mapInArrow(_verify(threshold, kind), "id long, links long, reach long"), "verified")
     comps = components(verified.select(F.col("id").alias("a"), F.col("reach").alias("b")))
     links = verified.groupBy("id").agg(F.sum("links").alias("links"))
     out = rows.select("id").join(links.join(comps, "id"), "id", "left")
