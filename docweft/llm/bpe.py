@@ -28,15 +28,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import give_back, text_of
 
 # The byte-level pre-tokenizer's pattern, as the tokenizer files' public description gives it.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: The same for texts of ASCII and Latin letters alone, where the classes of `re` agree with it; several times faster.
 LATIN_PIECES = re.compile(r" ?[^\W\d_]+|'s|'t|'re|'ve|'m|'ll|'d| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 NOT_LATIN = re.compile("[^\t\n\r\x20-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]")
-#: Characters of a text handled at a time, pieces up to which the cache keeps, and entries it holds.
-SLICE, CACHED_BYTES, CACHE = 1 << 16, 48, 400_000
+#: Characters of a text handled at a time, bytes of the longest piece that the cache keeps, and entries it holds.
+SLICE, CACHED_BYTES, CACHE = 1 << 16, 48, 240_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -106,7 +106,7 @@ class Transducer:
     def pair(self, a: int, b: int) -> bool:
         found = self.ok.get((a, b))
         if found is None:
-            if len(self.ok) > 2_000_000:
+            if len(self.ok) > 500_000:
                 self.ok.clear()
             found = self.ok[a, b] = self._meets(a, b)
         return found
@@ -233,20 +233,23 @@ class Transducer:
 
 
 class _Cache(dict):
-    """The transducer's output by piece; pieces over CACHED_BYTES are not kept, and all go when CACHE is reached."""
+    """The transducer's output by piece; pieces over CACHED_BYTES are not kept. Two generations of CACHE / 2 entries: what was asked for lately stays."""
 
     def __init__(self, transducer: Transducer):
         super().__init__()
-        self.transducer = transducer
+        self.transducer, self.old = transducer, {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self.transducer.ids(piece.encode())
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = self.transducer.ids(piece.encode())
         if len(piece) <= CACHED_BYTES:
             self[piece] = ids
         return ids
 
     def bound(self) -> None:
-        if len(self) > CACHE:
+        if len(self) > CACHE // 2:
+            self.old = dict(self)
             self.clear()
 
 
@@ -312,6 +315,7 @@ def digest_documents(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text
                 ids_sha.append(ids.hexdigest())
                 text_sha.append(back.hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["doc", "n_tokens", "ids_sha256", "decoded_sha256"])
+        give_back()
 
     kind = df.schema[id_col].dataType.simpleString()
     return df.select(F.col(id_col).alias("doc"), text_of(text_col).alias("text")).mapInArrow(run, f"doc {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
@@ -336,6 +340,7 @@ def encode_rows(df: DataFrame, tokenizer: str, text_col: str = "text", keep: tup
                     shas.append(sha.hexdigest())
                 more = [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(shas, pa.string())]
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *more], [*keep, "n_tokens", "ids", "decoded_sha256"])
+        give_back()
 
     kept = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
     return df.select(*keep, text_of(text_col).alias("_text")).mapInArrow(run, f"{kept}, n_tokens long, ids binary, decoded_sha256 string")

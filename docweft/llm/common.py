@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -140,6 +142,11 @@ def roots(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return label
 
 
-def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow under a short name; f must be safe to run again after a lost executor."""
-    return df.mapInArrow(f, schema)
+def give_back() -> None:
+    """At the end of a task: returns freed memory to the system, as Python workers stay for later tasks of other kinds."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # only glibc has it
+        pass
