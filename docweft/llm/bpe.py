@@ -36,7 +36,7 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 LATIN_PIECES = re.compile(r" ?[^\W\d_]+|'s|'t|'re|'ve|'m|'ll|'d| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 NOT_LATIN = re.compile("[^\t\n\r\x20-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]")
 #: Characters of a text handled at a time, bytes of the longest piece that the cache keeps, and entries it holds.
-SLICE, CACHED_BYTES, CACHE = 1 << 16, 48, 240_000
+SLICE, CACHED_BYTES, CACHE = 1 << 16, 48, 120_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -106,7 +106,7 @@ class Transducer:
     def pair(self, a: int, b: int) -> bool:
         found = self.ok.get((a, b))
         if found is None:
-            if len(self.ok) > 500_000:
+            if len(self.ok) > 200_000:
                 self.ok.clear()
             found = self.ok[a, b] = self._meets(a, b)
         return found

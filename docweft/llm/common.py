@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -144,7 +143,6 @@ def roots(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def give_back() -> None:
     """At the end of a task: returns freed memory to the system, as Python workers stay for later tasks of other kinds."""
-    gc.collect()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import block_pairs, by_key, components, roots, stored, text_of
+from .common import block_pairs, by_key, components, give_back, roots, stored, text_of
 from .exact_dedup import holds, value_filter, without_ids
 
 N, THRESHOLD, RECALL, HASHES = 5, 0.8, 0.999, 64
@@ -114,6 +114,8 @@ def _sketch(shape: tuple[int, int], n: int):
                 full = [s for s in sets if len(s)]
                 sig = iter(signatures(full, k).view(np.uint8).reshape(len(full), 4 * k) if full else ())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(_set_key, sets), pa.binary()), pa.array([next(sig).tobytes() if len(s) else None for s in sets], pa.binary())], ["doc", "grams", "sig"])
+        shingler.cache.clear()
+        give_back()
 
     return run
 
@@ -184,6 +186,8 @@ def _verify(n: int, threshold: float):
                 # The group's rows are sorted by rep, so the smallest index is the smallest member.
                 reach[s:e] = rep[s:e][roots(e - s, i, j)]
             yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(links), pa.array(reach)], ["rep", "links", "reach"])
+        shingler.cache.clear()
+        give_back()
 
     return run
 
@@ -245,6 +249,8 @@ def _texts(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
                 part = batch.slice(at, 256)
                 keys = [_set_key(shingler.set_of(t)) for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("doc"), part.column("text"), pa.array(keys, pa.binary())], ["doc", "text", "grams"])
+        shingler.cache.clear()
+        give_back()
 
     # One Python step for filter and sets: two in a stage would keep twice as many workers.
     near = docs.withColumn("h", F.xxhash64("doc")).mapInArrow(gram_sets, f"doc {docs.schema['doc'].dataType.simpleString()}, text string, grams binary").where("grams is not null")

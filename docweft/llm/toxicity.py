@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import give_back, text_of
 
 #: Subsequence length is three; span, decay for each letter too many, letters of a word looked at together.
 SPAN, DECAY, LETTERS = 5, 0.5, 24
@@ -284,6 +284,8 @@ def score(df: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str
                 part = batch.slice(at, 1000)
                 scores = [m.score(d) for d in m.worst(part.column(1).to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores, pa.float64())], ["doc", "score"])
+        m.cache.clear()
+        give_back()
 
     kind = df.schema[id_col].dataType.simpleString()
     return df.select(F.col(id_col).alias("doc"), text_of(text_col).alias("text")).mapInArrow(run, f"doc {kind}, score double")
@@ -302,5 +304,7 @@ def keep_clean(df: DataFrame, machine: Machine, text_col: str = "text", threshol
                 part = batch.slice(first, 500)
                 scores = [m.score(d) for d in m.worst([t or "" for t in part.column(at).to_pylist()])]
                 yield part.filter(pa.array([x < threshold for x in scores]))
+        m.cache.clear()
+        give_back()
 
     return df.mapInArrow(run, df.schema)
