@@ -50,6 +50,18 @@ def test_language_query(spark):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def test_short_language_weakens_only_itself(spark):
+    """A mistaken label with 60 letters, or a language with little text, leaves what the others learn as it is."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("text is not null").orderBy("doc_id").collect()
+    train = {k: "\n".join(r.text[:4000] for r in docs if r["lang"] == k and r.doc_id % 2)[:64_000] for k in ("de", "en", "es", "fr")}
+    held = [r for r in docs if r.doc_id % 2 == 0]
+    for short in ({"xx": train["en"][30_000:30_072]}, {"xx": train["de"][30_000:30_072]}, {"fr": train["fr"][:300]}):
+        p = language.parser(tuple(sorted((train | short).items())))
+        assert len(p.table) // language.SYMBOLS > 3 * language.TRAIN_CHARS
+        langs, _ = p.judge([r.text for r in held])
+        assert sum(a == r["lang"] for a, r in zip(langs, held, strict=True)) >= 0.97 * len(held)
+
+
 def test_language_ignores_held_out_labels(spark):
     df = spark.read.parquet(f"{SF}/documents.parquet")
     fold = queries.fold("doc_id", 4)
