@@ -70,7 +70,7 @@ def op9_lattice_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find(table(spark, sf_dir, "documents"))
     counts = [secrets.count("base", k).alias(f"n_{secrets.KINDS[k]}") for k in range(3)]
-    return found.select(F.col("doc").alias("doc_id"), *counts, F.sha2(secrets.named("base"), 256).alias("base_sha256"), secrets.named("spans").alias("spans"), "n_live", "n_copied")
+    return found.select(F.col("doc").alias("doc_id"), *counts, F.sha2(secrets.named("base"), 256).alias("base_sha256"), secrets.named("spans").alias("spans"), *[f"n_{prefix}{name}" for prefix, name in secrets.STANDINGS])
 
 
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_mixing, op3_jaccard_join, op4_license_scan, op5_url_filter, op6_bpe, op7_exact_dedup, op8_toxicity, op9_lattice_dedup, op10_secret_scan)}

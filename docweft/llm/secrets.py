@@ -1,9 +1,10 @@
 """Secret scans: patterns, and corpus-wide ownership frequency of what they find. DataFrame functions only.
 
 Base patterns find assignments, access keys and hex runs. A wider pattern finds long tokens that mix letters and digits.
-Every candidate's hash is counted over the whole corpus: in how many repositories, and of how many owners. A candidate
-of a single owner looks live; one that COPIED or more owners have is a widely copied example. Live-looking wide tokens
-that no base span overlaps are added as `owned` spans; base spans always stay and are counted by their standing.
+Every candidate's hash is counted over the whole corpus: in how many repositories, and of how many owners. One that
+COPIED or more owners or COPIED_REPOS or more repositories have is a widely copied example, even if all of these are one
+owner's. Any other of a single owner looks live, and one of several owners is shared. Live-looking wide tokens that no
+base span overlaps are added as `owned` spans; base spans always stay. Both are counted by their standing.
 
 Positions: the text split by a pattern gives the gaps between its matches; lengths of gaps and matches add up to code
 points. Counting is one aggregation by (candidate, owner, repository) with map-side combining, so a hot candidate shrinks
@@ -28,7 +29,9 @@ HEX = r"[0-9a-f]{24,}"
 #: Wide candidates: long tokens; kept if they have letters and digits.
 TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
 KINDS = ("assign", "access", "hex", "owned")
-COPIED = 3
+COPIED, COPIED_REPOS = 3, 10
+#: Standings that are counted, by prefix: base spans, then wide tokens.
+STANDINGS = (("", "live"), ("", "shared"), ("", "copied"), ("wide_", "shared"), ("wide_", "copied"))
 
 _SPAN = "array<struct<start:int,kind:int,end:int,hash:bigint>>"
 
@@ -67,25 +70,28 @@ def scan(df: DataFrame, id_col: str, owner_col: str, text_col: str, repo_col: st
 def ownership(found: DataFrame) -> DataFrame:
     """(hash, owners, repos): of how many distinct owners and repositories each candidate is."""
     one = found.select(F.explode(F.concat("base", "wide")).alias("s"), F.coalesce("owner", F.lit("")).alias("owner"), F.coalesce("repo", F.lit("")).alias("repo")).select("s.hash", "owner", "repo").distinct()
-    return one.groupBy("hash", "owner").agg(F.count("*").alias("repos")).groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"))
+    return one.groupBy("hash").agg(F.count_distinct("owner").alias("owners"), F.count_distinct("repo").alias("repos"))
+
+
+def standing() -> Column:
+    """live, shared or copied, of a candidate with owners and repos."""
+    copied = (F.col("owners") >= COPIED) | (F.col("repos") >= COPIED_REPOS)
+    return F.when(copied, "copied").when(F.col("owners") > 1, "shared").otherwise("live")
 
 
 def find(df: DataFrame, id_col: str = "doc_id", owner_col: str = "source", text_col: str = "text", repo_col: str = "doc_id") -> DataFrame:
-    """doc, base, spans (arrays of start, kind, end, hash), n_live and n_copied (base spans by standing) of every row."""
+    """doc, base, spans (arrays of start, kind, end, hash), and counts by standing of every row: n_live, n_shared and n_copied of base spans, n_wide_shared and n_wide_copied of wide tokens (live ones are spans)."""
     found = scan(df, id_col, owner_col, text_col, repo_col)
     counts = stored(ownership(found), "owners")
     each = found.where(F.size("base") + F.size("wide") > 0).select("key", F.explode(F.concat("base", "wide")).alias("s")).distinct().withColumn("hash", F.col("s.hash"))
-    judged = each.join(counts, "hash")
+    judged = each.join(counts, "hash").withColumn("standing", standing())
     base = F.col("s.kind") < 3
-    marks = judged.groupBy("key").agg(
-        F.collect_list(F.when(~base & (F.col("owners") == 1), F.col("s"))).alias("owned"),
-        F.sum((base & (F.col("owners") == 1)).cast("long")).alias("n_live"),
-        F.sum((base & (F.col("owners") >= COPIED)).cast("long")).alias("n_copied"),
-    )
-    marks = marks.where((F.size("owned") > 0) | (F.col("n_live") + F.col("n_copied") > 0))
-    quiet = found.where(F.size("base") + F.size("wide") == 0).select("doc", "base", F.col("base").alias("spans"), F.lit(0).cast("long").alias("n_live"), F.lit(0).cast("long").alias("n_copied"))
+    owned = F.collect_list(F.when(~base & (F.col("standing") == "live"), F.col("s"))).alias("owned")
+    marks = judged.groupBy("key").agg(owned, *[F.sum(((~base if prefix else base) & (F.col("standing") == name)).cast("long")).alias(f"n_{prefix}{name}") for prefix, name in STANDINGS])
+    numbers = [f"n_{prefix}{name}" for prefix, name in STANDINGS]
+    quiet = found.where(F.size("base") + F.size("wide") == 0).select("doc", "base", F.col("base").alias("spans"), *[F.lit(0).cast("long").alias(n) for n in numbers])
     loud = found.where(F.size("base") + F.size("wide") > 0).join(marks, "key", "left")
-    loud = loud.select("doc", "base", F.array_sort(F.concat("base", F.coalesce("owned", F.array().cast(_SPAN)))).alias("spans"), F.coalesce("n_live", F.lit(0)).alias("n_live"), F.coalesce("n_copied", F.lit(0)).alias("n_copied"))
+    loud = loud.select("doc", "base", F.array_sort(F.concat("base", F.coalesce("owned", F.array().cast(_SPAN)))).alias("spans"), *[F.coalesce(n, F.lit(0)).alias(n) for n in numbers])
     return quiet.unionByName(loud)
 
 

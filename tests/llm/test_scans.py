@@ -77,6 +77,22 @@ def test_standing(spark):
     assert got == {0: (0, 1), 1: (0, 1), 2: (0, 1), 3: (0, 1), 9: (1, 0)}
 
 
+def test_standing_by_repositories(spark):
+    """An example copied through one owner's repositories is not live, and wide tokens of two owners have a standing."""
+    hot, pair, lone = "Ex4mpleKeyOfOneSource99", "Tok3nOfTwoOwnersExactly", "Onl1yOneOwnerHasThis999"
+    rows = [(i, "hot", f"token=copied123 and {hot}") for i in range(secrets.COPIED_REPOS)] + [(100, "a", pair), (101, "b", f"{pair} token=both12345"), (102, "a", "token=both12345"), (103, "hot", f"{lone} token=mine12345")]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = {r.doc: (len(r.spans) - len(r.base), r.n_live, r.n_shared, r.n_copied, r.n_wide_shared, r.n_wide_copied) for r in secrets.find(df).collect()}
+    want = {i: (0, 0, 0, 1, 0, 1) for i in range(secrets.COPIED_REPOS)} | {100: (0, 0, 0, 0, 1, 0), 101: (0, 0, 1, 0, 1, 0), 102: (0, 0, 1, 0, 0, 0), 103: (1, 1, 0, 0, 0, 0)}
+    assert got == want
+
+
+def test_repositories_of_several_owners_count_once(spark):
+    df = spark.createDataFrame([(1, "a", "token=both12345"), (1, "b", "token=both12345")], "doc_id long, source string, text string")
+    counts = secrets.ownership(secrets.scan(df, "doc_id", "source", "text", "doc_id")).collect()
+    assert [(r.owners, r.repos) for r in counts] == [(2, 1)]
+
+
 def test_secret_query(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
     want = brute([(r.doc_id, r.source, r.text) for r in docs])
