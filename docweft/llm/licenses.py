@@ -1,9 +1,12 @@
 """License scans by sentence rules. DataFrame functions only.
 
 A text is cut into sentences; those with a licence word are normalised (lower case, comment signs and punctuation gone,
-spaces single) and mapped to the identifier of the first sentence rule that fits. The sequence of identifiers is matched
-against ordered licence rules: each that fits names a licence and takes its identifiers out of the sequence. What is left
-counts as unmatched. Everything is one projection: no shuffle, no broadcast, memory of one text.
+spaces single) and mapped to the identifiers of all sentence rules that fit, in text order; where rules overlap, the one
+that begins first and then the earlier rule holds. An SPDX tag with its expression is a sentence of its own and gives an
+identifier for each licence of the expression (exceptions after WITH are none); a licence that no rule knows stands as
+`spdx:` and its id. The sequence of identifiers is matched against ordered licence rules: each that fits names a licence
+and takes its identifiers out of the sequence; SPDX ids name themselves. What is left counts as unmatched. Everything is
+one projection: no shuffle, no broadcast, memory of one text.
 
 Defined results: a null or empty text, or one without a licence word, has no licences. A licence named twice counts once.
 Null ids and repeated rows are scanned like any row, texts of any length whole; extra columns are ignored; an empty table
@@ -20,7 +23,11 @@ from .common import text_of
 #: Sentences without such a word are not looked at.
 TRIGGER = r"(?i)licen[cs]|copyright|warrant|permission|redistribut|spdx|public domain|\bas[- ]is\b|\bgpl|creative commons|cc0"
 
-#: Sentence rules over normalised sentences, in order: (identifier, pattern).
+#: The GNU GPL by name, and what lies between its name and its version: no other licence's name.
+_GPL = r"gnu general public license(?: gnu)?(?: gpl)?"
+_ON = r"(?:(?!gnu |gpl|apache|mozilla|\bmit\b|\bbsd\b|creative commons).)*?"
+
+#: Sentence rules over normalised sentences, in order: (identifier, pattern). The last one only looks ahead.
 SENTENCES = (
     ("spdx", r"spdx license identifier"),
     ("apache2", r"apache license version 2 ?0|apache 2 0 license|licensed under apache 2"),
@@ -30,22 +37,22 @@ SENTENCES = (
     ("agpl3", r"gnu affero general public license( as published by the free software foundation)?( either)? (v|version )3"),
     ("lgpl3", r"gnu (lesser|library) general public license( as published by the free software foundation)?( either)? (v|version )3"),
     ("lgpl21", r"gnu (lesser|library) general public license( as published by the free software foundation)?( either)? (v|version )2"),
-    ("gpl3Later", r"(gnu general public license|gpl).* (v|version )3.* or (at your option )?any later"),
-    ("gpl2Later", r"(gnu general public license|gpl).* (v|version )2.* or (at your option )?any later"),
-    ("gpl3", r"(gnu general public license|\bgpl)( as published by the free software foundation)?( either)? ?(v|version )?3"),
-    ("gpl2", r"(gnu general public license|\bgpl)( as published by the free software foundation)?( either)? ?(v|version )?2"),
-    ("gplUnversioned", r"gnu general public license"),
+    ("gpl3Later", rf"({_GPL}|gpl){_ON} (v|version )3{_ON} or (at your option )?any later"),
+    ("gpl2Later", rf"({_GPL}|gpl){_ON} (v|version )2{_ON} or (at your option )?any later"),
+    ("gpl3", rf"({_GPL}|\bgpl)( as published by the free software foundation)?( either)? ?(v|version )?3"),
+    ("gpl2", rf"({_GPL}|\bgpl)( as published by the free software foundation)?( either)? ?(v|version )?2"),
+    ("gplUnversioned", _GPL),
     ("mpl2", r"mozilla public license v?(version )?2 0"),
     ("ccZero", r"\bcc0\b|creative commons zero"),
-    ("ccByNcNd", r"\bcc by nc nd\b|attribution noncommercial noderiv"),
-    ("ccByNcSa", r"\bcc by nc sa\b|attribution noncommercial sharealike"),
-    ("ccByNc", r"\bcc by nc\b|attribution noncommercial"),
-    ("ccBySa", r"\bcc by sa\b|attribution sharealike"),
-    ("ccByNd", r"\bcc by nd\b|attribution noderiv"),
+    ("ccByNcNd", r"\bcc by nc nd\b|(creative commons )?attribution noncommercial noderiv"),
+    ("ccByNcSa", r"\bcc by nc sa\b|(creative commons )?attribution noncommercial sharealike"),
+    ("ccByNc", r"\bcc by nc\b|(creative commons )?attribution noncommercial"),
+    ("ccBySa", r"\bcc by sa\b|(creative commons )?attribution sharealike"),
+    ("ccByNd", r"\bcc by nd\b|(creative commons )?attribution noderiv"),
     ("ccBy", r"\bcc by\b|creative commons attribution"),
     ("mitName", r"\bmit license\b|under the terms of the mit\b|license mit\b"),
     ("permissionFree", r"permission is hereby granted free of charge to any person obtaining a copy"),
-    ("noticeIncluded", r"the above copyright notice and this permission notice .*shall be included"),
+    ("noticeIncluded", r"the above copyright notice and this permission notice .*?shall be included"),
     ("asIsProvided", r"the software is provided as is"),
     ("liability", r"in no event shall the (authors?|copyright)"),
     ("iscGrant", r"permission to use copy modify and( or)? distribute this software for any purpose"),
@@ -55,12 +62,35 @@ SENTENCES = (
     ("bsdGrant", r"redistribution and use in source and binary forms"),
     ("bsdSource", r"redistributions of source code must retain"),
     ("bsdBinary", r"redistributions in binary form must reproduce"),
-    ("bsdEndorse", r"neither the name of .* may be used to endorse or promote"),
-    ("bsdAsIs", r"this software is provided by .* as is"),
+    ("bsdEndorse", r"neither the name of .*? may be used to endorse or promote"),
+    ("bsdAsIs", r"this software is provided by .*? as is"),
     ("unlicense", r"released into the public domain"),
     ("publicDomain", r"public domain"),
     ("allRights", r"all rights reserved"),
-    ("copyright", r"^(copyright|c) .*\d{4}"),
+    ("copyright", r"^(copyright|c) (?=.*\d{4})"),
+)
+
+#: A licence's SPDX id, a tag with an expression, and the sentence rules' identifiers of ids in lower case.
+_ID = r"[A-Za-z0-9](?:[A-Za-z0-9.+-]*[A-Za-z0-9+])?"
+_TAG = r"spdx-license-identifier[ \t]*:[ \t]*"
+SPDX_TAG = rf"(?i){_TAG}[( \t]*{_ID}(?:[ \t()]+(?:and|or|with)[ \t()]+{_ID})*"
+SPDX = (
+    ("apache2", r"apache-2\.0"),
+    ("agpl3", r"agpl-3\.0(-only|-or-later|\+)?"),
+    ("lgpl3", r"lgpl-3\.0(-only|-or-later|\+)?"),
+    ("lgpl21", r"lgpl-2\.1(-only|-or-later|\+)?"),
+    ("gpl3Later", r"gpl-3\.0(-or-later|\+)"),
+    ("gpl2Later", r"gpl-2\.0(-or-later|\+)"),
+    ("gpl3", r"gpl-3\.0(-only)?"),
+    ("gpl2", r"gpl-2\.0(-only)?"),
+    ("mpl2", r"mpl-2\.0(-no-copyleft-exception)?"),
+    ("ccZero", r"cc0-1\.0"),
+    *((name, rf"{part}-\d\.\d(-[a-z]+)?") for name, part in (("ccByNcNd", "cc-by-nc-nd"), ("ccByNcSa", "cc-by-nc-sa"), ("ccByNc", "cc-by-nc"), ("ccBySa", "cc-by-sa"), ("ccByNd", "cc-by-nd"), ("ccBy", "cc-by"))),
+    ("mitName", "mit"),
+    ("iscGrant", "isc"),
+    ("bsdName3", r"bsd-3-clause"),
+    ("bsdName2", r"bsd-2-clause"),
+    ("unlicense", "unlicense"),
 )
 
 #: Licence rules over identifier sequences, in order: (licence, pattern over ` id id `; ~ stands for any identifiers).
@@ -93,32 +123,51 @@ LICENCES = (
 
 
 def sentences(text: Column) -> Column:
-    """Sentences with a licence word: cut after an end mark with white space behind it, and at empty lines."""
-    return F.filter(F.split(text, r"(?<=[.!?])\s+|\n[\s#*/;-]*\n"), lambda s: F.rlike(s, F.lit(TRIGGER)))
+    """Sentences with a licence word: cut after an end mark with white space behind it, at empty lines, and around SPDX tags."""
+    apart = F.regexp_replace(text, rf"({SPDX_TAG})", "\n\n$1\n\n")
+    return F.filter(F.split(apart, r"(?<=[.!?])\s+|\n[\s#*/;-]*\n"), lambda s: F.rlike(s, F.lit(TRIGGER)))
 
 
 def normalised(sentence: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(sentence), r"[^\p{L}\p{N}]+", " "))
 
 
-def identifier(sentence: Column) -> Column:
-    """The identifier of the first sentence rule that a normalised sentence fits, else unknown."""
-    out = F.when(F.rlike(sentence, F.lit(SENTENCES[0][1])), SENTENCES[0][0])
-    for name, pattern in SENTENCES[1:]:
-        out = out.when(F.rlike(sentence, F.lit(pattern)), name)
-    return out.otherwise("unknown")
+def _first(text: Column, rules: tuple[tuple[str, str], ...], other: Column) -> Column:
+    """The identifier of the first rule that all of text fits."""
+    out = F.when(F.rlike(text, F.lit(rf"^(?:{rules[0][1]})$")), rules[0][0])
+    for name, pattern in rules[1:]:
+        out = out.when(F.rlike(text, F.lit(rf"^(?:{pattern})$")), name)
+    return out.otherwise(other)
+
+
+def spdx_identifiers(tag: Column) -> Column:
+    """Identifiers of the licences of an SPDX tag; an id without a capital or digit, NONE and NOASSERTION name no licence."""
+    ids = F.split(F.regexp_replace(F.regexp_replace(tag, rf"(?i)^\s*{_TAG}[( \t]*", ""), rf"(?i)[ \t()]+with[ \t()]+{_ID}", ""), r"(?i)[ \t()]+(?:and|or)[ \t()]+")
+    other = lambda x: F.when(F.rlike(x, F.lit(r"[A-Z0-9]")) & ~F.upper(x).isin("NONE", "NOASSERTION"), F.concat(F.lit("spdx:"), x)).otherwise(F.lit("spdx"))
+    return F.transform(ids, lambda x: _first(F.lower(x), SPDX, other(x)))
+
+
+def identifiers(sentence: Column) -> Column:
+    """The identifiers of all sentence rules that a sentence fits, in text order; none if it fits none."""
+    parts = F.regexp_extract_all(normalised(sentence), F.lit("|".join(f"(?:{p})" for _, p in SENTENCES)), F.lit(0))
+    by_rules = F.transform(parts, lambda x: _first(x, SENTENCES[:-1], F.lit(SENTENCES[-1][0])))
+    return F.when(F.rlike(sentence, F.lit(rf"^\s*(?:{SPDX_TAG})\s*$")), spdx_identifiers(F.trim(sentence))).otherwise(by_rules)
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, licences (in rule order, comma-joined), sentence_ids (in text order, space-joined), n_sentences, n_unmatched of every row."""
+    """id, licences (in rule order, then other SPDX ids, comma-joined), sentence_ids (in text order, space-joined), n_sentences, n_unmatched of every row."""
     text = text_of(text_col)
-    ids = F.when(F.rlike(text, F.lit(TRIGGER)), F.transform(sentences(text), lambda s: identifier(normalised(s)))).otherwise(F.array().cast("array<string>"))
-    rows = df.select(F.col(id_col), ids.alias("ids"))
+    none = F.array().cast("array<array<string>>")
+    each = F.when(F.rlike(text, F.lit(TRIGGER)), F.transform(sentences(text), identifiers)).otherwise(none)
+    rows = df.select(F.col(id_col), each.alias("each"))
+    rows = rows.select(id_col, F.size("each").cast("long").alias("n_sentences"), F.flatten(F.transform("each", lambda x: F.when(F.size(x) > 0, x).otherwise(F.array(F.lit("unknown"))))).alias("ids"))
     rows = rows.withColumns({"left": F.concat(F.lit(" "), F.array_join("ids", " "), F.lit(" ")), "named": F.array().cast("array<string>")})
     left, named = F.col("left"), []
     for licence, pattern in LICENCES:
         named.append(F.when(F.rlike(left, F.lit(pattern)), licence))
         left = F.regexp_replace(left, pattern, " ")
     quiet = F.size("ids") == 0
-    rows = rows.select(id_col, "ids", F.when(quiet, F.lit("")).otherwise(F.array_join(F.array_compact(F.array(*named)), ",")).alias("licences"), F.when(quiet, F.lit("")).otherwise(F.trim(F.regexp_replace(left, " +", " "))).alias("left"))
-    return rows.select(id_col, "licences", F.array_join("ids", " ").alias("sentence_ids"), F.size("ids").cast("long").alias("n_sentences"), F.when(F.col("left") == "", 0).otherwise(F.size(F.split("left", " "))).cast("long").alias("n_unmatched"))
+    own = F.transform(F.array_distinct(F.filter("ids", lambda x: x.startswith("spdx:"))), lambda x: F.substring(x, 6, 1000))
+    left = F.regexp_replace(F.regexp_replace(left, r" spdx:\S+(?= )", " "), " +", " ")
+    rows = rows.select(id_col, "ids", "n_sentences", F.when(quiet, F.lit("")).otherwise(F.array_join(F.concat(F.array_compact(F.array(*named)), own), ",")).alias("licences"), F.when(quiet, F.lit("")).otherwise(F.trim(left)).alias("left"))
+    return rows.select(id_col, "licences", F.array_join("ids", " ").alias("sentence_ids"), "n_sentences", F.when(F.col("left") == "", 0).otherwise(F.size(F.split("left", " "))).cast("long").alias("n_unmatched"))

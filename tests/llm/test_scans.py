@@ -137,6 +137,30 @@ def test_licences(spark, text, expected):
     assert row.licences == expected
 
 
+@pytest.mark.parametrize(
+    ("text", "expected", "ids"),
+    [
+        ("SPDX-License-Identifier: Apache-2.0", "Apache-2.0", "apache2"),
+        ("// SPDX-License-Identifier: Apache-2.0\n// Licensed under the Apache License, Version 2.0 (the x)", "Apache-2.0", "apache2 apache2"),
+        ("/* SPDX-License-Identifier: GPL-2.0-or-later WITH Classpath-exception-2.0 */\n/* Released under the MIT License */", "GPL-2.0-or-later,MIT", "gpl2Later mitName"),
+        ("# SPDX-License-Identifier: (MIT OR Apache-2.0) AND BSD-3-Clause\nimport os", "Apache-2.0,MIT,BSD-3-Clause", "mitName apache2 bsdName3"),
+        ("SPDX-License-Identifier: GPL-3.0-only.", "GPL-3.0", "gpl3"),
+        ("SPDX-License-Identifier: CC-BY-SA-4.0\nSPDX-License-Identifier: Zlib\n", "CC-BY-SA,Zlib", "ccBySa spdx:Zlib"),
+        ("SPDX-License-Identifier: NOASSERTION", "", "spdx"),
+        ("under the MIT License or the Apache License, Version 2.0", "Apache-2.0,MIT", "mitName apache2"),
+        ("MIT License\nMozilla Public License 2.0\nGNU General Public License v3\nsimplified BSD license", "GPL-3.0,MPL-2.0,MIT,BSD-2-Clause", "mitName mpl2 gpl3 bsdName2"),
+        ("licensed under GPL version 2, GPL version 3 or any later version", "GPL-3.0-or-later,GPL-2.0", "gpl2 gpl3Later"),
+        ("GNU General Public License (GPL) version 2, or any later version", "GPL-2.0-or-later", "gpl2Later"),
+        ("License: Creative Commons Attribution-NonCommercial-ShareAlike 4.0", "CC-BY-NC-SA", "ccByNcSa"),
+        ("Copyright 2020 by X, under the MIT License", "MIT", "copyright mitName"),
+    ],
+)
+def test_all_licences_of_a_sentence(spark, text, expected, ids):
+    row = licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (row.licences, row.sentence_ids) == (expected, ids)
+    assert row.n_unmatched == sum(i in ("copyright", "spdx") for i in ids.split())
+
+
 def test_licence_query(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     lines = {"Licensed under the Apache License, Version 2.0.": "Apache-2.0", "Released under the MIT License.": "MIT", "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0", "Licensed under CC BY-NC 4.0.": "CC-BY-NC"}
