@@ -1,14 +1,15 @@
 """License scans by sentence rules. DataFrame functions only.
 
-A text is cut into sentences; those with a licence word are normalised (lower case, comment signs and punctuation gone,
-spaces single) and mapped to the identifiers of all sentence rules that fit, in text order; where rules overlap, the one
+A text is cut into sentences; those with a word of TRIGGER, which every rule's texts have, are normalised (lower case,
+comment signs and punctuation gone, spaces single) and mapped to the identifiers of all sentence rules that fit, in text order; where rules overlap, the one
 that begins first and then the earlier rule holds. An SPDX tag with its expression is a sentence of its own and gives an
 identifier for each licence of the expression (exceptions after WITH are none); a licence that no rule knows stands as
 `spdx:` and its id. The sequence of identifiers is matched against ordered licence rules: each that fits names a licence
 and takes its identifiers out of the sequence; SPDX ids name themselves. What is left counts as unmatched. Everything is
 one projection: no shuffle, no broadcast, memory of one text.
 
-Defined results: a null or empty text, or one without a licence word, has no licences. A licence named twice counts once.
+Defined results: a null or empty text has no licences. A sentence that fits no rule is `unknown` if it has a licence word
+(WORD), else it does not count. A licence named twice counts once.
 Null ids and repeated rows are scanned like any row, texts of any length whole; extra columns are ignored; an empty table
 gives an empty table.
 """
@@ -20,8 +21,11 @@ from pyspark.sql import functions as F
 
 from .common import text_of
 
-#: Sentences without such a word are not looked at.
-TRIGGER = r"(?i)licen[cs]|copyright|warrant|permission|redistribut|spdx|public domain|\bas[- ]is\b|\bgpl|creative commons|cc0"
+#: A sentence with such a word is of a licence, known or not.
+WORD = r"(?i)licen[cs]|copyright|warrant|permission|redistribut|spdx|public domain|\bas[- ]is\b|\bgpl|creative commons|cc0"
+#: Sentences without such a word fit no sentence rule and are not looked at. Between words lies what normalising drops.
+_GAP = r"[^\p{L}\p{N}]+"
+TRIGGER = WORD + "|" + r"gpl|bsd|\(c\)|noncommercial|sharealike|noderiv|reserved|endorse|in no event shall|terms of the mit|as is|public domain|creative commons|cc by".replace(" ", _GAP)
 
 #: The GNU GPL by name, and what lies between its name and its version: no other licence's name.
 _GPL = r"gnu general public license(?: gnu)?(?: gpl)?"
@@ -67,7 +71,7 @@ SENTENCES = (
     ("unlicense", r"released into the public domain"),
     ("publicDomain", r"public domain"),
     ("allRights", r"all rights reserved"),
-    ("copyright", r"^(copyright|c) (?=.*\d{4})"),
+    ("copyright", r"^copyright (?=.*\d{4})"),
 )
 
 #: A licence's SPDX id, a tag with an expression, and the sentence rules' identifiers of ids in lower case.
@@ -123,13 +127,13 @@ LICENCES = (
 
 
 def sentences(text: Column) -> Column:
-    """Sentences with a licence word: cut after an end mark with white space behind it, at empty lines, and around SPDX tags."""
+    """Sentences with a word of TRIGGER: cut after an end mark with white space behind it, at empty lines, and around SPDX tags."""
     apart = F.regexp_replace(text, rf"({SPDX_TAG})", "\n\n$1\n\n")
     return F.filter(F.split(apart, r"(?<=[.!?])\s+|\n[\s#*/;-]*\n"), lambda s: F.rlike(s, F.lit(TRIGGER)))
 
 
 def normalised(sentence: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(sentence), r"[^\p{L}\p{N}]+", " "))
+    return F.trim(F.regexp_replace(F.replace(F.lower(sentence), F.lit("(c)"), F.lit(" copyright ")), r"[^\p{L}\p{N}]+", " "))
 
 
 def _first(text: Column, rules: tuple[tuple[str, str], ...], other: Column) -> Column:
@@ -148,10 +152,11 @@ def spdx_identifiers(tag: Column) -> Column:
 
 
 def identifiers(sentence: Column) -> Column:
-    """The identifiers of all sentence rules that a sentence fits, in text order; none if it fits none."""
+    """The identifiers of all sentence rules that a sentence fits, in text order; unknown after them for a sentence with a licence word."""
     parts = F.regexp_extract_all(normalised(sentence), F.lit("|".join(f"(?:{p})" for _, p in SENTENCES)), F.lit(0))
     by_rules = F.transform(parts, lambda x: _first(x, SENTENCES[:-1], F.lit(SENTENCES[-1][0])))
-    return F.when(F.rlike(sentence, F.lit(rf"^\s*(?:{SPDX_TAG})\s*$")), spdx_identifiers(F.trim(sentence))).otherwise(by_rules)
+    found = F.when(F.rlike(sentence, F.lit(rf"^\s*(?:{SPDX_TAG})\s*$")), spdx_identifiers(F.trim(sentence))).otherwise(by_rules)
+    return F.concat(found, F.when(F.rlike(sentence, F.lit(WORD)), F.array(F.lit("unknown"))).otherwise(F.array().cast("array<string>")))
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -159,8 +164,8 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     text = text_of(text_col)
     none = F.array().cast("array<array<string>>")
     each = F.when(F.rlike(text, F.lit(TRIGGER)), F.transform(sentences(text), identifiers)).otherwise(none)
-    rows = df.select(F.col(id_col), each.alias("each"))
-    rows = rows.select(id_col, F.size("each").cast("long").alias("n_sentences"), F.flatten(F.transform("each", lambda x: F.when(F.size(x) > 0, x).otherwise(F.array(F.lit("unknown"))))).alias("ids"))
+    rows = df.select(F.col(id_col), F.filter(each, lambda x: F.size(x) > 0).alias("each"))
+    rows = rows.select(id_col, F.size("each").cast("long").alias("n_sentences"), F.flatten(F.transform("each", lambda x: F.when(x[0] != "unknown", F.array_remove(x, "unknown")).otherwise(x))).alias("ids"))
     rows = rows.withColumns({"left": F.concat(F.lit(" "), F.array_join("ids", " "), F.lit(" ")), "named": F.array().cast("array<string>")})
     left, named = F.col("left"), []
     for licence, pattern in LICENCES:

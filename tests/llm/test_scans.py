@@ -161,6 +161,36 @@ def test_all_licences_of_a_sentence(spark, text, expected, ids):
     assert row.n_unmatched == sum(i in ("copyright", "spdx") for i in ids.split())
 
 
+#: A text for each sentence rule, as short as its pattern allows.
+RULE_TEXTS = {
+    "spdx": "SPDX License Identifier", "apache2": "Apache 2.0 license", "apacheCopy": "you may obtain a copy of the license at", "apacheUse": "you may not use this file except in compliance with the license",
+    "apacheAsIs": "distributed under the license is distributed on an as is basis", "agpl3": "GNU Affero General Public License v3", "lgpl3": "GNU Lesser General Public License v3", "lgpl21": "GNU Library General Public License v2",
+    "gpl3Later": "xgpl v3 or any later", "gpl2Later": "xgpl v2 or any later", "gpl3": "GPL 3", "gpl2": "GPL 2", "gplUnversioned": "GNU General Public License", "mpl2": "Mozilla Public License 2.0", "ccZero": "CC0",
+    "ccByNcNd": "Attribution NonCommercial NoDerivs", "ccByNcSa": "Attribution NonCommercial ShareAlike", "ccByNc": "CC BY NC", "ccBySa": "CC BY SA", "ccByNd": "Attribution NoDerivs", "ccBy": "CC BY", "mitName": "under the terms of the MIT",
+    "permissionFree": "permission is hereby granted free of charge to any person obtaining a copy", "noticeIncluded": "the above copyright notice and this permission notice shall be included", "asIsProvided": "the software is provided as is",
+    "liability": "in no event shall the authors", "iscGrant": "permission to use copy modify and distribute this software for any purpose", "bsdName3": "BSD 3 Clause", "bsdName2": "BSD 2 Clause", "bsdName": "BSD license",
+    "bsdGrant": "redistribution and use in source and binary forms", "bsdSource": "redistributions of source code must retain", "bsdBinary": "redistributions in binary form must reproduce",
+    "bsdEndorse": "neither the name of X may be used to endorse or promote", "bsdAsIs": "this software is provided by X as is", "unlicense": "released into the public domain", "publicDomain": "public domain", "allRights": "all rights reserved", "copyright": "(c) 2020",
+}
+
+
+def test_trigger_covers_the_rules(spark):
+    assert [*RULE_TEXTS] == [name for name, _ in licenses.SENTENCES]
+    rows = [(i, name, change(text)) for i, (name, text) in enumerate(RULE_TEXTS.items()) for change in (str, str.upper, lambda t: t.replace(" ", "-"), lambda t: t.replace(" ", "\n * "), lambda t: "_" + t.replace(" ", "_"))]
+    df = spark.createDataFrame(rows, "doc_id long, rule string, text string")
+    for r in licenses.scan(df).collect():
+        assert (r.sentence_ids, r.n_sentences) == (rows[5 * r.doc_id][1], 1)
+
+
+@pytest.mark.parametrize(
+    ("text", "expected", "n"),
+    [("Released under BSD 3-Clause.", "BSD-3-Clause", 1), ("Text: CC BY-SA 4.0.", "CC-BY-SA", 1), ("Attribution-NonCommercial 4.0", "CC-BY-NC", 1), ("Used under the\nterms of the MIT.", "MIT", 1), ("He runs BSD. We endorse C from 1972.", "", 0)],
+)
+def test_licences_without_a_licence_word(spark, text, expected, n):
+    row = licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (row.licences, row.n_sentences, row.n_unmatched) == (expected, n, 0)
+
+
 def test_licence_query(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     lines = {"Licensed under the Apache License, Version 2.0.": "Apache-2.0", "Released under the MIT License.": "MIT", "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0", "Licensed under CC BY-NC 4.0.": "CC-BY-NC"}
