@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..schema import CLAIM_TYPES, EPISTEMIC, INACTIVE, RELATIONS, REVIEWED, layers
+from ..session import written
 from .graph import cyclic, prerequisites
 
 # What a relation may point at or come from.
@@ -86,10 +87,21 @@ def illegal_layers(nodes: DataFrame) -> DataFrame:
 
 
 def repeats(nodes: DataFrame, order: str = "id") -> DataFrame:
-    """(id, previous): nodes with the type and normalised text of one before them in order."""
+    """(id, previous): nodes with the type and normalised text of one before them in order.
+
+    Nodes are dealt out by ranges of (type, text, order), so that a large group spreads over many; each range's part of a
+    group takes the last node of the part before.
+    """
     norm = F.lower(F.trim(F.regexp_replace("text", r"[\t\n\x0B\f\r ]+", " ")))
-    w = W.partitionBy("type", norm).orderBy(order)
-    return nodes.select("id", F.lag("id").over(w).alias("previous")).where("previous is not null")
+    rows = nodes.select("id", F.col("type").alias("_type"), norm.alias("_norm"), F.col(order).alias("_order"))
+    rows = written(rows.repartitionByRange("_type", "_norm", "_order").withColumn("_range", F.spark_partition_id()), "ranges")
+    w = W.partitionBy("_range", "_type", "_norm").orderBy("_order")
+    rows = rows.withColumns({"_at": F.row_number().over(w), "previous": F.lag("id").over(w)})
+    last = rows.groupBy("_range", "_type", "_norm").agg(F.max_by("id", "_at").alias("_last"))
+    last = last.withColumn("_last", F.lag("_last").over(W.partitionBy("_type", "_norm").orderBy("_range"))).where("_last is not null")
+    last = last.select(F.col("_range").alias("_r"), F.col("_type").alias("_t"), F.col("_norm").alias("_n"), "_last")
+    same = (F.col("_range") == F.col("_r")) & F.col("_type").eqNullSafe(F.col("_t")) & F.col("_norm").eqNullSafe(F.col("_n")) & (F.col("_at") == 1)
+    return rows.join(last, same, "left").select("id", F.coalesce("previous", "_last").alias("previous")).where("previous is not null")
 
 
 def orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:

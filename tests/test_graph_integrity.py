@@ -1,6 +1,7 @@
 """Graph queries, checks, reviews, similarity, order and centrality on literal rows."""
 
 import random
+from collections import Counter
 from itertools import combinations
 
 import pytest
@@ -194,3 +195,20 @@ def test_reviews_carry(spark):
 def test_vocabulary():
     pairs = legal_pairs()
     assert ("CLAIM", "SEMANTIC") not in pairs and ("ASSUMPTION", "ARGUMENT") in pairs and len({t for t, _ in pairs}) == 48
+
+
+def test_repeats_of_a_large_group(spark):
+    """Every node but a group's first has the one before it, and a large group does not land in one task."""
+    rows = [(f"{i:05d}", "RESULT", "Same  text" if i % 2 else "same text") for i in range(5000)] + [(f"x{i}", "CLAIM", t) for i, t in enumerate(("a", "b", "A ", None, None))]
+    nodes = spark.createDataFrame(rows, "id string, type string, text string").repartition(4)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "16")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        got = integrity.repeats(nodes).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    want = {(f"{i:05d}", f"{i - 1:05d}") for i in range(1, 5000)} | {("x2", "x0"), ("x4", "x3")}
+    assert {(r.id, r.previous) for r in got} == want and len(got) == len(want)
+    assert max(Counter(r.task for r in got).values()) < 2500
