@@ -18,7 +18,7 @@ texts of any length are parsed whole; extra columns are ignored; an empty table
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -26,8 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bounds of the labelled sample, symbols of the alphabet (0 is the space, the last any other letter), block length.
-SAMPLE_DOCS, TRAIN_CHARS, SYMBOLS, BLOCK = 200, 16_000, 64, 512
+#: Bounds of the labelled sample, and block length.
+SAMPLE_DOCS, TRAIN_CHARS, BLOCK = 200, 16_000, 512
+#: Entries of an automaton's dense table; one with more (a large alphabet) is looked up by sorted transitions.
+DENSE = 1 << 22
 #: Standard errors (phrases as a Poisson count) off a language's own rate, and the least rate then.
 SURE, LEAST_RATE = 3, 1e-3
 #: Blocks parsed side by side.
@@ -57,13 +59,8 @@ def normalise(codes: np.ndarray) -> np.ndarray:
     return low[keep]
 
 
-def automaton(text: np.ndarray, symbols: int) -> np.ndarray:
-    """The suffix automaton of text as a dense table: table[state, symbol] = next state * 2, plus 1 where a new phrase starts.
-
-    Where a state has no transition, the entry is that of the start state: the phrase ends and the symbol begins the
-    next one. A symbol that the text lacks makes a phrase of its own: it leads to the last state, whose entries all
-    begin a phrase. Parsing starts there too.
-    """
+def automaton(text: np.ndarray) -> list[dict[int, int]]:
+    """The suffix automaton of text: the transitions of each state, by symbol."""
     longest, link, step = [0], [-1], [{}]
     last = 0
     for c in text.tolist():
@@ -89,14 +86,35 @@ def automaton(text: np.ndarray, symbols: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[now] = copy
         last = now
+    return step
+
+
+def lookup(step: list[dict[int, int]], symbols: int) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """Of states (times symbols) and symbols: the next states (times symbols) * 2, plus 1 where a new phrase starts.
+
+    Where a state has no transition, the next state is that of the start state: the phrase ends and the symbol begins the
+    next one. A symbol that the text lacks makes a phrase of its own: it leads to the last state, whose entries all
+    begin a phrase. Parsing starts there too.
+    """
     start = np.full(symbols, len(step), np.int32)
     for c, s in step[0].items():
         start[c] = s
-    table = np.repeat((start * 2 + 1)[None], len(step) + 1, 0)
-    for s, to in enumerate(step):
-        for c, t in to.items():
-            table[s, c] = t * 2
-    return table
+    start = start * (symbols * 2) + 1
+    keys = np.array([s * symbols + c for s, to in enumerate(step) for c in to], np.int32)
+    values = np.array([t * symbols * 2 for to in step for t in to.values()], np.int32)
+    if (len(step) + 1) * symbols <= DENSE:
+        table = np.tile(start, len(step) + 1)
+        table[keys] = values
+        return lambda state, symbol: table[state + symbol]
+    order = np.argsort(keys)
+    keys, values = np.append(keys[order], np.int32(-1)), np.append(values[order], np.int32(0))
+
+    def sparse(state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        key = state + symbol
+        at = np.searchsorted(keys[:-1], key)
+        return np.where(keys[at] == key, values[at], start[symbol])
+
+    return sparse
 
 
 class Parser:
@@ -105,23 +123,31 @@ class Parser:
     even: every language learns only as much as the shortest can.
     """
 
-    def __init__(self, train: dict[str, str], chars: int = TRAIN_CHARS, symbols: int = SYMBOLS, even: bool = True):
+    def __init__(self, train: dict[str, str], chars: int = TRAIN_CHARS, even: bool = True):
         self.langs = sorted(k for k, v in train.items() if len(normalise(points(v))) > 1)
         texts = [normalise(points(train[k])) for k in self.langs]
-        seen, n = np.unique(np.concatenate(texts), return_counts=True) if texts else (np.zeros(0, np.uint32), np.zeros(0, int))
-        n, seen = n[seen > 0], seen[seen > 0]
-        seen = seen[np.lexsort((seen, -n))][: symbols - 2]
-        self.symbol = np.full(0x110000, symbols - 1, np.uint8)
+        seen = np.unique(np.concatenate(texts)) if texts else np.zeros(0, np.uint32)
+        seen = seen[seen > 0]
+        #: 0 is the space, the last any letter that no language's text has.
+        self.symbol = np.full(0x110000, len(seen) + 1, np.int32)
         self.symbol[0] = 0
         self.symbol[seen] = np.arange(1, len(seen) + 1)
         learned = [min(chars, 2 * len(t) // 3) for t in texts]
         if even:
             learned = [min(learned, default=0)] * len(learned)
-        tables = [automaton(self.symbol[t[:m]], symbols) for t, m in zip(texts, learned, strict=True)]
-        at = np.cumsum([0, *(len(t) for t in tables)])[:-1]
-        #: All tables in one; states are numbered through, and count in units of a row.
-        self.starts = np.array([a + len(t) - 1 for a, t in zip(at, tables, strict=True)], np.int32) * symbols
-        self.table = np.concatenate([((t >> 1) + a) * symbols * 2 + (t & 1) for t, a in zip(tables, at, strict=True)]).astype(np.int32).ravel() if tables else np.zeros(0, np.int32)
+        self.learned = learned
+        #: For each language: symbols in its own numbering (its learned letters, then any other), lookup, state to start in.
+        self.local, self.steps, self.starts = [], [], []
+        for t, m in zip(texts, learned, strict=True):
+            have = np.unique(self.symbol[t[:m]])
+            have = have[have > 0]
+            local = np.full(len(seen) + 2, len(have) + 1, np.int32)
+            local[0] = 0
+            local[have] = np.arange(1, len(have) + 1)
+            step = automaton(local[self.symbol[t[:m]]])
+            self.local.append(local)
+            self.steps.append(lookup(step, len(have) + 2))
+            self.starts.append(len(step) * (len(have) + 2))
         own = [t[m : m + chars // 2] for t, m in zip(texts, learned, strict=True)]
         self.rate = np.ones(len(texts))
         if texts:
@@ -138,19 +164,20 @@ class Parser:
         for first in range(0, len(blocks), LANES):
             part = blocks[first : first + LANES]
             sizes = np.array([len(b) for _, b in part])
-            grid = np.zeros((len(part), sizes[0]), np.uint8)
+            grid = np.zeros((len(part), sizes[0]), np.int32)
             for row, (_, b) in enumerate(part):
                 grid[row, : len(b)] = b
-            grid = np.ascontiguousarray(grid.T).astype(np.int32)
+            grid = np.ascontiguousarray(grid.T)
             alive = len(part) - np.searchsorted(sizes[::-1], np.arange(1, sizes[0] + 1))
             count = np.zeros((k, len(part)), np.int32)
             for lang in range(k):
+                look, local = self.steps[lang], self.local[lang]
                 state, total = np.full(len(part), self.starts[lang], np.int32), count[lang]
                 for step in range(sizes[0]):
                     n = alive[step]
                     if n < len(state):
                         state = state[:n]
-                    state = self.table[state + grid[step, :n]]
+                    state = look(state, local[grid[step, :n]])
                     total[:n] += state & 1
                     state >>= 1
             np.add.at(out, np.array([i for i, _ in part]), count.T)

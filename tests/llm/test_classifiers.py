@@ -36,6 +36,23 @@ def test_parser_counts_phrases():
             assert got[i, j] == sum(phrases(learned, t[k : k + language.BLOCK]) for k in range(0, len(t), language.BLOCK)), (lang, letters)
 
 
+def test_parser_tells_all_letters_apart():
+    """Languages of rare scripts beside Latin ones, and of thousands of letters, with phrases counted exactly."""
+    rng = random.Random(2)
+    scripts = {"latin": [*map(chr, range(0x61, 0x7B)), *map(chr, range(0xE0, 0xF7))], "greek": [*map(chr, range(0x3B1, 0x3C2))], "cyrillic": [*map(chr, range(0x430, 0x450))], "han1": [*map(chr, range(0x4E00, 0x5600))], "han2": [*map(chr, range(0x5600, 0x5E00))]}
+    words = {k: ["".join(rng.choice(v) for _ in range(rng.randint(1, 4))) for _ in range(2000)] for k, v in scripts.items()}
+    draw = lambda k, n: " ".join(words[k][int(2000 * rng.random() ** 4)] for _ in range(n // 3))
+    train = {k: draw(k, 9000 if k in ("latin", "han1") else 3000) for k in scripts}
+    p = language.parser(tuple(sorted(train.items())))
+    held = [(k, draw(k, 200)) for k in scripts for _ in range(4)]
+    assert p.judge([t for _, t in held])[0] == [k for k, _ in held]
+    plain = lambda t: "".join(chr(c) if c else " " for c in language.normalise(language.points(t)))
+    got = p.phrases([p.symbol[language.normalise(language.points(t))] for _, t in held])
+    for j, lang in enumerate(p.langs):
+        for i, (_, t) in enumerate(held):
+            assert got[i, j] == phrases(plain(train[lang])[: p.learned[j]], plain(t))
+
+
 def test_normalise():
     codes = language.normalise(language.points("Ab--c  9 ÉΣ!"))
     assert "".join(chr(c) if c else " " for c in codes) == "ab c éσ "
@@ -57,7 +74,7 @@ def test_short_language_weakens_only_itself(spark):
     held = [r for r in docs if r.doc_id % 2 == 0]
     for short in ({"xx": train["en"][30_000:30_072]}, {"xx": train["de"][30_000:30_072]}, {"fr": train["fr"][:300]}):
         p = language.parser(tuple(sorted((train | short).items())))
-        assert len(p.table) // language.SYMBOLS > 3 * language.TRAIN_CHARS
+        assert sorted(p.learned)[-3:] == [language.TRAIN_CHARS] * 3
         langs, _ = p.judge([r.text for r in held])
         assert sum(a == r["lang"] for a, r in zip(langs, held, strict=True)) >= 0.97 * len(held)
 
