@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,16 +19,50 @@ def session(name: str = "docweft", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-def written(df: DataFrame, name: str = "step") -> DataFrame:
-    """Cuts df's lineage by a table in spark.checkpoint.dir, which all executors share; a temporary folder only where that is unset."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from spark.checkpoint.dir.
+
+    Where that is unset, a local session (its executors are the driver's own threads) gets a folder of this machine; on
+    a cluster that would lose rows, so it is an error.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        at = tempfile.mkdtemp(prefix="docweft-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        at = f"{spark.conf.get('spark.local.dir', '/tmp')}/docweft-{spark.sparkContext.applicationId}"
         spark.conf.set("spark.checkpoint.dir", at)
-    path = f"{at.rstrip('/')}/docweft/{uuid.uuid4().hex}/{name}"
+    return at.rstrip("/")
+
+
+_made = threading.local()
+
+
+def written(df: DataFrame, name: str = "step") -> DataFrame:
+    """Cuts df's lineage by a table in the shared folder: a lost executor costs no step before it."""
+    path = f"{shared_dir(df.sparkSession)}/docweft/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    for paths in getattr(_made, "scopes", ()):
+        paths.append(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """On leaving, deletes the tables that `written` made inside, but those (as `written` returned them) that were appended to the list it gives."""
+    scopes = _made.__dict__.setdefault("scopes", [])
+    paths: list[str] = []
+    keep: list[DataFrame] = []
+    scopes.append(paths)
+    try:
+        yield keep
+        for path in paths:
+            if path not in [df._written_at for df in keep]:
+                at = spark._jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at.getParent(), True)
+    finally:
+        scopes.remove(paths)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
