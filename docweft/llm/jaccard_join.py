@@ -2,12 +2,12 @@
 
 Texts become sets of N-word n-grams (lower-case word runs; 64-bit hashes). Texts with equal sets are one class from the
 start. `bands` chooses bands and rows for the target recall at the threshold. Class representatives shuffle on their
-band hashes; within a bucket of bounded size, two members whose full MinHash signatures agree by half or more (a pair at
-the threshold fails that with a chance below 1e-6) join a cluster, and a bucket too large for that becomes one cluster
-as a whole, which costs work but loses nothing. Clusters are connected components; then every two members of a cluster
-meet in exactly one task of bounded size (see common.block_pairs) and are verified on their full n-gram sets. Tasks
-return, per member, its number of links and the smallest member that it reaches there; no pair leaves a task. Classes
-are the connected components of verified links.
+band hashes; within a bucket, two members whose full MinHash signatures agree by half or more (a pair at the threshold
+fails that with a chance below 1e-6) join a cluster. No bucket, of whatever size, joins members whose signatures were not
+compared: a large one is dealt out by blocks of signatures (common.bucket_links). Clusters are connected components;
+then every two members of a cluster meet in exactly one task of bounded size (common.block_pairs) and are verified on
+their full n-gram sets. Tasks return, per member, its number of links and the smallest member that it reaches there; no
+pair leaves a task. Classes are the connected components of verified links.
 
 Defined results: a text with fewer than N words (and at least one) has one n-gram, all its words; a null or empty text,
 or one without a word, has none, links with nothing and is a class of its own. Texts with equal n-gram sets are linked
@@ -28,12 +28,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import block_pairs, by_key, components, give_back, roots, stored, text_of
+from .common import block_pairs, bucket_links, by_key, components, give_back, roots, spread_over_tasks, stored, text_of
 from .exact_dedup import holds, value_filter, without_ids
 
 N, THRESHOLD, RECALL, HASHES = 5, 0.8, 0.999, 64
-#: Members of a bucket compared with each other by signature, and of a block verified against another.
-BUCKET, BLOCK = 256, 256
+#: Members of a block: signatures compared with each other at a time, and texts verified against another block's.
+SIGNATURES, BLOCK = 512, 256
 WORD = re.compile(r"\w+")
 CACHE = 150_000
 
@@ -120,30 +120,36 @@ def _sketch(shape: tuple[int, int], n: int):
     return run
 
 
-def _bucket_links(rows: int):
-    """Rows of (band, bucket, rep, sig) sorted by bucket, of at most BUCKET members each: edges from members to the smallest one that resembles them."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, at in by_key(batches, ["band", "bucket"]):
-            rep = table.column("rep").to_numpy()
-            sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(-1, rows)
-            x, y = [], []
-            sizes = np.diff(at)
-            two = at[:-1][sizes == 2]
-            two = two[(sig[two] == sig[two + 1]).mean(1) >= 0.5]
-            x.append(rep[two])
-            y.append(rep[two + 1])
-            for s, e in zip(at[:-1][sizes > 2].tolist(), at[1:][sizes > 2].tolist(), strict=True):
-                alike = np.stack([(sig[s:e] == row).mean(1) >= 0.5 for row in sig[s:e]])
-                i, j = np.nonzero(np.triu(alike, 1))
-                x.append(rep[s:e])
-                y.append(rep[s:e][roots(e - s, i, j)])
-            x, y = np.concatenate(x), np.concatenate(y)
-            yield pa.RecordBatch.from_arrays([pa.array(x[x != y]), pa.array(y[x != y])], ["a", "b"])
+def linker(rows: int):
+    """Pairs whose signatures of so many rows agree by half or more, for common.bucket_links."""
+
+    def run(values: pa.ChunkedArray, own: np.ndarray, a: np.ndarray, b: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        sig = np.frombuffer(b"".join(values.to_pylist()), np.uint32).reshape(-1, rows)
+        sizes = np.diff(at)
+        two = at[:-1][(sizes == 2) & (a[at[:-1]] == b[at[:-1]])]
+        two = two[(sig[two] == sig[two + 1]).mean(1) >= 0.5]
+        x, y = [two], [two + 1]
+        rest = (sizes > 2) | (a[at[:-1]] != b[at[:-1]])
+        for s, e in zip(at[:-1][rest].tolist(), at[1:][rest].tolist(), strict=True):
+            same = a[s] == b[s]
+            p, q = (np.arange(s, e),) * 2 if same else (s + np.flatnonzero(own[s:e] == a[s]), s + np.flatnonzero(own[s:e] == b[s]))
+            alike = agreement(sig[p], sig[q]) * 2 >= rows
+            i, j = np.nonzero(np.triu(alike, 1) if same else alike)
+            x.append(p[i])
+            y.append(q[j])
+        return np.concatenate(x), np.concatenate(y)
 
     return run
 
 
+def agreement(one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """In how many rows each two signatures agree."""
+    out = np.zeros((len(one), len(other)), np.uint8 if one.shape[1] < 256 else np.uint32)
+    for k in range(one.shape[1]):
+        out += one[:, k, None] == other[None, :, k]
+    return out
+
+
 def jaccard(one: list[np.ndarray], other: list[np.ndarray]) -> np.ndarray:
     """The Jaccard similarities of two lists of sets, by one product of their incidence matrices, in parts of the vocabulary."""
     vocab, col = np.unique(np.concatenate([*one, *other]), return_inverse=True)
@@ -202,11 +208,11 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", thres
     own = sketches.where("grams is not null").groupBy("grams", "doc").agg(F.first("sig").alias("sig"))
     sets = own.groupBy("grams").agg(F.min("doc").alias("rep_doc"), F.count("*").alias("copies"), F.first("sig").alias("sig"))
     sets = stored(sets.withColumn("rep", F.xxhash64("grams")), "sets")
-    clusters = _clusters(sets, shape, parts)
+    clusters = _clusters(sets, shape)
     members = stored(clusters.join(sets.select("rep", "rep_doc", "grams", "copies"), "rep"), "members")
     sizes = members.groupBy("cluster").agg(F.count("*").alias("n"))
     work = block_pairs(members.select("cluster", "rep", "copies"), sizes, "cluster", "rep", BLOCK).join(_texts(docs, members, n), "rep")
-    work = work.repartition(parts, "cluster", "a", "b").sortWithinPartitions("cluster", "a", "b", "rep")
+    work = spread_over_tasks(work, "cluster", F.col("place"), ["cluster", "a", "b", "rep"], parts)
     verified = stored(work.mapInArrow(_verify(n, threshold), "rep long, links long, reach long"), "verified")
     comps = components(verified.select(F.col("rep").alias("a"), F.col("reach").alias("b"))).select(F.col("id").alias("rep"), "comp").join(members.select("rep", "rep_doc"), "rep")
     heads = comps.groupBy("comp").agg(F.min("rep_doc").alias("head"))
@@ -223,17 +229,14 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", thres
     return found.select("doc", F.col("head").alias("class_id"), (F.col("links") + F.col("copies") - 1).alias("n_links")).unionByName(empty)
 
 
-def _clusters(sets: DataFrame, shape: tuple[int, int], parts: int) -> DataFrame:
+def _clusters(sets: DataFrame, shape: tuple[int, int]) -> DataFrame:
     """(rep, cluster) of the representatives that may have links: components of resembling members of shared buckets."""
     width = 4 * shape[1]
     band = F.explode(F.sequence(F.lit(0), F.lit(shape[0] - 1))).alias("band")
-    banded = sets.select("rep", "sig", band).select("rep", "band", F.xxhash64(F.substring("sig", F.col("band") * width + 1, F.lit(width))).alias("bucket"))
-    shared = banded.groupBy("band", "bucket").agg(F.count("*").alias("n"), F.min("rep").alias("low")).where("n > 1")
-    dealt = stored(banded.join(shared, ["band", "bucket"]), "dealt")
-    large = dealt.where(F.col("n") > BUCKET).where("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b"))
-    small = dealt.where(F.col("n") <= BUCKET).join(sets.select("rep", "sig"), "rep").select("band", "bucket", "rep", "sig")
-    near = small.repartition(parts, "band", "bucket").sortWithinPartitions("band", "bucket", "rep").mapInArrow(_bucket_links(shape[0] * shape[1]), "a long, b long")
-    return components(stored(near.unionByName(large).distinct(), "near")).select(F.col("id").alias("rep"), F.col("comp").alias("cluster"))
+    part = F.substring("sig", F.col("band") * width + 1, F.lit(width))
+    banded = sets.select("rep", "sig", band).select(F.xxhash64(part, F.col("band")).alias("bucket"), F.col("rep").alias("id"))
+    near = bucket_links(banded, sets.select(F.col("rep").alias("id"), F.col("sig").alias("value")), linker(shape[0] * shape[1]), SIGNATURES)
+    return components(near).select(F.col("id").alias("rep"), F.col("comp").alias("cluster"))
 
 
 def _texts(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:

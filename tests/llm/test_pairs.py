@@ -5,6 +5,8 @@ import re
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from docweft.llm import common, jaccard_join, lattice
@@ -139,17 +141,97 @@ def test_lattice(spark):
     assert sum(r.component == label[r.id] for r in got) >= 0.98 * len(x) and all(r.kept == (r.id == r.component) for r in got)
 
 
+def largest_cluster(monkeypatch, module):
+    """Notes the largest cluster whose members a run compares with each other."""
+    seen, deal = [], module.block_pairs
+
+    def noted(members, sizes, *args):
+        seen.append(max((r.n for r in sizes.collect()), default=0))
+        return deal(members, sizes, *args)
+
+    monkeypatch.setattr(module, "block_pairs", noted)
+    return seen
+
+
+def test_vectors_of_one_topic(spark, monkeypatch, tmp_path):
+    """Many vectors at a mean cosine of 0.64 fill cells far over a block's size: no links but the planted ones, and no large cluster."""
+    rng = np.random.default_rng(7)
+    n, dim = 50_000, 64
+    centre = rng.normal(size=dim)
+    centre /= np.linalg.norm(centre)
+    z = rng.normal(size=(n, dim))
+    z -= (z @ centre)[:, None] * centre
+    x = 0.8 * centre + 0.6 * z / np.linalg.norm(z, axis=1)[:, None]
+    x[1000:1400] = x[1000] + rng.normal(size=(400, dim)) * 0.01
+    x[2000:2600] = x[2000]
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    want = np.concatenate([(unit[s : s + 2000] @ unit.T >= 0.95).sum(1) - 1 for s in range(0, n, 2000)])
+    seen = largest_cluster(monkeypatch, lattice)
+    pq.write_table(pa.table({"vec_id": np.arange(n), "embedding": pa.array(list(x))}), tmp_path / "x.parquet")
+    df = spark.read.parquet(str(tmp_path / "x.parquet")).repartition(8)
+    got = lattice.near_duplicates(df).toPandas().sort_values("id")
+    assert seen[0] < 1000
+    assert (got.n_links.to_numpy() <= want).all() and got.n_links.sum() >= 0.98 * want.sum()
+    assert set(got.component[2000:2600]) == {2000} and set(got.component[1000:1400]) == {1000}
+
+
+def test_texts_that_share_boilerplate(spark, monkeypatch):
+    """Texts at Jaccard 0.3 by a common passage fill buckets far over a block's size: no links but the planted ones, and no large cluster."""
+    rng = random.Random(8)
+    common_part = " ".join(f"c{k}" for k in range(45))
+    texts = [common_part + " " + " ".join(f"u{i}_{k}" for k in range(52)) for i in range(12_000)]
+    texts += near_copies(rng, texts[5], 300, 2)
+    sets = [grams(t) for t in texts]
+    assert 0.25 < len(sets[0] & sets[1]) / len(sets[0] | sets[1]) < 0.35
+    family = [5, *range(12_000, len(texts))]
+    links = {i: sum(len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8 for j in family if j != i) for i in family}
+    seen = largest_cluster(monkeypatch, jaccard_join)
+    df = spark.createDataFrame(list(enumerate(texts)), SCHEMA).repartition(8)
+    got = {r.doc: (r.class_id, r.n_links) for r in jaccard_join.classes(df).collect()}
+    assert seen[0] < 600
+    assert all(got[i] == ((5, links[i]) if i in links and links[i] else (i, 0)) for i in range(len(texts)))
+
+
+def test_large_buckets_link_what_brute_force_links(spark):
+    """bucket_links over one hot bucket: the same connections as all pairs, whatever lies outside its largest group."""
+    rng = np.random.default_rng(9)
+    points = np.concatenate([rng.normal(0, 0.1, 700), rng.uniform(3, 400, 500), rng.normal(900, 0.1, 150)])
+    link = [(i, j) for i, j in combinations(range(len(points)), 2) if abs(points[i] - points[j]) <= 0.05]
+
+    def linker(values, own, a, b, at):
+        v, x, y = values.to_numpy(), [], []
+        for s, e in zip(at[:-1], at[1:], strict=True):
+            near = np.abs(v[s:e, None] - v[None, s:e]) <= 0.05
+            ok = (own[s:e, None] == a[s]) & (own[None, s:e] == b[s])
+            i, j = np.nonzero(near & ok & ~np.eye(e - s, dtype=bool))
+            x.append(i + s)
+            y.append(j + s)
+        return np.concatenate(x), np.concatenate(y)
+
+    ids = spark.createDataFrame([(i, float(p)) for i, p in enumerate(points)], "id long, value double")
+    buckets = ids.select(F.lit(7).cast("long").alias("bucket"), "id").union(ids.where("id < 40").select(F.lit(8).cast("long").alias("bucket"), "id"))
+    edges = common.bucket_links(buckets, ids, linker, 100)
+    got = {r.id: r["comp"] for r in common.components(edges).collect()}
+    want = close(link, {i for p in link for i in p})
+    assert got == want
+
+
 def test_recall():
-    """Pairs at a cosine of 0.95 share a cell often enough, and unrelated vectors seldom."""
+    """Pairs at a cosine of 0.95 share a cell often enough whatever the number of rows, and unrelated vectors seldom."""
     rng = np.random.default_rng(5)
-    x, z = (rng.normal(size=(4000, 64)) for _ in range(2))
+    x, z = (rng.normal(size=(1500, 64)) for _ in range(2))
     x /= np.linalg.norm(x, axis=1)[:, None]
     z -= (z * x).sum(1)[:, None] * x
     z /= np.linalg.norm(z, axis=1)[:, None]
     y = 0.95 * x + (1 - 0.95**2) ** 0.5 * z
-    a, b = lattice.cells(x), lattice.cells(y)
     meet = lambda p, q: np.mean([bool(set(u) & set(v)) for u, v in zip(p.tolist(), q.tolist(), strict=True)])
-    assert meet(a, b) > 0.97 and meet(a, np.roll(a, 1, 0)) < 0.01
+    blocks = []
+    for rows in (10, 10**6, 10**7, 10**9):
+        tables, b = lattice.shape(rows)
+        blocks.append(b)
+        one, other = lattice.cells(x, tables, b), lattice.cells(y, tables, b)
+        assert meet(one, other) > 0.985 and meet(one, np.roll(one, 1, 0)) < 0.01
+    assert blocks == [2, 2, 3, 4]
 
 
 def test_e8():
