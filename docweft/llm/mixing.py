@@ -1,19 +1,20 @@
 """Mixing sources to target weights: a multivariate-hypergeometric splitting tree over exact block quotas.
 
-Every text is cut into blocks of BLOCK_WORDS words. A source's blocks have a permuted order, that of a seeded hash. Its
-draws go through that order as often as its target asks: whole passes, then the blocks whose words reach what is left.
-So each source has an exact quota of block draws. A binary tree splits the vector of quotas among output shards, each
-node by a multivariate hypergeometric draw of half its blocks; the leaves are the shards' exact source quotas, and
-shards take disjoint ranges of each source's draws, shuffled locally by a second hash.
-
-Texts never shuffle to be chosen: the order's places that matter (the last draw and the shards' borders, a few for each
-source) are found as hash keys from a histogram and one look into the histogram's buckets around them; a block then
-knows by its own key whether and for which shard it is drawn. What the driver holds is a few numbers a source; sources
-are far fewer than rows.
+Every text is cut into blocks of BLOCK_WORDS words. A source's blocks have a permuted order, that of a seeded hash; its
+draws go through that order as often as its target asks: whole passes, then the blocks whose words come nearest to what
+is left. So each source has an exact quota of block draws. A binary tree splits the vector of quotas among output shards,
+each node by a multivariate hypergeometric draw of its part of the blocks; the leaves are the shards' exact source
+quotas. Shard after shard takes the next blocks of each source's draws, as many as its leaf says; so the leaves alone
+decide which blocks are drawn, how often and where to. Within a shard, draws are shuffled by a second hash.
+
+Texts never shuffle to be chosen: the places where shards begin and end (SHARDS for each source) are found as hash keys
+from a histogram and one look into the histogram's buckets around them; a block then knows by its own key which shards
+draw it. Only `mixed` and `draws`, which write the shards, move texts to them, once. What the driver holds is a few
+numbers a source and shard; more than MOST_SOURCES sources are an error.
 
 Defined results: a null text has size 0 and no block. A null source is a source, the last in order. Sources without
-words get target 0. Rows that repeat id and text have equal keys and are drawn together. Empty tables give empty
-results. Extra columns are ignored by `report` and kept by `mixed`.
+words get target 0. Rows that repeat id and text have equal keys: their blocks tie and are drawn by the same shards.
+Empty tables give empty results. Extra columns are ignored by `report` and kept by `mixed`.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ from .common import NOT_WHITE, WHITE, stored, text_of
 WEIGHTS, MOST, BLOCK_WORDS, SHARDS, SEED = (5, 2, 1), 3, 128, 16, 11
 #: The key histogram's buckets are a key's top bits: 2^12 a source, fewer for many sources, so that the driver holds 2^17 counts and one a source at most.
 BUCKET_BITS, COUNT_BITS = 12, 17
+#: Sources that the driver plans for at most, and sources whose plan is broadcast (under 500 bytes each).
+MOST_SOURCES, BROADCAST_SOURCES = 1_000_000, 20_000
 
 
 def words(column: str) -> Column:
@@ -74,26 +77,30 @@ def split(quotas: np.ndarray, shards: int, seed: int = SEED, node: int = 1) -> n
 
 
 def _hypergeometric(rng, good: int, bad: int, draws: int) -> int:
-    """Exact up to numpy's limit of a billion; beyond it in the normal approximation, kept within its bounds."""
+    """Up to numpy's limit of a billion by numpy; beyond it by inversion of the same distribution, around its mode and out to where it vanishes."""
     total = good + bad
     low, high = max(0, draws - bad), min(good, draws)
     if low == high:
         return low
     if total < 1_000_000_000:
         return int(rng.hypergeometric(good, bad, draws))
-    p = good / total
-    return int(min(high, max(low, round(rng.normal(draws * p, (draws * p * (1 - p) * (total - draws) / (total - 1)) ** 0.5)))))
+    part = good / total
+    reach = int(12 * (draws * part * (1 - part) * (total - draws) / (total - 1)) ** 0.5) + 50
+    mode = min(high, max(low, (draws + 1) * (good + 1) // (total + 2)))
+    k = np.arange(max(low, mode - reach), min(high, mode + reach), dtype=float)
+    steps = np.log(good - k) + np.log(draws - k) - np.log(k + 1) - np.log(bad - draws + k + 1)
+    weight = np.r_[0.0, steps.cumsum()]
+    weight = np.exp(weight - weight.max()).cumsum()
+    return max(low, mode - reach) + int(np.searchsorted(weight, rng.random() * weight[-1]))
 
 
 @dataclass
 class Plan:
-    """What a block needs to know: per source the passes, the last pass's cut key, and the shards' borders as (pass, key)."""
+    """What a block needs to know: the ends of the shards in its source's draws, as (pass, key), key included; and how they came about."""
 
     sizes: dict
     targets: dict
-    passes: dict
-    cut: dict
-    borders: dict
+    ends: dict
     quotas: np.ndarray
     sources: list
 
@@ -114,7 +121,9 @@ def doc_key(id_col: str, text_col: str) -> Column:
 
 def plan(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, weights=WEIGHTS, most: int = MOST) -> Plan:
     """Quotas, cuts and borders for narrow() rows."""
-    sizes = {r[0]: r[1] or 0 for r in docs.groupBy("source").agg(F.sum("size")).collect()}
+    sizes = {r[0]: r[1] or 0 for r in docs.groupBy("source").agg(F.sum("size")).limit(MOST_SOURCES + 1).collect()}
+    if len(sizes) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources")
     goal = targets(sizes, weights, most)
     bits = max(0, min(BUCKET_BITS, COUNT_BITS - max(1, len(sizes)).bit_length()))
     n_blocks = F.ceil(F.col("size") / BLOCK_WORDS).cast("int")
@@ -142,86 +151,107 @@ def plan(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, weights=WEIGHT
         rows = stored(rows.select("source", "bucket", "k", F.count("*").over(w).alias("n"), F.sum("words").over(w).alias("words")), "places")
         return rows
 
-    # Where the last pass ends: the block after which the words are nearest to what is left of the target.
+    # The quotas: whole passes, and of the last one the blocks whose words are nearest to what is left of the target.
     rest = {s: goal[s] - passes[s] * sizes[s] for s in sources}
     where = {s: [table[s][0][min(len(table[s][0]) - 1, int(np.searchsorted(table[s][2][1:], rest[s])))]] for s in sources if len(table[s][0]) and rest[s] > 0}
-    cut, quota = {s: -1 for s in sources}, {s: passes[s] * int(table[s][1][-1]) for s in sources}
+    quota = {s: passes[s] * int(table[s][1][-1]) for s in sources}
     places = looked_up(where)
     if where:
         offsets = docs.sparkSession.createDataFrame([(s, float(rest[s]) - int(table[s][2][i]), int(table[s][1][i]), int(b)) for s, [b] in where.items() for i in [int(np.searchsorted(table[s][0], b))]], "o_source string, need double, before long, o_bucket int")
         near = places.join(F.broadcast(offsets), F.col("source").eqNullSafe(F.col("o_source")))
-        best = near.groupBy("source", "need", "before").agg(F.min_by(F.struct("k", "n", "words"), F.struct(F.abs(F.col("words") - F.col("need")), F.col("k"))).alias("x"))
+        best = near.groupBy("source", "need", "before").agg(F.min_by(F.struct("n", "words"), F.struct(F.abs(F.col("words") - F.col("need")), F.col("k"))).alias("x"))
         for r in best.collect():
-            at = int(np.searchsorted(table[r.source][0], where[r.source][0]))
-            if r.need <= r.x.words - r.need and r.x.n == 1:  # nearer without the bucket's first block
-                cut[r.source], quota[r.source] = (int(where[r.source][0]) << (62 - bits)) - 1, quota[r.source] + int(table[r.source][1][at])
-            else:
-                cut[r.source], quota[r.source] = r.x.k, quota[r.source] + r.before + r.x.n
+            nearer_without = r.need <= r.x.words - r.need and r.x.n == 1  # without the bucket's first block
+            quota[r.source] += r.before + (0 if nearer_without else r.x.n)
     quotas = split(np.array([quota[s] for s in sources], np.int64), shards, seed) if sources else np.zeros((shards, 0), np.int64)
-    # Borders of the shards in each source's draws: draw d is the block of rank d mod n in pass d div n.
-    borders: dict = {s: [] for s in sources}
+    # Where each shard ends in its source's draws, by the leaves: draw d is the block of rank d mod n in pass d div n.
+    ends: dict = {s: [] for s in sources}
     wanted: dict = {}
     for j, s in enumerate(sources):
         n = int(table[s][1][-1])
-        for d in quotas[:, j].cumsum()[:-1].tolist() if n else []:
-            p, rank = divmod(d, n)
+        for d in quotas[:, j].cumsum().tolist() if n else [0] * shards:
+            p, rank = divmod(d, n) if n else (0, 0)
             if rank:
                 i = int(np.searchsorted(table[s][1][1:], rank))
                 wanted.setdefault(s, []).append(int(table[s][0][i]))
-                borders[s].append([p, rank - int(table[s][1][i]), int(table[s][0][i])])
+                ends[s].append((p, rank - int(table[s][1][i]), int(table[s][0][i])))
             else:
-                borders[s].append([p, None, -1])
+                ends[s].append((p, None, -1))
     places = looked_up(wanted)
+    key = {}
     if wanted:
-        need = sorted({(s, b, n) for s, x in borders.items() for _, n, b in x if n is not None}, key=str)
+        need = sorted({(s, b, n) for s, x in ends.items() for _, n, b in x if n is not None}, key=str)
         ask = docs.sparkSession.createDataFrame(need, "a_source string, a_bucket int, a_n long")
         hits = places.join(F.broadcast(ask), F.col("source").eqNullSafe(F.col("a_source")) & (F.col("bucket") == F.col("a_bucket")) & (F.col("n") == F.col("a_n")))
         key = {(r.source, r.bucket, r.n): r.k for r in hits.collect()}
-        borders = {s: [(p, -1 if n is None else key[s, b, n]) for p, n, b in x] for s, x in borders.items()}
-    return Plan(sizes, goal, passes, cut, {s: [tuple(x[:2]) if x[1] is not None else (x[0], -1) for x in v] for s, v in borders.items()}, quotas, sources)
+    return Plan(sizes, goal, {s: [(p, -1 if n is None else key[s, b, n]) for p, n, b in x] for s, x in ends.items()}, quotas, sources)
 
 
 def plan_table(df: DataFrame, p: Plan) -> DataFrame:
-    """The plan by source, one row each (p_source, p_size, p_target, passes, cut, p_borders): as many rows as sources."""
-    rows = [(s, p.sizes[s], p.targets[s], p.passes[s], p.cut[s], [[int(a), int(k)] for a, k in p.borders[s]]) for s in p.sources]
-    return df.sparkSession.createDataFrame(rows, "p_source string, p_size long, p_target double, passes int, cut long, p_borders array<array<long>>")
+    """The plan by source, one row each (p_source, p_size, p_target, p_ends): as many rows as sources."""
+    rows = [(s, p.sizes[s], p.targets[s], [[int(a), int(k)] for a, k in p.ends[s]]) for s in p.sources]
+    return df.sparkSession.createDataFrame(rows, "p_source string, p_size long, p_target double, p_ends array<array<long>>")
 
 
-def _with_plan(df: DataFrame, p: Plan, source: str) -> DataFrame:
-    """Joins the plan to rows; broadcast as long as sources number under 100,000, else as a plain join."""
+def _with_draws(df: DataFrame, p: Plan, seed: int) -> DataFrame:
+    """Joins the plan to rows with source, size and key, and adds `drawn`: (shard, pass, block, words) of each draw of the text's blocks, in that order.
+
+    The plan is broadcast for up to BROADCAST_SOURCES sources, else joined as a table.
+    """
     t = plan_table(df, p)
-    return df.join(F.broadcast(t) if len(p.sources) < 100_000 else t, F.col(source).cast("string").eqNullSafe(F.col("p_source")), "left").drop("p_source")
+    rows = df.join(F.broadcast(t) if len(p.sources) <= BROADCAST_SOURCES else t, F.col("source").eqNullSafe(F.col("p_source")), "left")
+    n = F.ceil(F.col("size") / BLOCK_WORDS).cast("int")
+    last_pass = F.element_at("p_ends", -1)[0]
 
+    def draw(block: Column, at: Column) -> Column:
+        """A shard has ended before a draw if its end lies before it; so many have is the number of the shard that draws."""
+        k = block_key(F.col("key"), block, seed)
+        ended = F.filter("p_ends", lambda e: (e[0] < at) | ((e[0] == at) & (e[1] < k)))
+        words_of = F.least(F.lit(BLOCK_WORDS).cast("long"), F.col("size") - block * BLOCK_WORDS)
+        return F.struct(F.size(ended).alias("shard"), at.cast("int").alias("pass"), block.alias("block"), words_of.alias("words"))
 
-def _drawn(size: Column, key: Column, cut: Column, seed: int) -> Column:
-    """The numbers of the text's blocks that the last, partial pass draws."""
-    n = F.ceil(size / BLOCK_WORDS).cast("int")
-    return F.when((size > 0) & (cut >= 0), F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda b: block_key(key, b, seed) <= cut)).otherwise(F.array().cast("array<int>"))
+    every = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda b: F.transform(F.sequence(F.lit(0).cast("long"), last_pass), lambda at: draw(b, at))))
+    drawn = F.array_sort(F.filter(every, lambda d: d["shard"] < len(p.quotas)))
+    none = F.array().cast("array<struct<shard:int,pass:int,block:int,words:bigint>>")
+    return rows.withColumn("drawn", F.when(F.col("size") > 0, drawn).otherwise(none)).drop("p_source")
 
 
 def report(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = SEED) -> DataFrame:
-    """doc, size, source_size, target and taken (words that the mix takes, repeats counted) of every document."""
+    """doc, size, source_size, target, taken (words that the mix takes, repeats counted) and shards (where to, as shard:words comma-joined) of every document."""
     docs = narrow(df, id_col, source_col, text_col)
-    rows = _with_plan(docs, plan(docs, seed=seed), "source").withColumn("drawn", _drawn(F.col("size"), F.col("key"), F.col("cut"), seed))
-    last = F.aggregate("drawn", F.lit(0).cast("long"), lambda a, b: a + F.least(F.lit(BLOCK_WORDS).cast("long"), F.col("size") - b * BLOCK_WORDS))
-    return rows.select("doc", "size", F.col("p_size").alias("source_size"), F.col("p_target").alias("target"), (F.col("passes") * F.col("size") + last).alias("taken"))
+    p = plan(docs, seed=seed)
+    rows = _with_draws(docs, p, seed)
+    zero = F.lit(0).cast("long")
+    total = lambda xs: F.aggregate(xs, zero, lambda a, d: a + d["words"])
+    per_shard = F.transform(F.sequence(F.lit(0), F.lit(len(p.quotas) - 1)), lambda j: F.struct(j.alias("shard"), total(F.filter("drawn", lambda d: d["shard"] == j)).alias("words")))
+    rows = rows.withColumn("each", F.filter(per_shard, lambda x: x["words"] > 0))
+    named = F.array_join(F.transform("each", lambda x: F.concat_ws(":", x["shard"], x["words"])), ",")
+    return rows.select("doc", "size", F.col("p_size").alias("source_size"), F.col("p_target").alias("target"), total(F.col("each")).alias("taken"), named.alias("shards"))
 
 
-def draws(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = SEED) -> DataFrame:
-    """The mix itself: shard, place, doc, pass, block and the block's text, each shard shuffled locally.
+def _place(df: DataFrame, shards: int) -> DataFrame:
+    """Rows moved to their shards: partitions hold shard after shard, each sorted by place (0 to 2^63)."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    task = F.floor((F.col("shard") + F.col("place") / 2.0**63) * parts / shards).cast("int")
+    return df.withColumn("task", F.least(task, F.lit(parts - 1))).repartitionById(parts, "task").drop("task").sortWithinPartitions("shard", "place")
 
-    The place is a hash of the draw; rows of a shard lie in a few partitions, sorted by place.
-    """
+
+def _pieces(df: DataFrame, id_col: str, source_col: str, text_col: str, seed: int) -> tuple[DataFrame, int]:
+    """row (df's columns), size, key, drawn, and the text's blocks; the number of shards."""
     p = plan(narrow(df, id_col, source_col, text_col), seed=seed)
-    rows = df.select(F.col(id_col).alias("doc"), F.col(source_col).cast("string").alias("source"), text_of(text_col).alias("text"), words(text_col).alias("size"), doc_key(id_col, text_col).alias("key"))
-    rows = _with_plan(rows, p, "source").withColumn("drawn", _drawn(F.col("size"), F.col("key"), F.col("cut"), seed))
-    rows = rows.where("size > 0").withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("passes"))))
-    rows = rows.withColumn("parts", block_texts("text")).select("doc", "key", "passes", "pass", "drawn", "p_borders", F.posexplode("parts").alias("block", "text"))
-    rows = rows.where((F.col("pass") < F.col("passes")) | F.array_contains("drawn", F.col("block")))
-    k = block_key(F.col("key"), F.col("block"), seed)
-    passed = F.filter("p_borders", lambda b: (b[0] < F.col("pass")) | ((b[0] == F.col("pass")) & (b[1] < k)))
-    out = rows.select(F.size(passed).alias("shard"), F.xxhash64("key", "block", "pass", F.lit(seed + 1)).alias("place"), "doc", "pass", "block", "text")
-    return out.repartition(F.col("shard"), F.pmod("place", F.lit(8))).sortWithinPartitions("shard", "place")
+    rows = df.select(F.struct(*df.columns).alias("row"), F.col(source_col).cast("string").alias("source"), words(text_col).alias("size"), doc_key(id_col, text_col).alias("key"))
+    text = F.col("row")[text_col].cast("string")
+    parts = F.when(F.col("size") <= BLOCK_WORDS, F.array(text)).otherwise(block_texts(text))
+    return _with_draws(rows, p, seed).withColumn("parts", parts), len(p.quotas)
+
+
+def draws(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = SEED) -> DataFrame:
+    """The mix block by block: shard, place, doc, pass, block and the block's text, shard after shard, each shuffled locally (the place is a hash of the draw)."""
+    rows, shards = _pieces(df, id_col, source_col, text_col, seed)
+    rows = rows.select("key", F.col("row")[id_col].alias("doc"), "parts", F.explode("drawn").alias("d"))
+    place = F.shiftrightunsigned(F.xxhash64("key", "d.block", "d.pass", F.lit(seed + 1)), 1)
+    out = rows.select("d.shard", place.alias("place"), "doc", "d.pass", "d.block", F.col("parts")[F.col("d.block")].alias("text"))
+    return _place(out, shards)
 
 
 def block_texts(text: str | Column) -> Column:
@@ -231,16 +261,21 @@ def block_texts(text: str | Column) -> Column:
 
 
 def mixed(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = SEED) -> DataFrame:
-    """The mixed documents with df's columns: each once a whole pass, and once with the blocks of the last pass if it has any.
+    """The mixed documents with df's columns: for each shard and pass that draws blocks of a document, a row with these blocks in text order.
 
-    A text without words has no block: it stays once if its source has a whole pass or no words at all.
+    A shard that draws all blocks of a text has the text as it is. Shards follow each other, each shuffled locally. A text
+    without words has no block: it stays once, in a shard by its hash, if its source has a whole pass or no words at all.
     """
-    p = plan(narrow(df, id_col, source_col, text_col), seed=seed)
-    rows = df.select(F.struct(*df.columns).alias("row"), F.col(source_col).cast("string").alias("source"), words(text_col).alias("size"), doc_key(id_col, text_col).alias("key"))
-    rows = _with_plan(rows, p, "source").withColumn("drawn", _drawn(F.col("size"), F.col("key"), F.col("cut"), seed))
-    times = F.when(F.col("size") > 0, F.col("passes") + (F.size("drawn") > 0).cast("int")).otherwise(F.when((F.col("passes") > 0) | (F.col("p_size") == 0), 1).otherwise(0))
-    rows = rows.withColumn("pass", F.explode(F.when(times > 0, F.sequence(F.lit(1), times)).otherwise(F.array().cast("array<int>"))))
-    text = F.col("row")[text_col]
-    whole = (F.col("pass") <= F.col("passes")) | (F.size("drawn") * BLOCK_WORDS >= F.col("size"))
-    part = F.array_join(F.filter(block_texts(text), lambda _, b: block_key(F.col("key"), b, seed) <= F.col("cut")), "")
-    return rows.select(*(F.when(whole, text).otherwise(part).alias(c) if c == text_col else F.col("row")[c].alias(c) for c in df.columns))
+    rows, shards = _pieces(df, id_col, source_col, text_col, seed)
+    blocks = F.ceil(F.col("size") / BLOCK_WORDS).cast("int")
+    to = F.array_distinct(F.transform("drawn", lambda d: F.struct(d["shard"].alias("shard"), d["pass"].alias("pass"))))
+    kept = F.coalesce((F.element_at("p_ends", -1)[0] > 0) | (F.col("p_size") == 0), F.lit(True))
+    own_shard = F.array(F.struct(F.pmod("key", F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("pass")))
+    to = F.when(F.col("size") > 0, to).when(kept, own_shard).otherwise(F.array().cast("array<struct<shard:int,pass:int>>"))
+    rows = rows.select("row", "key", "drawn", "parts", blocks.alias("blocks"), F.explode(to).alias("to"))
+    mine = F.filter("drawn", lambda d: (d["shard"] == F.col("to.shard")) & (d["pass"] == F.col("to.pass")))
+    text = F.when(F.size(mine) == F.col("blocks"), F.col("row")[text_col]).otherwise(F.array_join(F.transform(mine, lambda d: F.col("parts")[d["block"]]), ""))
+    place = F.shiftrightunsigned(F.xxhash64("key", "to", F.lit(seed + 1)), 1)
+    out = rows.select("row", text.alias("text"), F.col("to.shard").alias("shard"), place.alias("place"))
+    out = _place(out, shards)
+    return out.select(*(F.col("text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in df.columns))

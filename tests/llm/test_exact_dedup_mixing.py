@@ -4,6 +4,7 @@ import hashlib
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,50 +90,112 @@ def docs(spark, n=400):
     return spark.createDataFrame(rows, SCHEMA), rows
 
 
+def brute_mix(spark, df, split=mixing.split):
+    """(doc, pass, block) -> shard of every draw: sorts each source's blocks by key and deals them out by the tree's leaves."""
+    keyed = mixing.narrow(df, "doc_id", "source", "text").where("size > 0")
+    blocks = keyed.select("doc", "source", "size", F.explode(F.expr(f"sequence(0, cast(ceil(size / {mixing.BLOCK_WORDS}) as int) - 1)")).alias("block"), "key")
+    order = defaultdict(list)
+    for r in blocks.withColumn("k", mixing.block_key(F.col("key"), F.col("block"))).collect():
+        order[r.source].append((r.k, r.doc, r.block, min(mixing.BLOCK_WORDS, r["size"] - r.block * mixing.BLOCK_WORDS)))
+    sizes = {s: sum(b[3] for b in bs) for s, bs in order.items()}
+    goal = water({**sizes, **{r.source: 0 for r in df.select("source").distinct().collect() if r.source not in sizes}})
+    sources = sorted(goal, key=lambda s: (s is None, s or ""))
+    quota = []
+    for s in sources:
+        bs = sorted(order[s])
+        total, best = 0, (goal[s], 0)
+        for d in range(3 * len(bs) if bs else 0):
+            total += bs[d % len(bs)][3]
+            best = min(best, (round(abs(total - goal[s]), 3), d + 1))
+        quota.append(best[1])
+    leaves = split(np.array(quota, np.int64), mixing.SHARDS)
+    out = {}
+    for j, s in enumerate(sources):
+        bs, d = sorted(order[s]), 0
+        for shard in range(mixing.SHARDS):
+            for _ in range(int(leaves[shard, j])):
+                k, doc, block, n = bs[d % len(bs)]
+                out[doc, d // len(bs), block] = (shard, n)
+                d += 1
+    return out, goal
+
+
 def test_mix(spark):
     df, rows = docs(spark)
-    report = mixing.report(df).collect()
-    assert len(report) == len(rows)
-    size = {i: len(t.split()) for i, t, _ in rows}
-    source = {i: s for i, _, s in rows}
-    totals, taken, target = defaultdict(int), defaultdict(int), {}
-    for r in report:
-        assert r["size"] == size[r.doc] and r.taken <= 3 * r["size"]
-        totals[source[r.doc]] += r["size"]
-        taken[source[r.doc]] += r.taken
-        target[source[r.doc]] = r.target
-    want = water(totals)
-    for s in totals:
-        assert abs(target[s] - want[s]) < 1e-6 * want[s] and abs(taken[s] - target[s]) <= mixing.BLOCK_WORDS
-    assert sorted(map(tuple, mixing.report(df.repartition(9)).collect())) == sorted(map(tuple, report))
-    mixed = mixing.mixed(df)
-    per = defaultdict(int)
-    for r in mixed.collect():
-        per[r.doc_id] += len((r.text or "").split())
-    assert all(per[r.doc] == r.taken for r in report)
+    report = {r.doc: r for r in mixing.report(df).collect()}
+    want, goal = brute_mix(spark, df)
+    per = defaultdict(lambda: defaultdict(int))
+    for (doc, _, _), (shard, n) in want.items():
+        per[doc][shard] += n
+    for i, t, s in rows:
+        r = report[i]
+        assert r["size"] == len(t.split()) and abs(r.target - goal[s]) < 1e-6 * goal[s] and r.taken <= 3 * r["size"]
+        assert r.taken == sum(per[i].values()) and r.shards == ",".join(f"{j}:{n}" for j, n in sorted(per[i].items()))
+    for s in goal:
+        assert abs(sum(r.taken for r in report.values() if rows[r.doc][2] == s) - goal[s]) <= mixing.BLOCK_WORDS
+    assert sorted(map(tuple, mixing.report(df.repartition(9)).collect())) == sorted(map(tuple, report.values()))
     drawn = mixing.draws(df).collect()
-    assert sum(len(r.text.split()) for r in drawn) == sum(taken.values())
-    assert len({(r.doc, r["pass"], r.block) for r in drawn}) == len(drawn)
-    p = mixing.plan(mixing.narrow(df, "doc_id", "source", "text"))
-    counted = defaultdict(int)
-    for r in drawn:
-        counted[r.shard, source[r.doc]] += 1
-    assert all(counted[k, s] == p.quotas[k, j] for k in range(mixing.SHARDS) for j, s in enumerate(p.sources))
+    assert {(r.doc, r["pass"], r.block): r.shard for r in drawn} == {k: v[0] for k, v in want.items()} and len(drawn) == len(want)
+    text = {i: t.split() for i, t, _ in rows}
+    step = mixing.BLOCK_WORDS
+    assert all(r.text.split() == text[r.doc][r.block * step : (r.block + 1) * step] for r in drawn)
+    mixed = mixing.mixed(df)
+    shown = defaultdict(list)
+    for (doc, p, block), (shard, _) in sorted(want.items()):
+        shown[shard, doc, p].append(block)
+    lines = sorted((doc, [w for b in bs for w in text[doc][b * step : (b + 1) * step]]) for (_, doc, _), bs in shown.items())
+    assert sorted((r.doc_id, r.text.split()) for r in mixed.collect() if r.text) == lines
+    places = [(r.shard, r.place) for r in drawn]
+    assert places == sorted(places)  # shard after shard, each by its places
+
+
+def test_the_tree_decides(spark, monkeypatch):
+    """Other leaves, other draws: what `split` gives each shard is what is taken."""
+    df, _ = docs(spark, 60)
+    report = sorted(map(tuple, mixing.report(df).collect()))
+    first = lambda q, shards, seed=0, node=1: np.stack([q, *[q * 0] * (shards - 1)])
+    half = lambda q, shards, seed=0, node=1: np.stack([q // 2, *[q * 0] * (shards - 1)])
+    for change in (first, half):
+        monkeypatch.setattr(mixing, "split", change)
+        got = sorted(map(tuple, mixing.report(df).collect()))
+        assert got != report
+        want, _ = brute_mix(spark, df, change)
+        assert sum(r[4] for r in got) == sum(n for _, n in want.values())
+        assert all(set(r[5].split(",")) <= {"", f"0:{r[4]}"} for r in got)
+
+
+def test_hypergeometric_beyond_a_billion():
+    """The same distribution on both sides of numpy's limit: mean and spread; and its bounds."""
+    rng = np.random.default_rng(1)
+    good, bad, n = 3 * 10**9, 7 * 10**9, 5 * 10**9
+    x = np.array([mixing._hypergeometric(rng, good, bad, n) for _ in range(300)], float)
+    sd = (n * 0.3 * 0.7 * 0.5) ** 0.5
+    assert abs(x.mean() - n * 0.3) < 5 * sd / 300**0.5 and 0.8 < x.std() / sd < 1.2
+    assert mixing._hypergeometric(rng, 5, 2 * 10**9, 2 * 10**9 + 3) in range(3, 6) and mixing._hypergeometric(rng, 0, 10**10, 5) == 0
 
 
 def test_tree():
-    import numpy as np
-
     quotas = np.array([1000, 7, 0, 333])
     shards = mixing.split(quotas, 16)
     assert (shards.sum(0) == quotas).all() and (shards >= 0).all() and set(shards.sum(1)) <= {83, 84}
 
 
 def test_odd_mix(spark):
-    df = spark.createDataFrame(ODD, SCHEMA).withColumns({"passes": F.lit(1), "cut": F.lit(1)})
+    df = spark.createDataFrame(ODD, SCHEMA).withColumns({"passes": F.lit(1), "drawn": F.lit(1), "shard": F.lit(2), "row": F.lit("r")})
     got = mixing.report(df).collect()
     assert len(got) == len(ODD) and all(0 <= r.taken <= 3 * r["size"] for r in got)
-    assert mixing.mixed(df).columns == df.columns
+    sizes = {"x": 2 + 2, "y": 2 + 1 + 1, "z": 140_000, None: 1}
+    sizes["x"] += 2  # the row without an id
+    want = water(sizes)
+    by_text = {(i, t): s for i, t, s in ODD}
+    assert all(abs(r.target - want[s]) < 1 for r in got for s in [by_text[next(k for k in by_text if k[0] == r.doc and len((k[1] or "").split()) == r["size"])]] if r.doc is not None)
+    assert all(r.taken == 0 and r["size"] == 0 for r in got if r.doc in (3, 4)) and len({(r.taken, r.shards) for r in got if r.doc == 6}) == 1
+    mixed = mixing.mixed(df)
+    assert mixed.columns == df.columns
+    rows = mixed.collect()
+    assert {(r.passes, r.drawn, r.shard, r.row) for r in rows} == {(1, 1, 2, "r")}
+    assert sum(len((r.text or "").split()) for r in rows) == sum(r.taken for r in got)
+    assert [r.text for r in rows if r.doc_id == 3] in ([None], []) and [r.text for r in rows if r.doc_id == 4] in ([""], [])
 
 
 def test_blocks_keep_all_text(spark):
