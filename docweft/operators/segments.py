@@ -6,23 +6,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.arrays import folded
+
 
 def packed(lengths: Column, most: int) -> Column:
     """Greedy ranges of lines (first, last; from 1) of at most `most` characters with newlines between; null if a line is too long.
 
     One fold over the line lengths: the open range's start and size are carried along.
     """
-    start = F.struct(F.lit(1).alias("first"), F.lit(0).alias("n"), F.lit(0).alias("size"), F.array().cast("array<struct<first:int,last:int>>").alias("out"))
+    start = F.struct(F.lit(1).alias("first"), F.lit(0).alias("n"), F.lit(0).alias("size"))
+    closed = lambda a: F.array(F.struct(a["first"].alias("first"), a["n"].alias("last")))
 
-    def step(a: Column, x: Column) -> Column:
+    def step(a: Column, x: Column) -> tuple[Column, Column]:
         n = a["n"] + 1
         size = a["size"] + x + F.when(n > a["first"], 1).otherwise(0)
         full = (size > most) & (n > a["first"])
-        closed = F.concat(a["out"], F.array(F.struct(a["first"].alias("first"), a["n"].alias("last"))))
-        return F.struct(F.when(full, n).otherwise(a["first"]).alias("first"), n.alias("n"), F.when(full, x).otherwise(size).alias("size"), F.when(full, closed).otherwise(a["out"]).alias("out"))
+        state = F.struct(F.when(full, n).otherwise(a["first"]).alias("first"), n.alias("n"), F.when(full, x).otherwise(size).alias("size"))
+        return state, F.when(full, closed(a)).otherwise(F.array().cast("array<struct<first:int,last:int>>"))
 
-    done = F.aggregate(lengths, start, step, lambda a: F.when(a["n"] > 0, F.concat(a["out"], F.array(F.struct(a["first"].alias("first"), a["n"].alias("last"))))).otherwise(a["out"]))
-    return F.when(~F.exists(lengths, lambda x: x > most), done)
+    ranges = folded(lengths, start, step, "struct<first:int,last:int>", lambda a: F.filter(closed(a), lambda r: r["last"] > 0))
+    return F.when(~F.exists(lengths, lambda x: x > most), ranges)
 
 
 def segments(df: DataFrame, doc: str = "doc_id", text: str = "text", most: int = 5500) -> DataFrame:
