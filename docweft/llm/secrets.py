@@ -6,11 +6,11 @@ COPIED or more owners or COPIED_REPOS or more repositories have is a widely copi
 owner's. Any other of a single owner looks live, and one of several owners is shared. Live-looking wide tokens that no
 base span overlaps are added as `owned` spans; base spans always stay. Both are counted by their standing.
 
-Positions: the text split by a pattern gives the gaps between its matches; lengths of gaps and matches add up to code
-points. Counting is one aggregation by (candidate, owner, repository) with map-side combining, so a hot candidate shrinks
+Positions: the text split by a pattern gives the gaps between its matches; running sums of the lengths of gaps and
+matches are code points. Counting is one aggregation by (candidate, owner, repository) with map-side combining, so a hot candidate shrinks
 before it shuffles; texts never shuffle.
 
-Defined results: a null text counts as empty and has no spans. Null owners and repositories count as one each. Rows that
+Defined results: a null text counts as empty and has no spans. Null owners count as one owner, apart from the empty name; so do null repositories. Rows that
 repeat id and text are one repository and have the same spans. Matches of one kind never overlap; those of several kinds
 may. Texts of any length are scanned whole; extra columns are ignored; an empty table gives an empty table.
 """
@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docweft.functions.arrays import folded, starts
+
 from .common import stored, text_of
 
 # The base patterns of the contract.
@@ -37,21 +39,16 @@ _SPAN = "array<struct<start:int,kind:int,end:int,hash:bigint>>"
 
 
 def spans(text: Column, pattern: str, kind: int, keep=None, value=None) -> Column:
-    """Spans of all matches: array of (start, kind, end, hash of value(match)); keep(match) filters them."""
+    """Spans of all matches: array of (start, kind, end, hash of value(match)); keep(match) filters them. Time grows in proportion to the matches."""
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    pairs = F.arrays_zip(F.transform(hits, lambda x: x).alias("hit"), F.slice(gaps, F.lit(1), F.size(hits)).alias("gap"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["gap"])
-        end = begin + F.length(x["hit"])
-        v = value(x["hit"]) if value else x["hit"]
-        one = F.array(F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), F.xxhash64(v).alias("hash")))
-        return F.struct(end.alias("at"), F.when(keep(x["hit"]), F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out") if keep else F.concat(acc["out"], one).alias("out"))
-
-    found = F.aggregate(pairs, start, step, lambda acc: acc["out"])
-    return F.when(F.rlike(text, F.lit(pattern)), found).otherwise(F.array().cast(_SPAN))
+    pairs = F.zip_with(hits, F.split(text, pattern, -1), lambda hit, gap: F.struct(hit.alias("hit"), F.length(gap).alias("gap")))
+    found = F.filter(pairs, lambda p: p["hit"].isNotNull())  # behind the last match there is a gap alone
+    begins = starts(F.transform(found, lambda p: p["gap"] + F.length(p["hit"])))
+    each = F.zip_with(found, begins, lambda p, at: F.struct((at + p["gap"]).alias("start"), p["hit"].alias("hit")))
+    if keep:
+        each = F.filter(each, lambda m: keep(m["hit"]))
+    one = lambda m: F.struct(m["start"].alias("start"), F.lit(kind).alias("kind"), (m["start"] + F.length(m["hit"])).alias("end"), F.xxhash64(value(m["hit"]) if value else m["hit"]).alias("hash"))
+    return F.when(F.rlike(text, F.lit(pattern)), F.transform(each, one)).otherwise(F.array().cast(_SPAN))
 
 
 def scan(df: DataFrame, id_col: str, owner_col: str, text_col: str, repo_col: str) -> DataFrame:
@@ -63,13 +60,29 @@ def scan(df: DataFrame, id_col: str, owner_col: str, text_col: str, repo_col: st
     parts = [spans(t, ASSIGN, 0, lambda h: F.length(secret(h)) >= 6, secret), spans(t, ACCESS, 1), spans(t, HEX, 2)]
     wide = spans(t, TOKEN, 3, lambda h: F.rlike(h, F.lit("[0-9]")) & F.rlike(h, F.lit("[A-Za-z]")))
     rows = rows.select("doc", "repo", "owner", F.xxhash64("doc", "text").alias("key"), F.array_sort(F.concat(*parts)).alias("base"), wide.alias("wide"))
-    apart = F.filter("wide", lambda w: ~F.exists("base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
-    return stored(rows.withColumn("wide", apart), "spans")
+    both = (F.size("base") > 0) & (F.size("wide") > 0)
+    return stored(rows.withColumn("wide", F.when(both, apart(F.concat("base", "wide"))).otherwise(F.col("wide"))), "spans")
+
+
+def apart(found: Column) -> Column:
+    """The wide tokens among the spans that no base span overlaps: neither one that began before (a fold forwards) nor one that begins within (backwards)."""
+    none, wide = F.array().cast(_SPAN), lambda x: x["kind"] == 3
+    item = "struct<start:int,kind:int,end:int,hash:bigint>"
+
+    def forwards(reach: Column, x: Column) -> tuple[Column, Column]:
+        return F.when(wide(x), reach).otherwise(F.greatest(reach, x["end"])), F.when(wide(x) & (reach > x["start"]), none).otherwise(F.array(x))
+
+    def backwards(next_start: Column, x: Column) -> tuple[Column, Column]:
+        return F.when(wide(x), next_start).otherwise(x["start"]), F.when(wide(x) & (next_start >= x["end"]), F.array(x)).otherwise(none)
+
+    left = folded(F.array_sort(found), F.lit(0), forwards, item)
+    return F.reverse(folded(F.reverse(left), F.lit(2**31 - 1), backwards, item))
 
 
 def ownership(found: DataFrame) -> DataFrame:
     """(hash, owners, repos): of how many distinct owners and repositories each candidate is."""
-    one = found.select(F.explode(F.concat("base", "wide")).alias("s"), F.coalesce("owner", F.lit("")).alias("owner"), F.coalesce("repo", F.lit("")).alias("repo")).select("s.hash", "owner", "repo").distinct()
+    known = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit(""))  # noqa: E731  null is one owner, '' another
+    one = found.select(F.explode(F.concat("base", "wide")).alias("s"), known("owner").alias("owner"), known("repo").alias("repo")).select("s.hash", "owner", "repo").distinct()
     return one.groupBy("hash").agg(F.count_distinct("owner").alias("owners"), F.count_distinct("repo").alias("repos"))
 
 

@@ -1,7 +1,9 @@
 """License, secret and URL scans against brute force and on odd inputs."""
 
 import hashlib
+import random
 import re
+import time
 from collections import defaultdict
 
 import pytest
@@ -93,6 +95,27 @@ def test_repositories_of_several_owners_count_once(spark):
     assert [(r.owners, r.repos) for r in counts] == [(2, 1)]
 
 
+def test_many_matches_take_linear_time(spark):
+    """20,000 matches in a text, of base kinds and wide ones between them; columns named as the scan's own."""
+    rng = random.Random(3)
+    parts = []
+    for k in range(20_000):
+        parts.append(rng.choice([f"{rng.getrandbits(100):025x}", f"token={rng.getrandbits(40):x}abcdef", f"W{rng.getrandbits(90):X}z{k}", "AKIA" + "A1B2C3D4E5F6G7H8"]))
+    text = " ".join(parts)
+    df = spark.createDataFrame([(1, "o", text, "k", "w", "b")], "doc_id long, source string, text string, key string, wide string, base string")
+    got(df.withColumn("text", F.substring("text", 1, 3000)))
+    began = time.time()
+    rows = got(df)
+    assert time.time() - began < 12  # of which most is Spark's own; growing with the square it would be a minute
+    assert rows == brute([(1, "o", text)])
+
+
+def test_unknown_owner_is_not_the_empty_name(spark):
+    rows = [(1, None, "token=both12345"), (2, "", "token=both12345")]
+    found = secrets.scan(spark.createDataFrame(rows, "doc_id long, source string, text string"), "doc_id", "source", "text", "doc_id")
+    assert [(r.owners, r.repos) for r in secrets.ownership(found).collect()] == [(2, 2)]
+
+
 def test_secret_query(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
     want = brute([(r.doc_id, r.source, r.text) for r in docs])
