@@ -7,6 +7,7 @@ import time
 from collections import defaultdict
 
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from docweft.llm import licenses, queries, secrets, url_filter
@@ -168,7 +169,8 @@ def test_licences(spark, text, expected):
         ("/* SPDX-License-Identifier: GPL-2.0-or-later WITH Classpath-exception-2.0 */\n/* Released under the MIT License */", "GPL-2.0-or-later,MIT", "gpl2Later mitName"),
         ("# SPDX-License-Identifier: (MIT OR Apache-2.0) AND BSD-3-Clause\nimport os", "Apache-2.0,MIT,BSD-3-Clause", "mitName apache2 bsdName3"),
         ("SPDX-License-Identifier: GPL-3.0-only.", "GPL-3.0", "gpl3"),
-        ("SPDX-License-Identifier: CC-BY-SA-4.0\nSPDX-License-Identifier: Zlib\n", "CC-BY-SA,Zlib", "ccBySa spdx:Zlib"),
+        ("SPDX-License-Identifier: CC-BY-SA-4.0\nSPDX-License-Identifier: Zlib\n", "CC-BY-SA,Zlib", "ccBySa zlibName"),
+        ("SPDX-License-Identifier: LicenseRef-own AND MIT", "MIT,LicenseRef-own", "spdx:LicenseRef-own mitName"),
         ("SPDX-License-Identifier: NOASSERTION", "", "spdx"),
         ("under the MIT License or the Apache License, Version 2.0", "Apache-2.0,MIT", "mitName apache2"),
         ("MIT License\nMozilla Public License 2.0\nGNU General Public License v3\nsimplified BSD license", "GPL-3.0,MPL-2.0,MIT,BSD-2-Clause", "mitName mpl2 gpl3 bsdName2"),
@@ -187,11 +189,14 @@ def test_all_licences_of_a_sentence(spark, text, expected, ids):
 #: A text for each sentence rule, as short as its pattern allows.
 RULE_TEXTS = {
     "spdx": "SPDX License Identifier", "apache2": "Apache 2.0 license", "apacheCopy": "you may obtain a copy of the license at", "apacheUse": "you may not use this file except in compliance with the license",
-    "apacheAsIs": "distributed under the license is distributed on an as is basis", "agpl3": "GNU Affero General Public License v3", "lgpl3": "GNU Lesser General Public License v3", "lgpl21": "GNU Library General Public License v2",
-    "gpl3Later": "xgpl v3 or any later", "gpl2Later": "xgpl v2 or any later", "gpl3": "GPL 3", "gpl2": "GPL 2", "gplUnversioned": "GNU General Public License", "mpl2": "Mozilla Public License 2.0", "ccZero": "CC0",
+    "apacheAsIs": "distributed under the license is distributed on an as is basis", "agpl3Later": "GNU Affero General Public License v3 or any later", "agpl3": "GNU Affero General Public License v3", "lgpl3Later": "GNU Lesser General Public License v3 or any later", "lgpl21Later": "GNU Library General Public License v2 or any later", "lgpl3": "GNU Lesser General Public License v3", "lgpl21": "GNU Library General Public License v2",
+    "gpl3Later": "xgpl v3 or any later", "gpl2Later": "xgpl v2 or any later", "gpl3": "GPL 3", "gpl2": "GPL 2", "gplUnversioned": "GNU General Public License", "mpl2": "Mozilla Public License 2.0", "mpl11": "Mozilla Public License 1.1", "epl2": "Eclipse Public License v2.0", "epl1": "Eclipse Public License 1.0", "eupl12": "European Union Public Licence 1.2", "cddl1": "Common Development and Distribution License",
+    "artistic2": "Artistic License 2.0", "artistic": "Artistic License", "bslName": "Boost Software License", "msPl": "Microsoft Public License", "ofl11": "SIL Open Font License", "psf2": "PSF License", "postgres": "PostgreSQL License", "wtfpl": "WTFPL", "zlibName": "zlib license",
+    "ccZero": "CC0",
     "ccByNcNd": "Attribution NonCommercial NoDerivs", "ccByNcSa": "Attribution NonCommercial ShareAlike", "ccByNc": "CC BY NC", "ccBySa": "CC BY SA", "ccByNd": "Attribution NoDerivs", "ccBy": "CC BY", "mitName": "under the terms of the MIT",
-    "permissionFree": "permission is hereby granted free of charge to any person obtaining a copy", "noticeIncluded": "the above copyright notice and this permission notice shall be included", "asIsProvided": "the software is provided as is",
-    "liability": "in no event shall the authors", "iscGrant": "permission to use copy modify and distribute this software for any purpose", "bsdName3": "BSD 3 Clause", "bsdName2": "BSD 2 Clause", "bsdName": "BSD license",
+    "permissionFree": "permission is hereby granted free of charge to any person obtaining a copy", "noticeIncluded": "the above copyright notice and this permission notice shall be included", "asIsProvided": "the software is provided as is", "zlibGrant": "permission is granted to anyone to use this software for any purpose including commercial applications", "zlibOrigin": "the origin of this software must not be misrepresented",
+    "zlibAltered": "altered source versions must be plainly marked", "zlibNotice": "this notice may not be removed or altered from any source distribution", "bslGrant": "permission is hereby granted free of charge to any person or organization obtaining a copy", "mplForm": "this source code form is subject to the terms of the Mozilla",
+    "liability": "in no event shall the authors", "iscGrant": "permission to use copy modify and distribute this software for any purpose", "iscName": "ISC license", "bsdName3": "BSD 3 Clause", "bsdName2": "BSD 2 Clause", "bsdName": "BSD license",
     "bsdGrant": "redistribution and use in source and binary forms", "bsdSource": "redistributions of source code must retain", "bsdBinary": "redistributions in binary form must reproduce",
     "bsdEndorse": "neither the name of X may be used to endorse or promote", "bsdAsIs": "this software is provided by X as is", "unlicense": "released into the public domain", "publicDomain": "public domain", "allRights": "all rights reserved", "copyright": "(c) 2020",
 }
@@ -214,6 +219,142 @@ def test_licences_without_a_licence_word(spark, text, expected, n):
     assert (row.licences, row.n_sentences, row.n_unmatched) == (expected, n, 0)
 
 
+TEXTS = {
+    "ISC": """ISC License
+
+Copyright (c) 2021, Somebody
+
+Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted,
+provided that the above copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE.
+IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY DAMAGES.""",
+    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not
+distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.""",
+    "GPL-3.0-or-later": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General
+Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied
+warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.""",
+    "LGPL-2.1-or-later": """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General
+Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.""",
+    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.""",
+    "BSD-3-Clause": """Copyright (c) 2019, Somebody. All rights reserved.
+
+Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice in the documentation and/or other materials.
+
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY WARRANTIES ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER BE LIABLE.""",
+    "MIT": """MIT License
+
+Copyright (c) 2020 Someone
+
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files.
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE.""",
+    "Zlib": """This software is provided 'as-is', without any express or implied warranty.
+
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it.
+
+1. The origin of this software must not be misrepresented. 2. Altered source versions must be plainly marked as such.
+3. This notice may not be removed or altered from any source distribution.""",
+}
+EXTRA = "Every licensee is kindly asked to send a postcard."
+
+
+def with_extra(text):
+    """The text with a sentence of a licence word that no rule knows between its paragraphs."""
+    return text.replace("\n\n", f"\n\n{EXTRA}\n\n")
+
+
+def python_scan(text):
+    """(licences, identifiers) by the rule tables in plain Python."""
+    text = text or ""
+    if not regex.search(licenses.TRIGGER, text):
+        return "", ""
+    text = regex.sub(f"({licenses.SPDX_TAG})", r"\n\n\1\n\n", text)
+    ids = []
+    for s in regex.split(licenses.SENTENCE_END, text):
+        if not regex.search(licenses.TRIGGER, s):
+            continue
+        found = []
+        if regex.fullmatch(rf"\s*(?:{licenses.SPDX_TAG})\s*", s):
+            expression = regex.sub(rf"(?i)^\s*{licenses._TAG}[( \t]*", "", s.strip())
+            expression = regex.sub(rf"(?i)[ \t()]+with[ \t()]+{licenses._ID}", "", expression)
+            for one in regex.split(r"(?i)[ \t()]+(?:and|or)[ \t()]+", expression):
+                known = [n for n, p in licenses.SPDX if regex.fullmatch(p, one.lower())]
+                named = regex.search("[A-Z0-9]", one) and one.upper() not in ("NONE", "NOASSERTION")
+                found.append(known[0] if known else f"spdx:{one}" if named else "spdx")
+        else:
+            plain = regex.sub(r"[^\p{L}\p{N}]+", " ", s.lower().replace("(c)", " copyright ")).strip(" ")
+            names = "|".join(f"(?:{p})" for n, p in licenses.SENTENCES if n in licenses._NAMES)
+            plain = regex.sub(f"{licenses._NEGATED}(?:{names})", " ", plain)
+            at = 0
+            while at <= len(plain):
+                hits = [(m.start(), k, m.end(), n) for k, (n, p) in enumerate(licenses.SENTENCES) if (m := regex.compile(p).search(plain, at)) and (m.start() > 0 or not p.startswith("^") or at == 0)]
+                if not hits:
+                    break
+                start, _, end, name = min(hits)
+                part = plain[start:end]
+                found.append(next((n for n, p in licenses.SENTENCES[:-1] if regex.fullmatch(p, part)), licenses.SENTENCES[-1][0]))
+                at = max(end, start + 1)
+        ids += found or (["unknown"] if regex.search(licenses.WORD, s) else [])
+    patterns = [(name, licenses.sequence_pattern(tuple(rule))) for name, *rule in licenses.LICENCES]
+    line, at, met = f" {' '.join(ids)} ", 0, set()
+    while at < len(line):
+        fit = next(((k, m) for k, (_, p) in enumerate(patterns) if (m := regex.compile(p).match(line, at))), None)
+        if fit:
+            met.add(fit[0])
+        at = fit[1].end() if fit else at + 1
+    named = [patterns[k][0] for k in sorted(met)]
+    named += dict.fromkeys(i[5:] for i in ids if i.startswith("spdx:"))
+    for name, family in licenses.GENERIC:
+        if any(x.startswith(family) for x in named):
+            named = [x for x in named if x != name]
+    return ",".join(named), " ".join(ids)
+
+
+def test_whole_licence_texts(spark):
+    """Known texts, as they are, as comments, and with unknown sentences between their clauses."""
+    ways = (str, with_extra, lambda t: "\n".join(f" * {x}" for x in t.split("\n")))
+    rows = [(name, k, way(text)) for name, text in TEXTS.items() for k, way in enumerate(ways)]
+    got = licenses.scan(spark.createDataFrame([(f"{n}/{k}", t) for n, k, t in rows], "doc_id string, text string")).collect()
+    assert {r.doc_id: r.licences for r in got} == {f"{n}/{k}": n for n, k, _ in rows}
+    assert {r.doc_id: (r.licences, r.sentence_ids) for r in got} == {f"{n}/{k}": python_scan(t) for n, k, t in rows}
+
+
+def test_negated_names(spark):
+    cases = {"This is not under the MIT license.": "", "It is no longer licensed under the GNU General Public License version 2, but under the Apache License, Version 2.0.": "Apache-2.0", "We use BSD 3-Clause instead of the MIT License.": "BSD-3-Clause", "Do not remove this. Released under the MIT License.": "MIT", "You must not sell copies without the MIT License.": "MIT"}
+    rows = licenses.scan(spark.createDataFrame([(k, k) for k in cases], "doc_id string, text string")).collect()
+    assert {r.doc_id: r.licences for r in rows} == cases == {k: python_scan(k)[0] for k in cases}
+
+
+def test_scan_equals_python(spark):
+    """All of sf0.01's documents, whole, and licence texts put into them."""
+    rng = random.Random(4)
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    texts = [*TEXTS.values(), *map(with_extra, TEXTS.values()), "SPDX-License-Identifier: MIT OR GPL-2.0-only", "not under the MIT license. (c) 2020 X"]
+    rows = docs + [(10_000 + i, f"{t}\n\n{rng.choice(texts)}\n\n{rng.choice(texts)} {rng.choice(docs)[1]}") for i, t in rng.sample(docs, 100)] + [(None, texts[0]), (1, None), (1, texts[1]), (1, texts[1])]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    want = [(i, *python_scan(t)) for i, t in rows]
+    assert sorted(((r.doc_id, r.licences, r.sentence_ids) for r in got), key=str) == sorted(want, key=str)
+
+
 def test_licence_query(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     lines = {"Licensed under the Apache License, Version 2.0.": "Apache-2.0", "Released under the MIT License.": "MIT", "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0", "Licensed under CC BY-NC 4.0.": "CC-BY-NC"}
