@@ -32,6 +32,8 @@ from .common import NOT_WHITE, WHITE, stored, text_of
 WEIGHTS, MOST, BLOCK_WORDS, SHARDS, SEED = (5, 2, 1), 3, 128, 16, 11
 #: The key histogram's buckets are a key's top bits: 2^12 a source, fewer for many sources, so that the driver holds 2^17 counts and one a source at most.
 BUCKET_BITS, COUNT_BITS = 12, 17
+#: Bits of a key; a draw's place is its pass times 2^KEY_BITS plus its key.
+KEY_BITS = 60
 #: Sources that the driver plans for at most, and sources whose plan is broadcast (under 500 bytes each).
 MOST_SOURCES, BROADCAST_SOURCES = 1_000_000, 20_000
 
@@ -96,7 +98,7 @@ def _hypergeometric(rng, good: int, bad: int, draws: int) -> int:
 
 @dataclass
 class Plan:
-    """What a block needs to know: the ends of the shards in its source's draws, as (pass, key), key included; and how they came about."""
+    """What a block needs to know: the places of the last draws of the shards in its source; and how they came about."""
 
     sizes: dict
     targets: dict
@@ -106,8 +108,8 @@ class Plan:
 
 
 def block_key(doc_key: Column, block: Column, seed: int = SEED) -> Column:
-    """A block's place in its source's permuted order, from 0 to 2^62."""
-    return F.shiftrightunsigned(F.xxhash64(doc_key, block, F.lit(seed)), 2)
+    """A block's place in its source's permuted order, from 0 to 2^KEY_BITS."""
+    return F.shiftrightunsigned(F.xxhash64(doc_key, block, F.lit(seed)), 64 - KEY_BITS)
 
 
 def narrow(df: DataFrame, id_col: str, source_col: str, text_col: str) -> DataFrame:
@@ -129,7 +131,7 @@ def plan(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, weights=WEIGHT
     n_blocks = F.ceil(F.col("size") / BLOCK_WORDS).cast("int")
     blocks = docs.where("size > 0").withColumn("block", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
     blocks = blocks.select("source", block_key(F.col("key"), F.col("block"), seed).alias("k"), F.least(F.lit(BLOCK_WORDS), F.col("size") - F.col("block") * BLOCK_WORDS).alias("words"))
-    blocks = blocks.withColumn("bucket", F.shiftright("k", 62 - bits).cast("int"))
+    blocks = blocks.withColumn("bucket", F.shiftright("k", KEY_BITS - bits).cast("int"))
     hist: dict = {}
     for r in blocks.groupBy("source", "bucket").agg(F.count("*").alias("n"), F.sum("words").alias("words")).toLocalIterator():
         hist.setdefault(r.source, []).append((r.bucket, r.n, r.words))
@@ -184,34 +186,34 @@ def plan(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, weights=WEIGHT
         ask = docs.sparkSession.createDataFrame(need, "a_source string, a_bucket int, a_n long")
         hits = places.join(F.broadcast(ask), F.col("source").eqNullSafe(F.col("a_source")) & (F.col("bucket") == F.col("a_bucket")) & (F.col("n") == F.col("a_n")))
         key = {(r.source, r.bucket, r.n): r.k for r in hits.collect()}
-    return Plan(sizes, goal, {s: [(p, -1 if n is None else key[s, b, n]) for p, n, b in x] for s, x in ends.items()}, quotas, sources)
+    return Plan(sizes, goal, {s: [(p << KEY_BITS) + (-1 if n is None else key[s, b, n]) for p, n, b in x] for s, x in ends.items()}, quotas, sources)
 
 
 def plan_table(df: DataFrame, p: Plan) -> DataFrame:
     """The plan by source, one row each (p_source, p_size, p_target, p_ends): as many rows as sources."""
-    rows = [(s, p.sizes[s], p.targets[s], [[int(a), int(k)] for a, k in p.ends[s]]) for s in p.sources]
-    return df.sparkSession.createDataFrame(rows, "p_source string, p_size long, p_target double, p_ends array<array<long>>")
+    rows = [(s, p.sizes[s], p.targets[s], p.ends[s]) for s in p.sources]
+    return df.sparkSession.createDataFrame(rows, "p_source string, p_size long, p_target double, p_ends array<long>")
 
 
 def _with_draws(df: DataFrame, p: Plan, seed: int) -> DataFrame:
-    """Joins the plan to rows with source, size and key, and adds `drawn`: (shard, pass, block, words) of each draw of the text's blocks, in that order.
+    """Joins the plan to rows with source, size and key, and adds `drawn`: (shard, pass, block, words) of each draw of the text's blocks, by block and pass.
 
     The plan is broadcast for up to BROADCAST_SOURCES sources, else joined as a table.
     """
     t = plan_table(df, p)
     rows = df.join(F.broadcast(t) if len(p.sources) <= BROADCAST_SOURCES else t, F.col("source").eqNullSafe(F.col("p_source")), "left")
     n = F.ceil(F.col("size") / BLOCK_WORDS).cast("int")
-    last_pass = F.element_at("p_ends", -1)[0]
+    last_pass = F.greatest(F.shiftright(F.element_at("p_ends", -1), KEY_BITS), F.lit(0).cast("long"))  # -1 where a source gives nothing
 
     def draw(block: Column, at: Column) -> Column:
-        """A shard has ended before a draw if its end lies before it; so many have is the number of the shard that draws."""
-        k = block_key(F.col("key"), block, seed)
-        ended = F.filter("p_ends", lambda e: (e[0] < at) | ((e[0] == at) & (e[1] < k)))
+        """As many shards have ended before a draw as is the number of the shard that draws."""
+        place = F.shiftleft(at, KEY_BITS) + block_key(F.col("key"), block, seed)
+        ended = F.filter("p_ends", lambda end: end < place)
         words_of = F.least(F.lit(BLOCK_WORDS).cast("long"), F.col("size") - block * BLOCK_WORDS)
         return F.struct(F.size(ended).alias("shard"), at.cast("int").alias("pass"), block.alias("block"), words_of.alias("words"))
 
     every = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda b: F.transform(F.sequence(F.lit(0).cast("long"), last_pass), lambda at: draw(b, at))))
-    drawn = F.array_sort(F.filter(every, lambda d: d["shard"] < len(p.quotas)))
+    drawn = F.filter(every, lambda d: d["shard"] < len(p.quotas))
     none = F.array().cast("array<struct<shard:int,pass:int,block:int,words:bigint>>")
     return rows.withColumn("drawn", F.when(F.col("size") > 0, drawn).otherwise(none)).drop("p_source")
 
@@ -223,8 +225,9 @@ def report(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", te
     rows = _with_draws(docs, p, seed)
     zero = F.lit(0).cast("long")
     total = lambda xs: F.aggregate(xs, zero, lambda a, d: a + d["words"])
-    per_shard = F.transform(F.sequence(F.lit(0), F.lit(len(p.quotas) - 1)), lambda j: F.struct(j.alias("shard"), total(F.filter("drawn", lambda d: d["shard"] == j)).alias("words")))
-    rows = rows.withColumn("each", F.filter(per_shard, lambda x: x["words"] > 0))
+    to = F.array_sort(F.array_distinct(F.transform("drawn", lambda d: d["shard"])))
+    each = F.transform(to, lambda j: F.struct(j.alias("shard"), total(F.filter("drawn", lambda d: d["shard"] == j)).alias("words")))
+    rows = rows.withColumn("each", each)
     named = F.array_join(F.transform("each", lambda x: F.concat_ws(":", x["shard"], x["words"])), ",")
     return rows.select("doc", "size", F.col("p_size").alias("source_size"), F.col("p_target").alias("target"), total(F.col("each")).alias("taken"), named.alias("shards"))
 
@@ -269,7 +272,7 @@ def mixed(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     rows, shards = _pieces(df, id_col, source_col, text_col, seed)
     blocks = F.ceil(F.col("size") / BLOCK_WORDS).cast("int")
     to = F.array_distinct(F.transform("drawn", lambda d: F.struct(d["shard"].alias("shard"), d["pass"].alias("pass"))))
-    kept = F.coalesce((F.element_at("p_ends", -1)[0] > 0) | (F.col("p_size") == 0), F.lit(True))
+    kept = F.coalesce((F.element_at("p_ends", -1) >= (1 << KEY_BITS) - 1) | (F.col("p_size") == 0), F.lit(True))
     own_shard = F.array(F.struct(F.pmod("key", F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("pass")))
     to = F.when(F.col("size") > 0, to).when(kept, own_shard).otherwise(F.array().cast("array<struct<shard:int,pass:int>>"))
     rows = rows.select("row", "key", "drawn", "parts", blocks.alias("blocks"), F.explode(to).alias("to"))
