@@ -3,11 +3,13 @@
 A suffix automaton of labelled text per language yields longest-match lengths: a text is parsed greedily into the
 longest phrases that occur in the language's text, and the language that needs the fewest phrases a character, divided
 by what its own held-back text needs, wins. Automata are built over normalised text: lower case, letters only, runs of
-everything else as one space. Parsing runs in numpy, many blocks of text side by side, one automaton step at a time;
-no phrase crosses the end of a block of BLOCK characters.
+everything else as one space. Parsing runs in numpy, many blocks of text side by side, one automaton step at a time; then
+each block is parsed once more from where the block before it ended, until both parses are in one state, so that the
+counts are those of whole texts, with phrases that cross blocks.
 
-The labelled text is a bounded sample: about SAMPLE_DOCS documents a language, by a hash of the id, of which the first
-TRAIN_CHARS characters are learned and the next TRAIN_CHARS / 2 set the language's own rate. A language with less text
+The labelled text is a bounded sample: about SAMPLE_DOCS documents a language, by a hash of the id, and DOC_CHARS
+characters of each at most (only of what is learned; texts to be judged are read whole), of which the first TRAIN_CHARS
+characters are learned and the next TRAIN_CHARS / 2 set the language's own rate. A language with less text
 learns two thirds of it, whatever the others have. The own rate counts SURE standard errors lower, so that a language
 whose rate rests on little text must fit a text the better to win it.
 
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bounds of the labelled sample, and block length.
-SAMPLE_DOCS, TRAIN_CHARS, BLOCK = 200, 16_000, 512
+SAMPLE_DOCS, DOC_CHARS, TRAIN_CHARS, BLOCK = 200, 4_000, 16_000, 512
 #: Entries of an automaton's dense table; one with more (a large alphabet) is looked up by sorted transitions.
 DENSE = 1 << 22
 #: Standard errors (phrases as a Poisson count) off a language's own rate, and the least rate then.
@@ -157,32 +159,66 @@ class Parser:
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
         """Phrases of each text (as symbols), by language."""
-        k = len(self.langs)
-        out = np.zeros((len(texts), k), np.int64)
-        blocks = [(i, t[j : j + BLOCK]) for i, t in enumerate(texts) for j in range(0, len(t), BLOCK)]
-        blocks.sort(key=lambda b: -len(b[1]))
-        for first in range(0, len(blocks), LANES):
-            part = blocks[first : first + LANES]
-            sizes = np.array([len(b) for _, b in part])
-            grid = np.zeros((len(part), sizes[0]), np.int32)
-            for row, (_, b) in enumerate(part):
-                grid[row, : len(b)] = b
-            grid = np.ascontiguousarray(grid.T)
-            alive = len(part) - np.searchsorted(sizes[::-1], np.arange(1, sizes[0] + 1))
-            count = np.zeros((k, len(part)), np.int32)
-            for lang in range(k):
-                look, local = self.steps[lang], self.local[lang]
-                state, total = np.full(len(part), self.starts[lang], np.int32), count[lang]
-                for step in range(sizes[0]):
-                    n = alive[step]
-                    if n < len(state):
-                        state = state[:n]
-                    state = look(state, local[grid[step, :n]])
-                    total[:n] += state & 1
-                    state >>= 1
-            np.add.at(out, np.array([i for i, _ in part]), count.T)
+        of = np.array([i for i, t in enumerate(texts) for _ in range(0, len(t), BLOCK)], np.int64)
+        blocks = [t[j : j + BLOCK] for t in texts for j in range(0, len(t), BLOCK)]
+        sizes = np.array([len(b) for b in blocks], np.int64)
+        inner = np.flatnonzero(np.diff(of, prepend=-1) == 0)  # blocks with one of their text before them
+        out = np.zeros((len(texts), len(self.langs)), np.int64)
+        for lang, start in enumerate(self.starts):
+            own, ends = np.zeros(len(blocks), np.int64), np.zeros(len(blocks), np.int32)
+            order = np.argsort(-sizes, kind="stable")
+            for first in range(0, len(order), LANES):
+                lanes = order[first : first + LANES]
+                own[lanes], ends[lanes] = self._parse(lang, _side_by_side([blocks[k] for k in lanes]), sizes[lanes], np.full(len(lanes), start, np.int32))
+            more, todo = np.zeros(len(blocks), np.int64), inner
+            while len(todo):
+                todo = todo[np.argsort(-sizes[todo], kind="stable")]
+                changed = [self._joined(lang, [blocks[k] for k in part], sizes[part], ends[part - 1], start) for first in range(0, len(todo), LANES) for part in [todo[first : first + LANES]]]
+                more[todo] = np.concatenate([c[0] for c in changed])
+                new = np.concatenate([c[1] for c in changed])
+                moved = np.zeros(len(blocks) + 1, bool)
+                moved[todo[(new >= 0) & (new != ends[todo])] + 1] = True
+                ends[todo] = np.where(new >= 0, new, ends[todo])
+                todo = inner[moved[inner]]
+            np.add.at(out[:, lang], of, own + more)
         return out
 
+    def _parse(self, lang: int, grid: np.ndarray, sizes: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases begun in blocks (the grid's columns, longest first) from these states on, and the states at their ends."""
+        look, local = self.steps[lang], self.local[lang]
+        total, ends = np.zeros(len(sizes), np.int32), state.copy()
+        alive = len(sizes) - np.searchsorted(sizes[::-1], np.arange(1, len(grid) + 1))
+        for step in range(len(grid)):
+            n = alive[step]
+            if n < len(state):
+                ends[n : len(state)] = state[n:]
+                state = state[:n]
+            state = look(state, local[grid[step, :n]])
+            total[:n] += state & 1
+            state >>= 1
+        ends[: len(state)] = state
+        return total, ends
+
+    def _joined(self, lang: int, blocks: list[np.ndarray], sizes: np.ndarray, before: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
+        """How many more phrases begin in blocks (longest first) if parsing goes on from the states before them and not from the start; the states at their ends, or -1 where both ways meet."""
+        look, local, grid = self.steps[lang], self.local[lang], _side_by_side(blocks)
+        more, ends = np.zeros(len(sizes), np.int64), np.full(len(sizes), -1, np.int32)
+        at, fresh, on = np.arange(len(sizes)), np.full(len(sizes), start, np.int32), before
+        for step in range(len(grid)):
+            ended = sizes[at] <= step
+            apart = (fresh != on) & ~ended
+            ends[at[ended]] = on[ended]
+            if not apart.all():
+                at, fresh, on = at[apart], fresh[apart], on[apart]
+            if not len(at):
+                break
+            symbol = local[grid[step, at]]
+            fresh, on = look(fresh, symbol), look(on, symbol)
+            more[at] += (on & 1) - (fresh & 1)
+            fresh, on = fresh >> 1, on >> 1
+        ends[at[fresh != on]] = on[fresh != on]
+        return more, ends
+
     def judge(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """The language of each text and, as score, how far its rate lies below the runner-up's (1 - best / second)."""
         codes = [normalise(points(t)) if t else np.zeros(0, np.uint32) for t in texts]
@@ -202,6 +238,14 @@ class Parser:
         return langs, scores
 
 
+def _side_by_side(blocks: list[np.ndarray]) -> np.ndarray:
+    """Blocks, the longest first, as the columns of a grid."""
+    grid = np.zeros((len(blocks), len(blocks[0]) if blocks else 0), np.int32)
+    for row, b in enumerate(blocks):
+        grid[row, : len(b)] = b
+    return np.ascontiguousarray(grid.T)
+
+
 def labelled_sample(df: DataFrame, id_col: str, text_col: str, lang_col: str, docs: int = SAMPLE_DOCS) -> dict[str, str]:
     """About `docs` texts a language, by a hash of id and text; the languages themselves are few, their number is the driver's bound."""
     key = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.length(text_col), F.lit(5)), F.lit(1 << 30))
@@ -210,10 +254,10 @@ def labelled_sample(df: DataFrame, id_col: str, text_col: str, lang_col: str, do
     if not n:
         return {}
     bound = F.create_map(*[F.lit(x) for k, v in n.items() for x in (k, min(1 << 30, (1 << 30) * docs // v + 1))])
-    picked = rows.where(key < bound[F.col(lang_col)]).select(F.col(lang_col).alias("lang"), F.substring(text_col, 1, 3 * TRAIN_CHARS).alias("text"), key.alias("key"))
+    picked = rows.where(key < bound[F.col(lang_col)]).select(F.col(lang_col).alias("lang"), F.substring(text_col, 1, DOC_CHARS).alias("text"), key.alias("key"))
     out: dict[str, list[str]] = {}
     for row in sorted(picked.collect(), key=lambda r: (r.key, r.text)):
-        out.setdefault(row.lang, []).append(row.text[:4000])
+        out.setdefault(row.lang, []).append(row.text[:DOC_CHARS])
     return {k: "\n".join(v)[: 4 * TRAIN_CHARS] for k, v in out.items()}
 
 

@@ -33,7 +33,32 @@ def test_parser_counts_phrases():
     for j, lang in enumerate(p.langs):
         learned = "".join(chr(c) if c else " " for c in language.normalise(language.points(train[lang])))[: min(400, *(2 * len(language.normalise(language.points(v))) // 3 for v in train.values()))]
         for i, t in enumerate(texts):
-            assert got[i, j] == sum(phrases(learned, t[k : k + language.BLOCK]) for k in range(0, len(t), language.BLOCK)), (lang, letters)
+            assert got[i, j] == phrases(learned, t), (lang, letters)
+
+
+def test_phrases_cross_blocks():
+    """Long repeats of the learned text: phrases longer than blocks, whose ends come late in the next ones."""
+    rng = random.Random(3)
+    x = "".join(rng.choice("abcd") for _ in range(6000))
+    p = language.Parser({"x": x, "y": "".join(rng.choice("abcd") for _ in range(6000))}, chars=4000)
+    texts = [x[:4000], x[700:3900] + "e" + x[5:1800], "a" + x[100:2600] * 2, x[3000:3400], "b" * 3000, x[10 : 10 + language.BLOCK], x[10 : 11 + language.BLOCK]]
+    got = p.phrases([p.symbol[language.normalise(language.points(t))] for t in texts])
+    assert got[:, 0].tolist() == [phrases(x[:4000], t) for t in texts]
+
+
+def test_languages_of_several_scripts():
+    """Chinese, Japanese, Korean, Russian, Greek and English with little text each."""
+    texts = {
+        "zh": "今天天气很好，我们去公园散步。孩子们在湖边玩耍，老人们在树下下棋。中午我们在小饭馆吃面条，下午去书店买了几本新书。晚上回家以后，我给朋友写了一封长信，告诉他最近的工作和生活。明天我还要早起上班，所以今晚想早点休息。",
+        "ja": "今日は天気がとても良いので、公園へ散歩に行きました。子供たちは湖のそばで遊んでいて、お年寄りは木の下で将棋を指していました。昼には小さな食堂でうどんを食べ、午後は本屋で新しい本を何冊か買いました。夜は家に帰って友達に長い手紙を書きました。",
+        "ko": "오늘은 날씨가 아주 좋아서 공원으로 산책을 갔습니다. 아이들은 호숫가에서 놀고 노인들은 나무 아래에서 장기를 두고 있었습니다. 점심에는 작은 식당에서 국수를 먹고 오후에는 서점에서 새 책을 몇 권 샀습니다. 저녁에는 집에 돌아와서 친구에게 긴 편지를 썼습니다.",
+        "ru": "Сегодня очень хорошая погода, поэтому мы пошли гулять в парк. Дети играли у озера, а старики сидели под деревьями и играли в шахматы. Днём мы ели лапшу в маленьком кафе, потом купили в магазине несколько новых книг. Вечером дома я написал другу длинное письмо.",
+        "en": "The weather is very good today, so we went for a walk in the park. The children played near the lake, and the old people sat under the trees and played chess. At noon we ate noodles in a small restaurant, and then we bought some new books in the shop.",
+        "abc": "ab c",
+    }
+    p = language.parser(tuple(sorted((k, v * (1 if k == "abc" else 2)) for k, v in texts.items())))
+    new = {"zh": "我们明天去书店买书，晚上在家吃面条。", "ja": "友達は公園で子供たちと遊びました。夜は本を買いに行きました。", "ko": "친구는 오후에 공원에서 아이들과 놀고 저녁에는 국수를 먹었습니다.", "ru": "Вечером дети купили новые книги и пошли гулять к озеру.", "en": "The old people bought books in the park and the children ate near the trees."}
+    assert p.judge([*new.values()])[0] == [*new]
 
 
 def test_parser_tells_all_letters_apart():
