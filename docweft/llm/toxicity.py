@@ -2,8 +2,8 @@
 
 Two words are alike as far as they share subsequences of P letters, each occurrence weighing DECAY to the power of the
 letters that its span has too many (spans of up to SPAN letters). So an insult with inserted characters or gaps stays
-near the insult. The kernel is normalised; its subsequences are counted explicitly, by their three symbols, and hashed
-nowhere. Nyström maps a word to its kernel values with the landmark words, whitened by the landmarks' own kernel
+near the insult. The kernel is normalised; its subsequences are counted explicitly, by their three letters (any letters,
+of any script), and hashed nowhere. Nyström maps a word to its kernel values with the landmark words, whitened by the landmarks' own kernel
 matrix; a linear support vector machine with squared hinge loss decides in that space. As its decision is linear in the
 subsequence counts, landmarks and weights fold into one table of weights for scoring.
 
@@ -11,7 +11,12 @@ Words are the runs of non-white space, letters only (digits and signs that stand
 runs of three or more single characters joined ("i d i o t"). A sentence scores as its worst word and a text as its
 worst sentence. Training knows only which texts are toxic: sentences of clean texts are all clean; from each toxic text
 the word that the machine finds worst is taken as an insult, starting from words that mark toxic texts, and the machine
-is trained again (multiple-instance training). The sample of labelled rows is bounded by SAMPLE_DOCS a class.
+is trained again (multiple-instance training).
+
+Learning works on bounded samples, scoring on all of every text. Labelled rows: about SAMPLE_DOCS a class and at most
+SAMPLE_CHARS characters of whole texts a class; those of over a sixteenth of that are left out. Words: all insults found,
+and of the clean texts' words the USUAL most frequent, as many others spread over the rest, and in each round the HARD
+ones that the machine likes most. Landmarks: LANDMARKS words, spread over up to LANDMARK_WORDS of each kind.
 
 Defined results: a null or empty text, or one without letters, gets the score of a word without subsequences, near 0.
 Without labelled rows of both classes every text scores 0. Ties of the sample are broken by text. Null ids and repeated
@@ -37,25 +42,27 @@ from .common import give_back, text_of
 #: Subsequence length is three; span, decay for each letter too many, letters of a word looked at together.
 SPAN, DECAY, LETTERS = 5, 0.5, 24
 SAMPLE_DOCS, LANDMARKS, ROUNDS, CACHE, PART = 1500, 300, 3, 150_000, 10_000
+SAMPLE_CHARS, USUAL, HARD, LANDMARK_WORDS = 1 << 25, 2000, 3000, 600
 #: Predicted toxic from this score on; a decision of 0 scores 0.5.
 THRESHOLD = 0.7
 
 # Signs commonly written for letters.
 LOOKALIKES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
 SPACED = re.compile(r"(?<!\S)\S(?:[^\S\n]+\S){2,}(?!\S)")
-SYMBOLS, EDGE = 64, 63
+#: A feature is three letters' code points, of BITS bits each; EDGE, which is no code point, is a word's start or end.
+BITS, EDGE = 21, 0x1FFFFF
 
 
 @lru_cache(maxsize=1)
 def symbol_table() -> np.ndarray:
-    """For each code point a symbol: 1-26 for a-z, 27-62 for other letters by remainder, 0 for what is no letter; EDGE is a word's start or end."""
-    out = np.zeros(0x110000, np.uint8)
+    """For each code point its letter's lower case, signs read as the letters that they stand for, or 0 for what is no letter."""
+    out = np.zeros(0x110000, np.uint32)
     for i in range(0x110000):
         if 0xD800 <= i < 0xE000:
             continue
-        c = LOOKALIKES.get(chr(i), chr(i)).lower()
-        if len(c) == 1 and c.isalpha():
-            out[i] = ord(c) - 96 if "a" <= c <= "z" else 27 + ord(c) % 36
+        c = LOOKALIKES.get(chr(i), chr(i))
+        if c.isalpha():
+            out[i] = ord(c.lower()) if len(c.lower()) == 1 else ord(c)
     return out
 
 
@@ -64,7 +71,7 @@ SHAPES = [(j, k, DECAY ** (k - 2)) for k in range(2, SPAN) for j in range(1, k)]
 
 
 def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sparse subsequence counts of the words: (word, feature, value) with every pair of the first two once, sorted."""
+    """Sparse subsequence counts of the words: (word, feature, value) with every pair of the first two once."""
     n = len(words)
     codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
     sym = symbol_table()[codes].astype(np.int64)
@@ -73,17 +80,21 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     ends = np.arange(n)  # both edges of each word count as letters
     order = np.argsort(np.r_[ends * 3, own * 3 + 1, ends * 3 + 2], kind="stable")
     own, sym = np.r_[ends, own, ends][order], np.r_[np.full(n, EDGE), sym, np.full(n, EDGE)][order]
+    # Letters by their number among these words, so that word and feature are one key.
+    seen = np.flatnonzero(np.bincount(sym, minlength=1))
+    sym, base = np.searchsorted(seen, sym), len(seen)
     idx, val = [], []
     for j, k, weight in SHAPES:
         if len(sym) > k:
             inside = own[k:] == own[:-k]
-            key = ((own[:-k] * SYMBOLS + sym[:-k]) * SYMBOLS + sym[j : len(sym) - k + j]) * SYMBOLS + sym[k:]
+            key = ((own[:-k] * base + sym[:-k]) * base + sym[j : len(sym) - k + j]) * base + sym[k:]
             idx.append(key[inside])
             val.append(np.full(int(inside.sum()), weight))
     if not idx:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     keys, at = np.unique(np.concatenate(idx), return_inverse=True)
-    return keys // SYMBOLS**3, keys % SYMBOLS**3, np.bincount(at, np.concatenate(val))
+    first, second, third = seen[keys // base**2 % base], seen[keys // base % base], seen[keys % base]
+    return keys // base**3, (first << 2 * BITS) + (second << BITS) + third, np.bincount(at, np.concatenate(val))
 
 
 def _dense(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -105,11 +116,36 @@ def pieces(text: str) -> list[str]:
 
 
 class Machine:
-    """Scores words by the folded weights; texts by their worst word."""
+    """Scores words by the folded weights of features (sorted); texts by their worst word."""
 
-    def __init__(self, weights: np.ndarray, bias: float, scale: float, shift: float):
-        self.weights, self.bias, self.scale, self.shift = weights, bias, scale, shift
+    def __init__(self, features: np.ndarray, weights: np.ndarray, bias: float, scale: float, shift: float):
+        self.features, self.weights, self.bias, self.scale, self.shift = features, weights, bias, scale, shift
         self.cache: dict[str, float] = {}
+        parts = [features >> 2 * BITS, features >> BITS & EDGE, features & EDGE]
+        letters = np.unique(np.concatenate(parts))
+        #: The weights as a cube over the features' letters, as long as these are few; 0 stands for all other letters.
+        self.cube = None
+        if len(letters) < 100:
+            self.number = np.zeros(1 << BITS, np.int32)
+            self.number[letters] = np.arange(1, len(letters) + 1)
+            self.side = len(letters) + 1
+            self.cube = np.zeros(self.side**3)
+            self.cube[self._place(features)] = weights
+
+    def _place(self, f: np.ndarray) -> np.ndarray:
+        return (self.number[f >> 2 * BITS] * self.side + self.number[f >> BITS & EDGE]) * self.side + self.number[f & EDGE]
+
+    def weigh(self, f: np.ndarray) -> np.ndarray:
+        """The weights of features, 0 for those that no landmark has."""
+        if self.cube is not None:
+            return self.cube[self._place(f)]
+        at = np.minimum(np.searchsorted(self.features, f), len(self.features) - 1)
+        return np.where(self.features[at] == f, self.weights[at], 0.0)
+
+    @property
+    def parts(self) -> tuple:
+        """What another process makes the machine of."""
+        return self.features, self.weights, self.bias, self.scale, self.shift
 
     def decide(self, words: list[str]) -> np.ndarray:
         """The decision on each word, in parts of PART words."""
@@ -117,7 +153,7 @@ class Machine:
 
     def _decide(self, words: list[str]) -> np.ndarray:
         w, f, v = features(words)
-        dot = np.bincount(w, v * self.weights[f], len(words))
+        dot = np.bincount(w, v * self.weigh(f), len(words))
         norm = np.sqrt(np.bincount(w, v * v, len(words)))
         return dot / np.maximum(norm, 1e-12) + self.bias
 
@@ -144,7 +180,7 @@ class Machine:
 
 def train(texts: list[str], labels: list[int]) -> Machine:
     """Multiple-instance training on whole texts with 0/1 labels."""
-    none = Machine(np.zeros(SYMBOLS**3), -1.0, 50.0, 0.0)
+    none = Machine(np.zeros(0, np.int64), np.zeros(0), -1.0, 50.0, 0.0)
     # Near copies count once, else the rare words of a copied text would look like marks: texts with equal smallest word hashes.
     bags, met = [], set()
     for text, y in zip(texts, labels, strict=True):
@@ -164,7 +200,7 @@ def train(texts: list[str], labels: list[int]) -> Machine:
         return none
     explained = [not b.isdisjoint(seeds) for b in toxic]
     usual = [w for w, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))]
-    negatives = usual[:2000] + usual[2000 :: max(1, len(usual) // 2000)]
+    negatives = usual[:USUAL] + usual[USUAL :: max(1, len(usual) // USUAL)]
     positives = seeds
     for _ in range(ROUNDS):
         machine = fit(positives, negatives)
@@ -177,7 +213,7 @@ def train(texts: list[str], labels: list[int]) -> Machine:
             chosen.update(w for w, x in zip(words, d, strict=True) if x > 0.5)
         positives = seeds + sorted((w for w, n in chosen.items() if c[w] == 0 and w not in seeds), key=lambda w: (-t[w], w))
         hard = sorted(((x, w) for w, x in zip(usual, machine.decide(usual), strict=True) if x > -0.7), reverse=True)
-        negatives = sorted({*negatives, *(w for _, w in hard[:3000])})
+        negatives = sorted({*negatives, *(w for _, w in hard[:HARD])})
     machine = fit(positives, negatives)
     # The score passes the threshold where half of the gap between clean texts' worst words and insults is crossed.
     top = np.sort(machine.worst([" ".join(sorted(b)) for b in clean]))
@@ -187,7 +223,7 @@ def train(texts: list[str], labels: list[int]) -> Machine:
     best = int(errors.argmin())
     cut = (cuts[best] + (cuts[best + 1] if best + 1 < len(cuts) else cuts[best] + 1)) / 2
     scale = 6.0
-    return Machine(machine.weights, machine.bias, scale, cut - math.log(THRESHOLD / (1 - THRESHOLD)) / scale)
+    return Machine(machine.features, machine.weights, machine.bias, scale, cut - math.log(THRESHOLD / (1 - THRESHOLD)) / scale)
 
 
 def marks(toxic: list[set[str]], t: Counter, c: Counter, n_clean: int) -> list[str]:
@@ -227,7 +263,7 @@ def fit(positives: list[str], negatives: list[str]) -> Machine:
     """The support vector machine in the Nyström space of landmarks from both classes."""
     words = [*positives, *negatives]
     y = np.r_[np.ones(len(positives)), -np.ones(len(negatives))]
-    marks = [*spread(positives[:600], LANDMARKS // 2), *spread(negatives[:: max(1, len(negatives) // 600)], LANDMARKS // 2)]
+    marks = [*spread(positives[:LANDMARK_WORDS], LANDMARKS // 2), *spread(negatives[:: max(1, len(negatives) // LANDMARK_WORDS)], LANDMARKS // 2)]
     landmarks, used = _dense(marks)
     kernel = landmarks @ landmarks.T
     values, vectors = np.linalg.eigh(kernel)
@@ -253,13 +289,11 @@ def fit(positives: list[str], negatives: list[str]) -> Machine:
         if np.abs(step - beta).max() < 1e-9:
             break
         beta = step
-    weights = np.zeros(SYMBOLS**3)
-    weights[used] = landmarks.T @ (white @ beta[:-1])
-    return Machine(weights, float(beta[-1]), 6.0, 0.0)
+    return Machine(used, landmarks.T @ (white @ beta[:-1]), float(beta[-1]), 6.0, 0.0)
 
 
-def labelled_sample(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, docs: int = SAMPLE_DOCS) -> tuple[list[str], list[int]]:
-    """About `docs` labelled texts of each class by a hash of the id, whole; sent to the driver in that bounded number."""
+def labelled_sample(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, docs: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> tuple[list[str], list[int]]:
+    """About `docs` labelled texts of each class by a hash of the id, whole, and at most so many characters of each; sent to the driver within these bounds."""
     key = F.pmod(F.xxhash64(F.col("_id"), F.lit(8)), F.lit(1 << 30))
     marks = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).where("_y in (0, 1) and _id is not null").groupBy("_id").agg(F.max("_y").alias("_y")).withColumn("_key", key)
     n = {r[0]: r[1] for r in marks.groupBy("_y").count().collect()}
@@ -267,15 +301,25 @@ def labelled_sample(df: DataFrame, labels: DataFrame, id_col: str, text_col: str
         return [], []
     part = lambda y: F.lit(min(1 << 30, (1 << 30) * docs // n[y] + 1))
     picked = marks.where(F.col("_key") < F.when(F.col("_y") == 1, part(1)).otherwise(part(0)))
-    # About 2 * docs ids: bounded, so broadcast; documents are not shuffled.
-    rows = df.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text")).join(F.broadcast(picked), "_id").select("_key", "_y", "_text").collect()
-    rows.sort(key=lambda r: (r[0], r[2]))
-    return [r[2] for r in rows], [r[1] for r in rows]
+    # About 2 * docs ids: bounded, so broadcast; documents are not shuffled. First the lengths, then the texts within the bound.
+    rows = df.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text")).join(F.broadcast(picked), "_id")
+    room, keys = {0: chars, 1: chars}, []
+    for k, y, size in sorted(tuple(r) for r in rows.select("_key", "_y", F.length("_text")).collect()):
+        if size <= chars // 16 and size <= room[y]:
+            room[y] -= size
+            keys.append((k, y, size))
+    if not keys:
+        return [], []
+    within = df.sparkSession.createDataFrame(keys, "_k long, _l int, _n int").distinct()
+    met = rows.join(F.broadcast(within), (F.col("_key") == F.col("_k")) & (F.col("_y") == F.col("_l")) & (F.length("_text") == F.col("_n")))
+    rows = [tuple(r) for r in met.select("_key", "_text", "_y").collect()]
+    rows.sort()
+    return [r[1] for r in rows], [r[2] for r in rows]
 
 
 def score(df: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc and score of every whole text."""
-    shared = df.sparkSession.sparkContext.broadcast((machine.weights, machine.bias, machine.scale, machine.shift))
+    shared = df.sparkSession.sparkContext.broadcast(machine.parts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Machine(*shared.value)
@@ -293,7 +337,7 @@ def score(df: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str
 
 def keep_clean(df: DataFrame, machine: Machine, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of df that score below the threshold, with df's columns."""
-    shared = df.sparkSession.sparkContext.broadcast((machine.weights, machine.bias, machine.scale, machine.shift))
+    shared = df.sparkSession.sparkContext.broadcast(machine.parts)
 
     at = df.columns.index(text_col)
 

@@ -192,4 +192,45 @@ def test_toxicity_odd(spark, machine):
 def test_training_repeats():
     texts = [f"word{i} und idiot{'s' * (i % 2)} here" if i % 2 else f"word{i} und so on" for i in range(60)]
     a, b = (toxicity.train(texts, [i % 2 for i in range(60)]) for _ in range(2))
-    assert np.array_equal(a.weights, b.weights) and a.shift == b.shift
+    assert np.array_equal(a.features, b.features) and np.array_equal(a.weights, b.weights) and a.shift == b.shift
+
+
+def test_letters_of_any_script():
+    """Insults of other scripts, and weights looked up in a cube and by search alike."""
+    texts = [f"слово{i} и {'дурачина' if i % 2 else 'прохожий'} здесь 今天{chr(0x4E00 + i)}" for i in range(80)]
+    m = toxicity.train(texts, [i % 2 for i in range(80)])
+    scores = [m.score(d) for d in m.worst(["такой дурачина тут", "дура-чина", "такой прохожий тут", "今天天气"])]
+    assert scores[0] >= 0.7 and scores[1] >= 0.7 and scores[2] < 0.7 and scores[3] < 0.7
+    words = ["дурачина", "дурачены", "idiot", "天气", "прохожий"]
+    by_cube = m.decide(words)
+    assert m.cube is not None
+    m.cube = None
+    assert np.allclose(by_cube, m.decide(words))
+
+
+def test_scores_of_a_plain_machine():
+    """Decisions from the folded weights against the machine written out: kernels with every landmark, by enumeration."""
+    positives, negatives = ["idiot", "moron", "stupid"], ["person", "house", "garden", "tree", "und"]
+    m = toxicity.fit(positives, negatives)
+    marks = [*toxicity.spread(positives, toxicity.LANDMARKS // 2), *toxicity.spread(negatives, toxicity.LANDMARKS // 2)]
+    k = np.array([[kernel(a, b) for b in marks] for a in marks])
+    train = np.array([[kernel(a, b) for b in marks] for a in positives + negatives])
+    y = np.r_[np.ones(3), -np.ones(5)]
+    weight = np.where(y > 0, 1 / 3, 1 / 5) * 4
+    values, vectors = np.linalg.eigh(k)
+    white = vectors[:, values > 1e-6 * values.max()] / np.sqrt(values[values > 1e-6 * values.max()])
+    x = np.c_[train @ white, np.ones(8)]
+    beta = np.zeros(x.shape[1])
+    for _ in range(20_000):  # plain gradient descent on the squared hinge loss
+        margin = np.maximum(0, 1 - y * (x @ beta))
+        beta -= 1e-3 * (beta - 10 * x.T @ (weight * y * margin))
+    for word in ["idi0t", "idixot", "people", "houses", "", "mo.ron"]:
+        plain = np.array([kernel(word, b) for b in marks]) @ white @ beta[:-1] + beta[-1]
+        assert abs(plain - m.decide([word])[0]) < 1e-3
+
+
+def test_sample_is_bounded_in_characters(spark):
+    rows = [(i, "x" * (100 if i else 5000), i % 2) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    texts, ys = toxicity.labelled_sample(df.select("doc_id", "text"), df.select("doc_id", "toxic"), "doc_id", "text", "toxic", chars=1600)
+    assert len(texts) == 32 and sum(ys) == 16 and all(len(t) == 100 for t in texts)
