@@ -5,7 +5,9 @@ the encoding of a byte string is its only token sequence in which every adjacent
 such a sequence greedily by the longest token and steps back where that fails; tokens that lie further back than the
 merge list's sufficient lookahead can no longer change and are emitted, so memory does not grow with the text.
 `sufficient_lookahead` computes that bound from the merge list in one pass. Texts are cut into the pre-tokenizer's
-pieces first, slice by slice at places where no piece can cross.
+pieces first, slice by slice at places where no piece can cross; where a text has none for long, its pieces are encoded
+one by one, and a long piece chunk by chunk. So beside the text itself (and the ids, where they are asked for) memory is
+that of a slice.
 
 Defined results: null counts as empty, an empty text has no tokens and decodes to an empty text. A special token's
 string in a text becomes that token, as the tokenizers library does by default. Texts of any length are encoded whole;
@@ -21,6 +23,7 @@ import re
 import struct
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -220,9 +223,24 @@ class Transducer:
     def _plain(self, text: str) -> Iterator[bytes]:
         get, find = self.cache.__getitem__, (self.pieces if NOT_LATIN.search(text) else LATIN_PIECES).findall
         for part in self.slices(text):
-            yield b"".join(map(get, find(part)))
+            if len(part) <= 2 * SLICE:
+                yield b"".join(map(get, find(part)))
+            else:
+                yield from self._uncut(part)
             self.cache.bound()
 
+    def _uncut(self, part: str) -> Iterator[bytes]:
+        """The ids of a long stretch without a place to cut: piece by piece, and a long piece chunk by chunk."""
+        for found in (self.pieces if NOT_LATIN.search(part) else LATIN_PIECES).finditer(part):
+            start, end = found.span()
+            if end - start <= SLICE:
+                yield self.cache[part[start:end]]
+                self.cache.bound()
+            else:
+                ids = self.feed(part[i : min(i + SLICE, end)].encode() for i in range(start, end, SLICE))
+                while chunk := [*islice(ids, SLICE)]:
+                    yield struct.pack(f"<{len(chunk)}I", *chunk)
+
     def decode(self, ids: Iterable[bytes]) -> Iterator[str]:
         """Text from chunks of ids: the state between chunks is the unfinished character's bytes (three at most)."""
         state = codecs.getincrementaldecoder("utf-8")("replace")

@@ -124,3 +124,14 @@ def test_operator(spark, both):
     full = {r.doc: r for r in bpe.encode_documents(df, PATH, texts=True).collect()}
     assert full[1].decoded == "Hello, world" and full[2].n_tokens == 0
     assert bpe.digest_documents(df.limit(0), PATH).count() == 0
+
+
+def test_text_without_white_space_is_streamed(both, monkeypatch):
+    """A text of one piece, and one of many without a place to cut, come in chunks; ids as the library's."""
+    mine, library = both
+    monkeypatch.setattr(bpe, "SLICE", 1 << 10)
+    for text in ("abcdefghij" * 3000, "ab1," * 5000, "词语" * 4000 + "!" * 3000 + " tail of words"):
+        chunks = [*mine.encode(text)]
+        assert max(map(len, chunks)) <= 4 * 4 * bpe.SLICE
+        assert np.frombuffer(b"".join(chunks), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+        assert "".join(mine.decode(chunks)) == text
