@@ -32,6 +32,17 @@ def free_name(df: DataFrame, stem: str) -> str:
     return name
 
 
+def with_hot_keys(rows: DataFrame, facts: DataFrame, key: str, counts: DataFrame, total: int) -> DataFrame:
+    """rows left-joined with facts (one row a key), where some keys may have a large part of the rows.
+
+    counts(key, n) are the rows of each key, total their sum. Keys of over a thousandth of all rows number a thousand at
+    most: bounded, so their facts are broadcast and their rows stay where they are; the others are joined as tables.
+    """
+    hot = counts.where(F.col("n") * 1000 > total).select(key)
+    of_hot = F.broadcast(hot.join(facts, key, "left"))
+    return rows.join(of_hot, key).unionByName(rows.join(F.broadcast(hot), key, "left_anti").join(facts, key, "left"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges(a, b), as (id, comp): comp is the smallest id that links reach.
 

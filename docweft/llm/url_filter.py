@@ -6,8 +6,8 @@ those that link there; each seed counts by the part of its pages. A host is bloc
 an even spread's and over RATIO times its trust, else allowed. A page's own longest fitting rule decides before its host.
 
 Each round is one equi-join of edges with the ranks of both kinds and one sum with map-side combining; ranks are written
-to the shared folder after each round. Rules meet distinct hosts, never pages; the pages join the table of hosts once,
-and a hot host's pages are split by adaptive execution.
+to the shared folder after each round. Rules meet distinct hosts, never pages; the pages of hot hosts meet what is known
+of these by broadcast, all others the table of hosts (common.with_hot_keys).
 
 Defined results: a null url, or one without `://`, has an empty host and path, no rule and the verdict `allow`. An
 unfinished or odd link counts for nothing; null html has no links. Of equally long fitting rules the first in code-point
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, stored
+from .common import free_name, stored, with_hot_keys
 
 #: Rules of the registered query: (verdict, rule).
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
@@ -78,13 +78,15 @@ def ranks(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds:
 
 def judge(df: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """df's id with host, path, rule, verdict, trust and distrust of every row."""
-    pages = df.select(F.col(id_col), host(F.col(url_col)).alias("host"), path(F.col(url_col)).alias("path"))
+    pages = stored(df.select(F.col(id_col), host(F.col(url_col)).alias("host"), path(F.col(url_col)).alias("path")), "pages")
+    counts = stored(pages.groupBy("host").agg(F.count("*").alias("n")), "counts")
+    total = pages.count()
     edges = stored(host_edges(df, url_col, html_col), "edges")
-    hosts = stored(pages.select("host").unionByName(edges.select(F.col("dst").alias("host"))).where("host <> ''").distinct(), "hosts")
+    hosts = stored(counts.select("host").unionByName(edges.select(F.col("dst").alias("host"))).where("host <> ''").distinct(), "hosts")
     fitting = hosts.withColumn("rule_host", F.explode(suffixes(F.col("host")))).join(rule_table(df, rules), "rule_host")
     of_host = fitting.groupBy("host").agg(F.collect_list(F.struct("rule", "rule_verdict", "rule_path")).alias("rules"))
     best = F.array_sort(F.filter("rules", lambda r: F.startswith(F.col("path"), r["rule_path"])), lambda a, b: F.when(F.length(a["rule"]) != F.length(b["rule"]), F.length(b["rule"]) - F.length(a["rule"])).when(a["rule"] < b["rule"], -1).when(a["rule"] > b["rule"], 1).otherwise(0))
-    ruled = pages.join(of_host, "host", "left").withColumn("best", F.get(best, F.lit(0)))
+    ruled = with_hot_keys(pages, stored(of_host, "rules"), "host", counts, total).withColumn("best", F.get(best, F.lit(0)))
     ruled = stored(ruled.select(id_col, "host", "path", F.col("best.rule").alias("rule"), F.col("best.rule_verdict").alias("by_rule")), "ruled")
     # Seeds: each host by the part of its pages that rules allow, or block.
     part = {"trust": "allow", "distrust": "block"}
@@ -96,7 +98,7 @@ def judge(df: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "u
     n = hosts.count()
     value = value.groupBy("host").agg(*(F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("value"))), F.lit(0.0)).alias(k) for k in part))
     value = stored(value.select("host", *((F.col(k) * n).alias(k) for k in part)), "values")
-    found = ruled.join(value, "host", "left")
+    found = with_hot_keys(ruled, value, "host", counts, total)
     trust, distrust = (F.coalesce(k, F.lit(0.0)) for k in part)
     method = F.when((distrust > LEAST) & (distrust > RATIO * trust), "block").otherwise("allow")
     return found.select(id_col, "host", "path", "rule", F.coalesce("by_rule", method).alias("verdict"), trust.alias("trust"), distrust.alias("distrust"))

@@ -436,3 +436,70 @@ def test_propagation(spark):
         assert r.trust == pytest.approx(n * value.get((h, "trust"), 0)) and r.distrust == pytest.approx(n * value.get((h, "distrust"), 0))
     assert rows["bad.net"].verdict == "block" and rows["good.org"].verdict == "allow" and rows["lone.com"].verdict == "allow"
     assert rows["friend.com"].verdict == ("block" if rows["friend.com"].distrust > 1 else "allow")
+
+
+def brute_verdicts(pages):
+    """page_id -> (host, path, rule, verdict): the method written out over dictionaries, from the pages' own text."""
+    links, split = set(), {i: split_url(u) for i, u, _ in pages}
+    for i, _, html in pages:
+        for m in re.finditer(r"""(?i)\bhref\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)""", html or ""):
+            to = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in m[1])
+            if split[i][0] and split[i][0] != to:
+                links.add((split[i][0], to))
+    hosts = {h for e in links for h in e} | {h for h, _ in split.values() if h}
+    seeds = {"allow": defaultdict(float), "block": defaultdict(float)}
+    pages_of = defaultdict(list)
+    for h, path in split.values():
+        if h:
+            pages_of[h].append(rule_of(h, path)[1])
+    for h, verdicts in pages_of.items():
+        for kind in seeds:
+            if kind in verdicts:
+                seeds[kind][h] = verdicts.count(kind) / len(verdicts)
+    rank = {}
+    for kind, seed in seeds.items():
+        steps = links if kind == "allow" else {(b, a) for a, b in links}
+        out = defaultdict(int)
+        for a, _ in steps:
+            out[a] += 1
+        all_of = sum(seed.values())
+        start = {h: v / all_of for h, v in seed.items()}
+        now = dict(start)
+        for _ in range(10 if links else 0):
+            new = defaultdict(float, {h: 0.15 * v for h, v in start.items()})
+            for a, b in steps:
+                new[b] += 0.85 * now.get(a, 0.0) / out[a]
+            now = new
+        rank[kind] = {h: v * len(hosts) for h, v in now.items()}
+    done = {}
+    for i, (h, path) in split.items():
+        rule, verdict = rule_of(h, path)
+        trust, distrust = rank["allow"].get(h, 0.0), rank["block"].get(h, 0.0)
+        done[i] = (h, path, rule, verdict or ("block" if distrust > 1 and distrust > trust else "allow"))
+    return done
+
+
+def test_verdicts_of_the_method(spark):
+    """Every verdict on the pages of sf0.01, rules and links, and on planted graphs where links decide."""
+    pages = [(r.page_id, r.url, r.html) for r in spark.read.parquet(f"{SF}/pages.parquet").collect()]
+    assert {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in queries.op5_url_filter(spark, SF).collect()} == brute_verdicts(pages)
+    rng = random.Random(5)
+    link = lambda *hs: " ".join(f"<a HREF='//{h}/x'>" for h in hs)
+    bad, good, rest = [f"b{i}.net" for i in range(5)], [f"g{i}.org" for i in range(5)], [f"h{i}.com" for i in range(60)]
+    planted = [(i, f"http://{h}/", "") for i, h in enumerate(bad)] + [(10 + i, f"http://{h}/fr/", link(*rng.sample(rest, 6))) for i, h in enumerate(good)]
+    planted += [(100 + i, f"http://{h}/", link(*rng.sample(bad, 2 if i % 4 == 1 else 0), *rng.sample(rest, 2)) if i % 7 else None) for i, h in enumerate(rest)]
+    planted += [(300 + i, "http://h1.com/other", link("b0.net")) for i in range(200)] + [(600, "ftp://H1.com", ""), (601, None, link("b0.net")), (602, "no url", None)]
+    df = spark.createDataFrame(planted, "page_id long, url string, html string").repartition(5)
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge(df).collect()}
+    want = brute_verdicts(planted)
+    assert got == want
+    by_links = [v for _, _, rule, v in want.values() if rule is None]
+    assert by_links.count("block") > 5 and by_links.count("allow") > 5
+
+
+def test_odd_pages(spark):
+    """Rows that repeat, null ids and html, and two rules that fit equally."""
+    rows = [(None, "http://a.net/", None), (1, "http://b.net/", None), (1, "http://b.net/", None)]
+    rules = (("allow", "net/"), ("block", "b.net/"), ("allow", "b.net/"))
+    got = [(r.page_id, r.rule, r.verdict) for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), rules).collect()]
+    assert sorted(got, key=str) == [(1, "b.net/", "block"), (1, "b.net/", "block"), (None, "net/", "allow")]
