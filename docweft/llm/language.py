@@ -163,24 +163,32 @@ class Parser:
         blocks = [t[j : j + BLOCK] for t in texts for j in range(0, len(t), BLOCK)]
         sizes = np.array([len(b) for b in blocks], np.int64)
         inner = np.flatnonzero(np.diff(of, prepend=-1) == 0)  # blocks with one of their text before them
-        out = np.zeros((len(texts), len(self.langs)), np.int64)
-        for lang, start in enumerate(self.starts):
-            own, ends = np.zeros(len(blocks), np.int64), np.zeros(len(blocks), np.int32)
-            order = np.argsort(-sizes, kind="stable")
-            for first in range(0, len(order), LANES):
-                lanes = order[first : first + LANES]
-                own[lanes], ends[lanes] = self._parse(lang, _side_by_side([blocks[k] for k in lanes]), sizes[lanes], np.full(len(lanes), start, np.int32))
-            more, todo = np.zeros(len(blocks), np.int64), inner
-            while len(todo):
-                todo = todo[np.argsort(-sizes[todo], kind="stable")]
-                changed = [self._joined(lang, [blocks[k] for k in part], sizes[part], ends[part - 1], start) for first in range(0, len(todo), LANES) for part in [todo[first : first + LANES]]]
-                more[todo] = np.concatenate([c[0] for c in changed])
-                new = np.concatenate([c[1] for c in changed])
-                moved = np.zeros(len(blocks) + 1, bool)
-                moved[todo[(new >= 0) & (new != ends[todo])] + 1] = True
-                ends[todo] = np.where(new >= 0, new, ends[todo])
-                todo = inner[moved[inner]]
-            np.add.at(out[:, lang], of, own + more)
+        k = len(self.langs)
+        own, more, ends = np.zeros((k, len(blocks)), np.int64), np.zeros((k, len(blocks)), np.int64), np.zeros((k, len(blocks)), np.int32)
+
+        def parts(which: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            which = which[np.argsort(-sizes[which], kind="stable")]
+            for first in range(0, len(which), LANES):
+                part = which[first : first + LANES]
+                yield part, _side_by_side([blocks[b] for b in part])
+
+        for part, grid in parts(np.arange(len(blocks))):
+            for lang, start in enumerate(self.starts):
+                own[lang, part], ends[lang, part] = self._parse(lang, grid, sizes[part], np.full(len(part), start, np.int32))
+        open_ends = dict.fromkeys(range(k), inner)
+        while open_ends:
+            new = ends.copy()
+            for part, grid in parts(np.unique(np.concatenate([*open_ends.values()]))):
+                for lang, todo in open_ends.items():
+                    mine = np.flatnonzero(np.isin(part, todo)) if len(todo) < len(inner) else np.arange(len(part))
+                    at = part[mine]
+                    more[lang, at], end = self._joined(lang, grid, mine, sizes[at], ends[lang, at - 1], self.starts[lang])
+                    new[lang, at] = np.where(end >= 0, end, ends[lang, at])
+            moved = {lang: np.flatnonzero(new[lang] != ends[lang]) + 1 for lang in open_ends}
+            ends = new
+            open_ends = {lang: at for lang, m in moved.items() if len(at := np.intersect1d(m, inner))}
+        out = np.zeros((len(texts), k), np.int64)
+        np.add.at(out, of, (own + more).T)
         return out
 
     def _parse(self, lang: int, grid: np.ndarray, sizes: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -199,24 +207,25 @@ class Parser:
         ends[: len(state)] = state
         return total, ends
 
-    def _joined(self, lang: int, blocks: list[np.ndarray], sizes: np.ndarray, before: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
-        """How many more phrases begin in blocks (longest first) if parsing goes on from the states before them and not from the start; the states at their ends, or -1 where both ways meet."""
-        look, local, grid = self.steps[lang], self.local[lang], _side_by_side(blocks)
+    def _joined(self, lang: int, grid: np.ndarray, at: np.ndarray, sizes: np.ndarray, before: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
+        """How many more phrases begin in blocks (columns `at` of the grid) if parsing goes on from the states before them and not from the start; the states at their ends, or -1 where both ways meet."""
+        look, local = self.steps[lang], self.local[lang]
         more, ends = np.zeros(len(sizes), np.int64), np.full(len(sizes), -1, np.int32)
-        at, fresh, on = np.arange(len(sizes)), np.full(len(sizes), start, np.int32), before
-        for step in range(len(grid)):
-            ended = sizes[at] <= step
-            apart = (fresh != on) & ~ended
-            ends[at[ended]] = on[ended]
+        on_at, fresh, on = np.arange(len(sizes)), np.full(len(sizes), start, np.int32), before
+        for step in range(len(grid) + 1):
+            ended = sizes[on_at] <= step
+            apart = fresh != on
+            if ended.any():
+                ends[on_at[ended & apart]] = on[ended & apart]
+                apart &= ~ended
             if not apart.all():
-                at, fresh, on = at[apart], fresh[apart], on[apart]
-            if not len(at):
+                on_at, fresh, on = on_at[apart], fresh[apart], on[apart]
+            if not len(on_at):
                 break
-            symbol = local[grid[step, at]]
+            symbol = local[grid[step, at[on_at]]]
             fresh, on = look(fresh, symbol), look(on, symbol)
-            more[at] += (on & 1) - (fresh & 1)
+            more[on_at] += (on & 1) - (fresh & 1)
             fresh, on = fresh >> 1, on >> 1
-        ends[at[fresh != on]] = on[fresh != on]
         return more, ends
 
     def judge(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
