@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import threading
 import uuid
 from collections.abc import Iterator
@@ -35,11 +36,39 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _made = threading.local()
+_folders: set[str] = set()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, in this application's part of it, which is deleted when the driver's process ends."""
+    folder = f"{shared_dir(spark)}/docweft/{spark.sparkContext.applicationId}"
+    if folder not in _folders:
+        _folders.add(folder)
+        atexit.register(_at_end, spark, folder)
+    return f"{folder}/{uuid.uuid4().hex}/{name}"
+
+
+def _at_end(spark: SparkSession, folder: str) -> None:
+    try:
+        _delete(spark, folder)
+    except Exception:  # noqa: BLE001  the JVM may be gone; then the folder stays for whoever clears the shared one
+        pass
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes a table of `written` that nothing will read any more; other DataFrames are left alone."""
+    if hasattr(df, "_written_at"):
+        _delete(df.sparkSession, df._written_at)
 
 
 def written(df: DataFrame, name: str = "step") -> DataFrame:
     """Cuts df's lineage by a table in the shared folder: a lost executor costs no step before it."""
-    path = f"{shared_dir(df.sparkSession)}/docweft/{uuid.uuid4().hex}/{name}"
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     for paths in getattr(_made, "scopes", ()):
         paths.append(path)
@@ -59,8 +88,7 @@ def scratch(spark: SparkSession) -> Iterator[list[DataFrame]]:
         yield keep
         for path in paths:
             if path not in [df._written_at for df in keep]:
-                at = spark._jvm.org.apache.hadoop.fs.Path(path)
-                at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at.getParent(), True)
+                _delete(spark, path)
     finally:
         scopes.remove(paths)
 
