@@ -20,7 +20,6 @@ are all kept or all not, and `keep_first` keeps one of them. Empty tables give e
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -30,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweft.session import shared_dir
+from docweft.session import new_path
 
 from .common import WHITE, free_name, stored, text_of
 
@@ -165,7 +164,7 @@ def _flagged(df: DataFrame, id_col: str, text_col: str, limit: int):
         maybe = member(spark, repeated_filter(keyed.select("h"), rows, limit))
         return stored(keyed.withColumn("maybe", maybe("h")).drop("h"), "flagged"), rows, maybe
     # A power of two of parts, by high bits of the hash, which place nothing within a filter.
-    at = f"{shared_dir(spark)}/docweft/{uuid.uuid4().hex}/by_part"
+    at = new_path(spark, "by_part")
     keyed.withColumn("part", F.shiftrightunsigned("h", 64 - (parts - 1).bit_length()).cast("int")).write.partitionBy("part").parquet(at)
     by_part = spark.read.schema(f"doc {keyed.schema['doc'].dataType.simpleString()}, sha string, h long, part int").parquet(at)
     out = None
