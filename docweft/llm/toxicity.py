@@ -70,31 +70,36 @@ def symbol_table() -> np.ndarray:
 SHAPES = [(j, k, DECAY ** (k - 2)) for k in range(2, SPAN) for j in range(1, k)]
 
 
-def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sparse subsequence counts of the words: (word, feature, value) with every pair of the first two once."""
+def _counts(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Subsequence counts of the words: (key, value, base, letters); a key has the word and three letters as digits to the base, letters by number."""
     n = len(words)
     codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
-    sym = symbol_table()[codes].astype(np.int64)
+    sym = symbol_table()[codes]
     own = np.repeat(np.arange(n), [len(w) for w in words])
     own, sym = own[sym > 0], sym[sym > 0]
     ends = np.arange(n)  # both edges of each word count as letters
     order = np.argsort(np.r_[ends * 3, own * 3 + 1, ends * 3 + 2], kind="stable")
-    own, sym = np.r_[ends, own, ends][order], np.r_[np.full(n, EDGE), sym, np.full(n, EDGE)][order]
-    # Letters by their number among these words, so that word and feature are one key.
-    seen = np.flatnonzero(np.bincount(sym, minlength=1))
-    sym, base = np.searchsorted(seen, sym), len(seen)
-    idx, val = [], []
+    own, sym = np.r_[ends, own, ends][order], np.r_[np.full(n, EDGE, np.uint32), sym, np.full(n, EDGE, np.uint32)][order]
+    letters, sym = np.unique(sym, return_inverse=True)
+    base = max(1, len(letters))
+    idx, val = [np.zeros(0, np.int64)], [np.zeros(0)]
     for j, k, weight in SHAPES:
         if len(sym) > k:
             inside = own[k:] == own[:-k]
             key = ((own[:-k] * base + sym[:-k]) * base + sym[j : len(sym) - k + j]) * base + sym[k:]
             idx.append(key[inside])
             val.append(np.full(int(inside.sum()), weight))
-    if not idx:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     keys, at = np.unique(np.concatenate(idx), return_inverse=True)
-    first, second, third = seen[keys // base**2 % base], seen[keys // base % base], seen[keys % base]
-    return keys // base**3, (first << 2 * BITS) + (second << BITS) + third, np.bincount(at, np.concatenate(val))
+    return keys, np.bincount(at, np.concatenate(val)), base, letters.astype(np.int64)
+
+
+def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sparse subsequence counts of the words: (word, feature, value) with every pair of the first two once."""
+    keys, value, base, letters = _counts(words)
+    if not len(keys):
+        return keys, keys, value
+    first, second, third = letters[keys // base**2 % base], letters[keys // base % base], letters[keys % base]
+    return keys // base**3, (first << 2 * BITS) + (second << BITS) + third, value
 
 
 def _dense(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -124,23 +129,26 @@ class Machine:
         parts = [features >> 2 * BITS, features >> BITS & EDGE, features & EDGE]
         letters = np.unique(np.concatenate(parts))
         #: The weights as a cube over the features' letters, as long as these are few; 0 stands for all other letters.
-        self.cube = None
+        self.letters, self.cube = letters, None
         if len(letters) < 100:
-            self.number = np.zeros(1 << BITS, np.int32)
-            self.number[letters] = np.arange(1, len(letters) + 1)
             self.side = len(letters) + 1
             self.cube = np.zeros(self.side**3)
-            self.cube[self._place(features)] = weights
-
-    def _place(self, f: np.ndarray) -> np.ndarray:
-        return (self.number[f >> 2 * BITS] * self.side + self.number[f >> BITS & EDGE]) * self.side + self.number[f & EDGE]
-
-    def weigh(self, f: np.ndarray) -> np.ndarray:
-        """The weights of features, 0 for those that no landmark has."""
-        if self.cube is not None:
-            return self.cube[self._place(f)]
-        at = np.minimum(np.searchsorted(self.features, f), len(self.features) - 1)
-        return np.where(self.features[at] == f, self.weights[at], 0.0)
+            a, b, c = (np.searchsorted(letters, x) + 1 for x in parts)
+            self.cube[(a * self.side + b) * self.side + c] = weights
+
+    def weigh(self, keys: np.ndarray, base: int, letters: np.ndarray) -> np.ndarray:
+        """The weights of features (see _counts), 0 for those that no landmark has."""
+        if not len(self.features):
+            return np.zeros(len(keys))
+        if self.cube is None:
+            f = (letters[keys // base**2 % base] << 2 * BITS) + (letters[keys // base % base] << BITS) + letters[keys % base]
+            at = np.minimum(np.searchsorted(self.features, f), len(self.features) - 1)
+            return np.where(self.features[at] == f, self.weights[at], 0.0)
+        at = np.minimum(np.searchsorted(self.letters, letters), len(self.letters) - 1)
+        number = np.where(self.letters[at] == letters, at + 1, 0)
+        two = (number[:, None] * self.side + number) * self.side  # the place of each two letters in the cube
+        last = keys % base
+        return self.cube[two.ravel()[keys // base % base**2] + number[last]]
 
     @property
     def parts(self) -> tuple:
@@ -152,8 +160,9 @@ class Machine:
         return np.concatenate([self._decide(words[i : i + PART]) for i in range(0, len(words), PART)]) if words else np.zeros(0)
 
     def _decide(self, words: list[str]) -> np.ndarray:
-        w, f, v = features(words)
-        dot = np.bincount(w, v * self.weigh(f), len(words))
+        keys, v, base, letters = _counts(words)
+        w = keys // base**3
+        dot = np.bincount(w, v * self.weigh(keys, base, letters), len(words))
         norm = np.sqrt(np.bincount(w, v * v, len(words)))
         return dot / np.maximum(norm, 1e-12) + self.bias
 
