@@ -23,23 +23,23 @@ def prediction_key(kind: Column, text: Column) -> Column:
 
 
 def in_windows(nodes: DataFrame, anchors: DataFrame, windows: DataFrame) -> DataFrame:
-    """Nodes other than PAPER and SECTION with an anchor whose box holds a gold window on its page."""
-    a = anchors.select(F.col("id").alias("anchor_id"), F.col("page_number").alias("page"), F.col("bbox").alias("a_box"))
-    w = windows.select("page", F.col("bbox").alias("w_box"))
+    """Nodes other than PAPER and SECTION with an anchor whose box holds a gold window on its page of its paper."""
+    a = anchors.select(F.col("id").alias("anchor_id"), "paper_id", F.col("page_number").alias("page"), F.col("bbox").alias("a_box"))
+    w = windows.select("paper_id", "page", F.col("bbox").alias("w_box"))
     rows = nodes.where(~F.col("type").isin("PAPER", "SECTION")).select("id", F.explode("provenance").alias("anchor_id"))
-    hits = rows.join(a, "anchor_id").join(F.broadcast(w), "page").where(contains(F.col("a_box"), F.col("w_box"))).select("id").distinct()
+    hits = rows.join(a, "anchor_id").join(w, ["paper_id", "page"]).where(contains(F.col("a_box"), F.col("w_box"))).select("id").distinct()
     return nodes.join(hits, "id", "left_semi")
 
 
 def gold_matches(gold: DataFrame, nodes: DataFrame, anchors: DataFrame) -> DataFrame:
     """Per gold item (gold_id) the node that has all its components: same type first, then the smallest id; null if none.
 
-    A component fits where an anchor of the node lies on the item's page, holds its box, and the node's text its text.
+    A component fits where an anchor of the node lies on the item's page of its paper, holds its box, and the node's text its text.
     """
-    parts = gold.select(F.col("id").alias("gold_id"), F.col("type").alias("gold_type"), "page", F.size("components").alias("n"), F.posexplode("components").alias("part", "c"))
+    parts = gold.select(F.col("id").alias("gold_id"), F.col("type").alias("gold_type"), "paper_id", "page", F.size("components").alias("n"), F.posexplode("components").alias("part", "c"))
     own = nodes.where(~F.col("type").isin("PAPER", "SECTION")).select("id", "type", tx.compact(F.col("text")).alias("flat"), F.explode("provenance").alias("anchor_id"))
-    own = own.join(anchors.select(F.col("id").alias("anchor_id"), F.col("page_number").alias("page"), "bbox"), "anchor_id")
-    hits = own.join(parts, "page").where(contains(F.col("bbox"), F.col("c.bbox")) & F.contains("flat", tx.compact(F.col("c.text"))))
+    own = own.join(anchors.select(F.col("id").alias("anchor_id"), "paper_id", F.col("page_number").alias("page"), "bbox"), "anchor_id")
+    hits = own.join(parts, ["paper_id", "page"]).where(contains(F.col("bbox"), F.col("c.bbox")) & F.contains("flat", tx.compact(F.col("c.text"))))
     per = hits.groupBy("gold_id", "gold_type", "n", "id", "type").agg(F.count_distinct("part").alias("found")).where("found = n")
     best = per.groupBy("gold_id").agg(F.min_by(F.struct("id", "type"), F.struct((F.col("type") != F.col("gold_type")).cast("int"), F.col("id"))).alias("b"))
     return gold.select(F.col("id").alias("gold_id"), F.col("type").alias("gold_type")).join(best, "gold_id", "left").select("gold_id", "gold_type", F.col("b.id").alias("node_id"), (F.col("b.type") == F.col("gold_type")).alias("same_type"))
@@ -96,6 +96,40 @@ def predecessors(old: DataFrame, new: DataFrame, on: list[str]) -> DataFrame:
     return per.select("new_id", F.when(state == "PAIRED", F.coalesce("same", "any")).alias("old_id"), state.alias("state"))
 
 
+def removed(old: DataFrame, new: DataFrame, pairs: DataFrame, source: str = "source_hash") -> DataFrame:
+    """(old_id, state, source_preserved): old rows that no new one is paired with, and whether some new row still has their source."""
+    left = old.join(pairs.where("state = 'PAIRED'").select(F.col("old_id").alias("id")), "id", "left_anti")
+    have = new.select(source, F.lit(True).alias("_have")).distinct()
+    return left.join(have, source, "left").select(F.col("id").alias("old_id"), F.lit("REMOVED_CANDIDATE").alias("state"), F.coalesce("_have", F.lit(False)).alias("source_preserved"))
+
+
+def version_map(old: DataFrame, new: DataFrame, on: list[str], material: tuple[str, ...], other: tuple[str, ...] = (), source: str = "source_hash") -> DataFrame:
+    """(new_id, old_id, state): every new row EXACT, NONMATERIAL or MATERIAL beside its one predecessor, AMBIGUOUS_MATCH or NEW_CANDIDATE; every old row without a successor REMOVED_CANDIDATE. Decisions are not carried."""
+    pairs = predecessors(old, new, on)
+    fields = [*material, *other]
+    rows = pairs.join(new.select(F.col("id").alias("new_id"), F.struct(*fields).alias("_n")), "new_id").join(old.select(F.col("id").alias("old_id"), F.struct(*fields).alias("_o")), "old_id", "left")
+    state = F.when(F.col("state") == "NEW", "NEW_CANDIDATE").when(F.col("state") == "AMBIGUOUS", "AMBIGUOUS_MATCH").otherwise(change(F.col("_o"), F.col("_n"), material, other))
+    gone = removed(old, new, pairs, source).select(F.lit(None).cast(new.schema["id"].dataType).alias("new_id"), "old_id", "state")
+    return rows.select("new_id", "old_id", state.alias("state")).unionByName(gone)
+
+
+def drifted(ledger: DataFrame, now: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """(key, drift): rows of a frozen ledger that are gone, and the names of the fields that have changed."""
+    n = now.select(key, F.struct(*fields).alias("_now"))
+    rows = ledger.select(key, F.struct(*fields).alias("_was")).join(n, key, "left")
+    changed = F.array_compact(F.array(*(F.when(~F.col(f"_was.{f}").eqNullSafe(F.col(f"_now.{f}")), f) for f in fields)))
+    drift = F.when(F.col("_now").isNull(), F.array(F.lit("(gone)"))).otherwise(changed)
+    return rows.select(key, F.array_join(drift, ",").alias("drift")).where("drift <> ''")
+
+
+def packet(mapped: DataFrame, events: DataFrame, key: str, order: str, decision: str) -> DataFrame:
+    """(new_id, old_id, state, status, previous): what a reviewer sees of each mapped row: STALE, MATCHING or NEW_UNREVIEWED, and the predecessor's last decision for reading only."""
+    last = events.groupBy(F.col(key).alias("old_id")).agg(F.max_by(decision, order).alias("previous"))
+    rows = mapped.join(last, "old_id", "left")
+    status = F.when(F.col("new_id").isNull(), "REMOVED").when(F.col("previous").isNull(), "NEW_UNREVIEWED").when(F.col("state") == "EXACT", "MATCHING").otherwise("STALE")
+    return rows.select("new_id", "old_id", "state", status.alias("status"), "previous")
+
+
 def mapped_edges(old: DataFrame, new: DataFrame, pairs: DataFrame) -> DataFrame:
     """(new_id, old_id): new edges matched to old ones through the nodes' pairs, by source, target and relation."""
     p = pairs.where("state = 'PAIRED'")
@@ -119,6 +153,19 @@ def rebuilt(stored: DataFrame, fresh: DataFrame, fields: list[str], updatable: t
     return rows.select("id", action.alias("action"), F.when(action == "added", 1).when(action == "updated", F.col("version") + 1).otherwise(F.col("version")).alias("version"))
 
 
+def rebuilt_evidence(actions: DataFrame, old: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Evidence(node_id, anchor_id) after a rebuild: that of updated and added nodes is the fresh build's, that of all others stays."""
+    act = actions.select(F.col("id").alias("node_id"), F.col("action").isin("updated", "added").alias("_new"))
+    kept = old.join(act.where("not _new").select("node_id"), "node_id", "left_semi")
+    return kept.select("node_id", "anchor_id").unionByName(fresh.join(act.where("_new").select("node_id"), "node_id", "left_semi").select("node_id", "anchor_id"))
+
+
+def rebuilt_edges(actions: DataFrame, edges: DataFrame) -> DataFrame:
+    """Edges with version + 1 where their target was updated."""
+    up = actions.where("action = 'updated'").select(F.col("id").alias("target_node_id"), F.lit(1).alias("_up"))
+    return edges.join(up, "target_node_id", "left").withColumn("version", F.col("version") + F.coalesce("_up", F.lit(0))).drop("_up")
+
+
 def contained_items(items: DataFrame, docs: DataFrame, item: str, doc: str, text: str = "text", n: int = 5) -> DataFrame:
     """(item, doc): documents whose white-space compacted text holds the item's; items of fewer than n words are not looked for.
 

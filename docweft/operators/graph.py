@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..schema import INACTIVE, VIEWS
@@ -129,11 +130,17 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def numbered_groups(parts: DataFrame, kind: str) -> DataFrame:
-    """Components as groups kind:1, kind:2, … in the order of their smallest node."""
-    groups = parts.groupBy("component").agg(F.array_sort(F.collect_set("id")).alias("nodes"))
-    from pyspark.sql import Window as W
+    """(group, type, id): the members of components as groups kind:1, kind:2, … in the order of their smallest node, a row a member.
 
-    return groups.select(F.concat(F.lit(f"{kind}:"), F.dense_rank().over(W.orderBy("component"))).alias("id"), F.lit(kind).alias("type"), "nodes")
+    Components are numbered within ranges of their smallest nodes; what the ranges before hold is added.
+    """
+    ranges = parts.select("component").distinct().repartitionByRange("component").withColumn("_range", F.spark_partition_id())
+    ranges = written(ranges, "ranges")
+    before = ranges.groupBy("_range").agg(F.count("*").alias("_n"))  # a row a task
+    before = before.select("_range", F.coalesce(F.sum("_n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    numbers = ranges.withColumn("_at", F.row_number().over(W.partitionBy("_range").orderBy("component"))).join(F.broadcast(before), "_range")
+    numbers = numbers.select("component", F.concat(F.lit(f"{kind}:"), F.col("_before") + F.col("_at")).alias("group"))
+    return parts.join(numbers, "component").select("group", F.lit(kind).alias("type"), "id")
 
 
 def learning_order(concepts: DataFrame, needs: DataFrame) -> DataFrame:
@@ -143,18 +150,19 @@ def learning_order(concepts: DataFrame, needs: DataFrame) -> DataFrame:
     concept never come: blocked, with a null wave.
     """
     left = written(concepts.select("id", "frequency"), "left")
-    done = left.limit(0).withColumn("wave", F.lit(0))
-    wave = 0
+    need = written(needs.join(left.select("id"), "id", "left_semi").select("id", "requires").distinct(), "needs")
+    waves = []
     while True:
-        open_ = needs.join(left.select("id"), "id", "left_semi").join(done.select(F.col("id").alias("requires")), "requires", "left_anti").select("id").distinct()
-        ready = written(left.join(open_, "id", "left_anti"), "ready")
+        ready = written(left.join(need.select("id").distinct(), "id", "left_anti").withColumn("wave", F.lit(len(waves) + 1)), "ready")
         if ready.isEmpty():
             break
-        wave += 1
-        done = written(done.unionByName(ready.withColumn("wave", F.lit(wave))), "done")
+        waves.append(ready)
         left = written(left.join(ready.select("id"), "id", "left_anti"), "left")
-    rows = done.select("id", "frequency", "wave", F.lit(False).alias("blocked"))
-    return rows.unionByName(left.select("id", "frequency", F.lit(None).cast("int").alias("wave"), F.lit(True).alias("blocked")))
+        need = written(need.join(ready.select(F.col("id").alias("requires")), "requires", "left_anti").select("id", "requires"), "needs")
+    rows = left.select("id", "frequency", F.lit(None).cast("int").alias("wave"), F.lit(True).alias("blocked"))
+    for ready in waves:
+        rows = rows.unionByName(ready.select("id", "frequency", "wave", F.lit(False).alias("blocked")))
+    return rows
 
 
 def betweenness(links: DataFrame) -> DataFrame:
@@ -203,27 +211,48 @@ def betweenness(links: DataFrame) -> DataFrame:
 
 
 def resolved(aliases: DataFrame) -> DataFrame:
-    """(alias, id): where chains of aliases(alias, id) end, by pointer jumping; a chain that runs into a cycle stays where the rounds end."""
-    now = written(aliases.select("alias", "id").where("alias <> id"), "aliases")
-    for _ in range(64):
-        far = now.select(F.col("alias").alias("id"), F.col("id").alias("far"))
-        new = written(now.join(far, "id", "left").select("alias", F.when(F.col("far").isNull() | (F.col("far") == F.col("alias")), F.col("id")).otherwise(F.col("far")).alias("id"), "far"), "aliases")
-        now = new.select("alias", "id")
-        if new.where(F.col("far").isNotNull() & (F.col("far") != F.col("alias"))).isEmpty():
-            break
+    """(alias, id): where chains of aliases(alias, id) end; a chain that runs into a cycle ends where it enters it, and an alias on a cycle at itself.
+
+    Pointer jumping: after as many rounds as the number of aliases has binary digits, chains that still have not ended
+    point into cycles, at every alias of these; their links are then left out and the jumps done once more.
+    """
+    links = written(aliases.select("alias", "id").where("alias <> id"), "aliases")
+    now, open_ = _jumped(links, max(1, links.count()).bit_length())
+    if not open_.isEmpty():
+        loop = written(open_.select(F.col("id").alias("alias")).distinct(), "loop")
+        now, _ = _jumped(links.join(loop, "alias", "left_anti"), 64)
+        now = now.unionByName(loop.select("alias", F.col("alias").alias("id")))
     return now
 
 
+def _jumped(links: DataFrame, rounds: int) -> tuple[DataFrame, DataFrame]:
+    """links(alias, id) after so many rounds of doubled jumps, fewer if all have ended; and those that have not."""
+    now = links
+    for _ in range(rounds + 1):
+        far = now.select(F.col("alias").alias("id"), F.col("id").alias("far"))
+        new = written(now.join(far, "id", "left").select("alias", F.coalesce("far", "id").alias("id"), F.col("far").isNotNull().alias("open")), "aliases")
+        now, open_ = new.select("alias", "id"), new.where("open")
+        if open_.isEmpty():
+            return now, open_
+    return now, now.join(links.select(F.col("alias").alias("id")), "id", "left_semi")
+
+
 def degree(edges: DataFrame) -> DataFrame:
     """(id, degree): ends of edges at each node."""
     return edges.select(F.explode(F.array("source_node_id", "target_node_id")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
 
 
 def merged_edges(edges: DataFrame) -> DataFrame:
-    """Edges by (source, target, type) without loops: the first weight by position, the evidence of all without repeats, in order."""
-    rows = edges.where("source <> target").groupBy("source", "target", "type")
-    rows = rows.agg(F.min_by("weight", "position").alias("weight"), F.array_sort(F.collect_list(F.struct("position", "evidence"))).alias("_e"))
-    return rows.withColumn("evidence", F.array_distinct(F.flatten(F.transform("_e", lambda x: x["evidence"])))).drop("_e")
+    """Edges by (source, target, type) without loops: the first weight by position, the evidence of all without repeats, in order.
+
+    Repeated evidence of a key is dropped before it is gathered, so that a row holds what is different only.
+    """
+    key = ["source", "target", "type"]
+    rows = edges.where("source <> target")
+    first = rows.groupBy(*key).agg(F.min_by("weight", "position").alias("weight"))
+    each = rows.select(*key, "position", F.posexplode("evidence").alias("_at", "_e")).groupBy(*key, "_e").agg(F.min(F.struct("position", "_at")).alias("_o"))
+    each = each.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_o", "_e"))), lambda x: x["_e"]).alias("evidence"))
+    return first.join(each, key, "left").withColumn("evidence", F.coalesce("evidence", F.array().cast(each.schema["evidence"].dataType)))
 
 
 def evidence_bundle(nodes: DataFrame, evidence: DataFrame, anchors: DataFrame) -> DataFrame:
@@ -257,3 +286,15 @@ def preferred(nodes: DataFrame, requested: str | None, selected: str | None) ->
     """The one node to show: the requested, else the selected, else the first that is no PAPER, else the first."""
     rank = F.when(F.col("id") == (requested or ""), 0).when(F.col("id") == (selected or ""), 1).when(F.col("type") != "PAPER", 2).otherwise(3)
     return nodes.withColumn("_rank", rank).orderBy("_rank", "id").limit(1).drop("_rank")
+
+
+def restored(nodes: DataFrame, edges: DataFrame, selected: str, limit: int, around: int = 120) -> DataFrame:
+    """The first `limit` nodes of a view (id, created_at, type), and a selected node that the limit cut off with its neighbours."""
+    shown = top_nodes(nodes, limit).select("id")
+    near = neighborhood(edges, selected, 1, around).select("id")
+    return shown.unionByName(near.join(shown.where(F.col("id") == selected).select(F.lit(1).alias("_in")), F.lit(True), "left_anti")).distinct()
+
+
+def tentative(nodes: DataFrame, current: DataFrame) -> DataFrame:
+    """Adds tentative: a candidate, or a node whose review is not current; current(id, current) covers reviewed nodes."""
+    return nodes.join(current, "id", "left").withColumn("tentative", (F.col("verification_status") == "CANDIDATE") | ~F.coalesce("current", F.lit(True))).drop("current")

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..session import written
 
 LINES_A_PAGE = 20
 
@@ -101,51 +99,57 @@ def mark_running(blocks: DataFrame, margin: Column, group: str = "doc_id") -> Da
 
 
 def join_fragments(blocks: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """Joins caption columns and the fragments of numbered equations, page by page.
+    """Joins caption columns and the fragments of numbered equations, page by page; all columns stay.
 
-    A block that an earlier one has claimed neither claims nor is claimed, so the page is walked in order: one small
-    pandas group a page. blocks: doc, page, ord, text, x0, y0, x1, y1, font_size, kind.
+    Candidate pairs are a self-join within a page: a seed (caption or numbered equation) with the blocks that lie where
+    its fragments may. Seeds then claim in page order, in one fold over a page's seeds: a block that an earlier one has
+    claimed neither claims nor is claimed, and an equation needs an operator sign in what it gathers. A joined block has
+    the members' text from left to right, the union of their boxes, the largest font, their notes shifted to their new
+    places, no titles, and what else its seed had. blocks: doc, page, ord, text, x0, y0, x1, y1, font_size, kind and more.
     """
-    kept = [doc, "page", "ord", "text", "x0", "y0", "x1", "y1", "font_size", "kind"]
-    figure, number, operator = re.compile(tx.FIGURE), re.compile(tx.EQUATION), re.compile("[=∑∫≤≥]")
-
-    def walk(page: pd.DataFrame) -> pd.DataFrame:
-        rows = page.sort_values("ord").to_dict("records")
-        caption = [bool(figure.match(" ".join(r["text"].split()))) for r in rows]
-        numbered = [any(number.fullmatch(x.strip()) for x in r["text"].splitlines()) for r in rows]
-        owner: dict[int, int] = {}
-        for i, r in enumerate(rows):
-            if i in owner or not (caption[i] or numbered[i]):
-                continue
-            free = [j for j in range(len(rows)) if j != i and j not in owner]
-            if caption[i]:
-                near = [j for j in free if _beside(r, rows[j]) and not caption[j]]
-            else:
-                near = [j for j in free if _within(r, rows[j])]
-            if near and not (numbered[i] and not any(operator.search(rows[j]["text"]) for j in [i, *near])):
-                owner |= dict.fromkeys([i, *near], i)
-        out = []
-        for i, r in enumerate(rows):
-            if owner.get(i, i) != i:
-                continue
-            own = sorted((rows[j] for j in range(len(rows)) if owner.get(j, -1) == i), key=lambda x: x["x0"]) or [r]
-            joined = r | {"ord": len(out)}
-            if len(own) > 1:
-                low, high = ({k: f(x[k] for x in own) for k in ks} for f, ks in ((min, ("x0", "y0")), (max, ("x1", "y1", "font_size"))))
-                joined |= low | high | {"text": "\n".join(x["text"] for x in own), "kind": "paragraph"}
-            out.append(joined)
-        return pd.DataFrame(out, columns=page.columns)
-
-    rows = blocks.select(*kept)
-    return rows.groupBy(doc, "page").applyInPandas(walk, rows.schema)
-
-
-def _beside(a: dict, b: dict) -> bool:
-    return 0 <= b["x0"] - a["x1"] <= 35 and abs(a["y0"] - b["y0"]) < 3 and abs(a["y1"] - b["y1"]) < 12 and abs(a["font_size"] - b["font_size"]) < 0.6 and len(b["text"]) > 50
-
-
-def _within(a: dict, b: dict) -> bool:
-    return min(a["y1"], b["y1"]) > max(a["y0"], b["y0"]) and a["x0"] - 30 <= b["x0"] < a["x1"] - 20 and b["x1"] <= a["x1"] and len(b["text"]) < 100
+    page = [doc, "page"]
+    flat, lines = tx.compact(F.col("text")), F.split("text", "\n")
+    caption = flat.rlike(f"^(?:{tx.FIGURE})")
+    numbered = F.exists(lines, lambda x: F.trim(x).rlike(f"^(?:{tx.EQUATION})$"))
+    rows = written(blocks.withColumns({"_caption": caption, "_numbered": numbered, "_sign": F.col("text").rlike("[=∑∫≤≥]")}), "blocks")
+    box = ["ord", "x0", "y0", "x1", "y1", "font_size", "_caption", "_numbered", "_sign"]
+    a = rows.where("_caption or _numbered").select(*page, F.struct(*box).alias("a"))
+    b = rows.select(*page, F.struct(*box, F.length("text").alias("size")).alias("b"))
+    x, y = F.col("a"), F.col("b")
+    gap, top, foot, font = y["x0"] - x["x1"], F.abs(x["y0"] - y["y0"]), F.abs(x["y1"] - y["y1"]), F.abs(x["font_size"] - y["font_size"])
+    beside = gap.between(0, 35) & (top < 3) & (foot < 12) & (font < 0.6) & (y["size"] > 50) & ~y["_caption"]
+    within = (F.least(x["y1"], y["y1"]) > F.greatest(x["y0"], y["y0"])) & (y["x0"] >= x["x0"] - 30) & (y["x0"] < x["x1"] - 20) & (y["x1"] <= x["x1"]) & (y["size"] < 100)
+    near = a.join(b, page).where((x["ord"] != y["ord"]) & F.when(x["_caption"], beside).otherwise(within))
+    seeds = near.groupBy(*page, "a").agg(F.array_sort(F.collect_list(F.struct(y["ord"].alias("ord"), y["_sign"].alias("sign")))).alias("near"))
+    seeds = seeds.groupBy(*page).agg(F.array_sort(F.collect_list(F.struct(F.col("a.ord").alias("ord"), F.col("a._numbered").alias("numbered"), F.col("a._sign").alias("sign"), "near"))).alias("seeds"))
+
+    def claim(acc: Column, seed: Column) -> Column:
+        free = F.filter(seed["near"], lambda n: ~F.array_contains(acc["claimed"], n["ord"]))
+        sound = (F.size(free) > 0) & (~seed["numbered"] | seed["sign"] | F.exists(free, lambda n: n["sign"])) & ~F.array_contains(acc["claimed"], seed["ord"])
+        members = F.concat(F.array(seed["ord"]), F.transform(free, lambda n: n["ord"]))
+        pairs = F.transform(members, lambda m: F.struct(seed["ord"].alias("owner"), m.alias("ord")))
+        return F.when(sound, F.struct(F.concat(acc["claimed"], members).alias("claimed"), F.concat(acc["pairs"], pairs).alias("pairs"))).otherwise(acc)
+
+    start = F.struct(F.array().cast("array<int>").alias("claimed"), F.array().cast("array<struct<owner:int,ord:int>>").alias("pairs"))
+    owned = seeds.select(*page, F.explode(F.aggregate("seeds", start, claim, lambda acc: acc["pairs"])).alias("p")).select(*page, "p.owner", "p.ord")
+    rows = rows.withColumn("ord", F.col("ord").cast("int")).join(owned, [*page, "ord"], "left").withColumn("owner", F.coalesce("owner", "ord"))
+    notes = "notation" in blocks.columns
+    part = F.struct("x0", "ord", "text", *(["notation"] if notes else []))
+    groups = rows.groupBy(*page, "owner").agg(
+        F.count("*").alias("_n"), F.array_sort(F.collect_list(part)).alias("_parts") if not notes else F.array_sort(F.collect_list(part), lambda p, q: F.when(p["x0"] < q["x0"], -1).when(p["x0"] > q["x0"], 1).otherwise(p["ord"] - q["ord"])).alias("_parts"),
+        F.min("x0").alias("_x0"), F.min("y0").alias("_y0"), F.max("x1").alias("_x1"), F.max("y1").alias("_y1"), F.max("font_size").alias("_font"),
+    ).where("_n > 1")
+    rows = rows.where("ord = owner").join(groups, [*page, "owner"], "left")
+    joined = F.col("_n").isNotNull()
+    new = {"text": F.array_join(F.transform("_parts", lambda p: p["text"]), "\n"), "x0": F.col("_x0"), "y0": F.col("_y0"), "x1": F.col("_x1"), "y1": F.col("_y1"), "font_size": F.col("_font"), "kind": F.lit("paragraph")}
+    if notes:
+        shift = lambda i: F.aggregate(F.slice("_parts", F.lit(1), i), F.lit(0), lambda n, p: n + F.length(p["text"]) + 1)
+        moved = lambda p, i: F.transform(p["notation"], lambda n: n.withField("start_char", n["start_char"] + shift(i)).withField("end_char", n["end_char"] + shift(i)))
+        new["notation"] = F.flatten(F.transform("_parts", moved))
+    if "section_titles" in blocks.columns:
+        new["section_titles"] = F.array().cast("array<string>")
+    rows = rows.select(*(F.when(joined, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in blocks.columns))
+    return rows.withColumn("ord", F.row_number().over(W.partitionBy(*page).orderBy("ord")) - 1)
 
 
 def titles(blocks: DataFrame, doc: str = "doc_id") -> DataFrame:
@@ -175,15 +179,27 @@ def displayed_box(box: Column, width: Column, height: Column, rotation: Column)
     return F.when(rotation == 90, made(height - y1, x0, height - y0, x1)).when(rotation == 180, made(width - x1, height - y1, width - x0, height - y0)).when(rotation == 270, made(y0, width - x1, y1, width - x0)).otherwise(made(x0, y0, x1, y1))
 
 
-def glyph_notation(glyphs: Column, body: Column, baseline: Column) -> Column:
-    """Notes for a line's glyph spans (start, end, raw, size, origin_y, superscript): raised or lowered small spans after a word character.
+def glyph_notation(glyphs: Column, body: Column, baseline: Column, rules: Column | None = None) -> tuple[Column, Column]:
+    """(notes, issues) of a line's glyph spans (start, end, raw, size, origin_y, superscript, attached, x0, x1, y0).
 
-    Superscript by flag or by a raised baseline, subscript by a lowered one; spans that are shifted but fit neither stay without a note.
+    Superscript by flag or by a raised baseline, subscript by a lowered one and a smaller size, overbar by one of the
+    short rules (x0, x1, y) right above exactly one character. Spans that are shifted but fit neither, that have both a
+    flag and a lowered baseline, and rules over several characters are issues; nothing is guessed.
     """
-    def note(g: Column) -> Column:
-        shift, small = g["origin_y"] - baseline, g["size"] < body * 0.8
-        low, high = small & (shift > body * 0.1) & (shift < body * 0.55), small & (shift < -body * 0.1) & (shift > -body)
-        kind = F.when(g["superscript"] | high, "SUPERSCRIPT").when(low, "SUBSCRIPT")
-        return F.when(kind.isNotNull() & g["attached"] & g["raw"].rlike(r"(?U)\w"), F.struct(g["start"].alias("start_char"), g["end"].alias("end_char"), g["raw"].alias("raw"), F.concat(F.when(kind == "SUBSCRIPT", "_").otherwise("^"), g["raw"]).alias("display"), kind.alias("kind")))
-
-    return F.array_compact(F.transform(glyphs, note))
+    far = lambda g: g["origin_y"] - baseline
+    small = lambda g: g["size"] < body * 0.8
+    low, high = (lambda g: small(g) & far(g).between(body * 0.1, body * 0.55)), (lambda g: small(g) & (far(g) < -body * 0.1) & (far(g) > -body))
+    word = lambda g: g["attached"] & g["raw"].rlike(r"(?U)\w")
+    kind = lambda g: F.when(g["superscript"] & low(g), None).when(g["superscript"] | high(g), "SUPERSCRIPT").when(low(g), "SUBSCRIPT")
+    made = lambda g, k, shown: F.struct(g["start"].alias("start_char"), g["end"].alias("end_char"), g["raw"].alias("raw"), shown.alias("display"), k.alias("kind"))
+    notes = F.array_compact(F.transform(glyphs, lambda g: F.when(kind(g).isNotNull() & word(g), made(g, kind(g), F.concat(F.when(kind(g) == "SUBSCRIPT", "_").otherwise("^"), g["raw"])))))
+    unclear = lambda g: word(g) & kind(g).isNull() & (g["superscript"] | small(g) & (F.abs(far(g)) >= body * 0.1))
+    issues = F.transform(F.filter(glyphs, unclear), lambda g: F.struct(g["start"].alias("start_char"), F.lit("AMBIGUOUS_SHIFT").alias("issue")))
+    if rules is not None:
+        under = lambda r: F.filter(glyphs, lambda g: (g["x0"] < r["x1"]) & (g["x1"] > r["x0"]) & (g["y0"] - r["y"]).between(0, body * 0.4))
+        one = lambda r: F.get(under(r), F.lit(0))
+        single = lambda r: (F.size(under(r)) == 1) & (F.length(one(r)["raw"]) == 1)
+        bars = F.transform(F.filter(rules, single), lambda r: made(one(r), F.lit("OVERBAR"), F.concat(one(r)["raw"], F.lit("\u0305"))))
+        notes = F.array_sort(F.concat(notes, bars))
+        issues = F.concat(issues, F.transform(F.filter(rules, lambda r: ~single(r) & (F.size(under(r)) > 0)), lambda r: F.struct(one(r)["start"].alias("start_char"), F.lit("AMBIGUOUS_OVERBAR").alias("issue"))))
+    return notes, issues

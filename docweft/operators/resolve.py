@@ -19,11 +19,19 @@ def wanted(collections: list[str], required: list[str], ignored: list[str]) -> C
     return keep & (F.size(F.array_except(lits(required), F.col("tags"))) == 0) & ~F.coalesce(F.arrays_overlap("tags", lits(ignored)), F.lit(False))
 
 
+def with_facts(rows: DataFrame, facts: DataFrame, key: list[str], present: Column) -> DataFrame:
+    """rows left-joined with facts by key; rows whose key is not present take no part, so an empty key makes no hot one."""
+    some = rows.where(present).join(facts, key, "left")
+    return some.unionByName(rows.where(~present), allowMissingColumns=True)
+
+
 def batch_repeats(records: DataFrame, key: list[str]) -> DataFrame:
-    """Adds same_key and same_doi: does the batch hold the key, or the DOI, more than once?"""
-    have = F.col("doi_key") != ""
-    n_doi = F.count("*").over(W.partitionBy("doi_key"))
-    return records.withColumns({"same_key": F.count("*").over(W.partitionBy(*key)) > 1, "same_doi": have & (n_doi > 1)})
+    """Adds same_key and same_doi: does the batch hold the key, or the DOI, more than once? Counted before the join, and an empty DOI not at all."""
+    have = F.coalesce(F.col("doi_key") != "", F.lit(False))
+    often = lambda on, name, rows: rows.groupBy(*on).agg(F.count("*").alias("_n")).where("_n > 1").select(*on, F.lit(True).alias(name))
+    rows = records.join(often(key, "same_key", records), key, "left")
+    rows = with_facts(rows, often(["doi_key"], "same_doi", records.where(have)), ["doi_key"], have)
+    return rows.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("same_key", "same_doi")})
 
 
 def matched(records: DataFrame, existing: DataFrame, key: list[str], aliases: DataFrame | None = None) -> DataFrame:
@@ -34,7 +42,8 @@ def matched(records: DataFrame, existing: DataFrame, key: list[str], aliases: Da
     """
     ids_of = lambda on, name: existing.where(F.concat_ws("", *on) != "").groupBy(*on).agg(F.array_sort(F.collect_set("paper")).alias(name))
     rows = batch_repeats(records, key)
-    rows = rows.join(ids_of(key, "by_key"), key, "left").join(ids_of(["doi_key"], "by_doi"), "doi_key", "left").join(ids_of(["title_key", "year"], "by_title"), ["title_key", "year"], "left")
+    rows = rows.join(ids_of(key, "by_key"), key, "left").join(ids_of(["title_key", "year"], "by_title"), ["title_key", "year"], "left")
+    rows = with_facts(rows, ids_of(["doi_key"], "by_doi"), ["doi_key"], F.coalesce(F.col("doi_key") != "", F.lit(False)))
     kind = existing.select(F.array("paper")).schema[0].dataType
     none = F.array().cast(kind)
     rows = rows.join(aliases.select(*key, F.array("paper").alias("by_alias")), key, "left") if aliases is not None else rows.withColumn("by_alias", F.lit(None).cast(kind))
@@ -75,6 +84,16 @@ def union_values(local: Column, incoming: Column, preserve: bool = True) -> Colu
     return F.array_sort(F.array_union(F.coalesce(local, F.array().cast("array<string>")), incoming)) if preserve else F.array_sort(F.array_distinct(incoming))
 
 
+def category_links(records: DataFrame, categories: dict[str, str], stored: DataFrame, key: str = "paper") -> DataFrame:
+    """(key, topic, origin, status): links of records' collections, by a map of names, and tags to topics, laid over the stored ones: a manual link, and a reviewed status, stay as they are."""
+    mapped = F.create_map(*[F.lit(x) for kv in categories.items() for x in kv])
+    names = F.concat(F.array_compact(F.transform("collection_keys", lambda c: mapped[c])), F.col("tags"))
+    fresh = records.select(key, F.explode(F.array_distinct(F.transform(names, ids.topic_id))).alias("topic"), F.lit("sync").alias("origin"), F.lit("auto").alias("status"))
+    both = stored.select(key, "topic", "origin", "status", F.lit(0).alias("_r")).unionByName(fresh.withColumn("_r", F.lit(2)))
+    rank = F.when(F.col("origin") == "manual", 0).when(F.col("status").isin("verified", "rejected"), 1).otherwise(2)
+    return both.groupBy(key, "topic").agg(F.min_by(F.struct("origin", "status"), F.struct(rank.alias("rank"), "_r")).alias("b")).select(key, "topic", "b.*")
+
+
 def missing_attachments(records: DataFrame, files: DataFrame, key: str) -> DataFrame:
     """(key, path) of attachments that the file listing lacks."""
     rows = records.select(key, F.explode("attachment_paths").alias("path"))

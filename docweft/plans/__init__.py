@@ -1,6 +1,6 @@
 """Registered queries over the driver tables, with their SQL twins."""
 
-from . import documents, graph, history  # noqa: F401
+from . import documents, graph, history, texts  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -65,12 +65,6 @@ def html_block_counts(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", n(r"<h[1-6]\b").alias("headings"), n(r"<p\b").alias("paragraphs"), n(r"<(nav|header|footer)\b").alias("margins"), F.regexp_extract(html, r"<h1[^>]*>([^<]*)", 1).alias("title"))
 
 
-@query()
-def html_blocks(spark, sf_dir):
-    blocks = layout.html_blocks(table(spark, sf_dir, "pages"))
-    return blocks.groupBy("page_id", "kind").agg(F.count("*").alias("blocks"), F.sum(F.length("text")).alias("chars"))
-
-
 @query(f"""with {LINES}, s as (select doc_id, length(line) as size, sum(length(line))::bigint as weight from lines where length(line) >= 35 group by 1, 2)
     select doc_id, size::int as size, weight from (select *, row_number() over (partition by doc_id order by weight desc, size) as n from s) where n = 1""")
 def modal_block_length(spark, sf_dir):
@@ -121,14 +115,6 @@ def cue_classification_local(spark, sf_dir):
     return _classified(spark, sf_dir, LOCAL_CUES)
 
 
-@query("""select conv_id, turn, role, last_value(case when role = 'user' then turn end ignore nulls) over w as last_user, coalesce(last_value(case when role = 'system' then true when role = 'user' and length(text) < 40 then false end ignore nulls) over w, false) as state
-    from conversations window w as (partition by conv_id order by turn, role, text rows unbounded preceding)""")
-def section_state(spark, sf_dir):
-    w = W.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(W.unboundedPreceding, 0)
-    flag = F.when(F.col("role") == "system", True).when((F.col("role") == "user") & (F.length("text") < 40), False)
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.last(F.when(F.col("role") == "user", F.col("turn")), ignorenulls=True).over(w).alias("last_user"), F.coalesce(F.last(flag, ignorenulls=True).over(w), F.lit(False)).alias("state"))
-
-
 @query("""with a as (select conv_id, turn, role, text, coalesce(role <> lag(role) over w, true)::int as border from conversations window w as (partition by conv_id order by turn, role, text)),
     b as (select *, sum(border) over (partition by conv_id order by turn, role, text rows unbounded preceding) as run from a),
     c as (select *, ((row_number() over (partition by conv_id, run order by turn, role, text) - 1) // 20)::int as chunk from b)
@@ -241,14 +227,3 @@ def labels_and_keys(spark, sf_dir):
 def topic_ids(spark, sf_dir):
     rows = documents(spark, sf_dir).groupBy("lang", "source").agg(F.count("*").alias("n"))
     return rows.select("lang", "source", ids.topic_id(F.col("source")).alias("topic"), ids.topic_id(F.concat_ws("/", "lang", "source")).alias("compound"), "n")
-
-
-@query()
-def extracted_graph(spark, sf_dir):
-    """Blocks to candidates to nodes and edges, counted by type and relation."""
-    blocks = layout.blocks_of_text(documents(spark, sf_dir)).withColumns({"kind": F.lit("paragraph"), "section_titles": F.array().cast("array<string>"), "methods": F.lit(False)})
-    found = extract.candidates(blocks, unicode=False, cues=LOCAL_CUES)
-    nodes, evidence, edges = extract.materialise(found)
-    by_type = nodes.groupBy(F.lit("node").alias("kind"), F.col("type").alias("name")).agg(F.count("*").alias("n"))
-    by_relation = edges.groupBy(F.lit("edge").alias("kind"), F.col("relation_type").alias("name")).agg(F.count("*").alias("n"))
-    return by_type.unionByName(by_relation).unionByName(evidence.groupBy(F.lit("evidence").alias("kind"), F.lit("all").alias("name")).agg(F.count("*").alias("n")))

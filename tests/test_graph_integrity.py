@@ -166,14 +166,29 @@ def test_components_and_betweenness(spark):
         for a, b in pairs:
             label[a] = label[b] = min(label[a], label[b])
     assert {r.id: r.component for r in graph.components(links).collect()} == label
-    groups = graph.numbered_groups(graph.components(links), "similar").orderBy("id").collect()
-    assert groups[-1].nodes == [20, 21, 22]
+    groups = {}
+    for r in graph.numbered_groups(graph.components(links), "similar").collect():
+        groups.setdefault(r.group, set()).add(r.id)
+    order = sorted(groups, key=lambda g: int(g.split(":")[1]))
+    assert order == [f"similar:{n + 1}" for n in range(len(order))] and [min(groups[g]) for g in order] == sorted(map(min, groups.values()))
+    assert groups[order[-1]] == {20, 21, 22}
 
 
 def test_aliases_and_index(spark):
     aliases = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("x", "y"), ("y", "x")], "alias string, id string")
     ends = {r.alias: r.id for r in graph.resolved(aliases).collect()}
     assert (ends["a"], ends["b"], ends["c"]) == ("d", "d", "d") and set(ends) == {"a", "b", "c", "x", "y"}
+    pairs = [("x", "a"), ("a", "b"), ("b", "c"), ("c", "a"), ("w", "x"), ("p", "q"), ("m", "n"), ("n", "m"), ("k", "k")] + [(f"z{i}", f"z{i + 1}") for i in range(40)]
+    to = {a: b for a, b in pairs if a != b}
+
+    def followed(a):
+        seen = set()
+        while a in to and a not in seen:
+            seen.add(a)
+            a = to[a]
+        return a
+
+    assert {r.alias: r.id for r in graph.resolved(spark.createDataFrame(pairs, "alias string, id string")).collect()} == {a: followed(a) for a in to}
     records = spark.createDataFrame([("d", "p1", "h1"), ("e", "p2", "h2")], "id string, path string, content_hash string")
     links = spark.createDataFrame([("a", "e", "uses", ["x"], 0.5, "auto"), ("a", "zz", "uses", ["x"], 0.5, "auto"), ("d", "e", "similar-x", ["x"], 1.0, "auto"), ("d", "e", "w", ["x"], 2.0, "auto")], "source string, target string, rel string, evidence array<string>, weight double, status string")
     good, bad = catalog.canonical_links(links, aliases, records)

@@ -19,7 +19,7 @@ def one(spark, column):
 
 def test_glyphs_and_titles(spark):
     glyph = lambda raw, size, y, sup=False, start=1: F.struct(F.lit(start).alias("start"), F.lit(start + 1).alias("end"), F.lit(raw).alias("raw"), F.lit(size).alias("size"), F.lit(y).alias("origin_y"), F.lit(sup).alias("superscript"), F.lit(True).alias("attached"))
-    notes = one(spark, layout.glyph_notation(F.array(glyph("2", 6.0, 103.0), glyph("3", 6.0, 95.0), glyph("4", 10.0, 100.0, True), glyph("5", 10.0, 100.0), glyph("6", 6.0, 100.5)), F.lit(10.0), F.lit(100.0)))
+    notes = one(spark, layout.glyph_notation(F.array(glyph("2", 6.0, 103.0), glyph("3", 6.0, 95.0), glyph("4", 10.0, 100.0, True), glyph("5", 10.0, 100.0), glyph("6", 6.0, 100.5)), F.lit(10.0), F.lit(100.0))[0])
     assert [(n.display, n.kind) for n in notes] == [("_2", "SUBSCRIPT"), ("^3", "SUPERSCRIPT"), ("^4", "SUPERSCRIPT")]
     line = lambda text, bold, size: F.struct(F.lit(text).alias("text"), F.lit(bold).alias("bold"), F.lit(size).alias("size"))
     lines = F.array(line("2. Results", False, 8.0), line("Bold label", True, 10.0), line("Bold sentence.", True, 10.0), line("Small bold", True, 8.0), line("ARTICLE", True, 12.0), line("plain", False, 10.0))

@@ -127,12 +127,12 @@ def test_store(spark, tmp_path):
 def test_gold(spark):
     box = lambda *v: dict(zip(("x0", "y0", "x1", "y1"), map(float, v), strict=True))
     kind = "struct<x0:double,y0:double,x1:double,y1:double>"
-    gold = spark.createDataFrame([("g1", "RESULT", 1, [("gain is", box(1, 1, 5, 5)), ("large", box(1, 1, 5, 5))]), ("g2", "CLAIM", 1, [("absent", box(1, 1, 5, 5))])], f"id string, type string, page int, components array<struct<text:string,bbox:{kind}>>")
+    gold = spark.createDataFrame([("g1", "RESULT", "p", 1, [("gain is", box(1, 1, 5, 5)), ("large", box(1, 1, 5, 5))]), ("g3", "RESULT", "q", 1, [("gain is", box(1, 1, 5, 5))]), ("g2", "CLAIM", "p", 1, [("absent", box(1, 1, 5, 5))])], f"id string, type string, paper_id string, page int, components array<struct<text:string,bbox:{kind}>>")
     nodes = spark.createDataFrame([("n1", "CLAIM", "The gain is  large.", ["a"]), ("n2", "RESULT", "the gain is large", ["a"]), ("n3", "RESULT", "gain is large", ["far"])], "id string, type string, text string, provenance array<string>")
-    anchors = spark.createDataFrame([("a", 1, box(0, 0, 9, 9)), ("far", 2, box(0, 0, 9, 9))], f"id string, page_number int, bbox {kind}")
+    anchors = spark.createDataFrame([("a", "p", 1, box(0, 0, 9, 9)), ("far", "p", 2, box(0, 0, 9, 9))], f"id string, paper_id string, page_number int, bbox {kind}")
     got = {r.gold_id: (r.node_id, r.same_type) for r in evaluate.gold_matches(gold, nodes, anchors).collect()}
-    assert got == {"g1": ("n2", True), "g2": (None, None)}
-    windows = spark.createDataFrame([(1, box(0, 0, 5, 5))], f"page int, bbox {kind}")
+    assert got == {"g1": ("n2", True), "g2": (None, None), "g3": (None, None)}
+    windows = spark.createDataFrame([("p", 1, box(0, 0, 5, 5)), ("q", 2, box(0, 0, 5, 5))], f"paper_id string, page int, bbox {kind}")
     assert {r.id for r in evaluate.in_windows(nodes, anchors, windows).collect()} == {"n1", "n2"}
     m = evaluate.metrics(nodes.where("false"), precision=F.lit(True)).first()
     assert (m.passed, m.total, m.rate) == (0, 0, None)
