@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .graph import degree, resolved
+from ..session import written
+from .graph import components, degree, resolved
 
 # Kinds of artifacts, and what a paper's role for a concept becomes as a relation.
 KINDS = ("paper", "concept", "principle", "topic", "artifact", "analysis", "reading", "translation", "source.text", "research-profile", "task", "claim", "formula")
@@ -132,13 +133,80 @@ def existence(rows: DataFrame, key: str, column: str, values: list[str]) -> Data
     return rows.groupBy(key).agg(*(F.count_if(F.col(column) == v).alias(v) for v in values))
 
 
+def placed(df: DataFrame, *order: Column) -> DataFrame:
+    """df with `place`, its number from 1 in an order, without a task that sees all rows: ranges of the order are numbered each, and what the ranges before hold is added."""
+    names = [f"_o{i}" for i in range(len(order))]
+    rows = df.withColumns(dict(zip(names, order, strict=True)))
+    sort = [F.asc_nulls_last(n) for n in names]
+    rows = written(rows.repartitionByRange(*sort).withColumn("_range", F.spark_partition_id()), "ranges")
+    before = rows.groupBy("_range").agg(F.count("*").alias("_n"))  # a row a task
+    before = before.select("_range", F.coalesce(F.sum("_n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    rows = rows.withColumn("_at", F.row_number().over(W.partitionBy("_range").orderBy(*sort))).join(F.broadcast(before), "_range")
+    return rows.withColumn("place", F.col("_before") + F.col("_at")).drop("_range", "_at", "_before", *names)
+
+
+def newest(df: DataFrame, created: str, key: str) -> DataFrame:
+    """Newest first, then by key, with places."""
+    return placed(df, -F.unix_micros(F.col(created).cast("timestamp")), F.col(key))
+
+
 def timeline(df: DataFrame, year: str, key: str) -> DataFrame:
-    return df.orderBy(F.col(year).cast("string"), key)
+    """By year as text, then key, with places."""
+    return placed(df, F.col(year).cast("string"), F.col(key))
 
 
 def reading_order(df: DataFrame, manual: DataFrame, key: str, priority: str) -> DataFrame:
-    """Manual positions first, then priority, then key."""
-    return df.join(manual.select(key, "position"), key, "left").orderBy(F.asc_nulls_last("position"), priority, key)
+    """Manual positions first, then priority, then key, with places."""
+    rows = df.join(manual.select(key, "position"), key, "left")
+    return placed(rows, F.col("position"), F.col(priority), F.col(key))
+
+
+def role_sections(papers: DataFrame, roles: tuple[str, ...], key: str, role: str, topics: str, topic_paths: DataFrame) -> DataFrame:
+    """(role, key, path): the papers of these roles, each with the paths of its topics (joined by ` / `; the topic itself where no path is known)."""
+    rows = papers.where(F.col(role).isin(*roles)).select(F.col(role).alias("role"), key, F.explode_outer(topics).alias("topic"))
+    rows = rows.join(topic_paths.select("topic", F.array_join("path", " / ").alias("_path")), "topic", "left")
+    return rows.select("role", key, F.coalesce("_path", "topic").alias("path"))
+
+
+def knowledge_report(nodes: DataFrame, edges: DataFrame, frequencies: DataFrame, bridges: DataFrame) -> DataFrame:
+    """(section, item, value) of a knowledge graph: concepts by frequency, those not understood, sizes of clusters, types, bridges, gaps and isolated nodes.
+
+    nodes(id, type, understood), edges(source, target, type), frequencies(id, frequency), bridges(id, score). Gaps are
+    concepts that some node needs but no paper has.
+    """
+    part = lambda section, df, item, value: df.select(F.lit(section).alias("section"), F.col(item).cast("string").alias("item"), F.col(value).cast("double").alias("value"))
+    one = lambda df: df.withColumn("_one", F.lit(1.0))
+    clusters = components(edges.select(F.col("source").alias("a"), F.col("target").alias("b"))).groupBy("component").agg(F.count("*").alias("n"))
+    needed = edges.where("type = 'prerequisite'").select(F.col("source").alias("id")).distinct()
+    ends = edges.select(F.explode(F.array("source", "target")).alias("id")).distinct()
+    sections = [
+        part("frequency", frequencies, "id", "frequency"),
+        part("not understood", one(nodes.where("not coalesce(understood, false)")), "id", "_one"),
+        part("cluster", clusters, "component", "n"),
+        part("type", nodes.groupBy("type").agg(F.count("*").alias("n")), "type", "n"),
+        part("bridge", bridges.where("score > 0"), "id", "score"),
+        part("gap", one(needed.join(frequencies.where("frequency > 0"), "id", "left_anti")), "id", "_one"),
+        part("isolated", one(nodes.join(ends, "id", "left_anti")), "id", "_one"),
+    ]
+    return reduce(DataFrame.unionByName, sections)
+
+
+def full_index(projections: list[DataFrame], aliases: DataFrame, links: DataFrame, tasks: DataFrame) -> dict[str, DataFrame]:
+    """The artifact index in one build: records, repeats, aliases (to where their chains end), links (a manual one over inferred ones, both ends resolved), tasks with their record, and issues (object, fault)."""
+    records, repeats = index(projections)
+    records = written(records, "records")
+    good, bad = canonical_links(best_links(links), aliases, records)
+    ends = resolved(aliases)
+    own = tasks.join(records.select(F.col("id").alias("target"), F.lit(True).alias("_have")), "target", "left")
+    name = F.concat_ws(">", "source", "target")
+    issues = [
+        repeats.select(F.col("id").alias("object"), F.concat(F.lit("repeated id at "), F.col("path")).alias("fault")),
+        bad.select(name.alias("object"), "fault"),
+        ends.join(records.select("id"), "id", "left_anti").select(F.col("alias").alias("object"), F.lit("dangling alias").alias("fault")),
+        own.where("_have is null").select(F.col("task").alias("object"), F.lit("task without a record").alias("fault")),
+        records.where(~F.col("kind").isin(*KINDS)).select(F.col("id").alias("object"), F.lit("unknown kind").alias("fault")),
+    ]
+    return {"records": records, "repeats": repeats, "aliases": ends, "links": good, "tasks": own.where("_have").drop("_have"), "issues": reduce(DataFrame.unionByName, issues)}
 
 
 def migration(old: DataFrame, new: DataFrame) -> DataFrame:

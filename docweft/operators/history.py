@@ -19,6 +19,8 @@ FOLLOWS = {
     "main-repair-requested": ("submitted", "waiting-manual", "dry-run", "blocked"),
 }
 LEASE_SECONDS = 300
+#: Task types that a contract table has at most; there are some dozens.
+MOST_CONTRACTS = 10_000
 
 
 def latest(events: DataFrame, key: str, order: list[str], *fields: str) -> DataFrame:
@@ -105,3 +107,15 @@ def versions(reviews: DataFrame) -> DataFrame:
     """(object_id, version, conflicts): a review of version v makes v + 1; a second review of the same version is a conflict."""
     per = reviews.groupBy("object_id", "object_version").agg(F.count("*").alias("n"))
     return per.groupBy("object_id").agg((F.max("object_version") + 1).alias("version"), F.sum(F.col("n") - 1).alias("conflicts"))
+
+
+def contract_faults(tasks: DataFrame, contracts: DataFrame) -> DataFrame:
+    """(task, fault) of tasks(task, type, route, attempts, size) against the small table contracts(type, routes, max_attempts, max_size): the first limit that one breaks."""
+    rows = tasks.join(F.broadcast(contracts.limit(MOST_CONTRACTS)), "type", "left")
+    fault = F.when(F.col("routes").isNull(), "unknown type").when(~F.array_contains("routes", F.col("route")), "route").when(F.col("attempts") > F.col("max_attempts"), "attempts").when(F.col("size") > F.col("max_size"), "size")
+    return rows.select("task", fault.alias("fault")).where("fault is not null")
+
+
+def fallbacks(links: DataFrame) -> DataFrame:
+    """links(alias, id, disabled) without the disabled ones, for graph.resolved: where a role's chain of fallbacks ends."""
+    return links.where(~F.coalesce("disabled", F.lit(False))).select("alias", "id")

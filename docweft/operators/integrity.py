@@ -17,6 +17,8 @@ from .graph import cyclic, prerequisites
 TARGETS = {"ASSUMES": ("ASSUMPTION", "APPROXIMATION"), "EVIDENCE_FOR": CLAIM_TYPES}
 SOURCES = {"CONTAINS": ("PAPER", "SECTION")}
 SUBTYPES = {"claims": CLAIM_TYPES, "equations": ("EQUATION",), "figures": ("FIGURE",)}
+#: The fields of nodes and edges that a review's fingerprint covers; those that an object lacks are left out.
+PRINTED = ["type", "layer", "text", "relation_type", "source_node_id", "target_node_id"]
 ISSUE = "code string, object_id string, detail string, severity string"
 
 
@@ -191,6 +193,11 @@ def report(papers: DataFrame, pages: DataFrame, spans: DataFrame, anchors: DataF
         out.append(issues(lacking, "INVALID_NODE", F.col("id"), "Its subtype row is missing"))
     if reviews is not None:
         versions = nodes.select("id", "version", F.lit("node").alias("kind")).unionByName(edges.select("id", "version", F.lit("edge").alias("kind")))
+        objects = [df.select("id", "paper_id", "version", "verification_status", "verification_scope", "provenance", *[F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in PRINTED], F.lit(kind).alias("kind")) for df, kind in ((nodes, "node"), (edges, "edge"))]
+        both = objects[0].unionByName(objects[1]).join(papers.select(F.col("id").alias("paper_id"), "source_hash"), "paper_id", "left")
+        reviewed = both.where(F.col("verification_status").isin(*REVIEWED))
+        current = reviews_current(reviewed, reviews, fingerprints(reviewed, anchors, PRINTED))
+        out.append(issues(current.where("not current"), "CONFLICTING_VERIFICATION", F.col("id"), "Its reviewed status has no current review"))
         r = reviews.join(versions.select(F.col("id").alias("object_id"), F.col("version").alias("_v"), F.col("kind").alias("object_kind")), ["object_id", "object_kind"], "left")
         out.append(issues(r.where(F.col("_v").isNull() | (F.col("object_version") >= F.col("_v"))), "INVALID_REVIEW_REFERENCE", F.col("id"), "Review of an unknown object or version"))
     return reduce(DataFrame.unionByName, out).distinct()
@@ -236,3 +243,62 @@ def path_edges(edges: DataFrame, nodes: DataFrame, current: DataFrame | None = N
         for end in ("source_node_id", "target_node_id"):
             good = good.join(verified.withColumnRenamed("id", end), end, "left_semi")
     return good
+
+
+def created_subtypes(nodes: DataFrame, present: DataFrame) -> DataFrame:
+    """(node_id, subtype, number, claim_type) for nodes without a subtype row, from what their text and type show: claims, and figures and equations with their numbers."""
+    subtype = F.lit(None).cast("string")
+    for name, kinds in SUBTYPES.items():
+        subtype = F.when(F.col("type").isin(*kinds), name).otherwise(subtype)
+    rows = nodes.withColumn("subtype", subtype).where("subtype is not null").join(present.select(F.col("node_id").alias("id")), "id", "left_anti")
+    number = F.when(F.col("subtype") == "figures", tx.figure_number(F.col("text"))).when(F.col("subtype") == "equations", tx.equation_number(F.col("text")))
+    return rows.select(F.col("id").alias("node_id"), "subtype", number.alias("number"), F.when(F.col("subtype") == "claims", F.col("type")).alias("claim_type"))
+
+
+#: Names of JSON types by the first word of a variant's schema.
+_JSON = {"string": "STRING", "integer": "BIGINT", "number": "DOUBLE", "boolean": "BOOLEAN", "array": "ARRAY", "object": "OBJECT"}
+
+
+def contract_faults(rows: DataFrame, key: str, json: str, fields: dict[str, dict]) -> DataFrame:
+    """(key, field, fault) of JSON records against a contract: fields by name with type, required, enum, items (type), min and max.
+
+    min and max bound numbers, the length of strings and the size of arrays. A record that is no JSON object is one fault
+    of field `*`; of a field the first fault counts: missing, type, enum, items, range. Whole numbers are numbers too.
+    """
+    rows = rows.withColumn("_v", F.try_parse_json(F.col(json)))
+    rows = rows.withColumn("_object", F.coalesce(F.schema_of_variant("_v").startswith("OBJECT"), F.lit(False)))
+    checks = []
+    for name, rule in fields.items():
+        value = F.try_variant_get("_v", f"$.{name}", "variant")
+        text, number = F.try_variant_get("_v", f"$.{name}", "string"), F.try_variant_get("_v", f"$.{name}", "double")
+        kind = F.schema_of_variant(value)
+        is_a = lambda have, want: have.startswith(_JSON[want]) | (F.lit(want == "number") & (have.startswith("BIGINT") | have.startswith("DECIMAL")))
+        there = value.isNotNull() & (kind != "VOID")
+        fault = F.when(~there, "missing" if rule.get("required") else None)
+        if "type" in rule:
+            fault = fault.when(there & ~is_a(kind, rule["type"]), "type")
+        if "enum" in rule:
+            fault = fault.when(there & ~text.isin(*rule["enum"]), "enum")
+        if "items" in rule:
+            each = F.try_variant_get("_v", f"$.{name}", "array<variant>")
+            fault = fault.when(there & F.exists(each, lambda x: ~is_a(F.schema_of_variant(x), rule["items"])), "items")  # noqa: B023
+        size = number if rule.get("type") in ("integer", "number") else F.length(text) if rule.get("type") == "string" else F.size(F.try_variant_get("_v", f"$.{name}", "array<variant>"))
+        for bound, outside in (("min", lambda x, b: x < b), ("max", lambda x, b: x > b)):
+            if bound in rule:
+                fault = fault.when(there & outside(size, rule[bound]), "range")
+        checks.append(F.struct(F.lit(name).alias("field"), fault.alias("fault")))
+    whole = F.array(F.struct(F.lit("*").alias("field"), F.lit("no object").alias("fault")))
+    found = F.when(F.col("_object"), F.filter(F.array(*checks), lambda c: c["fault"].isNotNull())).otherwise(whole)
+    return rows.select(key, F.explode(found).alias("f")).select(key, "f.*")
+
+
+def reference_faults(rows: DataFrame, key: str, references: dict[str, tuple[DataFrame, str]]) -> DataFrame:
+    """(key, field, value): references that name nothing, for columns of single names or lists of them; references: column -> (table, its column). One anti-join a column."""
+    out = []
+    for field, (targets, target) in references.items():
+        listed = rows.schema[field].dataType.typeName() == "array"
+        each = rows.select(key, F.explode(field).alias("value")) if listed else rows.select(key, F.col(field).alias("value"))
+        each = each.where("value is not null").withColumn("field", F.lit(field))
+        known = targets.select(F.col(target).alias("value")).distinct()
+        out.append(each.join(known, "value", "left_anti").select(key, "field", F.col("value").cast("string").alias("value")))
+    return reduce(DataFrame.unionByName, out)

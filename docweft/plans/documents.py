@@ -169,13 +169,6 @@ def lexical_audit(spark, sf_dir):
     return rows.select("doc_id", F.col("ord").alias("line"), term.alias("term"), column.alias("byte_column"), kind.alias("class"), F.sha2("text", 256).alias("line_sha256"))
 
 
-@query(r"""with t as (select doc_id, regexp_replace(text, '\s+', '', 'g') as flat from documents)
-    select doc_id, len(regexp_extract_all(flat, '[0-9]+')) as numbers, regexp_matches(flat, '(^|[^0-9.^+\-])555($|[^0-9^/+\-])') as has_quantity from t""")
-def quantity_tokens(spark, sf_dir):
-    flat = F.regexp_replace("text", r"[\t\n\f\r ]+", "")
-    return documents(spark, sf_dir).select("doc_id", F.regexp_count(flat, F.lit("[0-9]+")).cast("long").alias("numbers"), flat.rlike(r"(?<![0-9.^+\-])555(?![0-9^/+\-])").alias("has_quantity"))
-
-
 PACK = 5500
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import catalog, graph, integrity, similarity
+from ..operators import catalog, graph, similarity
 from ..session import table
 from .registry import query
 
@@ -73,10 +73,10 @@ def view_topk(spark, sf_dir):
 
 
 HOPS_SQL = f"""{EDGES_SQL}, b as (select source_node_id as a, target_node_id as b from edges union all select target_node_id, source_node_id from edges),
-    h0 as (select 'region:0' as id), h1 as (select distinct b as id from b where a in (from h0) and b not in (from h0) order by 1 limit 119), s1 as (from h0 union all from h1),
-    h2 as (select distinct b as id from b where a in (from h1) and b not in (from s1) order by 1 limit (select greatest(120 - count(*), 0) from s1)), s2 as (from s1 union all from h2),
-    h3 as (select distinct b as id from b where a in (from h2) and b not in (from s2) order by 1 limit (select greatest(120 - count(*), 0) from s2)),
-    hops as (select id, 0::int as hop from h0 union all select id, 1 from h1 union all select id, 2 from h2 union all select id, 3 from h3)"""
+    h0 as materialized (select 'region:0' as id), h1 as materialized (select distinct b as id from b where a in (from h0) and b not in (from h0) order by 1 limit 119), s1 as materialized (from h0 union all from h1),
+    h2 as materialized (select distinct b as id from b where a in (from h1) and b not in (from s1) order by 1 limit (select greatest(120 - count(*), 0) from s1)), s2 as materialized (from s1 union all from h2),
+    h3 as materialized (select distinct b as id from b where a in (from h2) and b not in (from s2) order by 1 limit (select greatest(120 - count(*), 0) from s2)),
+    hops as materialized (select id, 0::int as hop from h0 union all select id, 1 from h1 union all select id, 2 from h2 union all select id, 3 from h3)"""
 
 
 @query(f"with {HOPS_SQL} select id, hop from hops")
@@ -119,20 +119,6 @@ def prerequisite_cycles(spark, sf_dir):
     return links.select("id").join(loops, "id", "left").select("id", F.coalesce("cyclic", F.lit(False)).alias("cyclic"))
 
 
-@query("select l_orderkey as order_key, count(*) as anchors, string_agg(l_linenumber || '=' || p_name, ';' order by l_linenumber, p_name) as evidence from lineitem join part on l_partkey = p_partkey group by 1")
-def evidence_bundle(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").join(table(spark, sf_dir, "part").select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"))
-    parts = F.array_sort(F.collect_list(F.struct("l_linenumber", "p_name")))
-    rows = rows.groupBy(F.col("l_orderkey").alias("order_key")).agg(parts.alias("parts"))
-    return rows.select("order_key", F.size("parts").cast("long").alias("anchors"), F.array_join(F.transform("parts", lambda x: F.concat_ws("=", x["l_linenumber"], x["p_name"])), ";").alias("evidence"))
-
-
-@query("select l_partkey as part_key, count(distinct l_orderkey) as nodes, min(l_orderkey) as first, max(l_orderkey) as last from lineitem group by 1")
-def reverse_lookup(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("part_key"), "l_orderkey").distinct()
-    return rows.groupBy("part_key").agg(F.count("*").alias("nodes"), F.min("l_orderkey").alias("first"), F.max("l_orderkey").alias("last"))
-
-
 @query("""select 'order:' || l_orderkey as id, array_to_string(list_sort(list_distinct(list(l_partkey) filter (l_returnflag = 'R'))), ',') as returned, array_to_string(list_sort(list_distinct(list(l_partkey) filter (l_returnflag in ('A', 'N')))), ',') as kept from lineitem group by l_orderkey""")
 def subtype_projection(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select(ID("order", "l_orderkey").alias("source_node_id"), F.col("l_partkey").alias("target_node_id"), F.col("l_returnflag").alias("relation_type"), F.lit("SUPPORTED").alias("verification_status"))
@@ -142,34 +128,6 @@ def subtype_projection(spark, sf_dir):
     return sets.select("id", F.when(F.size("returned") > 0, plain("returned")).alias("returned"), F.when(F.size("kept") > 0, plain("kept")).alias("kept"))
 
 
-@query(f"""with {NODES_SQL}, {EDGES_SQL}, ends as (select source_node_id as id from edges union select target_node_id from edges),
-    d as (select id, lag(id) over (partition by type, lower(trim(label)) order by id) as previous from nodes where type <> 'RESULT'),
-    i as (select 'ORPHAN_NODE' as code, id from nodes where type <> 'PAPER' and id not in (from ends)
-        union all select 'DUPLICATE_CANDIDATE', id from d where previous is not null
-        union all select 'INVALID_EDGE', source_node_id || '>' || target_node_id from edges join nodes t on target_node_id = t.id where relation_type = 'EVIDENCE_FOR' and t.type not in ('CLAIM', 'RESULT', 'CONCLUSION', 'HYPOTHESIS'))
-    select code, count(*) as n, count(distinct id) as objects, min(id) as first from i group by 1""")
-def integrity_report(spark, sf_dir):
-    n = nodes(spark, sf_dir).withColumnsRenamed({"label": "text"}).withColumn("paper_id", F.lit("p"))
-    e = edges(spark, sf_dir).withColumns({"id": F.concat_ws(">", "source_node_id", "target_node_id"), "paper_id": F.lit("p")})
-    found = [
-        integrity.issues(integrity.orphans(n, e), "ORPHAN_NODE", F.col("id"), "", True),
-        integrity.issues(integrity.repeats(n.where("type <> 'RESULT'")), "DUPLICATE_CANDIDATE", F.col("id"), "", True),
-        integrity.issues(_edge_faults(e, n), "INVALID_EDGE", F.col("id"), F.col("fault")),
-        integrity.issues(integrity.illegal_layers(n), "INVALID_NODE", F.col("id"), ""),
-    ]
-    rows = found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3])
-    return rows.groupBy("code").agg(F.count("*").alias("n"), F.count_distinct("object_id").alias("objects"), F.min("object_id").alias("first"))
-
-
-def _edge_faults(e, n):
-    return integrity.edge_faults(e, n).where("fault is not null")
-
-
-@query("select o_orderkey, sha256(concat_ws('|', o_orderkey, o_custkey, o_orderstatus, o_orderpriority)) as fingerprint from orders")
-def fingerprint(spark, sf_dir):
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.sha2(F.concat_ws("|", "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"), 256).alias("fingerprint"))
-
-
 PAIRS_SQL = "p as (select distinct l_orderkey as paper, l_partkey as concept from lineitem), f as (select concept, count(*) as df from p group by 1), i as (select concept, df, 1 + ln((1 + (select count(distinct paper) from p)) / (1 + df)) as idf from f)"
 
 

@@ -104,10 +104,10 @@ def existence_matrix(spark, sf_dir):
     return catalog.existence(events(spark, sf_dir), "user_id", "event_type", [*KINDS])
 
 
-@query("select o_orderkey, o_orderpriority from orders left join (select n_nationkey as k, n_regionkey as position from nation) m on o_orderkey = k order by position nulls last, o_orderpriority, o_orderkey limit 100")
+@query("select o_orderkey, o_orderpriority, row_number() over (order by position nulls last, o_orderpriority, o_orderkey) as place from orders left join (select n_nationkey as k, n_regionkey as position from nation) m on o_orderkey = k")
 def reading_order(spark, sf_dir):
     manual = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("o_orderkey"), F.col("n_regionkey").alias("position"))
-    return catalog.reading_order(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority"), manual, "o_orderkey", "o_orderpriority").limit(100).select("o_orderkey", "o_orderpriority")
+    return catalog.reading_order(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority"), manual, "o_orderkey", "o_orderpriority").select("o_orderkey", "o_orderpriority", "place")
 
 
 RECORDS_SQL = """r as (select c_custkey as item_key, 'b' || (c_nationkey * 100 + floor(c_acctbal / 40)::int) as doi_key, c_mktsegment || c_nationkey as title_key, (c_custkey % 7)::int as year from customer),

@@ -49,6 +49,17 @@ def write_report(rows: DataFrame, path: str) -> bool:
     return True
 
 
+def lines(rows: DataFrame, *columns: str) -> DataFrame:
+    """The rows as lines of a Markdown table, a column `line`; bars and line breaks in values are written so that they stay in their cell."""
+    cell = lambda c: F.regexp_replace(F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("|"), F.lit("\\|")), r"[\r\n]+", "<br>")
+    return rows.select(F.concat(F.lit("| "), F.concat_ws(" | ", *map(cell, columns)), F.lit(" |")).alias("line"))
+
+
+def write_lines(rows: DataFrame, path: str, *columns: str) -> None:
+    """Writes rows, in their order, as Markdown tables, a file a partition."""
+    lines(rows, *columns).write.mode("overwrite").text(path)
+
+
 def contract(df: DataFrame) -> str:
     """A table's schema as JSON, for snapshot tests."""
     return df.schema.json()
