@@ -86,29 +86,97 @@ def prerequisites(edges: DataFrame, include: str | None = None) -> DataFrame:
 
 
 def cyclic(links: DataFrame) -> DataFrame:
-    """The rows of links(a, b, id) that lie on a cycle.
+    """The rows of links(a, b, id) that lie on a cycle: those whose two ends lie in one strongly connected part, and loops."""
+    parts = strong_parts(links)
+    a, b = (parts.select(F.col("id").alias(end), F.col("part").alias(f"_{end}")) for end in "ab")
+    return links.where("a <> b").join(a, "a").join(b, "b").where("_a = _b").select(links.columns).unionByName(links.where("a = b"))
 
-    Links that cannot lie on one are peeled off first: those into a node without an outgoing link, or out of one without
-    an incoming link, until none is left. Then reachability doubles its path length each round.
+
+#: Links left after peeling that one task takes; more are taken in rounds of joins.
+CORE_LINKS = 500_000
+
+
+def strong_parts(links: DataFrame, core_links: int = CORE_LINKS) -> DataFrame:
+    """(id, part) of the nodes that lie on cycles of links(a, b), by strongly connected part; part is one of its nodes.
+
+    Nodes that cannot lie on a cycle are peeled off first: those without an outgoing or an incoming link, until none is
+    left. Up to core_links of what is left are walked in one task. Of more the largest node spreads forward along the links; of the nodes that took a node's name, those that reach
+    it are its part. They are left out with their links, and what is left goes on. Rows never outnumber the links.
     """
-    core = written(links.select("a", "b").distinct(), "core")
-    while True:
-        kept = core.join(core.select(F.col("a").alias("b")).distinct(), "b", "left_semi").join(core.select(F.col("b").alias("a")).distinct(), "a", "left_semi").select("a", "b")
-        kept = written(kept, "core")
-        if kept.count() == core.count():
-            break
-        core = kept
-    reach, size = core, core.count()
+    core = _peeled(links.where("a <> b").select("a", "b").distinct())
+    if core.count() <= core_links:
+        return core.groupBy().applyInPandas(_walked, core.select(F.col("a").alias("id"), F.col("a").alias("part")).schema)
+    done = core.select(F.col("a").alias("id"), F.col("a").alias("part")).limit(0)
+    while not core.isEmpty():
+        name = written(core.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("name", F.col("id")), "name")
+        while True:
+            sent = core.join(name.withColumnRenamed("id", "a"), "a").groupBy(F.col("b").alias("id")).agg(F.max("name").alias("_n"))
+            new = written(name.join(sent, "id", "left").select("id", F.greatest("name", F.coalesce("_n", "name")).alias("name"), (F.col("_n") > F.col("name")).alias("moved")), "name")
+            name = new.select("id", "name")
+            if new.where("moved").isEmpty():
+                break
+        a, b = (name.select(F.col("id").alias(end), F.col("name").alias(f"_{end}")) for end in "ab")
+        inside = written(core.join(a, "a").join(b, "b").where("_a = _b").select("a", "b"), "inside")
+        part = written(name.where("id = name"), "part")
+        front = part
+        while True:
+            back = inside.join(front.select(F.col("id").alias("b"), "name"), "b").select(F.col("a").alias("id"), "name").distinct()
+            front = written(back.join(part.select("id"), "id", "left_anti"), "front")
+            if front.isEmpty():
+                break
+            part = written(part.unionByName(front), "part")
+        done = written(done.unionByName(part.select("id", F.col("name").alias("part"))), "done")
+        core = core.join(part.select(F.col("id").alias("a")), "a", "left_anti").join(part.select(F.col("id").alias("b")), "b", "left_anti").select("a", "b")
+        core = _peeled(core)
+    # A part of one node lies on no cycle.
+    return done.join(done.groupBy("part").agg(F.count("*").alias("_n")).where("_n > 1").select("part"), "part", "left_semi").select("id", "part")
+
+
+def _walked(core: pd.DataFrame) -> pd.DataFrame:
+    """The strongly connected parts of two nodes and more: nodes in the order in which a walk along the links leaves them, then walks against the links in the reverse of that order."""
+    along, against = {}, {}
+    for a, b in zip(core["a"], core["b"], strict=True):
+        along.setdefault(a, []).append(b)
+        against.setdefault(b, []).append(a)
+    left, seen = [], set()
+    for start in along:
+        stack = [] if start in seen else [(start, iter(along[start]))]
+        seen.add(start)
+        while stack:
+            node, ahead = stack[-1]
+            new = next((x for x in ahead if x not in seen), None)
+            if new is None:
+                left.append(stack.pop()[0])
+            else:
+                seen.add(new)
+                stack.append((new, iter(along.get(new, ()))))
+    part: dict = {}
+    for root in reversed(left):
+        todo = [] if root in part else [root]
+        while todo:
+            node = todo.pop()
+            part[node] = root
+            todo += [x for x in against.get(node, ()) if x not in part]
+            part |= dict.fromkeys(todo, root)
+    sizes: dict = {}
+    for root in part.values():
+        sizes[root] = sizes.get(root, 0) + 1
+    rows = [(n, r) for n, r in part.items() if sizes[r] > 1]
+    return pd.DataFrame({"id": pd.Series([n for n, _ in rows], dtype=core["a"].dtype), "part": pd.Series([r for _, r in rows], dtype=core["a"].dtype)})
+
+
+def _peeled(core: DataFrame) -> DataFrame:
+    """Links that are left when those into a node without an outgoing link, or out of one without an incoming link, go until none does."""
+    core = written(core, "core")
+    size = core.count()
     while size:
-        step = reach.select(F.col("a"), F.col("b").alias("m")).join(reach.select(F.col("a").alias("m"), "b"), "m").select("a", "b")
-        reach = written(reach.unionByName(step).distinct(), "reach")
-        grown = reach.count()
-        if grown == size:
+        core = core.join(core.select(F.col("a").alias("b")).distinct(), "b", "left_semi").join(core.select(F.col("b").alias("a")).distinct(), "a", "left_semi").select("a", "b")
+        core = written(core, "core")
+        left = core.count()
+        if left == size:
             break
-        size = grown
-    back = reach.select(F.col("b").alias("a"), F.col("a").alias("b"))
-    loops = links.where("a = b")
-    return links.where("a <> b").join(back, ["a", "b"], "left_semi").unionByName(loops)
+        size = left
+    return core
 
 
 def components(links: DataFrame) -> DataFrame:

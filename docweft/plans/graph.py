@@ -201,7 +201,15 @@ def learning_order(spark, sf_dir):
     return graph.learning_order(*_needs(spark, sf_dir))
 
 
-@query()
+#: Walks of 1 to 6 links, counted; those of the least length between two nodes are their shortest paths.
+_WALKS = "p1 as (select a as s, b as t, 1.0::double as n from adj)" + "".join(f", p{k} as materialized (select x.s, y.b as t, sum(n)::double as n from p{k - 1} x join adj y on x.t = y.a group by 1, 2)" for k in range(2, 7))
+
+
+@query(f"""with t as (select c_nationkey as a, s_nationkey as b, count(*) as n from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join supplier on l_suppkey = s_suppkey group by 1, 2),
+    l as (select distinct least(a, b) as a, greatest(a, b) as b from t where n > 1.2 * (select avg(n) from t) and a <> b), adj as materialized (select a, b from l union all select b, a from l), {_WALKS},
+    w as ({" union all ".join(f"select s, t, n, {k} as d from p{k} where s <> t" for k in range(1, 7))}), m as materialized (select s, t, min(d) as d, arg_min(n, d) as n from w group by 1, 2),
+    g as (select x.t as id, sum(x.n * y.n / z.n) / 2 as score from m x join m y on x.t = y.s join m z on z.s = x.s and z.t = y.t and z.d = x.d + y.d group by 1)
+    select a as id, round(coalesce(max(score), 0), 6) as score from adj left join g on a = id group by 1""")
 def betweenness(spark, sf_dir):
     """Over nations that trade more than the mean."""
     li, od, cu, su = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "customer", "supplier"))
@@ -212,10 +220,10 @@ def betweenness(spark, sf_dir):
     return out.select("id", F.round("score", 6).alias("score"))
 
 
-@query("select 'order:' || o_orderkey as alias, 'region:' || n_regionkey as id from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey union all select 'customer:' || c_custkey, 'region:' || n_regionkey from customer join nation on c_nationkey = n_nationkey union all select 'nation:' || n_nationkey, 'region:' || n_regionkey from nation")
+@query("select 'supplier:' || s_suppkey as alias, 'region:' || n_regionkey as id from supplier join nation on s_nationkey = n_nationkey union all select 'order:' || o_orderkey, 'region:' || n_regionkey from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey union all select 'customer:' || c_custkey, 'region:' || n_regionkey from customer join nation on c_nationkey = n_nationkey union all select 'nation:' || n_nationkey, 'region:' || n_regionkey from nation")
 def alias_resolution(spark, sf_dir):
     e = edges(spark, sf_dir).where("relation_type in ('CONTAINS', 'SUPPORTS')")
-    return graph.resolved(e.where(~F.col("target_node_id").startswith("supplier:")).select(F.col("target_node_id").alias("alias"), F.col("source_node_id").alias("id")))
+    return graph.resolved(e.select(F.col("target_node_id").alias("alias"), F.col("source_node_id").alias("id")))
 
 
 @query(f"with {EDGES_SQL}, x as (select source_node_id as id from edges union all select target_node_id from edges) select id, count(*) as degree from x group by 1")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import catalog, evaluate, history, integrity, resolve
-from ..session import table
+from ..session import new_path, table
 from ..streaming import jobs
 from .registry import query
 
@@ -220,24 +220,19 @@ def _keyed_events(spark, sf_dir):
     return events(spark, sf_dir).select(F.col("user_id").alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.col("event_type").alias("kind"))
 
 
-@query("""with e as (select user_id as key, epoch_us(ts) as us, event_type as kind, coalesce(max((event_type = 'purchase')::int) over (partition by user_id order by ts, event_type rows between unbounded preceding and 1 preceding), 0) = 1 as dead, epoch_us(ts) - lag(epoch_us(ts)) over (partition by user_id order by ts, event_type) > 300000000 as gap from events)
-    select key, max(us) filter (not dead) as last_us, arg_max(kind, (us, kind)) filter (not dead) as status, count(*) filter (not dead) as events, count(*) filter (not dead and gap) as lapses, count(*) filter (dead) as late, bool_or(kind = 'purchase') as terminal from e group by 1""")
+JOBS_SQL = """with e as (select user_id as key, epoch_us(ts) as us, event_type as kind, coalesce(max((event_type = 'purchase')::int) over (partition by user_id order by ts, event_type rows between unbounded preceding and 1 preceding), 0) = 1 as dead, epoch_us(ts) - lag(epoch_us(ts)) over (partition by user_id order by ts, event_type) > 300000000 as gap from events)
+    select key, max(us) filter (not dead) as last_us, arg_max(kind, (us, kind)) filter (not dead) as status, count(*) filter (not dead) as events, count(*) filter (not dead and gap) as lapses, count(*) filter (dead) as late, bool_or(kind = 'purchase') as terminal from e group by 1"""
+
+
+@query(JOBS_SQL)
 def job_states(spark, sf_dir):
     return jobs.batch_states(_keyed_events(spark, sf_dir), TERMINAL)
 
 
-@query()
+@query(JOBS_SQL)
 def stream_job_states(spark, sf_dir):
     """The same states from a drained stream over the events files."""
-    import uuid
-
-    from ..session import written
-
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        written(spark.range(1), "probe")
-        at = spark.conf.get("spark.checkpoint.dir")
     table_ = events(spark, sf_dir)
     single = table_.inputFiles()[0].endswith("/events.parquet")  # a stream reads folders: the one file by its name, or the table's folder
     path, name = (sf_dir, "events.parquet") if single else (f"{sf_dir}/events.parquet", "*.parquet")
-    return jobs.drained(spark, path, table_.schema, TERMINAL, f"{at.rstrip('/')}/docweft/{uuid.uuid4().hex}", name=name)
+    return jobs.drained(spark, path, table_.schema, TERMINAL, new_path(spark, "stream"), name=name)

@@ -5,6 +5,8 @@ from collections import Counter
 from itertools import combinations
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from docweft.operators import catalog, graph, integrity, similarity
@@ -61,7 +63,8 @@ def test_report(spark):
     e = edges(spark, [("e1", "p", "n1", "CONTAINS", "SUPPORTED")])
     evidence = spark.createDataFrame([("v1", "n1", "a1"), ("v2", "n1", "zz")], "id string, supports_object_id string, anchor_id string")
     claims = spark.createDataFrame([("n4",)], "node_id string")
-    reviews = spark.createDataFrame([("r1", "gone", "node", 1)], "id string, object_id string, object_kind string, object_version int")
+    fields = "id string, object_id string, object_kind string, object_version int, paper_id string, source_hash string, decision string, scope string, reviewer string, reason string, scientific_basis string, evidence_fingerprint string"
+    reviews = spark.createDataFrame([("r1", "gone", "node", 1, *[None] * 8)], fields)
     found = integrity.report(papers, pages, spans, anchors, n, e, evidence, {"claims": claims}, reviews)
     codes = {}
     for r in found.collect():
@@ -227,3 +230,33 @@ def test_repeats_of_a_large_group(spark):
     want = {(f"{i:05d}", f"{i - 1:05d}") for i in range(1, 5000)} | {("x2", "x0"), ("x4", "x3")}
     assert {(r.id, r.previous) for r in got} == want and len(got) == len(want)
     assert max(Counter(r.task for r in got).values()) < 2500
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 14), st.integers(0, 14)), max_size=30))
+def test_cyclic_by_reachability(spark, pairs):
+    reach = {(a, b) for a, b in pairs}
+    while True:
+        more = reach | {(a, d) for a, b in reach for c, d in reach if b == c}
+        if more == reach:
+            break
+        reach = more
+    rows = [(a, b, i) for i, (a, b) in enumerate(pairs)]
+    got = graph.cyclic(spark.createDataFrame(rows, "a int, b int, id int"))
+    assert {r.id for r in got.collect()} == {i for a, b, i in rows if a == b or (b, a) in reach}
+
+
+def test_strong_parts_by_joins(spark):
+    """The rounds of joins that take over beyond a task's bound give the same parts."""
+    rng = random.Random(2)
+    pairs = [(rng.randrange(60), rng.randrange(60)) for _ in range(75)] + [(100 + i, 100 + (i + 1) % 12) for i in range(12)] + [(105, 200), (200, 201), (201, 200)]
+    df = spark.createDataFrame(pairs, "a long, b long")
+
+    def groups(rows):
+        out = {}
+        for r in rows:
+            out.setdefault(r.part, set()).add(r.id)
+        return sorted(map(sorted, out.values()))
+
+    assert groups(graph.strong_parts(df, 0).collect()) == groups(graph.strong_parts(df).collect())
+    assert groups(graph.strong_parts(df).collect())[-2:] == [list(range(100, 112)), [200, 201]]
