@@ -50,9 +50,9 @@ def byte_letters() -> dict[str, int]:
 
 
 class Transducer:
-    """Encodes byte strings by a merge list. spec: the text of a byte-level tokenizer file."""
+    """Encodes byte strings by a merge list. spec: the text of a byte-level tokenizer file; cache: pieces that it keeps."""
 
-    def __init__(self, spec: str):
+    def __init__(self, spec: str, cache: int = CACHE):
         spec = json.loads(spec)
         letters = byte_letters()
         raw = lambda t: bytes(letters[c] for c in t)
@@ -86,7 +86,7 @@ class Transducer:
         self.lengths = {k: sorted(v | {n for n in (1, 2) if k[:n] in self.token and n < len(k)}, reverse=True) for k, v in lengths.items()}
         self.lookahead = sufficient_lookahead(merges, self.bytes_of) + self.longest
         self.pieces = regex.compile(PIECES)
-        self.cache = _Cache(self)
+        self.cache = _Cache(self, cache)
 
     def _meets(self, a: int, b: int, left_until: int = 1 << 60, right_until: int = 1 << 60) -> bool:
         """Do a and b stay apart: does no merge across their border come before both have become what they are?
@@ -251,11 +251,11 @@ class Transducer:
 
 
 class _Cache(dict):
-    """The transducer's output by piece; pieces over CACHED_BYTES are not kept. Two generations of CACHE / 2 entries: what was asked for lately stays."""
+    """The transducer's output by piece; pieces over CACHED_BYTES are not kept. Two generations of size / 2 entries: what was asked for lately stays."""
 
-    def __init__(self, transducer: Transducer):
+    def __init__(self, transducer: Transducer, size: int):
         super().__init__()
-        self.transducer, self.old = transducer, {}
+        self.transducer, self.size, self.old = transducer, size, {}
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.old.get(piece)
@@ -266,7 +266,7 @@ class _Cache(dict):
         return ids
 
     def bound(self) -> None:
-        if len(self) > CACHE // 2:
+        if len(self) > self.size // 2:
             self.old = dict(self)
             self.clear()
 
@@ -288,8 +288,8 @@ def sufficient_lookahead(merges: list[tuple[int, int, int]], bytes_of: list[byte
 
 
 @lru_cache(maxsize=4)
-def transducer(spec: str) -> Transducer:
-    return Transducer(spec)
+def transducer(spec: str, cache: int = CACHE) -> Transducer:
+    return Transducer(spec, cache)
 
 
 def encode_documents(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", texts: bool = False) -> DataFrame:
@@ -314,7 +314,7 @@ def digest_documents(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text
         spec = df.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = transducer(spec.value)
+        t = transducer(spec.value, 2 * CACHE)  # nothing but digests is held beside it
         for batch in batches:
             counts, ids_sha, text_sha = [], [], []
             for text in batch.column(1):
