@@ -24,6 +24,7 @@ CUES = (
     ("CLAIM", r"\b(we (argue|conclude|claim)|this (shows|suggests|demonstrates))\b", True, False),
     ("METHOD", r"\b(?:was|were) (?:\w+ ){0,3}(?:deposited|patterned|etched|fabricated|transferred|exfoliated|picked up|removed|cleaned|cladded|polished|assembled|grown|annealed|heated|cooled|immersed)\b|\b(?:after|following) (?:the )?(?:transfer|polishing|etching|deposition)\b|\b(?:lithography|etching|deposition|transfer|processing) (?:was|were) (?:used|performed)\b", True, True),
 )
+# What marks background sentences and own work, process steps, section purposes, activities, and the headings that open and close a Methods section.
 BACKGROUND, OWN_WORK = r"^(although|while) .+ (is capable|can|has been)\b", r"\b(we|our|this work|this study)\b"
 STEP = r"\b(?:deposited|patterned|etched|fabricated|transferred|exfoliated|picked up|removed|cleaned|cladded|polished|assembled|grown|annealed|immersed|oxidation|etching|lithography)\b"
 MADE, MEASURED = r"\b(fabrication|preparation|synthesis|processing)\b", r"\b(characteri[sz]ation|measurements?|spectroscopy|microscopy|testing)\b"
@@ -119,11 +120,7 @@ def processes(blocks: DataFrame, doc: str = "doc_id") -> DataFrame:
     step, activity, end, split = re.compile(STEP), re.compile(ACTIVITY), re.compile(r"[.!?]$"), re.compile(tx.SENTENCE_END)
     cues = [(k, re.compile(p)) for k, p, _, _ in CUES]
 
-    def clean(x: str) -> str:
-        import unicodedata
-
-        x = unicodedata.normalize("NFKC", x).casefold().replace("­", "")
-        return " ".join(re.findall(r"\w+|[−±×Ω°]+", re.sub(r"(?<=\w)[-‐]\s*\n\s*(?=\w)", "", x)))
+    clean = tx.searchable_text
 
     def is_method(c: str) -> bool:
         if not SHORTEST <= len(c) <= LONGEST:

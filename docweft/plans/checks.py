@@ -108,6 +108,15 @@ def front_matter(spark, sf_dir):
     return rows.select("s_suppkey", F.coalesce(markdown.field(F.col("front"), "name"), markdown.field(F.col("text"), "name")).alias("title"), "valid", F.array_join(markdown.list_field(F.col("front"), "tags"), ",").alias("tags"))
 
 
+@query("select 'c' || s_suppkey as path, case s_suppkey % 5 when 0 then null when 1 then '' when 4 then 'same' else 'id' || s_suppkey end as id, case s_suppkey % 5 when 0 then 'no front matter' when 1 then 'missing id' when 2 then 'missing title' when 4 then case when 'c' || s_suppkey > (select min('c' || x.s_suppkey) from supplier x where x.s_suppkey % 5 = 4) then 'repeated id' end end as fault from supplier")
+def scanned_cards(spark, sf_dir):
+    """Cards without front matter, without an id, without a title, sound ones, and ones that share an id."""
+    m, k = F.col("s_suppkey") % 5, F.col("s_suppkey").cast("string")
+    front = F.concat(F.lit("id: "), nth(m, "x", "", F.concat(F.lit("id"), k), F.concat(F.lit("id"), k), "same"), F.lit("\ntitle: "), F.when(m == 2, " ").otherwise("A title"))
+    cards = table(spark, sf_dir, "supplier").select(F.concat(F.lit("c"), k).alias("path"), F.when(m == 0, "").otherwise(front).alias("front"), (m != 0).alias("valid"))
+    return markdown.scanned(cards, ("title",)).select("path", "id", "fault")
+
+
 # --- search and graph
 
 

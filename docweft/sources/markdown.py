@@ -35,6 +35,16 @@ def repeated_ids(cards: DataFrame, key: str = "id") -> DataFrame:
     return cards.withColumn("repeated", F.row_number().over(W.partitionBy(key).orderBy("path")) > 1)
 
 
+def scanned(cards: DataFrame, required: tuple[str, ...], key: str = "id") -> DataFrame:
+    """Cards of read() with their id and fault: no front matter, a required field missing, or an id that an earlier path has; null for sound ones. The scan goes on past faulty cards."""
+    rows = cards.withColumn(key, field(F.col("front"), key))
+    missing = F.array_compact(F.array(*(F.when(F.coalesce(F.trim(field(F.col("front"), f)), F.lit("")) == "", f) for f in (key, *required))))
+    own = F.when(~F.col("valid"), "no front matter").when(F.size(missing) > 0, F.concat(F.lit("missing "), F.array_join(missing, ", ")))
+    rows = rows.withColumn("fault", own)
+    sound = repeated_ids(rows.where("fault is null"), key)
+    return sound.withColumn("fault", F.when(F.col("repeated"), "repeated id")).drop("repeated").unionByName(rows.where("fault is not null"))
+
+
 def write_report(rows: DataFrame, path: str) -> bool:
     """Writes a report as JSON unless the one there has the same rows; tells whether it wrote."""
     spark = rows.sparkSession
