@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import block_pairs, bucket_links, by_key, components, give_back, roots, spread_over_tasks, stored, text_of
+from .common import block_pairs, bucket_links, by_key, components, give_back, roots, spread_over_tasks, stored, text_of, with_hot_keys
 from .exact_dedup import holds, value_filter, without_ids
 
 N, THRESHOLD, RECALL, HASHES = 5, 0.8, 0.999, 64
@@ -215,8 +215,10 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", thres
     work = spread_over_tasks(work, "cluster", F.col("place"), ["cluster", "a", "b", "rep"], parts)
     verified = stored(work.mapInArrow(_verify(n, threshold), "rep long, links long, reach long"), "verified")
     comps = components(verified.select(F.col("rep").alias("a"), F.col("reach").alias("b"))).select(F.col("id").alias("rep"), "comp").join(members.select("rep", "rep_doc"), "rep")
-    heads = comps.groupBy("comp").agg(F.min("rep_doc").alias("head"))
-    linked = comps.join(heads, "comp").select("rep", "head").join(verified.groupBy("rep").agg(F.sum("links").alias("links")), "rep")
+    comps = stored(comps, "comps")
+    heads = stored(comps.groupBy("comp").agg(F.min("rep_doc").alias("head"), F.count("*").alias("n")), "heads")
+    linked = with_hot_keys(comps.select("rep", "comp"), heads.select("comp", "head"), "comp", heads, comps.count()).select("rep", "head")
+    linked = linked.join(verified.groupBy("rep").agg(F.sum("links").alias("links")), "rep")
     per_set = sets.join(linked, "rep", "left").select("grams", "copies", F.when(F.col("links").isNull(), F.col("rep_doc")).otherwise(F.col("head")).alias("head"), F.coalesce("links", F.lit(0)).alias("links"))
     per_set = stored(per_set, "classes")
     total = sketches.count()
