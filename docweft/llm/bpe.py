@@ -76,8 +76,12 @@ class Transducer:
             self.bytes_of[i] = content.encode()
         self.split = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.ok: dict[tuple[int, int], bool] = {}
-        #: Tokens that their own bytes encode to.
-        self.token = {t: i for t, i in vocab.items() if len(t) == 1 or self.born[i] >= 0 and self._meets(*self.parts[i], self.born[i], self.born[i])}
+        #: Tokens that their own bytes encode to: bytes, and what two such tokens make that stay apart until their merge.
+        whole = {i for t, i in vocab.items() if len(t) == 1}
+        for a, b, t in merges:
+            if a in whole and b in whole and self._meets(a, b, self.born[t], self.born[t]):
+                whole.add(t)
+        self.token = {t: i for t, i in vocab.items() if i in whole}
         self.longest = max(map(len, self.token))
         #: The lengths of tokens that begin with these bytes (three, or all), longest first.
         lengths: dict[bytes, set[int]] = {}

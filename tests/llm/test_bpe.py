@@ -113,6 +113,12 @@ def test_small_merge_lists(data):
         assert [t.bytes_of[i].decode() for i in got] == parts
 
 
+def test_tokens_of_parts_that_never_come_about():
+    """aaab is made of aaa and b, but aaa's own bytes encode to aa and a: so do those of aaab to aa and ab."""
+    t = bpe.Transducer(small_spec([("a", "a"), ("a", "b"), ("a", "aa"), ("aaa", "b")]))
+    assert [t.bytes_of[i] for i in np.frombuffer(t.ids(b"aaab"), "<u4")] == [b"aa", b"ab"]
+
+
 def test_operator(spark, both):
     rows = [(1, "Hello, world"), (2, None), (None, ""), (3, "x " * 50_000), (3, "x " * 50_000)]
     df = spark.createDataFrame([(*r, "s", 5) for r in rows], "doc_id long, text string, ids string, n_tokens int")
