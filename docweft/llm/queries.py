@@ -6,9 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, jaccard_join, language, lattice, licenses, mixing, secrets, toxicity, url_filter
+from . import bpe, exact_dedup, jaccard_join, language, lattice, licenses, mixing, pieces, secrets, toxicity, url_filter
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,7 +74,11 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("doc").alias("doc_id"), *counts, F.sha2(secrets.named("base"), 256).alias("base_sha256"), secrets.named("spans").alias("spans"), *[f"n_{prefix}{name}" for prefix, name in secrets.STANDINGS])
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_mixing, op3_jaccard_join, op4_license_scan, op5_url_filter, op6_bpe, op7_exact_dedup, op8_toxicity, op9_lattice_dedup, op10_secret_scan)}
+def op11_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digest_documents(table(spark, sf_dir, "documents"), PIECE_MODEL, end=True).withColumnRenamed("doc", "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_mixing, op3_jaccard_join, op4_license_scan, op5_url_filter, op6_bpe, op7_exact_dedup, op8_toxicity, op9_lattice_dedup, op10_secret_scan, op11_pieces)}
 
 ORACLES = {
     "op7_exact_dedup": r"""
