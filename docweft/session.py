@@ -66,10 +66,10 @@ def discard(df: DataFrame) -> None:
         _delete(df.sparkSession, df._written_at)
 
 
-def written(df: DataFrame, name: str = "step") -> DataFrame:
-    """Cuts df's lineage by a table in the shared folder: a lost executor costs no step before it."""
+def written(df: DataFrame, name: str = "step", *by: str) -> DataFrame:
+    """Cuts df's lineage by a table in the shared folder, partitioned by columns if any are named: a lost executor costs no step before it."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
     for paths in getattr(_made, "scopes", ()):
         paths.append(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
