@@ -30,35 +30,48 @@ from .common import text_of
 WORD = r"(?i)licen[cs]|copyright|warrant|permission|redistribut|spdx|public domain|\bas[- ]is\b|\bgpl|creative commons|cc0"
 #: Sentences without such a word fit no sentence rule and are not looked at. Between words lies what normalising drops.
 _GAP = r"[^\p{L}\p{N}]+"
-TRIGGER = WORD + "|" + r"gpl|bsd|wtfpl|misrepresented|plainly marked|this notice may not|subject to the terms|\(c\)|noncommercial|sharealike|noderiv|reserved|endorse|in no event shall|terms of the mit|as is|public domain|creative commons|cc by".replace(" ", _GAP)
+TRIGGER = WORD + "|" + r"gpl|bsd|wtfpl|misrepresented|plainly marked|this notice may not|subject to the terms|\(c\)|noncommercial|sharealike|noderiv|reserved|endorse|in no event shall|terms of the mit|as is|public domain|creative commons|cc by|apache v?2|under mit\b".replace(" ", _GAP)
 
-#: The GNU GPL by name, and what lies between its name and its version: no other licence's name.
-_GPL = r"gnu general public license(?: gnu)?(?: gpl)?"
+#: The GNU licences by name or letters, what lies between a name and its version (no other licence's name), and versions.
+_AGPL = r"(?:gnu affero general public license(?: gnu)?(?: agpl)?|\b(?:gnu )?agpl)"
+_LGPL = r"(?:gnu (?:lesser|library) general public license(?: gnu)?(?: lgpl)?|\b(?:gnu )?lgpl)"
+_GPL = r"(?:gnu general public license(?: gnu)?(?: gpl)?|\b(?:gnu )?gpl)"
 _ON = r"(?:(?!gnu |gpl|apache|mozilla|\bmit\b|\bbsd\b|creative commons).)*?"
+_LATER = rf"{_ON} or (?:at your option )?(?:any )?later"
+
+
+def _version(number: str) -> str:
+    return rf"(?:(?: licen[cs]es?)?(?: as published by the free software foundation)?(?: either)?(?: the)? ?(?:v|version |ver )?){number}\b"
+
+
+def _onwards(number: str) -> str:
+    """A version further on, with later ones."""
+    return rf"(?:{_ON} (?:v|version |ver )| ?v?| license )?{number}\b{_LATER}"
+
 
 #: Sentence rules over normalised sentences, in order: (identifier, pattern). The last one only looks ahead.
 SENTENCES = (
     ("spdx", r"spdx license identifier"),
-    ("apache2", r"apache license version 2 ?0|apache 2 0 license|licensed under apache 2"),
+    ("apache2", r"apache(?: software)? license(?: version| ver)? ?v?2(?: 0)?\b|\bapache ?v?2 0\b(?! \d)(?: license)?|licensed under(?: the)? apache ?v?2\b"),
     ("apacheCopy", r"you may obtain a copy of the license at"),
     ("apacheUse", r"you may not use this (file|work) except in compliance with the license"),
     ("apacheAsIs", r"distributed under the license is distributed on an as is basis"),
-    ("agpl3Later", rf"gnu affero general public license{_ON} (v|version )3{_ON} or (at your option )?any later"),
-    ("agpl3", r"gnu affero general public license( as published by the free software foundation)?( either)? (v|version )3"),
-    ("lgpl3Later", rf"gnu (lesser|library) general public license{_ON} (v|version )3{_ON} or (at your option )?any later"),
-    ("lgpl21Later", rf"gnu (lesser|library) general public license{_ON} (v|version )2{_ON} or (at your option )?any later"),
-    ("lgpl3", r"gnu (lesser|library) general public license( as published by the free software foundation)?( either)? (v|version )3"),
-    ("lgpl21", r"gnu (lesser|library) general public license( as published by the free software foundation)?( either)? (v|version )2"),
-    ("gpl3Later", rf"({_GPL}|gpl){_ON} (v|version )3{_ON} or (at your option )?any later"),
-    ("gpl2Later", rf"({_GPL}|gpl){_ON} (v|version )2{_ON} or (at your option )?any later"),
-    ("gpl3", rf"({_GPL}|\bgpl)( as published by the free software foundation)?( either)? ?(v|version )?3"),
-    ("gpl2", rf"({_GPL}|\bgpl)( as published by the free software foundation)?( either)? ?(v|version )?2"),
-    ("gplUnversioned", _GPL),
+    ("agpl3Later", _AGPL + _onwards("3(?: 0)?")),
+    ("agpl3", _AGPL + _version("3(?: 0)?")),
+    ("lgpl3Later", _LGPL + _onwards("3(?: 0)?")),
+    ("lgpl21Later", _LGPL + _onwards("2(?: [01])?")),
+    ("lgpl3", _LGPL + _version("3(?: 0)?")),
+    ("lgpl21", _LGPL + _version("2(?: [01])?")),
+    ("gpl3Later", _GPL + _onwards("3(?: 0)?")),
+    ("gpl2Later", _GPL + _onwards("2(?: 0)?")),
+    ("gpl3", _GPL + _version("3(?: 0)?")),
+    ("gpl2", _GPL + _version("2(?: 0)?")),
+    ("gplUnversioned", r"gnu general public license(?: gnu)?(?: gpl)?|\b(?:gnu )?gpl\b"),
     ("mpl2", r"mozilla public license ((v|version) ?)?2 0"),
     ("mpl11", r"mozilla public license ((v|version) ?)?1 1"),
     ("epl2", r"eclipse public license ((v|version) ?)?2 0"),
     ("epl1", r"eclipse public license ((v|version) ?)?1 0"),
-    ("eupl12", r"european union public licen[cs]e (eupl )?((v|version) ?)?1 2"),
+    ("eupl12", r"european union public license (eupl )?((v|version) ?)?1 2"),
     ("cddl1", r"common development and distribution license"),
     ("artistic2", r"artistic license ((v|version) ?)?2 0"),
     ("artistic", r"artistic license"),
@@ -76,7 +89,7 @@ SENTENCES = (
     ("ccBySa", r"\bcc by sa\b|(creative commons )?attribution sharealike"),
     ("ccByNd", r"\bcc by nd\b|(creative commons )?attribution noderiv"),
     ("ccBy", r"\bcc by\b|creative commons attribution"),
-    ("mitName", r"\bmit license\b|under the terms of the mit\b|license mit\b"),
+    ("mitName", r"\bmit (?:style )?licenses?\b|under(?: either| both)?(?: the)?(?: terms of)?(?: the)? mit\b|license mit\b|\bexpat license"),
     ("permissionFree", r"permission is hereby granted free of charge to any person obtaining a copy"),
     ("noticeIncluded", r"the above copyright notice and this permission notice .*?shall be included"),
     ("asIsProvided", r"the software is provided as is"),
@@ -89,8 +102,8 @@ SENTENCES = (
     ("liability", r"in no event shall the (authors?|copyright)"),
     ("iscGrant", r"permission to use copy modify and( or)? distribute this software for any purpose"),
     ("iscName", r"\bisc license"),
-    ("bsdName3", r"\bbsd 3 clause|new bsd license|modified bsd license"),
-    ("bsdName2", r"\bbsd 2 clause|simplified bsd license|freebsd license"),
+    ("bsdName3", r"\bbsd (?:3|three) clause|\b(?:3|three) clause bsd(?: license)?|\bnew bsd license|\bmodified bsd license|\brevised bsd license"),
+    ("bsdName2", r"\bbsd (?:2|two) clause|\b(?:2|two) clause bsd(?: license)?|\bsimplified bsd license|\bfreebsd license"),
     ("bsdName", r"\bbsd license\b"),
     ("bsdGrant", r"redistribution and use in source and binary forms"),
     ("bsdSource", r"redistributions of source code must retain"),
@@ -191,7 +204,7 @@ FILLERS = ("unknown", "copyright", "allRights", "spdx")
 GENERIC = (("GPL", "GPL-"), ("BSD", "BSD-"), ("Artistic", "Artistic-"), ("Public-Domain", "Unlicense"))
 
 #: A negation with what may stand between it and the licence's name.
-_NEGATED = r"\b(?:not|never|no longer|nor|isn t|aren t|wasn t|instead of|rather than|other than|incompatible with)(?: (?:yet|be|been|being|is|are|licen[cs]ed|released|available|distributed|covered|published|offered|provided|governed|made|under|by|with|the|a|an|of|terms|to|subject|compatible|any|version)){0,8} "
+_NEGATED = r"\b(?:not|never|no longer|nor|isn t|aren t|wasn t|don t|doesn t|didn t|cannot|can t|won t|instead of|rather than|other than|incompatible with)(?: (?:yet|be|been|being|is|are|licensed|released|available|distributed|covered|published|offered|provided|governed|made|under|by|with|the|a|an|of|terms|to|subject|compatible|any|version|use|uses|used|using|apply|adopt|accept|choose)){0,8} "
 #: The sentence rules that are names of licences.
 _NAMES = tuple(n for n, _ in SENTENCES if n in {i for i, _ in SPDX} | {"gplUnversioned", "bsdName", "artistic"})
 
@@ -222,8 +235,16 @@ def sentences(text: Column) -> Column:
     return F.filter(F.split(apart, SENTENCE_END), lambda s: F.rlike(s, F.lit(TRIGGER)))
 
 
+#: Licences that MIT is named beside without the word: `MIT or Apache-2.0`, `GPL-2.0 and MIT`.
+_BESIDE = r"(?:apache|agpl|lgpl|gpl|bsd|isc|mpl|mozilla)"
+
+
 def normalised(sentence: Column) -> Column:
-    return F.trim(F.regexp_replace(F.replace(F.lower(sentence), F.lit("(c)"), F.lit(" copyright ")), r"[^\p{L}\p{N}]+", " "))
+    """Lower case, words alone, American spelling, `+` behind a version spelt out, and `mit` beside another licence as the mit license."""
+    plain = F.regexp_replace(F.replace(F.lower(sentence), F.lit("(c)"), F.lit(" copyright ")), r"(?<=\d)\+", " or any later ")
+    plain = F.regexp_replace(F.trim(F.regexp_replace(plain, r"[^\p{L}\p{N}]+", " ")), r"\b((?:sub|re|un)?)licence", "$1license")
+    plain = F.regexp_replace(plain, rf"\bmit (?=(?:and|or)(?: the)? {_BESIDE})", "mit license ")
+    return F.regexp_replace(plain, rf"\b({_BESIDE}(?: \w+){{0,3}} (?:and|or)(?: the)? )mit\b(?! (?:style )?license)", "$1mit license")
 
 
 def _first(text: Column, rules: tuple[tuple[str, str], ...], other: Column) -> Column:
@@ -273,7 +294,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     rows = rows.select(id_col, F.size("each").cast("long").alias("n_sentences"), F.flatten(F.transform("each", lambda x: F.when(x[0] != "unknown", F.array_remove(x, "unknown")).otherwise(x))).alias("ids"))
     every = "|".join(sequence_pattern(tuple(rule)) for _, *rule in LICENCES)
     line = F.concat(F.lit(" "), F.array_join("ids", " "), F.lit(" "))
-    own = F.transform(F.array_distinct(F.filter("ids", lambda x: x.startswith("spdx:"))), lambda x: F.substring(x, 6, 1000))
+    own = F.transform(F.array_distinct(F.filter("ids", lambda x: x.startswith("spdx:"))), lambda x: F.substring(x, F.lit(6), F.length(x)))
     left = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(line, every, " "), r" spdx:\S+(?= )", " "), " +", " "))
     licences = F.array_join(F.concat(_named(F.regexp_extract_all(line, F.lit(every), F.lit(0))), own), ",")
     quiet = F.size("ids") == 0

@@ -195,7 +195,7 @@ def test_all_licences_of_a_sentence(spark, text, expected, ids):
 RULE_TEXTS = {
     "spdx": "SPDX License Identifier", "apache2": "Apache 2.0 license", "apacheCopy": "you may obtain a copy of the license at", "apacheUse": "you may not use this file except in compliance with the license",
     "apacheAsIs": "distributed under the license is distributed on an as is basis", "agpl3Later": "GNU Affero General Public License v3 or any later", "agpl3": "GNU Affero General Public License v3", "lgpl3Later": "GNU Lesser General Public License v3 or any later", "lgpl21Later": "GNU Library General Public License v2 or any later", "lgpl3": "GNU Lesser General Public License v3", "lgpl21": "GNU Library General Public License v2",
-    "gpl3Later": "xgpl v3 or any later", "gpl2Later": "xgpl v2 or any later", "gpl3": "GPL 3", "gpl2": "GPL 2", "gplUnversioned": "GNU General Public License", "mpl2": "Mozilla Public License 2.0", "mpl11": "Mozilla Public License 1.1", "epl2": "Eclipse Public License v2.0", "epl1": "Eclipse Public License 1.0", "eupl12": "European Union Public Licence 1.2", "cddl1": "Common Development and Distribution License",
+    "gpl3Later": "gpl v3 or any later", "gpl2Later": "gpl v2 or any later", "gpl3": "GPL 3", "gpl2": "GPL 2", "gplUnversioned": "GNU General Public License", "mpl2": "Mozilla Public License 2.0", "mpl11": "Mozilla Public License 1.1", "epl2": "Eclipse Public License v2.0", "epl1": "Eclipse Public License 1.0", "eupl12": "European Union Public Licence 1.2", "cddl1": "Common Development and Distribution License",
     "artistic2": "Artistic License 2.0", "artistic": "Artistic License", "bslName": "Boost Software License", "msPl": "Microsoft Public License", "ofl11": "SIL Open Font License", "psf2": "PSF License", "postgres": "PostgreSQL License", "wtfpl": "WTFPL", "zlibName": "zlib license",
     "ccZero": "CC0",
     "ccByNcNd": "Attribution NonCommercial NoDerivs", "ccByNcSa": "Attribution NonCommercial ShareAlike", "ccByNc": "CC BY NC", "ccBySa": "CC BY SA", "ccByNd": "Attribution NoDerivs", "ccBy": "CC BY", "mitName": "under the terms of the MIT",
@@ -306,7 +306,10 @@ def python_scan(text):
                 named = regex.search("[A-Z0-9]", one) and one.upper() not in ("NONE", "NOASSERTION")
                 found.append(known[0] if known else f"spdx:{one}" if named else "spdx")
         else:
-            plain = regex.sub(r"[^\p{L}\p{N}]+", " ", s.lower().replace("(c)", " copyright ")).strip(" ")
+            plain = regex.sub(r"[^\p{L}\p{N}]+", " ", regex.sub(r"(?<=\d)\+", " or any later ", s.lower().replace("(c)", " copyright "))).strip(" ")
+            plain = regex.sub(r"\b((?:sub|re|un)?)licence", r"\1license", plain)
+            plain = regex.sub(rf"\bmit (?=(?:and|or)(?: the)? {licenses._BESIDE})", "mit license ", plain)
+            plain = regex.sub(rf"\b({licenses._BESIDE}(?: \w+){{0,3}} (?:and|or)(?: the)? )mit\b(?! (?:style )?license)", r"\1mit license", plain)
             names = "|".join(f"(?:{p})" for n, p in licenses.SENTENCES if n in licenses._NAMES)
             plain = regex.sub(f"{licenses._NEGATED}(?:{names})", " ", plain)
             at = 0
@@ -334,6 +337,35 @@ def python_scan(text):
     return ",".join(named), " ".join(ids)
 
 
+#: Ways to name licences, with what they are; versions by family.
+GNU = {"GPL": ("GPL", "GNU GPL", "GNU General Public License", "gnu general public licence (GPL)"), "LGPL": ("LGPL", "GNU LGPL", "GNU Lesser General Public License", "GNU Lesser General Public Licence (LGPL)"), "AGPL": ("AGPL", "GNU AGPL", "GNU Affero General Public License")}
+NOTICES = {
+    **{f"under the {name}{way}": f"{family}-{v}{later}" for family, names in GNU.items() for name in names for v, n in (("2.0", "2"), ("2.1", "2.1"), ("3.0", "3")) if (family, v) not in {("GPL", "2.1"), ("LGPL", "2.0"), ("AGPL", "2.0"), ("AGPL", "2.1")}
+       for way, later in ((f" version {n}", ""), (f", version {n}", ""), (f" v{n}", ""), (f" version {n} or any later version", "-or-later"), (f" v{n} or later", "-or-later"), (f", either version {n}, or (at your option) any later version", "-or-later"))},
+    "Licensed under GPLv3": "GPL-3.0", "Licensed under GPLv2": "GPL-2.0", "GPLv3+ license": "GPL-3.0-or-later", "GPL-2.0+ license": "GPL-2.0-or-later", "LGPLv2.1+ license": "LGPL-2.1-or-later", "AGPLv3+": "AGPL-3.0-or-later", "License: GPL-3.0-or-later": "GPL-3.0-or-later", "LGPL-3.0-only license": "LGPL-3.0",
+    "Apache License 2.0": "Apache-2.0", "Apache License, v2.0": "Apache-2.0", "Apache Licence, Version 2.0": "Apache-2.0", "Apache Software License 2.0": "Apache-2.0", "Released under Apache 2.0": "Apache-2.0", "Apache-2.0 license": "Apache-2.0", "Apache 2.0 licensed": "Apache-2.0", "Licensed under Apache v2": "Apache-2.0", "Released under Apache 2.0.": "Apache-2.0",
+    "MIT licence": "MIT", "MIT-style license": "MIT", "the Expat licence": "MIT", "License: MIT": "MIT", "released under MIT": "MIT",
+    "dual-licensed under MIT and Apache-2.0": "Apache-2.0,MIT", "Licensed under either of Apache License 2.0 or MIT at your option": "Apache-2.0,MIT", "GPL v2 or MIT license": "GPL-2.0,MIT", "BSD or MIT licences": "MIT",
+    "3-clause BSD license": "BSD-3-Clause", "2-clause BSD license": "BSD-2-Clause", "BSD three-clause licence": "BSD-3-Clause", "two-clause BSD licence": "BSD-2-Clause", "BSD 3-Clause": "BSD-3-Clause", "Revised BSD License": "BSD-3-Clause",
+    "Mozilla Public Licence v2.0": "MPL-2.0", "ISC licence": "ISC", "zlib licence": "Zlib", "Eclipse Public License v2.0": "EPL-2.0", "European Union Public Licence 1.2": "EUPL-1.2",
+    "we do not use the GPL v2": "", "This doesn't use the MIT licence": "", "never released under the LGPL v3": "", "not under the AGPLv3+": "", "rather than Apache License 2.0, we chose the MIT Licence": "MIT",
+    "the apache 2.0.1 server has no licence": "", "Copyright MIT Press": "",
+}
+
+
+def test_notices(spark):
+    """Over a hundred ways to name licences: abbreviations, spellings, `+`, clause counts, pairs and negations."""
+    assert len(NOTICES) > 120
+    got = licenses.scan(spark.createDataFrame([(k, k) for k in NOTICES], "doc_id string, text string")).collect()
+    assert {r.doc_id: r.licences for r in got} == NOTICES
+    assert {r.doc_id: (r.licences, r.sentence_ids) for r in got} == {k: python_scan(k) for k in NOTICES}
+
+
+def test_long_spdx_id(spark):
+    own = "LicenseRef-" + "a1" * 900
+    assert licenses.scan(spark.createDataFrame([(1, f"SPDX-License-Identifier: {own}")], "doc_id long, text string")).first().licences == own
+
+
 def test_whole_licence_texts(spark):
     """Known texts, as they are, as comments, and with unknown sentences between their clauses."""
     ways = (str, with_extra, lambda t: "\n".join(f" * {x}" for x in t.split("\n")))
