@@ -19,8 +19,6 @@ FOLLOWS = {
     "main-repair-requested": ("submitted", "waiting-manual", "dry-run", "blocked"),
 }
 LEASE_SECONDS = 300
-#: Task types that a contract table has at most; there are some dozens.
-MOST_CONTRACTS = 10_000
 
 
 def latest(events: DataFrame, key: str, order: list[str], *fields: str) -> DataFrame:
@@ -110,8 +108,8 @@ def versions(reviews: DataFrame) -> DataFrame:
 
 
 def contract_faults(tasks: DataFrame, contracts: DataFrame) -> DataFrame:
-    """(task, fault) of tasks(task, type, route, attempts, size) against the small table contracts(type, routes, max_attempts, max_size): the first limit that one breaks."""
-    rows = tasks.join(F.broadcast(contracts.limit(MOST_CONTRACTS)), "type", "left")
+    """(task, fault) of tasks(task, type, route, attempts, size) against contracts(type, routes, max_attempts, max_size): the first limit that one breaks."""
+    rows = tasks.join(contracts, "type", "left")
     fault = F.when(F.col("routes").isNull(), "unknown type").when(~F.array_contains("routes", F.col("route")), "route").when(F.col("attempts") > F.col("max_attempts"), "attempts").when(F.col("size") > F.col("max_size"), "size")
     return rows.select("task", fault.alias("fault")).where("fault is not null")
 

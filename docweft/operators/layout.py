@@ -95,7 +95,11 @@ def mark_running(blocks: DataFrame, margin: Column, group: str = "doc_id") -> Da
     rows = blocks.withColumns({"_norm": norm, "_margin": margin})
     runs = rows.where(F.col("_margin") & (F.length("text") < 180)).groupBy(group, "_norm").agg(F.count_distinct("page").alias("_n")).where("_n >= 2")
     out = rows.join(runs, [group, "_norm"], "left")
-    return out.withColumn("kind", F.when(F.col("_margin") & F.col("_n").isNotNull(), "header").otherwise(F.col("kind"))).drop("_norm", "_margin", "_n")
+    marked = F.col("_margin") & F.col("_n").isNotNull()
+    new = {"kind": F.when(marked, "header").otherwise(F.col("kind"))}
+    if "section_titles" in blocks.columns:
+        new["section_titles"] = F.when(marked, F.array().cast(blocks.schema["section_titles"].dataType)).otherwise(F.col("section_titles"))
+    return out.withColumns(new).drop("_norm", "_margin", "_n")
 
 
 def join_fragments(blocks: DataFrame, doc: str = "doc_id") -> DataFrame:

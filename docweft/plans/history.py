@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import catalog, evaluate, history, integrity, resolve
 from ..session import new_path, table
-from ..streaming import jobs
+from ..streaming import jobs, leases
 from .registry import query
 
 TERMINAL = ("purchase",)
@@ -236,3 +236,37 @@ def stream_job_states(spark, sf_dir):
     single = table_.inputFiles()[0].endswith("/events.parquet")  # a stream reads folders: the one file by its name, or the table's folder
     path, name = (sf_dir, "events.parquet") if single else (f"{sf_dir}/events.parquet", "*.parquet")
     return jobs.drained(spark, path, table_.schema, TERMINAL, new_path(spark, "stream"), name=name)
+
+
+DELAY_MINUTES, LEASE = 60, 6 * 3600
+
+
+def _events_stream(spark, sf_dir):
+    """The events files as a stream of (key, ts, event_type)."""
+    table_ = events(spark, sf_dir)
+    single = table_.inputFiles()[0].endswith("/events.parquet")
+    path, name = (sf_dir, "events.parquet") if single else (f"{sf_dir}/events.parquet", "*.parquet")
+    raw = spark.readStream.schema(table_.schema).option("pathGlobFilter", name).parquet(path)
+    return raw.select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts"), "event_type")
+
+
+LAPSES_SQL = f"""with m as (select epoch_us(max(ts)) // 1000 - {60_000 * DELAY_MINUTES} as mark from events),
+    e as (select cast(user_id as varchar) as key, epoch_us(ts) // 1000 as ms, event_type = 'purchase' as terminal from events where user_id is not null and ts is not null),
+    o as (select *, coalesce(bool_or(terminal) over (partition by key order by ms, terminal rows between unbounded preceding and 1 preceding), false) as over from e, m where ms <= mark),
+    n as (select *, row_number() over w as n, coalesce(lead(ms) over w, mark + 1) > ms + {1000 * LEASE} and not terminal as lapse from o where not over window w as (partition by key order by ms, terminal))
+    select key, ms + {1000 * LEASE} as deadline_ms, n - coalesce(lag(n) over (partition by key order by n), 0) as beats from n where lapse"""
+
+
+@query(LAPSES_SQL)
+def stream_lease_lapses(spark, sf_dir):
+    """Users as jobs: each event is a heartbeat, a purchase ends the job; silence over six hours loses the lease when the watermark passes the deadline."""
+    rows = leases.lapses(_events_stream(spark, sf_dir), F.col("event_type").isin(*TERMINAL), f"{DELAY_MINUTES} minutes", LEASE)
+    return leases.drained(spark, rows, new_path(spark, "leases"))
+
+
+@query(LAPSES_SQL)
+def lease_lapses(spark, sf_dir):
+    """The same from the finished table."""
+    rows = events(spark, sf_dir).select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    mark = rows.agg((F.unix_millis(F.max("ts")) - 60_000 * DELAY_MINUTES).alias("mark"))
+    return leases.batch_lapses(rows.join(F.broadcast(mark)), F.col("event_type").isin(*TERMINAL), F.col("mark"), LEASE)
