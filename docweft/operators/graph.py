@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..schema import INACTIVE, VIEWS
-from ..session import written
+from ..session import discard, scratch, written
 
 
 def view(nodes: DataFrame, name: str = "knowledge") -> DataFrame:
@@ -214,68 +216,100 @@ def numbered_groups(parts: DataFrame, kind: str) -> DataFrame:
 def learning_order(concepts: DataFrame, needs: DataFrame) -> DataFrame:
     """(id, frequency, wave, blocked) of concepts(id, frequency): waves in which all of needs(id, requires) are met before.
 
-    Inside a wave the order is by falling frequency, then id. Concepts on a cycle, behind one, or that need what is not a
-    concept never come: blocked, with a null wave.
+    A concept's wave is one more than the latest of what it requires. Concepts on a cycle, behind one, or that need what
+    is not a concept never come: blocked, with a null wave. Inside a wave the order is by falling frequency, then id.
+
+    Each pass takes out all concepts with one open need: chains of them shrink by doubled jumps to what they start from,
+    and needs that lead into a chain become needs of its start, further off. Only concepts of several needs then wait for
+    each other, so the rounds grow with the depth of these and with the logarithm of a chain. What was taken out follows
+    from its chain's start, pass by pass backwards.
     """
-    left = written(concepts.select("id", "frequency"), "left")
-    need = written(needs.join(left.select("id"), "id", "left_semi").select("id", "requires").distinct(), "needs")
-    waves = []
+    with scratch(concepts.sparkSession) as keep:
+        keep.append(written(_learning_order(concepts, needs), "order"))
+        return keep[0]
+
+
+def _learning_order(concepts: DataFrame, needs: DataFrame) -> DataFrame:
+    nodes = written(concepts.select("id", "frequency"), "concepts")
+    open_ = written(needs.join(nodes.select("id"), "id", "left_semi").select("id", "requires", F.lit(1).alias("w")).distinct(), "needs")
+    waves = written(nodes.select("id").join(open_.select("id"), "id", "left_anti").select("id", F.lit(1).alias("wave")), "waves")
+    rounds, taken = nodes.count().bit_length() + 1, []
     while True:
-        ready = written(left.join(need.select("id").distinct(), "id", "left_anti").withColumn("wave", F.lit(len(waves) + 1)), "ready")
-        if ready.isEmpty():
+        single = written(open_.groupBy("id").agg(F.count("*").alias("n"), F.first("requires").alias("start"), F.first("w").alias("w")).where("n = 1").drop("n"), "single")
+        chains = _chained(single, rounds)
+        taken.append(chains)
+        rest = open_.join(single.select("id"), "id", "left_anti").join(chains.select(F.col("id").alias("requires"), "start", F.col("w").alias("more")), "requires", "left")
+        rest = rest.groupBy("id", F.coalesce("start", "requires").alias("requires")).agg(F.max(F.col("w") + F.coalesce("more", F.lit(0))).alias("w"))
+        rest = written(rest.join(waves.select(F.col("id").alias("requires"), "wave"), "requires", "left"), "needs")
+        ready = written(rest.groupBy("id").agg(F.max(F.col("wave") + F.col("w")).alias("wave"), F.count("wave").alias("met"), F.count("*").alias("n")).where("met = n").select("id", "wave"), "ready")
+        if ready.isEmpty() and single.isEmpty():
             break
-        waves.append(ready)
-        left = written(left.join(ready.select("id"), "id", "left_anti"), "left")
-        need = written(need.join(ready.select(F.col("id").alias("requires")), "requires", "left_anti").select("id", "requires"), "needs")
-    rows = left.select("id", "frequency", F.lit(None).cast("int").alias("wave"), F.lit(True).alias("blocked"))
-    for ready in waves:
-        rows = rows.unionByName(ready.select("id", "frequency", "wave", F.lit(False).alias("blocked")))
-    return rows
+        waves = waves.unionByName(ready)
+        open_ = rest.join(ready.select("id"), "id", "left_anti").select("id", "requires", "w")
+    for chains in reversed(taken):
+        more = chains.join(waves.select(F.col("id").alias("start"), "wave"), "start").select("id", (F.col("wave") + F.col("w")).alias("wave"))
+        waves = written(waves.unionByName(more), "waves")
+    return nodes.join(waves, "id", "left").select("id", "frequency", F.col("wave").cast("int").alias("wave"), F.col("wave").isNull().alias("blocked"))
+
 
+def _chained(links: DataFrame, rounds: int) -> DataFrame:
+    """links(id, start, w), one a node: each led to where its chain starts, weights added; chains that run in circles are left out."""
+    for _ in range(rounds):
+        back = links.select(F.col("id").alias("start"), F.col("start").alias("before"), F.col("w").alias("more"))
+        led = written(links.join(back, "start", "left").select("id", F.coalesce("before", "start").alias("start"), (F.col("w") + F.coalesce("more", F.lit(0))).alias("w"), F.col("before").isNotNull().alias("moved")), "chains")
+        links = led.select("id", "start", "w")
+        if led.where("moved").isEmpty():
+            return links
+    return led.where("not moved").select("id", "start", "w")
 
-def betweenness(links: DataFrame) -> DataFrame:
-    """(id, score): undirected, halved, unnormalised betweenness by component.
 
-    Each source node's pass is independent: the component's links go, with a share of its sources, to several tasks, so a
-    large component is shared out by source. A task holds one component's links.
+#: (source, node) rows that betweenness holds at a time; sources are dealt out in batches of about so many rows.
+SOURCE_ROWS = 50_000_000
+
+
+def betweenness(links: DataFrame, rows: int = SOURCE_ROWS) -> DataFrame:
+    """(id, score): undirected, halved, unnormalised betweenness by component. Loops and repeated links add nothing.
+
+    Level by level for a batch of sources at once: (source, node, paths) rows reach their neighbours by a join with the
+    links; those of this level and the one before are known, and a node's new neighbours are the next level. Dependencies
+    run back over the same levels. So no task holds a component, rows of a hub's links are those of a join key, and a
+    batch takes as many rounds as the longest shortest path.
     """
-    parts = components(links)
-    pairs = links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    kind = links.schema["a"].dataType.simpleString()
-    sources = written(parts.withColumn("share", F.pmod(F.xxhash64("id"), F.lit(32))), "sources")
-    shares = sources.select("component", "share").distinct()
-    rows = pairs.join(parts.withColumnRenamed("id", "a"), "a").join(shares, "component").select("component", "share", "a", "b")
-    rows = written(rows, "links")
-
-    def brandes(own: pd.DataFrame, graph: pd.DataFrame) -> pd.DataFrame:
-        near: dict = {}
-        for a, b in zip(graph["a"], graph["b"], strict=True):
-            near.setdefault(a, set()).add(b)
-            near.setdefault(b, set()).add(a)
-        score = dict.fromkeys(near, 0.0)
-        for s in own["id"]:
-            levels, paths, seen = [[s]], {s: 1.0}, {s: 0}
-            while levels[-1]:
-                nxt: dict = {}
-                for v in levels[-1]:
-                    for w in near.get(v, ()):
-                        if w not in seen:
-                            nxt[w] = nxt.get(w, 0.0) + paths[v]
-                seen |= dict.fromkeys(nxt, len(levels))
-                paths |= nxt
-                levels.append([*nxt])
-            part = dict.fromkeys(paths, 0.0)
-            for level in reversed(levels):
-                for w in level:
-                    for v in near.get(w, ()):
-                        if seen[v] == seen[w] - 1:
-                            part[v] += paths[v] / paths[w] * (1 + part[w])
-                    if w != s:
-                        score[w] += part[w] / 2
-        return pd.DataFrame({"id": [*score], "score": [*score.values()]})
-
-    done = sources.groupBy("component", "share").cogroup(rows.groupBy("component", "share")).applyInPandas(brandes, f"id {kind}, score double")
-    return done.groupBy("id").agg(F.sum("score").alias("score"))
+    with scratch(links.sparkSession) as keep:
+        near = links.where("a <> b").select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("next")), F.struct(F.col("b").alias("node"), F.col("a").alias("next")))).alias("l")).select("l.*").distinct()
+        near = written(near, "near")
+        nodes = written(near.select(F.col("node").alias("id")).distinct(), "nodes")
+        n = nodes.count()
+        batches = max(1, -(-n * n // rows))
+        score = nodes.select("id", F.lit(0.0).alias("score"))
+        for k in range(min(batches, n) if n else 0):
+            with scratch(links.sparkSession) as made:
+                part = _dependencies(near, nodes.where(F.pmod(F.xxhash64("id"), F.lit(min(batches, n))) == k))
+                made.append(written(score.unionByName(part).groupBy("id").agg(F.sum("score").alias("score")), "score"))
+            discard(score)
+            score = made[0]
+        keep.append(score if n else written(score, "score"))
+        return keep[0]
+
+
+def _dependencies(near: DataFrame, sources: DataFrame) -> DataFrame:
+    """(id, score): half of what shortest paths from these sources depend on each node."""
+    levels = [written(sources.select(F.col("id").alias("source"), F.col("id").alias("node"), F.lit(1.0).alias("paths")), "level")]
+    while True:
+        reached = levels[-1].join(near, "node").groupBy("source", F.col("next").alias("node")).agg(F.sum("paths").alias("paths"))
+        for known in levels[-2:]:
+            reached = reached.join(known.select("source", "node"), ["source", "node"], "left_anti")
+        reached = written(reached, "level")
+        if reached.isEmpty():
+            break
+        levels.append(reached)
+    depend = levels[-1].select("source", "node", F.lit(0.0).alias("depend"))
+    parts = []
+    for here, before in zip(levels[:0:-1], levels[-2::-1], strict=True):
+        back = here.join(depend, ["source", "node"]).join(near, "node").groupBy("source", F.col("next").alias("node")).agg(F.sum((1 + F.col("depend")) / F.col("paths")).alias("share"))
+        parts.append(depend.groupBy("node").agg(F.sum("depend").alias("score")))
+        depend = written(before.join(back, ["source", "node"], "left").select("source", "node", F.coalesce(F.col("paths") * F.col("share"), F.lit(0.0)).alias("depend")), "depend")
+    return reduce(DataFrame.unionByName, parts).groupBy(F.col("node").alias("id")).agg((F.sum("score") / 2).alias("score"))
 
 
 def resolved(aliases: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from docweft.operators import catalog, graph, integrity, similarity
 from docweft.schema import legal_pairs
+from docweft.session import written
 
 EDGE = "id string, paper_id string, source_node_id string, target_node_id string, relation_type string, verification_status string, verification_scope string, provenance array<string>, version int"
 NODE = "id string, paper_id string, type string, layer string, text string, epistemic_status string, verification_status string, verification_scope string, confidence double, provenance array<string>, version int"
@@ -139,6 +140,38 @@ def test_learning_order(spark):
     assert {r.id for r in rows if r.blocked} == {"x", "y", "lost"}
 
 
+def brute_waves(ids, needs):
+    wave, k = {}, 1
+    while ready := [i for i in ids if i not in wave and all(r in wave for a, r in needs if a == i)]:
+        wave |= dict.fromkeys(ready, k)
+        k += 1
+    return {i: wave.get(i) for i in ids}
+
+
+def test_learning_order_of_any_graph(spark):
+    """Chains, diamonds, cycles with tails, needs of strangers and repeated needs, by random links."""
+    for seed in range(4):
+        rng = random.Random(seed)
+        ids = [*range(40)]
+        needs = [(i, rng.randrange(max(0, i - 4), i)) for i in ids[1:25] for _ in range(rng.choice([1, 1, 1, 2]))] + [(i, rng.choice([*range(24, 41)])) for i in range(25, 34)] + [(i, i - 1) for i in range(35, 40)]
+        got = graph.learning_order(spark.createDataFrame([(i, 1) for i in ids], "id long, frequency int"), spark.createDataFrame(needs, "id long, requires long")).collect()
+        assert {r.id: r.wave for r in got} == brute_waves(ids, needs)
+        assert all(r.blocked == (r.wave is None) for r in got)
+
+
+def test_learning_order_of_a_long_chain(spark, monkeypatch):
+    """10,000 concepts one after the other, and a few that need two of them, in fewer than 40 rounds."""
+    rounds = []
+    monkeypatch.setattr(graph, "written", lambda df, name="step": rounds.append(name) or written(df, name))
+    n = 10_000
+    concepts = spark.range(n + 3).select("id", F.lit(1).alias("frequency"))
+    needs = spark.range(1, n).select("id", (F.col("id") - 1).alias("requires")).union(spark.createDataFrame([(n, 7), (n, n - 1), (n + 1, n), (n + 2, 3), (n + 2, n + 1)], "id long, requires long"))
+    got = graph.learning_order(concepts, needs)
+    assert got.where(f"id < {n} and wave = id + 1").count() == n
+    assert {r.id: r.wave for r in got.where(f"id >= {n}").collect()} == {n: n + 1, n + 1: n + 2, n + 2: n + 3}
+    assert len(rounds) < 40
+
+
 def brute_betweenness(near):
     score = dict.fromkeys(near, 0.0)
     for s, t in combinations(near, 2):
@@ -164,6 +197,9 @@ def test_components_and_betweenness(spark):
     want = brute_betweenness(near)
     got = {r.id: r.score for r in graph.betweenness(links).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    few = {r.id: r.score for r in graph.betweenness(links.union(links).union(spark.createDataFrame([(1, 1)], "a long, b long")), rows=40).collect()}  # a few sources at a time
+    assert few.keys() == want.keys() and all(abs(few[k] - want[k]) < 1e-9 for k in want)
+    assert graph.betweenness(links.where("false")).collect() == []
     label = {v: v for v in near}
     for _ in near:
         for a, b in pairs:
