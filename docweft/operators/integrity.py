@@ -140,6 +140,13 @@ def reviews_current(objects: DataFrame, reviews: DataFrame, prints: DataFrame, s
     return rows.groupBy("id").agg(F.max(F.coalesce(fits, F.lit(False)).cast("int")).cast("boolean").alias("current"))
 
 
+def literal_nodes(nodes: DataFrame, anchors: DataFrame) -> DataFrame:
+    """(id) of nodes of a literal status whose text stands in one of their anchors."""
+    cited = nodes.where(F.col("epistemic_status").isin("PAPER_EXPLICIT", "AUTHOR_CLAIM")).select("id", "text", F.explode("provenance").alias("anchor_id"))
+    known = cited.join(anchors.select(F.col("id").alias("anchor_id"), F.col("text").alias("_text")), "anchor_id")
+    return known.where(F.contains("_text", F.col("text"))).select("id").distinct()
+
+
 def review_outcomes(requests: DataFrame, objects: DataFrame) -> DataFrame:
     """Review requests, each accepted or refused with a reason: stale hash or version, no evidence, or a scope that does not fit the kind."""
     o = objects.select(F.col("id").alias("object_id"), F.struct("version", "source_hash", "provenance", "kind", "type", "epistemic_status").alias("o"))
