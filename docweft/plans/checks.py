@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import catalog, evaluate, graph, history, integrity, layout, resolve, search, segments, similarity
 from ..session import new_path, table
-from ..sources import bibliography, markdown, store
+from ..sources import bibliography, json_items, markdown, store
 from .graph import EDGES_SQL, ID, NODES_SQL, edges, nodes
 from .registry import query
 
@@ -84,9 +84,9 @@ def bibliography_export(spark, sf_dir):
     k, m = F.col("s_suppkey").cast("string"), F.col("s_suppkey") % 5
     item = F.struct(F.lit("journalArticle").alias("itemType"), name("I", "s_suppkey").alias("key"), F.when(m != 4, F.col("s_name")).alias("title"), F.concat(F.lit("https://doi.org/10.1/"), k).alias("DOI"), F.concat(F.lit("spring "), (F.col("s_nationkey") + 1990).cast("string")).alias("date"), F.when(F.col("s_suppkey") % 3 == 0, F.concat(F.lit("Citation Key: cite"), k)).alias("extra"))
     file = F.struct(F.lit("attachment").alias("itemType"), name("A", "s_suppkey").alias("key"), name("I", "s_suppkey").alias("parentItem"), F.concat(F.lit("a"), k, F.lit(".pdf")).alias("path"))
-    lines = table(spark, sf_dir, "supplier").select(F.concat_ws(",", F.to_json(item), F.to_json(file)).alias("j"))
+    lines = table(spark, sf_dir, "supplier").select(F.explode(F.array(F.to_json(item), F.to_json(file))).alias("j"))
     path = new_path(spark, "export")
-    lines.agg(F.concat(F.lit("["), F.array_join(F.collect_list("j"), ","), F.lit("]")).alias("value")).coalesce(1).write.text(path)
+    json_items.write(lines, path)
     records, errors = bibliography.read(spark, path)
     good = records.select("item_key", "cite_key", "title", "year", "doi_key", F.array_join("attachment_paths", ",").alias("files"), F.lit(False).alias("bad"))
     return good.unionByName(errors.select(F.lit(True).alias("bad")), allowMissingColumns=True)

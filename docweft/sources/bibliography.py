@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions import text as tx
+from . import json_items
 
 # Only the fields that are used; other fields of the exports are ignored, and missing ones are null.
 _PERSON = "struct<creatorType:string,name:string,literal:string,firstName:string,lastName:string,given:string,family:string>"
@@ -21,9 +22,7 @@ _ITEM = (
 
 def read(spark: SparkSession, path: str, csl: bool = False, library: tuple[str, str] = ("user", "0")) -> tuple[DataFrame, DataFrame]:
     """(records, errors) of a JSON export: a list of items, or an object with items. Items without a title are errors; notes and annotations are left out; attachments join their parents."""
-    whole = spark.read.text(path, wholetext=True)
-    items = F.coalesce(F.get_json_object("value", "$.items"), F.col("value"))
-    rows = whole.select(F.posexplode(F.from_json(items, "array<string>")).alias("position", "raw"))
+    rows = json_items.items(spark, path)
     data = F.coalesce(F.get_json_object("raw", "$.data"), F.col("raw"))
     simple = lambda name: F.regexp_replace(data, rf'\{{\s*"{name}"\s*:\s*("(?:[^"\\]|\\.)*")\s*(?:,[^{{}}]*)?\}}', "$1")
     rows = rows.select("position", F.get_json_object("raw", "$.key").alias("outer_key"), F.get_json_object("raw", "$.version").cast("long").alias("outer_version"), F.from_json(simple("tag"), f"struct<{_struct(_ITEM)}>", {"mode": "PERMISSIVE"}).alias("i"), *(F.get_json_object(data, f"$.{f}").alias(n) for f, n in (("DOI", "doi_1"), ("doi", "doi_2"), ("url", "url_1"), ("URL", "url_2"))))

@@ -70,6 +70,33 @@ def write_lines(rows: DataFrame, path: str, *columns: str) -> None:
     lines(rows, *columns).write.mode("overwrite").text(path)
 
 
+#: Lines of a report's file; longer sections go on in further files.
+FILE_LINES = 10_000
+
+
+def report_files(rows: DataFrame, folder: str, sections: tuple[str, ...], per_file: int = FILE_LINES) -> DataFrame:
+    """(path, content) of a report(section, item, value): a Markdown file for each part of a section, and INDEX.md that links them in order.
+
+    Sections stand in the order given (others are left out), items by falling value, then name. A file has at most
+    per_file lines, so that no row grows with the report; the index has a line a file.
+    """
+    from ..operators.catalog import placed
+
+    order = {name: k for k, name in enumerate(sections)}
+    known = rows.where(F.col("section").isin(*sections)).withColumn("k", F.create_map(*(F.lit(x) for kv in order.items() for x in kv))[F.col("section")])
+    rows = placed(known, F.col("k"), -F.col("value"), F.col("item"))
+    first = rows.groupBy("k").agg(F.min("place").alias("first"))
+    rows = rows.join(F.broadcast(first), "k").withColumn("part", F.floor((F.col("place") - F.col("first")) / per_file).cast("long"))
+    line = F.concat(F.lit("- "), F.regexp_replace("item", r"[\r\n]+", " "), F.lit(": "), F.col("value").cast("string"))
+    parts = rows.groupBy("k", "section", "part").agg(F.array_sort(F.collect_list(F.struct("place", line.alias("line")))).alias("lines"))
+    path = F.concat(F.lit(f"{folder}/"), F.replace("section", F.lit(" "), F.lit("-")), F.when(F.col("part") > 0, F.concat(F.lit("-"), F.col("part") + 1)).otherwise(""), F.lit(".md"))
+    parts = parts.select("k", "part", F.size("lines").alias("n"), path.alias("path"), F.concat(F.lit("## "), F.col("section"), F.lit("\n\n"), F.array_join(F.transform("lines", lambda x: x["line"]), "\n"), F.lit("\n")).alias("content"))
+    link = F.concat(F.lit("- ["), "path", F.lit("]("), "path", F.lit("): "), F.col("n").cast("string"))
+    index = parts.agg(F.array_sort(F.collect_list(F.struct("k", "part", link.alias("line")))).alias("lines"))
+    index = index.select(F.lit("INDEX.md").alias("path"), F.concat(F.lit("# Index\n\n"), F.array_join(F.transform("lines", lambda x: x["line"]), "\n"), F.lit("\n")).alias("content"))
+    return parts.select("path", "content").unionByName(index)
+
+
 def contract(df: DataFrame) -> str:
     """A table's schema as JSON, for snapshot tests."""
     return df.schema.json()
