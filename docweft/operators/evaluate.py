@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as tx
 
@@ -22,12 +27,44 @@ def prediction_key(kind: Column, text: Column) -> Column:
     return F.sha2(F.concat(kind, F.lit("\n"), text), 256)
 
 
+#: The side of the smallest grid cells, in a page's units, and the most doublings of it.
+CELL, LEVELS = 64.0, 24
+
+
+def _cells(df: DataFrame, box: str, margin: float) -> DataFrame:
+    """A row for each cell that a box touches (nine at most): cells of the level whose side is at least the box's longer one."""
+    b = F.col(box)
+    side = F.greatest(b["x1"] - b["x0"], b["y1"] - b["y0"]) + 2 * margin
+    rows = df.withColumn("level", F.least(F.lit(LEVELS), F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(side, F.lit(1.0)) / CELL)))).cast("int"))
+    size = CELL * F.pow(F.lit(2.0), F.col("level"))
+    at = lambda v: F.floor(v / size)
+    rows = rows.where(side.isNotNull()).withColumn("cx", F.explode(F.sequence(at(b["x0"] - margin), at(b["x1"] + margin))))
+    return rows.withColumn("cy", F.explode(F.sequence(at(b["y0"] - margin), at(b["y1"] + margin))))
+
+
+def inside_pairs(outer: DataFrame, inner: DataFrame, keys: list[str], out_box: str, in_box: str) -> DataFrame:
+    """Rows of outer and inner with equal keys (paper, page) whose box of outer contains that of inner.
+
+    Both meet in grid cells and not page by page: an outer box lies in the few cells of its size that it touches, an
+    inner one in that of its middle, once for each size that occurs. The middle lies inside what contains the box, so
+    every pair meets in exactly one cell. Boxes have x0 <= x1 and y0 <= y1; those with a null or not a number contain nothing.
+    """
+    b = F.col(in_box)
+    whole = ~F.isnan(b["x0"] + b["x1"] + b["y0"] + b["y1"])
+    cells = _cells(outer.where(~F.isnan(F.col(out_box)["x0"] + F.col(out_box)["x1"] + F.col(out_box)["y0"] + F.col(out_box)["y1"])), out_box, 1.0)
+    levels = [r.level for r in cells.select("level").distinct().collect()]  # LEVELS + 1 at most
+    points = inner.where(whole).withColumn("level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>")))
+    size = CELL * F.pow(F.lit(2.0), F.col("level"))
+    points = points.withColumns({"cx": F.floor((b["x0"] + b["x1"]) / 2 / size), "cy": F.floor((b["y0"] + b["y1"]) / 2 / size)})
+    return cells.join(points, [*keys, "level", "cx", "cy"]).where(contains(F.col(out_box), b)).drop("level", "cx", "cy")
+
+
 def in_windows(nodes: DataFrame, anchors: DataFrame, windows: DataFrame) -> DataFrame:
     """Nodes other than PAPER and SECTION with an anchor whose box holds a gold window on its page of its paper."""
     a = anchors.select(F.col("id").alias("anchor_id"), "paper_id", F.col("page_number").alias("page"), F.col("bbox").alias("a_box"))
     w = windows.select("paper_id", "page", F.col("bbox").alias("w_box"))
     rows = nodes.where(~F.col("type").isin("PAPER", "SECTION")).select("id", F.explode("provenance").alias("anchor_id"))
-    hits = rows.join(a, "anchor_id").join(w, ["paper_id", "page"]).where(contains(F.col("a_box"), F.col("w_box"))).select("id").distinct()
+    hits = inside_pairs(rows.join(a, "anchor_id"), w, ["paper_id", "page"], "a_box", "w_box").select("id").distinct()
     return nodes.join(hits, "id", "left_semi")
 
 
@@ -39,7 +76,8 @@ def gold_matches(gold: DataFrame, nodes: DataFrame, anchors: DataFrame) -> DataF
     parts = gold.select(F.col("id").alias("gold_id"), F.col("type").alias("gold_type"), "paper_id", "page", F.size("components").alias("n"), F.posexplode("components").alias("part", "c"))
     own = nodes.where(~F.col("type").isin("PAPER", "SECTION")).select("id", "type", tx.compact(F.col("text")).alias("flat"), F.explode("provenance").alias("anchor_id"))
     own = own.join(anchors.select(F.col("id").alias("anchor_id"), "paper_id", F.col("page_number").alias("page"), "bbox"), "anchor_id")
-    hits = own.join(parts, ["paper_id", "page"]).where(contains(F.col("bbox"), F.col("c.bbox")) & F.contains("flat", tx.compact(F.col("c.text"))))
+    parts = parts.select("gold_id", "gold_type", "paper_id", "page", "n", "part", F.col("c.bbox").alias("c_box"), tx.compact(F.col("c.text")).alias("c_text"))
+    hits = inside_pairs(own, parts, ["paper_id", "page"], "bbox", "c_box").where(F.contains("flat", F.col("c_text")))
     per = hits.groupBy("gold_id", "gold_type", "n", "id", "type").agg(F.count_distinct("part").alias("found")).where("found = n")
     best = per.groupBy("gold_id").agg(F.min_by(F.struct("id", "type"), F.struct((F.col("type") != F.col("gold_type")).cast("int"), F.col("id"))).alias("b"))
     return gold.select(F.col("id").alias("gold_id"), F.col("type").alias("gold_type")).join(best, "gold_id", "left").select("gold_id", "gold_type", F.col("b.id").alias("node_id"), (F.col("b.type") == F.col("gold_type")).alias("same_type"))
@@ -166,20 +204,50 @@ def rebuilt_edges(actions: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.join(up, "target_node_id", "left").withColumn("version", F.col("version") + F.coalesce("_up", F.lit(0))).drop("_up")
 
 
-def contained_items(items: DataFrame, docs: DataFrame, item: str, doc: str, text: str = "text", n: int = 5) -> DataFrame:
-    """(item, doc): documents whose white-space compacted text holds the item's; items of fewer than n words are not looked for.
+#: Characters of items that one automaton holds; more items are looked for part by part.
+AUTOMATON = 16_000_000
+
+
+def contained_items(items: DataFrame, docs: DataFrame, item: str, doc: str, text: str = "text", most: int = AUTOMATON) -> DataFrame:
+    """(item, doc): documents whose white-space compacted text holds the item's, whatever its length.
 
-    Documents and items meet on the words 2 to n - 1 of the item (its outer words may lie inside longer ones), so no
-    item is held against all documents.
+    One pass of an automaton over all items' texts finds those of a document, so no words are exploded and texts do not
+    shuffle. The items' size is checked: beyond `most` characters they are dealt into parts of about that size by hash,
+    each with its own pass. Items of nothing but white space are in no document; nulls neither; equal items are found each.
     """
+    spark = docs.sparkSession
     flat = F.trim(F.regexp_replace(text, r"[\t\n\x0B\f\r ]+", " "))
-    i = items.select(item, flat.alias("_item")).withColumn("_words", F.split("_item", " ")).where(F.size("_words") >= n)
-    i = i.select(item, "_item", F.array_join(F.slice("_words", 2, n - 2), " ").alias("_key"))
-    d = docs.select(doc, flat.alias("_text"))
-    words = F.split("_text", " ")
-    grams = words
-    for k in range(2, n - 1):  # each step appends the k-th word; the rows' last ones, which have none, become null
-        grams = F.zip_with(grams, F.slice(words, k, F.greatest(F.size(words), F.lit(0))), lambda g, w: F.concat(g, F.lit(" "), w))
-    grams = F.array_distinct(F.array_compact(grams))
-    keys = d.select(doc, F.explode(grams).alias("_key")).join(i, "_key").select(doc, item, "_item").distinct()
-    return keys.join(d, doc).where(F.contains("_text", F.col("_item"))).select(item, doc)
+    i = items.select(F.col(item).alias("_item"), flat.alias("_text")).where("_text <> ''")
+    size = i.agg(F.sum(F.length("_text"))).first()[0] or 0
+    parts = -(-size // most) or 1
+    d = docs.select(F.col(doc).alias("_doc"), flat.alias("_flat")).where("_flat <> ''")
+    kind, item_kind = d.schema["_doc"].dataType.simpleString(), i.schema["_item"].dataType
+    found = None
+    for k in range(parts):
+        own = i.where(F.pmod(F.xxhash64("_text"), F.lit(parts)) == k).collect()  # bounded by `most`, within the hash's spread
+        texts = spark.sparkContext.broadcast(list(dict.fromkeys(r._text for r in own)))
+        number = {t: n for n, t in enumerate(texts.value)}
+        names = spark.createDataFrame([(number[r._text], r._item) for r in own], T.StructType([T.StructField("_n", T.LongType()), T.StructField("_item", item_kind)]))
+        hits = d.mapInArrow(_searched(texts), f"_doc {kind}, _n long").join(F.broadcast(names), "_n").select(F.col("_item").alias(item), F.col("_doc").alias(doc))
+        found = hits if found is None else found.unionByName(hits)
+    return found
+
+
+def _searched(texts: Broadcast):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        patterns = ahocorasick.Automaton()
+        for n, text in enumerate(texts.value):
+            patterns.add_word(text, n)
+        if texts.value:
+            patterns.make_automaton()
+        for batch in batches if texts.value else ():
+            rows, hits = [], []
+            for row, text in enumerate(batch.column(1)):
+                met = {n for _, n in patterns.iter(text.as_py())}
+                rows += [row] * len(met)
+                hits += met
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int32())), pa.array(hits, pa.int64())], ["_doc", "_n"])
+
+    return run

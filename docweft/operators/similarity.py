@@ -1,13 +1,37 @@
-"""Set similarity of papers over shared concepts, always by equi-joins on what they share."""
+"""Set similarity of papers over shared concepts, always by equi-joins on what they share.
+
+A concept that very many papers have (or a paper with very many concepts) is cut into blocks, and each two blocks are a
+key of their own (`pairs_within`): no task gets a whole hot group. Pairs themselves are the result, so their number is
+what it is.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 
 
+#: Members of a group that meet under one key; larger groups are cut into blocks of about so many.
+BLOCK = 1024
+
+
+def pairs_within(rows: DataFrame, group: list[str], member: str, carried: list[str] = (), block: int = BLOCK) -> DataFrame:
+    """Every two rows of a group with a < b: columns of group, a and b (the members), and carried ones as name_a and name_b.
+
+    A group of n rows has k = ceil(n / block) blocks by a hash of the member. The first of a pair goes to all keys
+    (own block, j), the second to all keys (i, own block): they meet under exactly one of k x k keys.
+    """
+    sizes = rows.groupBy(*group).agg(F.ceil(F.count("*") / block).cast("int").alias("_k")).where("_k > 1")
+    own = F.pmod(F.xxhash64(member), F.coalesce("_k", F.lit(1))).cast("int")
+    all_ = F.explode(F.sequence(F.lit(0), F.coalesce("_k", F.lit(1)) - 1))
+    rows = rows.join(sizes, group, "left")
+    side = lambda x, i, j: rows.select(*group, F.col(member).alias(x), *(F.col(c).alias(f"{c}_{x}") for c in carried), i.alias("_i"), j.alias("_j"))
+    return side("a", own, all_).join(side("b", all_, own), [*group, "_i", "_j"]).where("a < b").drop("_i", "_j")
+
+
 def frequencies(pairs: DataFrame, n_papers: DataFrame | None = None) -> DataFrame:
     """(concept, df, idf) of distinct (paper, concept): idf = 1 + ln((1 + papers) / (1 + df))."""
     rows = pairs.select("paper", "concept").distinct()
@@ -25,10 +49,9 @@ def paper_similarity(pairs: DataFrame) -> DataFrame:
     rows = pairs.select("paper", "concept").distinct().join(frequencies(pairs), "concept")
     own = rows.groupBy("paper").agg(F.count("*").alias("n"), F.sum("idf").alias("w"))
     rows = rows.join(own, "paper")
-    a, b = (rows.select("concept", F.col("idf").alias(f"idf_{x}"), F.col("paper").alias(x), F.col("n").alias(f"n_{x}"), F.col("w").alias(f"w_{x}")) for x in ("a", "b"))
     # A side's totals depend on the side alone: they ride along instead of being joined to every pair.
     ride = [F.max(c).alias(c) for c in ("n_a", "n_b", "w_a", "w_b")]
-    both = a.join(b, "concept").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"), F.sum("idf_a").alias("common"), *ride)
+    both = pairs_within(rows, ["concept"], "paper", ["idf", "n", "w"]).groupBy("a", "b").agg(F.count("*").alias("shared"), F.sum("idf_a").alias("common"), *ride)
     plain = F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared"))
     weighted = F.col("common") / (F.col("w_a") + F.col("w_b") - F.col("common"))
     return both.select("a", "b", "shared", plain.alias("jaccard"), weighted.alias("idf_jaccard"), F.round((plain + weighted) / 2, 6).alias("weight"))
@@ -37,26 +60,43 @@ def paper_similarity(pairs: DataFrame) -> DataFrame:
 def shared_principles(pairs: DataFrame) -> DataFrame:
     """(a, b, weight 1) of papers that share a principle."""
     rows = pairs.select("paper", "concept").distinct()
-    return rows.select(F.col("paper").alias("a"), "concept").join(rows.select(F.col("paper").alias("b"), "concept"), "concept").where("a < b").select("a", "b").distinct().withColumn("weight", F.lit(1.0))
+    return pairs_within(rows, ["concept"], "paper").select("a", "b").distinct().withColumn("weight", F.lit(1.0))
 
 
 def cooccurrence(pairs: DataFrame) -> DataFrame:
     """(a, b, papers, weight) of concepts in the same papers; weight is the part of all papers."""
     rows = pairs.select("paper", "concept").distinct()
     total = rows.agg(F.greatest(F.count_distinct("paper"), F.lit(1)).alias("n"))
-    both = rows.select("paper", F.col("concept").alias("a")).join(rows.select("paper", F.col("concept").alias("b")), "paper").where("a < b")
+    both = pairs_within(rows, ["paper"], "concept")
     return both.groupBy("a", "b").agg(F.count("*").alias("papers")).join(F.broadcast(total)).select("a", "b", "papers", (F.col("papers") / F.col("n")).alias("weight"))
 
 
+def review_candidates(sets: DataFrame, least: float) -> DataFrame:
+    """(a, b) of sets(paper, s0, s1, s2) that can have a Jaccard of `least` in one of the three: a prefix filter.
+
+    Of n elements the n - ceil(least n) + 1 rarest are the prefix; two sets as alike as that share one of them, and
+    neither is larger than the other over `least`. So an element that all reviews have pairs none but small sets.
+    """
+    parts = [sets.select("paper", F.lit(i).alias("part"), F.size(F.array_compact(f"s{i}")).alias("n"), F.explode(F.array_compact(f"s{i}")).alias("item")) for i in range(3)]
+    rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    counts = rows.groupBy("part", "item").agg(F.count("*").alias("df"))
+    order = F.row_number().over(W.partitionBy("paper", "part").orderBy("df", "item"))
+    prefix = rows.join(counts, ["part", "item"]).withColumn("k", order).where(F.col("k") <= F.col("n") - F.ceil(least * F.col("n")) + 1)
+    met = pairs_within(prefix.select("part", "item", "paper", "n"), ["part", "item"], "paper", ["n"])
+    return met.where((F.col("n_a") >= least * F.col("n_b")) & (F.col("n_b") >= least * F.col("n_a"))).select("a", "b").distinct()
+
+
 def review_similarity(reviews: DataFrame, least: float = 0.25) -> DataFrame:
     """(a, b, score): mean Jaccard of problem words, method words and key concepts of reviews(paper, core_problem, method_summary, key_concepts).
 
-    Only pairs that share an element of one of the three sets are compared; all others score 0.
+    The mean reaches `least` only if one of the three does; only such candidates are compared.
     """
     sets = reviews.select("paper", tx.token_set(F.col("core_problem")).alias("s0"), tx.token_set(F.col("method_summary")).alias("s1"), F.array_distinct("key_concepts").alias("s2"))
-    parts = [sets.select("paper", F.lit(i).alias("part"), F.size(f"s{i}").alias("n"), F.explode(f"s{i}").alias("item")) for i in range(3)]
-    rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    a, b = (rows.select("part", "item", F.col("paper").alias(x), F.col("n").alias(f"n_{x}")) for x in ("a", "b"))
-    shared = a.join(b, ["part", "item"]).where("a < b").groupBy("a", "b", "part", "n_a", "n_b").agg(F.count("*").alias("n"))
-    score = F.sum(F.col("n") / (F.col("n_a") + F.col("n_b") - F.col("n"))) / 3
-    return shared.groupBy("a", "b").agg(F.round(score, 6).alias("score")).where(F.col("score") >= least)
+    near = review_candidates(sets, least - 1e-6)  # scores are rounded to six places
+    side = lambda x: sets.select(F.col("paper").alias(x), *(F.col(f"s{i}").alias(f"{x}{i}") for i in range(3)))
+    both = near.join(side("a"), "a").join(side("b"), "b")
+    jaccard = []
+    for i in range(3):
+        shared = F.size(F.array_intersect(F.array_compact(f"a{i}"), F.array_compact(f"b{i}")))
+        jaccard.append(F.when(shared > 0, shared / (F.size(f"a{i}") + F.size(f"b{i}") - shared)).otherwise(0.0))
+    return both.select("a", "b", F.round((jaccard[0] + jaccard[1] + jaccard[2]) / 3, 6).alias("score")).where(F.col("score") >= least)
