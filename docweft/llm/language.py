@@ -8,10 +8,14 @@ each block is parsed once more from where the block before it ended, until both
 counts are those of whole texts, with phrases that cross blocks.
 
 The labelled text is a bounded sample: about SAMPLE_DOCS documents a language, by a hash of the id, and DOC_CHARS
-characters of each at most (only of what is learned; texts to be judged are read whole), of which the first TRAIN_CHARS
-characters are learned and the next TRAIN_CHARS / 2 set the language's own rate. A language with less text
-learns two thirds of it, whatever the others have. The own rate counts SURE standard errors lower, so that a language
-whose rate rests on little text must fit a text the better to win it.
+characters of each at most (only of what is learned; texts to be judged are read whole), of which TRAIN_CHARS characters
+are learned, or two thirds of what a language has. A language's own rate is that of all its text: in three folds, each
+third is parsed by an automaton of the other two. More learned text makes longer phrases, so languages of unlike text are
+compared as if both had learned what the one with less has (sizes fall in steps of STEP): those with most text first, by
+their normalised phrases; then the best so far against those with less, size by size, by their phrases. How much the
+phrases vary between samples of that size is measured on the larger languages, and the smaller one must need fewer by SURE
+such deviations: with less text it must differ more, and a mistaken label's few words never take a language's texts. Where
+all have enough, all are compared at once.
 
 Defined results: a null text, or one without a letter, gives `und` with score 0. With no labelled text at all every
 text gives `und`. Ties go to the language name that comes first. Null ids and repeated rows are judged like any row;
@@ -32,8 +36,10 @@ from pyspark.sql import functions as F
 SAMPLE_DOCS, DOC_CHARS, TRAIN_CHARS, BLOCK = 200, 4_000, 16_000, 512
 #: Entries of an automaton's dense table; one with more (a large alphabet) is looked up by sorted transitions.
 DENSE = 1 << 22
-#: Standard errors (phrases as a Poisson count) off a language's own rate, and the least rate then.
-SURE, LEAST_RATE = 3, 1e-3
+#: How the sizes of learned text fall below TRAIN_CHARS, the least own rate, and the deviations by which a language with less text must be better.
+STEP, LEAST_RATE, SURE = 0.8, 1e-3, 3
+#: Samples from whose phrases the deviation is measured.
+SAMPLES = 16
 #: Blocks parsed side by side.
 LANES = 8192
 
@@ -137,33 +143,69 @@ class Parser:
         learned = [min(chars, 2 * len(t) // 3) for t in texts]
         if even:
             learned = [min(learned, default=0)] * len(learned)
+        else:
+            learned = [max(1, int(chars * STEP ** np.ceil(np.log(max(1, m) / chars) / np.log(STEP)))) if m < chars else m for m in learned]
         self.learned = learned
-        #: For each language: symbols in its own numbering (its learned letters, then any other), lookup, state to start in.
+        #: What there is an automaton of: (language, size), first each language at its own size, then at smaller ones that others have.
+        self.entries = [*enumerate(learned)] + [(i, c) for i, m in enumerate(learned) for c in sorted({*learned}) if c < m]
+        #: For each automaton: symbols in its own numbering (its learned letters, then any other), lookup, state to start in.
         self.local, self.steps, self.starts = [], [], []
-        for t, m in zip(texts, learned, strict=True):
-            have = np.unique(self.symbol[t[:m]])
-            have = have[have > 0]
-            local = np.full(len(seen) + 2, len(have) + 1, np.int32)
-            local[0] = 0
-            local[have] = np.arange(1, len(have) + 1)
-            step = automaton(local[self.symbol[t[:m]]])
-            self.local.append(local)
-            self.steps.append(lookup(step, len(have) + 2))
-            self.starts.append(len(step) * (len(have) + 2))
-        own = [t[m : m + chars // 2] for t, m in zip(texts, learned, strict=True)]
-        self.rate = np.ones(len(texts))
-        if texts:
-            self.rate = np.array([self.phrases([self.symbol[t]])[0][i] / max(1, len(t)) for i, t in enumerate(own)])
-        if not even:
-            self.rate = np.maximum(LEAST_RATE, self.rate - SURE * np.sqrt(self.rate / np.array([max(1, len(t)) for t in own])))
-
-    def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
-        """Phrases of each text (as symbols), by language."""
+        for i, size in self.entries:
+            self._learn(self.symbol[texts[i][:size]])
+        self.rate = np.array([self._own_rate(k, self.symbol[texts[i][: size + (size + 1) // 2]], size) for k, (i, size) in enumerate(self.entries[: len(texts)])])
+        self.spread = {c: np.sqrt(np.mean([self._variance(self.symbol[texts[i]], c) for i, m in enumerate(learned) if m > c])) for c in {*learned} if c < max(learned)}
+
+    def _learn(self, text: np.ndarray) -> int:
+        """Adds an automaton of a text (as symbols)."""
+        have = np.unique(text)
+        have = have[have > 0]
+        local = np.full(int(self.symbol.max()) + 1, len(have) + 1, np.int32)
+        local[0] = 0
+        local[have] = np.arange(1, len(have) + 1)
+        step = automaton(local[text])
+        self.local.append(local)
+        self.steps.append(lookup(step, len(have) + 2))
+        self.starts.append(len(step) * (len(have) + 2))
+        return len(self.starts) - 1
+
+    def _own_rate(self, entry: int, text: np.ndarray, size: int) -> float:
+        """Phrases a character of a text whose first part the entry has learned: each third parsed by the other two."""
+        cut = [0, size // 2, size, len(text)]
+        phrases = 0
+        for f in range(3):
+            if f == 2:
+                by = entry
+            else:
+                by = self._learn(np.concatenate([text[: cut[f]], text[cut[f + 1] :]]))
+            phrases += int(self.phrases([text[cut[f] : cut[f + 1]]], [by])[0, 0]) if cut[f] < cut[f + 1] else 0
+            if f < 2:
+                self._forget(1)
+        return max(LEAST_RATE, phrases / max(1, len(text)))
+
+    def _forget(self, n: int) -> None:
+        for kept in (self.local, self.steps, self.starts):
+            del kept[-n:]
+
+    def _variance(self, text: np.ndarray, size: int) -> float:
+        """The squared relative deviation (robust) of the phrases that a text's end needs, between samples of this size of the text before it; measured on smaller ones, and scaled, if so many don't fit."""
+        stride = max(1, len(text) // (SAMPLES + 1))
+        short = max(1, min(size, stride))
+        held = text[SAMPLES * stride :][:4000]
+        by = [self._learn(text[k * stride : k * stride + short]) for k in range(SAMPLES)]
+        n = self.phrases([held], by)[0]
+        self._forget(SAMPLES)
+        middle = max(1.0, float(np.median(n)))
+        # By the median, as some samples may be junk; 1.4826 makes it a normal distribution's deviation.
+        return (1.4826 * float(np.median(np.abs(n - middle))) / middle) ** 2 * short / size
+
+    def phrases(self, texts: list[np.ndarray], entries: list[int] | None = None) -> np.ndarray:
+        """Phrases of each text (as symbols), by automaton: of all entries, or of some."""
+        which_entries = list(range(len(self.starts))) if entries is None else entries
         of = np.array([i for i, t in enumerate(texts) for _ in range(0, len(t), BLOCK)], np.int64)
         blocks = [t[j : j + BLOCK] for t in texts for j in range(0, len(t), BLOCK)]
         sizes = np.array([len(b) for b in blocks], np.int64)
         inner = np.flatnonzero(np.diff(of, prepend=-1) == 0)  # blocks with one of their text before them
-        k = len(self.langs)
+        k = len(which_entries)
         own, more, ends = np.zeros((k, len(blocks)), np.int64), np.zeros((k, len(blocks)), np.int64), np.zeros((k, len(blocks)), np.int32)
 
         def parts(which: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -173,20 +215,21 @@ class Parser:
                 yield part, _side_by_side([blocks[b] for b in part])
 
         for part, grid in parts(np.arange(len(blocks))):
-            for lang, start in enumerate(self.starts):
-                own[lang, part], ends[lang, part] = self._parse(lang, grid, sizes[part], np.full(len(part), start, np.int32))
+            for row, entry in enumerate(which_entries):
+                own[row, part], ends[row, part] = self._parse(entry, grid, sizes[part], np.full(len(part), self.starts[entry], np.int32))
         open_ends = dict.fromkeys(range(k), inner)
         while open_ends:
             new = ends.copy()
             for part, grid in parts(np.unique(np.concatenate([*open_ends.values()]))):
-                for lang, todo in open_ends.items():
+                for row, todo in open_ends.items():
                     mine = np.flatnonzero(np.isin(part, todo)) if len(todo) < len(inner) else np.arange(len(part))
                     at = part[mine]
-                    more[lang, at], end = self._joined(lang, grid, mine, sizes[at], ends[lang, at - 1], self.starts[lang])
-                    new[lang, at] = np.where(end >= 0, end, ends[lang, at])
-            moved = {lang: np.flatnonzero(new[lang] != ends[lang]) + 1 for lang in open_ends}
+                    entry = which_entries[row]
+                    more[row, at], end = self._joined(entry, grid, mine, sizes[at], ends[row, at - 1], self.starts[entry])
+                    new[row, at] = np.where(end >= 0, end, ends[row, at])
+            moved = {row: np.flatnonzero(new[row] != ends[row]) + 1 for row in open_ends}
             ends = new
-            open_ends = {lang: at for lang, m in moved.items() if len(at := np.intersect1d(m, inner))}
+            open_ends = {row: at for row, m in moved.items() if len(at := np.intersect1d(m, inner))}
         out = np.zeros((len(texts), k), np.int64)
         np.add.at(out, of, (own + more).T)
         return out
@@ -229,23 +272,42 @@ class Parser:
         return more, ends
 
     def judge(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        """The language of each text and, as score, how far its rate lies below the runner-up's (1 - best / second)."""
+        """The language of each text and, as score, how far its rate lies below the nearest other's (the least 1 - best / other)."""
         codes = [normalise(points(t)) if t else np.zeros(0, np.uint32) for t in texts]
         codes = [self.symbol[c] if c.any() else None for c in codes]
         have = [i for i, c in enumerate(codes) if c is not None]
         langs, scores = ["und"] * len(texts), [0.0] * len(texts)
         if not have or not self.langs:
             return langs, scores
-        n = self.phrases([codes[i] for i in have])
-        rate = n / np.array([len(codes[i]) for i in have])[:, None] / self.rate
-        best = rate.argmin(1)
-        low = rate[np.arange(len(have)), best]
-        rate[np.arange(len(have)), best] = np.inf
-        second = rate.min(1)
-        for i, b, x, y in zip(have, best, low, second, strict=True):
-            langs[i], scores[i] = self.langs[b], float(1 - x / y) if np.isfinite(y) else 1.0
+        best, least = self.chosen(self.phrases([codes[i] for i in have]) / np.array([len(codes[i]) for i in have])[:, None])
+        for i, b, x in zip(have, best, least, strict=True):
+            langs[i], scores[i] = self.langs[b], float(x)
         return langs, scores
 
+    def chosen(self, rate: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each row of phrases a character (by entry) the language, and its score."""
+        k, entry = len(self.langs), {e: n for n, e in enumerate(self.entries)}
+        full = rate[:, :k] / self.rate
+        sizes = sorted({*self.learned}, reverse=True)
+        most = np.array([m == sizes[0] for m in self.learned])
+        best = np.where(most, full, np.inf).argmin(1)
+        rows = np.arange(len(rate))
+        for size in sizes[1:]:
+            at = np.array([entry.get((i, size), -1) for i in range(k)])
+            some = np.array([m == size for m in self.learned])
+            ratio = np.where(some, rate[:, at] / rate[rows, at[best]][:, None], np.inf)
+            new = ratio.argmin(1)
+            best = np.where(ratio[rows, new] < np.exp(-SURE * np.sqrt(2) * self.spread[size]), new, best)
+        score = np.ones(len(rate))
+        for b in np.unique(best):
+            mine = np.flatnonzero(best == b)
+            for j, m in enumerate(self.learned):
+                if j != b:
+                    size = min(m, self.learned[b])
+                    x, y = (full[mine, b], full[mine, j]) if m == self.learned[b] == sizes[0] else (rate[mine, entry[b, size]], rate[mine, entry[j, size]])
+                    score[mine] = np.minimum(score[mine], np.maximum(0.0, 1 - x / y))
+        return best, score
+
 
 def _side_by_side(blocks: list[np.ndarray]) -> np.ndarray:
     """Blocks, the longest first, as the columns of a grid."""

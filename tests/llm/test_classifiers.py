@@ -104,6 +104,53 @@ def test_short_language_weakens_only_itself(spark):
         assert sum(a == r["lang"] for a, r in zip(langs, held, strict=True)) >= 0.97 * len(held)
 
 
+def test_little_labelled_text_is_enough(spark):
+    """A language of 600 labelled characters and more finds its texts beside others of 24,000, and takes none of theirs; brute force over the phrases says the same."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("text is not null").orderBy("doc_id").collect()
+    train = {k: "\n".join(r.text[:4000] for r in docs if r["lang"] == k and r.doc_id % 2)[:64_000] for k in ("de", "en", "es", "fr")}
+    held = [r for r in docs if r.doc_id % 2 == 0]
+    plain = lambda t: "".join(chr(c) if c else " " for c in language.normalise(language.points(t)))
+    for lang, n in (("es", 600), ("es", 1200), ("de", 600), ("fr", 2400)):
+        p = language.parser(tuple(sorted((train | {lang: train[lang][:n]}).items())))
+        langs, _ = p.judge([r.text for r in held])
+        own = [a == lang for a, r in zip(langs, held, strict=True) if r["lang"] == lang]
+        assert sum(own) >= 0.97 * len(own) and sum(a == lang for a, r in zip(langs, held, strict=True) if r["lang"] != lang) <= 0.01 * len(held)
+        size, j = min(p.learned), p.langs.index(lang)
+        for r, a in [*zip(held, langs, strict=True)][:12]:
+            t = plain(r.text[:600])
+            counts = {(k, m): phrases(plain(train[x])[:m], t) for k, x in enumerate(p.langs) for m in ({p.learned[k], size})}
+            best = min((k for k in range(4) if k != j), key=lambda k: counts[k, p.learned[k]] / p.rate[k])
+            if counts[j, size] / counts[best, size] < np.exp(-language.SURE * np.sqrt(2) * p.spread[size]):
+                best = j
+            assert p.judge([r.text[:600]])[0] == [p.langs[best]]
+
+
+def test_own_rate_by_thirds():
+    """The own rate and the spread between samples, against a direct parse."""
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcde") for _ in range(rng.randint(2, 6))) for _ in range(60)]
+    train = {k: " ".join(rng.choice(words) for _ in range(n)) for k, n in (("x", 900), ("y", 200))}
+    p = language.Parser(train, chars=1200, even=False)
+    for k, lang in enumerate(p.langs):
+        m = p.learned[k]
+        t = train[lang][: m + (m + 1) // 2]
+        thirds = [t[: m // 2], t[m // 2 : m], t[m:]]
+        n = sum(phrases("".join(thirds[:f] + thirds[f + 1 :]), thirds[f]) for f in range(3))
+        assert abs(p.rate[k] - n / len(t)) < 1e-9
+    size = min(p.learned)
+    stride = len(train["x"]) // (language.SAMPLES + 1)
+    short = min(size, stride)
+    held = train["x"][language.SAMPLES * stride :][:4000]
+    counts = np.array([phrases(train["x"][k * stride : k * stride + short], held) for k in range(language.SAMPLES)])
+    middle = np.median(counts)
+    assert abs(p.spread[size] - 1.4826 * np.median(np.abs(counts - middle)) / middle * (short / size) ** 0.5) < 1e-9
+
+
+def test_ties_go_to_the_first_name():
+    p = language.Parser({"b": "one two three " * 300, "a": "one two three " * 300}, even=False)
+    assert p.judge(["three one"])[0] == ["a"]
+
+
 def test_language_ignores_held_out_labels(spark):
     df = spark.read.parquet(f"{SF}/documents.parquet")
     fold = queries.fold("doc_id", 4)
