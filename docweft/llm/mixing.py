@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import NOT_WHITE, WHITE, stored, text_of
 
 WEIGHTS, MOST, BLOCK_WORDS, SHARDS, SEED = (5, 2, 1), 3, 128, 16, 11
-#: The key histogram's buckets are a key's top bits: 2^12 a source, fewer for many sources, so that the driver holds 2^17 counts and one a source at most.
+#: The key histogram's buckets are a key's top bits: a source has its part of 2^17 buckets by its size, 2^12 at most and one at least; so the driver holds 2^17 counts and one a source at most.
 BUCKET_BITS, COUNT_BITS = 12, 17
 #: Bits of a key; a draw's place is its pass times 2^KEY_BITS plus its key.
 KEY_BITS = 60
@@ -121,17 +121,26 @@ def doc_key(id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.col(id_col).cast("string"), text_of(text_col))
 
 
+def bucket_bits(sizes: dict) -> dict:
+    """The bits of the sources that have any: such a source has over 2^-COUNT_BITS of all words, so there are fewer than 2^COUNT_BITS of them."""
+    total = max(1, sum(sizes.values()))
+    bits = {s: min(BUCKET_BITS, ((n << COUNT_BITS) // total).bit_length() - 1) for s, n in sizes.items()}
+    return {s: b for s, b in bits.items() if b > 0}
+
+
 def plan(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, weights=WEIGHTS, most: int = MOST) -> Plan:
     """Quotas, cuts and borders for narrow() rows."""
     sizes = {r[0]: r[1] or 0 for r in docs.groupBy("source").agg(F.sum("size")).limit(MOST_SOURCES + 1).collect()}
     if len(sizes) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
     goal = targets(sizes, weights, most)
-    bits = max(0, min(BUCKET_BITS, COUNT_BITS - max(1, len(sizes)).bit_length()))
+    bits = bucket_bits(sizes)
     n_blocks = F.ceil(F.col("size") / BLOCK_WORDS).cast("int")
     blocks = docs.where("size > 0").withColumn("block", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
     blocks = blocks.select("source", block_key(F.col("key"), F.col("block"), seed).alias("k"), F.least(F.lit(BLOCK_WORDS), F.col("size") - F.col("block") * BLOCK_WORDS).alias("words"))
-    blocks = blocks.withColumn("bucket", F.shiftright("k", KEY_BITS - bits).cast("int"))
+    by_source = F.broadcast(docs.sparkSession.createDataFrame([*bits.items()], "b_source string, bits int"))
+    blocks = blocks.join(by_source, F.col("source").eqNullSafe(F.col("b_source")), "left")
+    blocks = blocks.select("source", "k", "words", F.expr(f"shiftright(k, {KEY_BITS} - coalesce(bits, 0))").cast("int").alias("bucket"))
     hist: dict = {}
     for r in blocks.groupBy("source", "bucket").agg(F.count("*").alias("n"), F.sum("words").alias("words")).toLocalIterator():
         hist.setdefault(r.source, []).append((r.bucket, r.n, r.words))
@@ -198,10 +207,18 @@ def plan_table(df: DataFrame, p: Plan) -> DataFrame:
 def _with_draws(df: DataFrame, p: Plan, seed: int) -> DataFrame:
     """Joins the plan to rows with source, size and key, and adds `drawn`: (shard, pass, block, words) of each draw of the text's blocks, by block and pass.
 
-    The plan is broadcast for up to BROADCAST_SOURCES sources, else joined as a table.
+    The plan of the BROADCAST_SOURCES largest sources is broadcast, so their rows stay where they are; of more sources the
+    others, none of which has more than a part in so many, are joined as a table.
     """
     t = plan_table(df, p)
-    rows = df.join(F.broadcast(t) if len(p.sources) <= BROADCAST_SOURCES else t, F.col("source").eqNullSafe(F.col("p_source")), "left")
+    same = F.col("source").eqNullSafe(F.col("p_source"))
+    if len(p.sources) <= BROADCAST_SOURCES:
+        rows = df.join(F.broadcast(t), same, "left")
+    else:
+        least = sorted(p.sizes.values(), reverse=True)[BROADCAST_SOURCES - 1]
+        hot = F.broadcast(t.where(F.col("p_size") > least))
+        rest = df.join(hot.select("p_source"), same, "left_anti")
+        rows = df.join(hot, same).unionByName(rest.join(t.where(F.col("p_size") <= least), same, "left"))
     n = F.ceil(F.col("size") / BLOCK_WORDS).cast("int")
     last_pass = F.greatest(F.shiftright(F.element_at("p_ends", -1), KEY_BITS), F.lit(0).cast("long"))  # -1 where a source gives nothing
 
