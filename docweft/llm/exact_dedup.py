@@ -129,6 +129,7 @@ def member(spark: SparkSession, packed: np.ndarray):
     def test(h: pd.Series) -> pd.Series:
         return pd.Series(holds(shared.value, h.to_numpy()))
 
+    test.shared = shared
     return test
 
 
@@ -164,16 +165,15 @@ def _flagged(df: DataFrame, id_col: str, text_col: str, limit: int):
         maybe = member(spark, repeated_filter(keyed.select("h"), rows, limit))
         return stored(keyed.withColumn("maybe", maybe("h")).drop("h"), "flagged"), rows, maybe
     # A power of two of parts, by high bits of the hash, which place nothing within a filter.
-    at = new_path(spark, "by_part")
-    keyed.withColumn("part", F.shiftrightunsigned("h", 64 - (parts - 1).bit_length()).cast("int")).write.partitionBy("part").parquet(at)
-    by_part = spark.read.schema(f"doc {keyed.schema['doc'].dataType.simpleString()}, sha string, h long, part int").parquet(at)
-    out = None
-    for part in range(parts):
+    by_part = stored(keyed.withColumn("part", F.shiftrightunsigned("h", 64 - (parts - 1).bit_length()).cast("int")), "by_part", "part")
+    out = new_path(spark, "flagged")
+    for part in range(parts):  # one filter at a time is in memory: it goes once its part is written
         here = by_part.where(F.col("part") == part).drop("part")
         maybe = member(spark, repeated_filter(here.select("h"), limit // BITS_A_ROW, limit))
         one = here.withColumn("maybe", maybe("h")).drop("h")
-        out = one if out is None else out.unionByName(one)
-    return stored(out, "flagged"), rows, None
+        one.write.parquet(f"{out}/part={part}")
+        maybe.shared.destroy()
+    return spark.read.schema(one.schema).parquet(*(f"{out}/part={part}" for part in range(parts))), rows, None
 
 
 def _groups(flagged: DataFrame) -> DataFrame:

@@ -48,6 +48,27 @@ def test_parts_of_the_hash_space(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(r[0] for r in brute(rows) if r[3])
 
 
+def test_one_filter_at_a_time(spark, monkeypatch):
+    """Over a hundred parts: each part's filter is gone before the next one is made."""
+    live, most = [], []
+    member = exact_dedup.member
+
+    def counted(session, packed):
+        test = member(session, packed)
+        destroy = test.shared.destroy
+        test.shared.destroy = lambda *a: (live.remove(test), destroy(*a))
+        live.append(test)
+        most.append(len(live))
+        return test
+
+    monkeypatch.setattr(exact_dedup, "member", counted)
+    monkeypatch.setattr(exact_dedup, "BITS_A_ROW", 1 << 11)
+    df = spark.range(4096).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id") % 4000).alias("text"), F.lit("s").alias("source"))
+    rows = exact_dedup.assign(df.coalesce(2), limit=1 << 16).collect()
+    assert len(most) >= 100 and max(most) == 1 and not live
+    assert sum(r.kept for r in rows) == 4000 and sum(r.n for r in rows) == 3904 + 4 * 96
+
+
 def test_keep_first(spark):
     df = spark.createDataFrame(ODD, SCHEMA).withColumns({"_sha": F.lit("mine"), "_gone": F.lit(0)})
     got = exact_dedup.keep_first(df)
@@ -168,6 +189,24 @@ def test_the_tree_decides(spark, monkeypatch):
         assert all(set(r[5].split(",")) <= {"", f"0:{r[4]}"} for r in got)
 
 
+def test_buckets_by_size():
+    """Of 65,536 sources one with a third of all words still has its thousands of buckets, and the buckets stay bounded."""
+    sizes = {f"s{i}": 10 for i in range(65_535)} | {None: 330_000}
+    bits = mixing.bucket_bits(sizes)
+    assert bits[None] == mixing.BUCKET_BITS and sum(1 << b for b in bits.values()) <= 1 << mixing.COUNT_BITS
+    assert mixing.bucket_bits({"a": 0, "b": 0}) == {} and mixing.bucket_bits({}) == {}
+
+
+def test_the_mix_does_not_depend_on_buckets_or_broadcasts(spark, monkeypatch):
+    """With a hot source, a null one and many small ones."""
+    rows = [(i, " ".join(["w"] * (i % 700)), "hot" if i % 3 else None if i % 5 == 0 else f"s{i % 40}") for i in range(600)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    want = sorted(map(tuple, mixing.report(df).collect()), key=str)
+    monkeypatch.setattr(mixing, "COUNT_BITS", 5)
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 3)
+    assert sorted(map(tuple, mixing.report(df).collect()), key=str) == want
+
+
 def test_hypergeometric_beyond_a_billion():
     """The same distribution on both sides of numpy's limit: mean and spread; and its bounds."""
     rng = np.random.default_rng(1)
