@@ -163,14 +163,15 @@ def review_outcomes(requests: DataFrame, objects: DataFrame) -> DataFrame:
 
 
 def report(papers: DataFrame, pages: DataFrame, spans: DataFrame, anchors: DataFrame, nodes: DataFrame, edges: DataFrame, evidence: DataFrame, subtypes: dict[str, DataFrame] | None = None, reviews: DataFrame | None = None) -> DataFrame:
-    """All issues of the tables as one DataFrame."""
-    faults = anchor_faults(anchors, spans, pages, papers)
-    bad = faults.where("fault is not null").select(F.col("id").alias("anchor_id"))
+    """All issues of the tables as one DataFrame. What several checks read, the anchors' faults and what each node's anchors say, is found and written once."""
+    faults = written(anchor_faults(anchors, spans, pages, papers).where("fault is not null").select("id", "fault"), "faults")
+    bad = faults.select(F.col("id").alias("anchor_id"))
     cited = nodes.select("id", "type", "text", "epistemic_status", F.explode("provenance").alias("anchor_id"))
-    known = cited.join(anchors.select(F.col("id").alias("anchor_id"), F.col("text").alias("anchor_text")), "anchor_id", "left")
-    quoted = known.groupBy("id", "type", "epistemic_status").agg(F.max(F.contains("anchor_text", F.col("text")).cast("int")).alias("quoted"), F.max(F.col("anchor_text").isNull().cast("int")).alias("missing"))
+    known = cited.join(anchors.select(F.col("id").alias("anchor_id"), F.col("text").alias("anchor_text")), "anchor_id", "left").join(bad.withColumn("bad", F.lit(1)), "anchor_id", "left")
+    quoted = known.groupBy("id", "type", "epistemic_status").agg(F.max(F.contains("anchor_text", F.col("text")).cast("int")).alias("quoted"), F.max(F.col("anchor_text").isNull().cast("int")).alias("missing"), F.max("bad").alias("bad"))
+    quoted = written(quoted.where("missing = 1 or bad = 1 or coalesce(quoted, 0) = 0"), "quoted")
     unquoted = quoted.where("type <> 'PAPER' and epistemic_status in ('PAPER_EXPLICIT', 'AUTHOR_CLAIM') and coalesce(quoted, 0) = 0 and missing = 0")
-    on_bad = cited.join(bad, "anchor_id", "left_semi").select("id").distinct()
+    on_bad = quoted.where("bad = 1")
     loose = edges.join(edges.select("id", F.explode("provenance").alias("anchor_id")).join(bad, "anchor_id", "left_semi").select("id").distinct(), "id", "left_semi")
     owner = evidence.join(nodes.select(F.col("id").alias("supports_object_id"), "provenance"), "supports_object_id").where(~F.array_contains("provenance", F.col("anchor_id")))
     marked = [df.select("id", "verification_status", "verification_scope") for df in (nodes, edges)]
@@ -188,7 +189,7 @@ def report(papers: DataFrame, pages: DataFrame, spans: DataFrame, anchors: DataF
         issues(edges.where(F.size("provenance") == 0), "INVALID_EDGE", F.col("id"), "No evidence anchors"),
         issues(loose, "INVALID_EDGE", F.col("id"), "Cites an invalid anchor"),
         issues(scoped, "CONFLICTING_VERIFICATION", F.col("id"), "An unreviewed status carries a review scope"),
-        issues(faults.where("fault is not null"), "INVALID_ANCHOR", F.col("id"), F.col("fault")),
+        issues(faults, "INVALID_ANCHOR", F.col("id"), F.col("fault")),
         issues(owner, "INVALID_EVIDENCE", F.col("id"), "Evidence conflicts with the node's provenance"),
         issues(unanchored(spans, anchors), "UNANCHORED_SOURCE_SPAN", F.col("id"), "Span without an anchor"),
         issues(cyclic(prerequisites(edges)), "PREREQUISITE_CYCLE", F.col("id"), "Prerequisites form a cycle"),

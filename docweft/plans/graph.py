@@ -72,10 +72,11 @@ def view_topk(spark, sf_dir):
     return _view(spark, sf_dir).select("id", "type", "total", "truncated")
 
 
-HOPS_SQL = f"""{EDGES_SQL}, b as (select source_node_id as a, target_node_id as b from edges union all select target_node_id, source_node_id from edges),
-    h0 as materialized (select 'region:0' as id), h1 as materialized (select distinct b as id from b where a in (from h0) and b not in (from h0) order by 1 limit 119), s1 as materialized (from h0 union all from h1),
-    h2 as materialized (select distinct b as id from b where a in (from h1) and b not in (from s1) order by 1 limit (select greatest(120 - count(*), 0) from s1)), s2 as materialized (from s1 union all from h2),
-    h3 as materialized (select distinct b as id from b where a in (from h2) and b not in (from s2) order by 1 limit (select greatest(120 - count(*), 0) from s2)),
+HOPS_SQL = f"""{EDGES_SQL.replace("edges as (", "edges as materialized (", 1)}, b as materialized (select source_node_id as a, target_node_id as b from edges union all select target_node_id, source_node_id from edges),
+    h0 as materialized (select 'region:0' as id), s0 as materialized (select id from h0),
+    h1 as materialized (select id from (select id, row_number() over (order by id) as k from (select distinct b as id from b where a in (select id from h0) and b not in (select id from s0))) where k <= 120 - (select count(*) from s0)), s1 as materialized (select id from s0 union all select id from h1),
+    h2 as materialized (select id from (select id, row_number() over (order by id) as k from (select distinct b as id from b where a in (select id from h1) and b not in (select id from s1))) where k <= 120 - (select count(*) from s1)), s2 as materialized (select id from s1 union all select id from h2),
+    h3 as materialized (select id from (select id, row_number() over (order by id) as k from (select distinct b as id from b where a in (select id from h2) and b not in (select id from s2))) where k <= 120 - (select count(*) from s2)), s3 as materialized (select id from s2 union all select id from h3),
     hops as materialized (select id, 0::int as hop from h0 union all select id, 1 from h1 union all select id, 2 from h2 union all select id, 3 from h3)"""
 
 
