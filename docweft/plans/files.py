@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import yaml
+from ..functions import anchors, yaml
 from ..session import new_path, table
 from ..sources import markdown, publish
 from .checks import name
@@ -15,7 +15,7 @@ CARD = "{front}id: s{k}\nname: '{name}'\naddress:\n  nation: {nation}  # its num
 PATHS = ("address.lines[1].street", "name", "note", "list[1]", "address.nation.deeper", "list[3]", "address")
 
 
-@query("""select s_suppkey, case s_suppkey % 7 when 0 then 'st' || s_suppkey when 1 then s_name || ', it''s' when 2 then 'balance' || chr(10) || '  ' || round(s_acctbal)::int || chr(10) when 3 then s_nationkey::varchar
+@query("""select s_suppkey, case s_suppkey % 7 when 0 then 'st' || s_suppkey when 1 then s_name || ', it''s' when 2 then 'balance' || chr(10) || '  ' || (round(s_acctbal)::int)::varchar || chr(10) when 3 then s_nationkey::varchar
         when 6 then '{"nation": ' || s_nationkey || ', "lines": ["first", {"street": "st' || s_suppkey || '", "no": ' || s_suppkey % 10 || '}]}' end as value,
     case s_suppkey % 7 when 4 then 'missing address.nation.deeper' when 5 then 'missing list[3]' end as fault from supplier""")
 def yaml_anchors(spark, sf_dir):
@@ -44,3 +44,22 @@ def published_files(spark, sf_dir):
     lines = F.filter(F.split("value", "\n"), lambda x: x.startswith("- "))
     first = F.regexp_extract(F.get(lines, F.lit(0)), r"^- \[?([^\]:]*)", 1)
     return back.select("path", F.size(lines).cast("long").alias("n"), first.alias("first"))
+
+
+@query("""with a as (select s_suppkey as k, s_suppkey % 6 as m, '# Card ' || s_suppkey || chr(10) || (round(s_acctbal)::int)::varchar || chr(10) || '## Of ' || s_name || '!' || chr(10) || 'nation ' || s_nationkey || chr(10) || '### More' || chr(10) || 'x' || chr(10) || '## Other' || chr(10) || 'y' as t from supplier)
+    select k as s_suppkey, case m when 0 then '## Of ' || s_name || '!' || chr(10) || 'nation ' || s_nationkey || chr(10) || '### More' || chr(10) || 'x' || chr(10) when 1 then '### More' || chr(10) || 'x' || chr(10)
+        when 2 then (round(s_acctbal)::int)::varchar || chr(10) || '## Of ' || s_name || '!' when 3 then t end as value, case m when 4 then 'no lines L7-9' when 5 then 'no anchor of-supplier' end as fault from a join supplier on k = s_suppkey""")
+def note_anchors(spark, sf_dir):
+    """Anchors into notes written of each supplier's row: a label, a slug, lines, none, lines beyond the end, and a heading that is not there."""
+    s, line = table(spark, sf_dir, "supplier"), lambda *parts: F.concat(*parts, F.lit("\n"))
+    note = F.concat(line(name("# Card ", "s_suppkey")), line(F.round("s_acctbal").cast("int").cast("string")), line(name("## Of ", "s_name"), F.lit("!")), line(name("nation ", "s_nationkey")), F.lit("### More\nx\n## Other\ny"))
+    anchor = F.element_at(F.array(F.concat(name("Of ", "s_name"), F.lit("!")), F.lit("#more"), F.lit("L2-3"), F.lit(""), F.lit("L7-9"), F.lit("of-supplier")), (F.col("s_suppkey") % 6 + 1).cast("int"))
+    return s.select("s_suppkey", anchors.select_anchor(note, anchor).alias("f")).select("s_suppkey", "f.value", "f.fault")
+
+
+@query("""select o_orderkey as id, case when o_custkey % 4 = 3 then 'no file' when o_orderkey % 7 >= 5 then 'no anchor lines[' || o_orderkey % 7 || ']' end as fault from orders where o_custkey % 4 = 3 or o_orderkey % 7 >= 5""")
+def dangling_references(spark, sf_dir):
+    """Orders refer to a list's places in cards of their customers: cards have five lines, and a quarter of the customers none."""
+    cards = table(spark, sf_dir, "customer").where("c_custkey % 4 <> 3").select(name("c", "c_custkey").alias("path"), F.concat(F.lit("name: '"), "c_name", F.lit("'\nlines:\n- a\n- b\n- c: 1\n- d\n- "), F.col("c_nationkey").cast("string"), F.lit("\n")).alias("content"))
+    refs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), name("c", "o_custkey").alias("path"), F.concat(F.lit("lines["), (F.col("o_orderkey") % 7).cast("string"), F.lit("]")).alias("anchor"))
+    return anchors.reference_faults(refs, cards)
