@@ -270,3 +270,11 @@ def lease_lapses(spark, sf_dir):
     rows = events(spark, sf_dir).select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts"), "event_type")
     mark = rows.agg((F.unix_millis(F.max("ts")) - 60_000 * DELAY_MINUTES).alias("mark"))
     return leases.batch_lapses(rows.join(F.broadcast(mark)), F.col("event_type").isin(*TERMINAL), F.col("mark"), LEASE)
+
+
+@query(f"with {LAST_SQL} select user_id, case status when 'error' then 'FAILED' when 'purchase' then 'READY' else 'PARSING' end as status, status = 'error' as retry from l")
+def job_retries(spark, sf_dir):
+    """A user's last event as a job's state: only failed jobs may be tried again."""
+    status = F.when(F.col("event_type") == "error", "FAILED").when(F.col("event_type") == "purchase", "READY").otherwise("PARSING")
+    last = history.latest(events(spark, sf_dir), "user_id", ["ts", "event_id"], "event_type")
+    return history.retryable(last.select("user_id", status.alias("status")))

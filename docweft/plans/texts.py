@@ -294,3 +294,9 @@ def extracted_graph(spark, sf_dir):
 def paper_status(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select("o_orderkey")
     return extract.paper_status(orders.where(key("o_orderkey", 3) > 0), orders, "o_orderkey")
+
+
+@query("select p_partkey, 'x' || translate(p_size || '+' || (p_partkey % 10) || '-', '0123456789+-', '⁰¹²³⁴⁵⁶⁷⁸⁹⁺⁻') as shown from part")
+def superscripts(spark, sf_dir):
+    raised = F.concat(F.col("p_size").cast("string"), F.lit("+"), (F.col("p_partkey") % 10).cast("string"), F.lit("-"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("x"), tx.superscripted(raised)).alias("shown"))
