@@ -34,6 +34,8 @@ from pyspark.sql import functions as F
 
 #: Bounds of the labelled sample, and block length.
 SAMPLE_DOCS, DOC_CHARS, TRAIN_CHARS, BLOCK = 200, 4_000, 16_000, 512
+#: Languages learned at most: the most frequent labels (ties: by name), so that a column of stray labels doesn't fill the driver.
+MOST_LANGS = 1000
 #: Entries of an automaton's dense table; one with more (a large alphabet) is looked up by sorted transitions.
 DENSE = 1 << 22
 #: How the sizes of learned text fall below TRAIN_CHARS, the least own rate, and the deviations by which a language with less text must be better.
@@ -318,10 +320,10 @@ def _side_by_side(blocks: list[np.ndarray]) -> np.ndarray:
 
 
 def labelled_sample(df: DataFrame, id_col: str, text_col: str, lang_col: str, docs: int = SAMPLE_DOCS) -> dict[str, str]:
-    """About `docs` texts a language, by a hash of id and text; the languages themselves are few, their number is the driver's bound."""
+    """About `docs` texts a language, by a hash of id and text, of the MOST_LANGS most frequent languages."""
     key = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.length(text_col), F.lit(5)), F.lit(1 << 30))
     rows = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    n = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}
+    n = {r[0]: r[1] for r in rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS).collect()}
     if not n:
         return {}
     bound = F.create_map(*[F.lit(x) for k, v in n.items() for x in (k, min(1 << 30, (1 << 30) * docs // v + 1))])

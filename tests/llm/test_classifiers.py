@@ -146,6 +146,12 @@ def test_own_rate_by_thirds():
     assert abs(p.spread[size] - 1.4826 * np.median(np.abs(counts - middle)) / middle * (short / size) ** 0.5) < 1e-9
 
 
+def test_stray_labels_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(language, "MOST_LANGS", 2)
+    df = spark.createDataFrame([(i, "some text", x) for i, x in enumerate("aaabbccd")], "doc_id long, text string, lang string")
+    assert set(language.labelled_sample(df, "doc_id", "text", "lang")) == {"a", "b"}
+
+
 def test_ties_go_to_the_first_name():
     p = language.Parser({"b": "one two three " * 300, "a": "one two three " * 300}, even=False)
     assert p.judge(["three one"])[0] == ["a"]
