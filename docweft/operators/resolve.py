@@ -38,11 +38,13 @@ def matched(records: DataFrame, existing: DataFrame, key: list[str], aliases: Da
     """Each record with its outcome: matched to a paper, created, or reported as a duplicate with a reason; never merged.
 
     records: key columns, doi_key, title_key, year, cite_key; existing: paper, key columns, doi_key, title_key, year.
-    Cascade: alias, key, DOI; targets that differ are a duplicate. Without a match a same title and year is one too.
+    Cascade: alias, key, DOI; targets that differ are a duplicate. Without a match a same title and year is one too; an
+    empty title or DOI is not looked for, so that records without one don't meet under one key.
     """
     ids_of = lambda on, name: existing.where(F.concat_ws("", *on) != "").groupBy(*on).agg(F.array_sort(F.collect_set("paper")).alias(name))
     rows = batch_repeats(records, key)
-    rows = rows.join(ids_of(key, "by_key"), key, "left").join(ids_of(["title_key", "year"], "by_title"), ["title_key", "year"], "left")
+    rows = rows.join(ids_of(key, "by_key"), key, "left")
+    rows = with_facts(rows, ids_of(["title_key", "year"], "by_title"), ["title_key", "year"], F.coalesce(F.col("title_key") != "", F.lit(False)))
     rows = with_facts(rows, ids_of(["doi_key"], "by_doi"), ["doi_key"], F.coalesce(F.col("doi_key") != "", F.lit(False)))
     kind = existing.select(F.array("paper")).schema[0].dataType
     none = F.array().cast(kind)
