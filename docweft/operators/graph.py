@@ -99,7 +99,7 @@ CORE_LINKS = 500_000
 
 
 def strong_parts(links: DataFrame, core_links: int = CORE_LINKS) -> DataFrame:
-    """(id, part) of the nodes that lie on cycles of links(a, b), by strongly connected part; part is one of its nodes.
+    """(id, part) of the nodes that lie on cycles of links(a, b), by strongly connected part; part is its smallest node, or in rounds of joins its largest.
 
     Nodes that cannot lie on a cycle are peeled off first: those without an outgoing or an incoming link, until none is
     left. Up to core_links of what is left are walked in one task. Of more the largest node spreads forward along the links; of the nodes that took a node's name, those that reach
@@ -107,7 +107,8 @@ def strong_parts(links: DataFrame, core_links: int = CORE_LINKS) -> DataFrame:
     """
     core = _peeled(links.where("a <> b").select("a", "b").distinct())
     if core.count() <= core_links:
-        return core.groupBy().applyInPandas(_walked, core.select(F.col("a").alias("id"), F.col("a").alias("part")).schema)
+        # Written: callers read the parts twice, and a walk costs its task once.
+        return written(core.groupBy().applyInPandas(_walked, core.select(F.col("a").alias("id"), F.col("a").alias("part")).schema), "parts")
     done = core.select(F.col("a").alias("id"), F.col("a").alias("part")).limit(0)
     while not core.isEmpty():
         name = written(core.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("name", F.col("id")), "name")
@@ -135,7 +136,10 @@ def strong_parts(links: DataFrame, core_links: int = CORE_LINKS) -> DataFrame:
 
 
 def _walked(core: pd.DataFrame) -> pd.DataFrame:
-    """The strongly connected parts of two nodes and more: nodes in the order in which a walk along the links leaves them, then walks against the links in the reverse of that order."""
+    """The strongly connected parts of two nodes and more: nodes in the order in which a walk along the links leaves them, then walks against the links in the reverse of that order.
+
+    A part is named by its smallest node: rows come in any order, and a task that is run again must give the same names.
+    """
     along, against = {}, {}
     for a, b in zip(core["a"], core["b"], strict=True):
         along.setdefault(a, []).append(b)
@@ -160,10 +164,10 @@ def _walked(core: pd.DataFrame) -> pd.DataFrame:
             part[node] = root
             todo += [x for x in against.get(node, ()) if x not in part]
             part |= dict.fromkeys(todo, root)
-    sizes: dict = {}
-    for root in part.values():
-        sizes[root] = sizes.get(root, 0) + 1
-    rows = [(n, r) for n, r in part.items() if sizes[r] > 1]
+    members: dict = {}
+    for n, root in part.items():
+        members.setdefault(root, []).append(n)
+    rows = [(n, low) for low, ns in ((min(ns), ns) for ns in members.values() if len(ns) > 1) for n in ns]
     return pd.DataFrame({"id": pd.Series([n for n, _ in rows], dtype=core["a"].dtype), "part": pd.Series([r for _, r in rows], dtype=core["a"].dtype)})
 
 

@@ -4,6 +4,7 @@ import random
 from collections import Counter
 from itertools import combinations
 
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -296,3 +297,12 @@ def test_strong_parts_by_joins(spark):
 
     assert groups(graph.strong_parts(df, 0).collect()) == groups(graph.strong_parts(df).collect())
     assert groups(graph.strong_parts(df).collect())[-2:] == [list(range(100, 112)), [200, 201]]
+
+
+def test_names_of_parts_do_not_depend_on_the_order_of_rows(spark):
+    """A walk that is run twice may get its rows in another order; its parts must have the same names."""
+    pairs = [(a, b) for i in range(0, 300, 3) for a, b in ((i, i + 1), (i + 1, i + 2), (i + 2, i))]
+    rows = [pd.DataFrame(x, columns=["a", "b"]) for x in (pairs, pairs[::-1], random.Random(3).sample(pairs, len(pairs)))]
+    assert {frozenset(zip(*map(list, graph._walked(r).to_dict("list").values()), strict=True)) for r in rows} == {frozenset((i, i - i % 3) for i in range(300))}
+    parts = graph.strong_parts(spark.createDataFrame(pairs, "a long, b long"))
+    assert hasattr(parts, "_written_at") and all(r.part == r.id - r.id % 3 for r in parts.collect())
