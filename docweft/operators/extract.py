@@ -59,9 +59,14 @@ def candidates(blocks: DataFrame, doc: str = "doc_id", unicode: bool = True, cue
     for each title; other blocks their inline titles as SECTION and their sentences. n numbers a block's candidates.
     """
     text, titles = F.col("text"), F.coalesce("section_titles", F.array().cast("array<string>"))
-    caption = tx.figure_number(text).isNotNull()
-    table = tx.compact(text).rlike(r"(?i)^table\s+\d+\s*[:.\-]")
-    equation = (F.length(text) < 700) & tx.equation_number(text).isNotNull() & ~caption & text.rlike("[=∑∫≤≥]")
+    # What is asked of a block several times is a column, found once.
+    flat = F.col("_flat")
+    blocks = blocks.withColumn("_flat", tx.compact(text))
+    blocks = blocks.withColumns({
+        "_caption": tx.figure_number(flat).isNotNull(), "_table": flat.rlike(r"(?i)^table\s+\d+\s*[:.\-]"),
+        "_equation": (F.length(text) < 700) & text.rlike("[=∑∫≤≥]") & tx.equation_number(text).isNotNull(),
+    })
+    caption, table, equation = F.col("_caption"), F.col("_table"), F.col("_equation") & ~F.col("_caption")
     silent = F.col("kind").isin("header", "panel_label")
     is_heading = (F.col("kind") == "heading") & ~caption
     one = lambda t, x, pos: F.struct(F.lit(t).alias("type"), x.alias("text"), F.lit(pos).alias("pos"))
@@ -73,10 +78,12 @@ def candidates(blocks: DataFrame, doc: str = "doc_id", unicode: bool = True, cue
     said = F.transform(tx.sentences(body), lambda x: one("", x, 2))
     parts = F.when(silent, none).when(table, F.array(one("TABLE", text, 0))).when(equation, F.array(one("EQUATION", text, 0))).when(is_heading, sections)
     parts = parts.otherwise(F.concat(F.when(caption, F.array(one("FIGURE", text, 0))).otherwise(none), inline, said))
-    rows = blocks.select(doc, "page", "ord", "methods", caption.alias("caption"), F.posexplode(parts).alias("n", "c"))
+    # The outer forms keep what a row costs single: a filter on what an inner explode gives, or on a type that a projection
+    # finds, is moved before it, and splits, normalises and classifies each sentence again, for every use in the cascade.
+    rows = blocks.select(doc, "page", "ord", "methods", caption.alias("caption"), F.posexplode_outer(parts).alias("n", "c"))
     rows = rows.withColumn("clean", F.when(F.col("c.type") == "", tx.searchable(F.col("c.text"), unicode)))
     kind = F.when(F.col("c.type") != "", F.col("c.type")).otherwise(classify(F.col("clean"), F.col("caption"), F.col("methods"), cues))
-    rows = rows.select(doc, "page", "ord", "n", kind.alias("type"), F.col("c.text").alias("text")).where("type is not null")
+    rows = rows.select(doc, "page", "ord", "n", F.explode_outer(F.array(kind)).alias("type"), F.col("c.text").alias("text")).where("type is not null")
     explicit = F.col("type").isin("FIGURE", "TABLE", "EQUATION", "SECTION")
     return rows.withColumns({"layer": default_layer(F.col("type")), "epistemic_status": F.when(explicit, "PAPER_EXPLICIT").otherwise("AUTHOR_CLAIM")}).withColumn("layer", F.when(F.col("type") == "ASSUMPTION", "SEMANTIC").otherwise(F.col("layer")))
 

@@ -106,3 +106,13 @@ def test_boxes(spark):
     box = F.struct(*(F.lit(float(v)).alias(k) for k, v in zip(("x0", "y0", "x1", "y1"), (1, 2, 3, 4), strict=True)))
     row = spark.range(1).select(*(layout.displayed_box(box, F.lit(10.0), F.lit(20.0), F.lit(r)).alias(f"r{r}") for r in (0, 90, 180, 270))).first()
     assert tuple(row.r0) == (1, 2, 3, 4) and tuple(row.r90) == (16, 1, 18, 3) and tuple(row.r180) == (7, 16, 9, 18) and tuple(row.r270) == (2, 7, 4, 9)
+
+
+def test_a_sentence_is_normalised_once(spark):
+    """However many cues ask for it: the plan splits and normalises a sentence in one place, and none in a filter."""
+    blocks = spark.createDataFrame([("d", 1, 0, "We argue it. Other words.", "paragraph", [], False), ("d", 1, 1, None, "paragraph", None, False)], "doc_id string, page int, ord int, text string, kind string, section_titles array<string>, methods boolean")
+    found = extract.candidates(blocks, unicode=False)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[A-Z]|[a-z]") == 1 and plan.count("[-‐]") == 1
+    assert all("regexp" not in line and "rlike" not in line.lower() for line in plan.splitlines() if "Filter" in line)
+    assert [r.text for r in found.collect()] == []
