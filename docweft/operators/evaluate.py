@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as tx
+from ..session import written
 
 # Acceptance thresholds of the frozen protocol.
 THRESHOLDS = {"precision": 0.9, "recall": 0.8, "type": 0.9, "anchor": 1.0, "page": 1.0, "figure": 1.0, "equation": 1.0, "quantity": 1.0, "provenance": 1.0}
@@ -68,17 +69,52 @@ def in_windows(nodes: DataFrame, anchors: DataFrame, windows: DataFrame) -> Data
     return nodes.join(hits, "id", "left_semi")
 
 
+#: Lengths of the pieces by which texts meet, longest first.
+PIECES = (12, 6, 3, 1)
+
+
+def holders(items: DataFrame, texts: DataFrame, keys: list[str], wanted: Column, text: Column) -> DataFrame:
+    """Rows of items beside rows of texts with equal keys, among them all whose text holds every one of the wanted texts.
+
+    A text that holds another has all pieces of a length of it. An item asks for one only, the rarest of its wanted
+    texts' in its keys' texts, of the greatest length that one of them has: so it meets few texts however many its keys
+    have. An item of empty texts meets all of its keys.
+    """
+    longest = F.array_max(F.transform(wanted, F.length))
+    size = F.lit(0)
+    for n in sorted(PIECES):
+        size = F.when(longest >= n, n).otherwise(size)
+    items = written(items.withColumns({"_size": size, "_item": F.monotonically_increasing_id()}), "items")
+    texts = written(texts.withColumn("_text", F.monotonically_increasing_id()), "texts")
+    found = items.where("_size = 0").drop("_size", "_item").join(texts.drop("_text"), keys)
+    for (n,) in items.where("_size > 0").select("_size").distinct().collect():  # len(PIECES) at most
+        cut = lambda t: F.when(F.length(t) >= n, F.transform(F.sequence(F.lit(1), F.length(t) - (n - 1)), lambda i: F.substring(t, i, F.lit(n))))  # noqa: B023, E731
+        one = items.where(F.col("_size") == n)
+        asked = one.select("_item", *keys, F.explode(F.array_distinct(F.flatten(F.array_compact(F.transform(wanted, cut))))).alias("_piece"))
+        held = texts.select("_text", *keys, F.explode(F.array_distinct(cut(text))).alias("_piece"))
+        counts = held.groupBy(*keys, "_piece").agg(F.count("*").alias("_n"))
+        # A piece that no text has is the rarest: its item meets none.
+        rarest = asked.join(counts.hint("merge"), [*keys, "_piece"], "left").groupBy("_item", *keys).agg(F.min_by("_piece", F.struct(F.coalesce("_n", F.lit(0)), "_piece")).alias("_piece"))
+        # Sizes of files say nothing of exploded rows: no side is broadcast for them.
+        met = rarest.join(held.hint("merge"), [*keys, "_piece"]).select("_item", "_text")
+        found = found.unionByName(met.join(one.drop("_size").hint("merge"), "_item").join(texts.drop(*keys).hint("merge"), "_text").drop("_item", "_text"))
+    return found
+
+
 def gold_matches(gold: DataFrame, nodes: DataFrame, anchors: DataFrame) -> DataFrame:
     """Per gold item (gold_id) the node that has all its components: same type first, then the smallest id; null if none.
 
     A component fits where an anchor of the node lies on the item's page of its paper, holds its box, and the node's text its text.
     """
-    parts = gold.select(F.col("id").alias("gold_id"), F.col("type").alias("gold_type"), "paper_id", "page", F.size("components").alias("n"), F.posexplode("components").alias("part", "c"))
+    whole = lambda b: ~F.isnan(b["x0"] + b["x1"] + b["y0"] + b["y1"])
+    c = F.transform("components", lambda c: F.struct(c["bbox"].alias("box"), tx.compact(c["text"]).alias("text")))
+    items = gold.select(F.col("id").alias("gold_id"), F.col("type").alias("gold_type"), "paper_id", "page", c.alias("parts"))
+    items = items.where((F.size("parts") > 0) & F.forall("parts", lambda c: F.coalesce(whole(c["box"]) & c["text"].isNotNull(), F.lit(False))))
     own = nodes.where(~F.col("type").isin("PAPER", "SECTION")).select("id", "type", tx.compact(F.col("text")).alias("flat"), F.explode("provenance").alias("anchor_id"))
-    own = own.join(anchors.select(F.col("id").alias("anchor_id"), "paper_id", F.col("page_number").alias("page"), "bbox"), "anchor_id")
-    parts = parts.select("gold_id", "gold_type", "paper_id", "page", "n", "part", F.col("c.bbox").alias("c_box"), tx.compact(F.col("c.text")).alias("c_text"))
-    hits = inside_pairs(own, parts, ["paper_id", "page"], "bbox", "c_box").where(F.contains("flat", F.col("c_text")))
-    per = hits.groupBy("gold_id", "gold_type", "n", "id", "type").agg(F.count_distinct("part").alias("found")).where("found = n")
+    own = own.join(anchors.select(F.col("id").alias("anchor_id"), "paper_id", F.col("page_number").alias("page"), "bbox").hint("merge"), "anchor_id").where(whole(F.col("bbox")))
+    own = own.groupBy("id", "type", "flat", "paper_id", "page").agg(F.collect_set("bbox").alias("boxes"))
+    met = holders(items, own, ["paper_id", "page"], F.transform("parts", lambda c: c["text"]), F.col("flat"))
+    per = met.where(F.forall("parts", lambda c: F.contains(F.col("flat"), c["text"]) & F.exists("boxes", lambda b: contains(b, c["box"]))))
     best = per.groupBy("gold_id").agg(F.min_by(F.struct("id", "type"), F.struct((F.col("type") != F.col("gold_type")).cast("int"), F.col("id"))).alias("b"))
     return gold.select(F.col("id").alias("gold_id"), F.col("type").alias("gold_type")).join(best, "gold_id", "left").select("gold_id", "gold_type", F.col("b.id").alias("node_id"), (F.col("b.type") == F.col("gold_type")).alias("same_type"))
 

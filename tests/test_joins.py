@@ -83,3 +83,30 @@ def test_contained_items_of_any_length(spark):
         assert sorted(map(tuple, evaluate.contained_items(i, d, "item", "doc", most=most).collect()), key=key) == sorted(want, key=key)
     assert evaluate.contained_items(i.limit(0), d, "item", "doc").collect() == []
     assert evaluate.contained_items(i, d.limit(0), "item", "doc").collect() == []
+
+
+def test_gold_items_of_a_hot_page(spark):
+    """Items and nodes of few pages, of common, short, empty and null texts and odd boxes, against all pairs; few of which meet."""
+    rng = random.Random(8)
+    box = lambda *b: dict(zip(("x0", "y0", "x1", "y1"), map(float, b), strict=True))
+    boxes = [box(0, 0, 30, 30), box(0, 0, 30, 30), box(50, 50, 60, 60), box(0, 0, float("nan"), 30), None]
+    nodes = [(f"n{i:03}", rng.choice(["RESULT", "CLAIM", "SECTION"]), rng.choice([f"the  same words and number {i}.", f"x{i % 7}", "", "the same words"]), [f"a{i}", f"b{i}"]) for i in range(300)]
+    anchors = [(f"{k}{i}", f"p{i % 2}", rng.randrange(2), rng.choice(boxes)) for i in range(300) for k in "ab"]
+    part = lambda t: {"text": t, "bbox": box(1, 1, 20, 20) if rng.random() < 0.9 else rng.choice(boxes)}
+    gold = [(f"g{i}", rng.choice(["RESULT", "CLAIM"]), f"p{i % 2}", rng.randrange(2), [part("same words"), part(rng.choice([f"number {i}.", f"ber {i}.", "x3", "", "3", " the\nsame", "absent from all", None]))][: rng.choice([0, 1, 2, 2, 2, 2])]) for i in range(300)]
+    b = "struct<x0:double,y0:double,x1:double,y1:double>"
+    g = spark.createDataFrame(gold, f"id string, type string, paper_id string, page int, components array<struct<text:string,bbox:{b}>>")
+    n, a = spark.createDataFrame(nodes, "id string, type string, text string, provenance array<string>"), spark.createDataFrame(anchors, f"id string, paper_id string, page_number int, bbox {b}")
+    flat = lambda t: " ".join(t.split())
+    whole = lambda x: x is not None and all(v == v for v in x.values())
+    holds = lambda x, y: whole(x) and whole(y) and x["x0"] <= y["x0"] + 1 and x["y0"] <= y["y0"] + 1 and x["x1"] >= y["x1"] - 1 and x["y1"] >= y["y1"] - 1
+    at = {i: (p, q, x) for i, p, q, x in anchors}
+    want = {}
+    for gid, kind, paper, page, parts in gold:
+        fits = [(t != kind, i) for i, t, text, own in nodes if t != "SECTION" and parts and all(c["text"] is not None and flat(c["text"]) in flat(text) and any(at[o][:2] == (paper, page) and holds(at[o][2], c["bbox"]) for o in own) for c in parts)]
+        want[gid] = min(fits)[1] if fits else None
+    assert {r.gold_id: r.node_id for r in evaluate.gold_matches(g, n, a).collect()} == want and len(set(want.values())) > 10
+    one = lambda t: spark.createDataFrame([("p", i, t.format(i)) for i in range(2000)], "paper string, i int, text string")
+    asked = one("number {}.").select("paper", F.col("i").alias("item"), F.array(F.lit("same words"), F.col("text")).alias("wanted"))
+    met = evaluate.holders(asked, one("the same words and number {}."), ["paper"], F.col("wanted"), F.col("text"))
+    assert met.where("item = i").count() == 2000 and met.count() < 40_000
