@@ -82,3 +82,17 @@ def test_order_is_maintained():
 
 def test_empty(spark):
     assert run(spark, [])[0] == {}
+
+
+def test_edges_that_nothing_names_again_are_not_kept():
+    """A log of 3,000 edges with ids of their own leaves nodes and links only; the links still close cycles, and ids named again are taken."""
+    paper = acceptance.Paper()
+    row = lambda i, a, b, again=False: {"op": "edge", "object_id": f"e{i}", "fault": None, "relation_type": "PREREQUISITE_OF", "source_node_id": a, "target_node_id": b, "again": again}
+    assert all(paper.judge(row(i, "n1", f"n{2 + i % 3}")) == (None, 1) for i in range(3000)) and len(paper.objects) == 0
+    assert paper.judge(row(3000, "n3", "n1"))[0] == "Prerequisites would form a cycle"
+    assert paper.judge(row(3001, "n5", "n6", True)) == (None, 1) and paper.judge(row(3001, "n5", "n6", True))[0] == "Id is taken"
+
+
+def test_ids_named_again_without_a_value(spark):
+    got, _ = run(spark, [edge(1, None, "n1", "n2"), edge(2, None, "n3", "n4"), edge(3, "x", "n2", "n1")], [("x", "p", "n7", "n8", "USES", ["a1"], 1, "SUPPORTED")])
+    assert got == {1: 1, 2: "Id is taken", 3: "Id is taken"}
