@@ -91,7 +91,7 @@ def cyclic(links: DataFrame) -> DataFrame:
     """The rows of links(a, b, id) that lie on a cycle: those whose two ends lie in one strongly connected part, and loops."""
     parts = strong_parts(links)
     a, b = (parts.select(F.col("id").alias(end), F.col("part").alias(f"_{end}")) for end in "ab")
-    return links.where("a <> b").join(a, "a").join(b, "b").where("_a = _b").select(links.columns).unionByName(links.where("a = b"))
+    return links.where("a <> b").join(a.hint("merge"), "a").join(b.hint("merge"), "b").where("_a = _b").select(links.columns).unionByName(links.where("a = b"))
 
 
 #: Links left after peeling that one task takes; more are taken in rounds of joins.
@@ -103,7 +103,8 @@ def strong_parts(links: DataFrame, core_links: int = CORE_LINKS) -> DataFrame:
 
     Nodes that cannot lie on a cycle are peeled off first: those without an outgoing or an incoming link, until none is
     left. Up to core_links of what is left are walked in one task. Of more the largest node spreads forward along the links; of the nodes that took a node's name, those that reach
-    it are its part. They are left out with their links, and what is left goes on. Rows never outnumber the links.
+    it are its part. They are left out with their links, and what is left goes on. Rows never outnumber the links. Joins are merged:
+    names compress so well that a small file of them would be broadcast, and fill the driver.
     """
     core = _peeled(links.where("a <> b").select("a", "b").distinct())
     if core.count() <= core_links:
@@ -113,26 +114,26 @@ def strong_parts(links: DataFrame, core_links: int = CORE_LINKS) -> DataFrame:
     while not core.isEmpty():
         name = written(core.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("name", F.col("id")), "name")
         while True:
-            sent = core.join(name.withColumnRenamed("id", "a"), "a").groupBy(F.col("b").alias("id")).agg(F.max("name").alias("_n"))
-            new = written(name.join(sent, "id", "left").select("id", F.greatest("name", F.coalesce("_n", "name")).alias("name"), (F.col("_n") > F.col("name")).alias("moved")), "name")
+            sent = core.join(name.withColumnRenamed("id", "a").hint("merge"), "a").groupBy(F.col("b").alias("id")).agg(F.max("name").alias("_n"))
+            new = written(name.join(sent.hint("merge"), "id", "left").select("id", F.greatest("name", F.coalesce("_n", "name")).alias("name"), (F.col("_n") > F.col("name")).alias("moved")), "name")
             name = new.select("id", "name")
             if new.where("moved").isEmpty():
                 break
         a, b = (name.select(F.col("id").alias(end), F.col("name").alias(f"_{end}")) for end in "ab")
-        inside = written(core.join(a, "a").join(b, "b").where("_a = _b").select("a", "b"), "inside")
+        inside = written(core.join(a.hint("merge"), "a").join(b.hint("merge"), "b").where("_a = _b").select("a", "b"), "inside")
         part = written(name.where("id = name"), "part")
         front = part
         while True:
-            back = inside.join(front.select(F.col("id").alias("b"), "name"), "b").select(F.col("a").alias("id"), "name").distinct()
-            front = written(back.join(part.select("id"), "id", "left_anti"), "front")
+            back = inside.join(front.select(F.col("id").alias("b"), "name").hint("merge"), "b").select(F.col("a").alias("id"), "name").distinct()
+            front = written(back.join(part.select("id").hint("merge"), "id", "left_anti"), "front")
             if front.isEmpty():
                 break
             part = written(part.unionByName(front), "part")
         done = written(done.unionByName(part.select("id", F.col("name").alias("part"))), "done")
-        core = core.join(part.select(F.col("id").alias("a")), "a", "left_anti").join(part.select(F.col("id").alias("b")), "b", "left_anti").select("a", "b")
+        core = core.join(part.select(F.col("id").alias("a")).hint("merge"), "a", "left_anti").join(part.select(F.col("id").alias("b")).hint("merge"), "b", "left_anti").select("a", "b")
         core = _peeled(core)
     # A part of one node lies on no cycle.
-    return done.join(done.groupBy("part").agg(F.count("*").alias("_n")).where("_n > 1").select("part"), "part", "left_semi").select("id", "part")
+    return done.join(done.groupBy("part").agg(F.count("*").alias("_n")).where("_n > 1").select("part").hint("merge"), "part", "left_semi").select("id", "part")
 
 
 def _walked(core: pd.DataFrame) -> pd.DataFrame:
@@ -176,7 +177,7 @@ def _peeled(core: DataFrame) -> DataFrame:
     core = written(core, "core")
     size = core.count()
     while size:
-        core = core.join(core.select(F.col("a").alias("b")).distinct(), "b", "left_semi").join(core.select(F.col("b").alias("a")).distinct(), "a", "left_semi").select("a", "b")
+        core = core.join(core.select(F.col("a").alias("b")).distinct().hint("merge"), "b", "left_semi").join(core.select(F.col("b").alias("a")).distinct().hint("merge"), "a", "left_semi").select("a", "b")
         core = written(core, "core")
         left = core.count()
         if left == size:

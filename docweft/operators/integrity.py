@@ -72,7 +72,8 @@ def edge_faults(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(id, fault) of every edge: ends exist in its paper, no loop, known relation, fitting types."""
     n = nodes.select("id", "paper_id", "type")
     s, t = (n.select(F.col("id").alias(f"{end}_node_id"), F.col("paper_id").alias(f"_{end}_paper"), F.col("type").alias(f"_{end}_type")) for end in ("source", "target"))
-    rows = edges.join(s, "source_node_id", "left").join(t, "target_node_id", "left")
+    # Merged: a table's size is guessed from its files, and what was exploded from a small one would be broadcast whole.
+    rows = edges.join(s.hint("merge"), "source_node_id", "left").join(t.hint("merge"), "target_node_id", "left")
     relation = F.col("relation_type")
     checks = [
         ((F.col("_source_paper") == F.col("paper_id")) & (F.col("_target_paper") == F.col("paper_id")), "Invalid or foreign-paper edge endpoints"),
@@ -236,20 +237,20 @@ def validated_edges(requests: DataFrame, edges: DataFrame, nodes: DataFrame) ->
     faults = edge_faults(requests, nodes)
     all_edges = edges.select("id", "source_node_id", "target_node_id", "relation_type", "verification_status").unionByName(requests.select("id", "source_node_id", "target_node_id", "relation_type", F.lit("CANDIDATE").alias("verification_status")))
     loops = cyclic(prerequisites(all_edges)).select("id", F.lit("Prerequisites would form a cycle").alias("_loop")).distinct()
-    rows = requests.join(faults, "id").join(loops, "id", "left")
+    rows = requests.join(faults.hint("merge"), "id").join(loops.hint("merge"), "id", "left")
     return rows.select(*requests.columns, F.coalesce("fault", "_loop").alias("reason"))
 
 
 def path_edges(edges: DataFrame, nodes: DataFrame, current: DataFrame | None = None) -> DataFrame:
     """Edges that a path may use: active, valid, with evidence, not on a prerequisite cycle; with current(id, current) only reviewed ones between reviewed nodes."""
-    good = edges.where(~F.col("verification_status").isin(*INACTIVE) & (F.size("provenance") > 0)).join(edge_faults(edges, nodes).where("fault is null").select("id"), "id", "left_semi")
-    good = good.join(cyclic(prerequisites(edges)).select("id").distinct(), "id", "left_anti")
+    good = edges.where(~F.col("verification_status").isin(*INACTIVE) & (F.size("provenance") > 0)).join(edge_faults(edges, nodes).where("fault is null").select("id").hint("merge"), "id", "left_semi")
+    good = good.join(cyclic(prerequisites(edges)).select("id").distinct().hint("merge"), "id", "left_anti")
     if current is not None:
-        sure = current.where("current").select("id")
-        verified = nodes.where("verification_status = 'VERIFIED'").join(sure, "id", "left_semi").select("id")
+        sure = current.where("current").select("id").hint("merge")
+        verified = nodes.where("verification_status = 'VERIFIED'").join(sure, "id", "left_semi").select("id").hint("merge")
         good = good.where("verification_status = 'VERIFIED'").join(sure, "id", "left_semi")
         for end in ("source_node_id", "target_node_id"):
-            good = good.join(verified.withColumnRenamed("id", end), end, "left_semi")
+            good = good.join(verified.withColumnRenamed("id", end).hint("merge"), end, "left_semi")
     return good
 
 

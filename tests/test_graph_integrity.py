@@ -306,3 +306,13 @@ def test_names_of_parts_do_not_depend_on_the_order_of_rows(spark):
     assert {frozenset(zip(*map(list, graph._walked(r).to_dict("list").values()), strict=True)) for r in rows} == {frozenset((i, i - i % 3) for i in range(300))}
     parts = graph.strong_parts(spark.createDataFrame(pairs, "a long, b long"))
     assert hasattr(parts, "_written_at") and all(r.part == r.id - r.id % 3 for r in parts.collect())
+
+
+def test_tables_as_large_as_the_graph_are_not_broadcast(spark):
+    """However small they look: an exploded table, and names that compress well."""
+    e = edges(spark, [("e1", "a", "b", "PREREQUISITE_OF", "VERIFIED"), ("e2", "b", "c", "USES", "VERIFIED")])
+    n = nodes(spark, [(i, "METHOD", "SEMANTIC", "t") for i in "abc"]).withColumn("verification_status", F.lit("VERIFIED"))
+    current = n.select("id", F.lit(True).alias("current")).unionByName(e.select("id", F.lit(True).alias("current")))
+    for df in (integrity.edge_faults(e, n), graph.cyclic(graph.prerequisites(e)), integrity.path_edges(e, n, current)):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    assert [r.id for r in integrity.path_edges(e, n, current).orderBy("id").collect()] == ["e1", "e2"]
