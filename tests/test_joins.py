@@ -1,10 +1,12 @@
 """Joins that never hold a hot group: pairs in blocks, prefix filters, grid cells, containment by automaton."""
 
 import random
+import time
 from itertools import combinations
 
 from pyspark.sql import functions as F
 
+from docweft import session
 from docweft.operators import evaluate, similarity
 
 
@@ -27,6 +29,35 @@ def test_similarity_does_not_depend_on_blocks(spark, monkeypatch):
         assert all(abs(x - y) < 1e-6 for r, s in zip(got, want, strict=True) for x, y in zip(r[2:], s[2:], strict=True))
 
 
+def test_partners_equal_pairs(spark, monkeypatch):
+    """Per paper what its pairs add up to: hot concepts in blocks, papers of many concepts, papers that share several, repeated and null rows."""
+    rng = random.Random(3)
+    rows = [(f"p{i:02}", f"c{rng.randrange(25)}") for i in range(50) for _ in range(4)] + [(f"p{i:02}", f"c{j}") for i in (3, 30) for j in range(400)]
+    rows += [("p07", "only one"), (None, "c1"), ("p08", None), *rows[:9]]
+    pairs = spark.createDataFrame(rows, "paper string, concept string")
+    by_paper = similarity.paper_similarity(pairs).groupBy("a").agg(F.count("*").alias("partners"), F.sum("shared").alias("shared"), F.max("weight").alias("weight"))
+    want = sorted(map(tuple, by_paper.collect()))
+    assert max(r[2] - r[1] for r in want) > 25  # two wide papers share all theirs
+    for held, block in ((similarity.HELD, similarity.BLOCK), (0, 7)):
+        monkeypatch.setattr(similarity, "HELD", held)
+        got = sorted(map(tuple, similarity.partners(pairs, block).collect()))
+        assert [r[:3] for r in got] == [r[:3] for r in want]
+        assert all(abs(x[3] - y[3]) < 2e-6 for x, y in zip(got, want, strict=True))
+
+
+def test_steps_leave_no_shuffle_files(spark):
+    """What a step shuffled is deleted at its end (soon after, by the block manager), and the setting is as before."""
+    before = spark.conf.get(session._CLEAN, None)
+    files = lambda: {f.toString() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if "shuffle_" in f.getName()}
+    had = files()
+    out = session.written(spark.range(1000).withColumn("k", F.col("id") % 10).repartition(7, "id").groupBy("k").count())
+    until = time.time() + 20
+    while files() - had and time.time() < until:
+        time.sleep(0.2)
+    assert not files() - had and out.count() == 10
+    assert spark.conf.get(session._CLEAN, None) == before
+
+
 def test_reviews_by_prefix(spark):
     """The pairs of at least a quarter, against all pairs; a word that all 200 reviews have makes few candidates."""
     rng = random.Random(4)
