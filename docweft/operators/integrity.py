@@ -73,14 +73,18 @@ def edge_faults(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     n = nodes.select("id", "paper_id", "type")
     s, t = (n.select(F.col("id").alias(f"{end}_node_id"), F.col("paper_id").alias(f"_{end}_paper"), F.col("type").alias(f"_{end}_type")) for end in ("source", "target"))
     # Merged: a table's size is guessed from its files, and what was exploded from a small one would be broadcast whole.
-    rows = edges.join(s.hint("merge"), "source_node_id", "left").join(t.hint("merge"), "target_node_id", "left")
+    # What the source shows is told in booleans before the rows are dealt out by target: they carry no name that is done with.
     relation = F.col("relation_type")
+    fits = lambda end, r, kinds: (relation != r) | F.col(f"_{end}_type").isin(*kinds)
+    told = {"_own": F.col("_source_paper") == F.col("paper_id"), "_apart": F.col("source_node_id") != F.col("target_node_id")} | {f"_from_{r}": fits("source", r, kinds) for r, kinds in SOURCES.items()}
+    rows = edges.join(s.hint("merge"), "source_node_id", "left").select("id", "paper_id", "target_node_id", relation, *(x.alias(k) for k, x in told.items()))
+    rows = rows.join(t.hint("merge"), "target_node_id", "left")
     checks = [
-        ((F.col("_source_paper") == F.col("paper_id")) & (F.col("_target_paper") == F.col("paper_id")), "Invalid or foreign-paper edge endpoints"),
+        (F.col("_own") & (F.col("_target_paper") == F.col("paper_id")), "Invalid or foreign-paper edge endpoints"),
         (relation.isin(*RELATIONS), "Unknown relation"),
-        (F.col("source_node_id") != F.col("target_node_id"), "Self relations are not permitted"),
-        *(((relation != r) | F.col("_target_type").isin(*kinds), f"{r} must target {' or '.join(kinds)}") for r, kinds in TARGETS.items()),
-        *(((relation != r) | F.col("_source_type").isin(*kinds), f"{r} must come from {' or '.join(kinds)}") for r, kinds in SOURCES.items()),
+        (F.col("_apart"), "Self relations are not permitted"),
+        *((fits("target", r, kinds), f"{r} must target {' or '.join(kinds)}") for r, kinds in TARGETS.items()),
+        *((F.col(f"_from_{r}"), f"{r} must come from {' or '.join(kinds)}") for r, kinds in SOURCES.items()),
     ]
     return rows.select("id", first_fault(*checks).alias("fault"))
 
@@ -164,7 +168,7 @@ def review_outcomes(requests: DataFrame, objects: DataFrame) -> DataFrame:
 
 
 def report(papers: DataFrame, pages: DataFrame, spans: DataFrame, anchors: DataFrame, nodes: DataFrame, edges: DataFrame, evidence: DataFrame, subtypes: dict[str, DataFrame] | None = None, reviews: DataFrame | None = None) -> DataFrame:
-    """All issues of the tables as one DataFrame. What several checks read, the anchors' faults and what each node's anchors say, is found and written once."""
+    """All issues of the tables as one DataFrame. What several checks read, the anchors' faults and what each node's anchors say, is found and written once; so are the edges' faults."""
     faults = written(anchor_faults(anchors, spans, pages, papers).where("fault is not null").select("id", "fault"), "faults")
     bad = faults.select(F.col("id").alias("anchor_id"))
     cited = nodes.select("id", "type", "text", "epistemic_status", F.explode("provenance").alias("anchor_id"))
@@ -173,7 +177,9 @@ def report(papers: DataFrame, pages: DataFrame, spans: DataFrame, anchors: DataF
     quoted = written(quoted.where("missing = 1 or bad = 1 or coalesce(quoted, 0) = 0"), "quoted")
     unquoted = quoted.where("type <> 'PAPER' and epistemic_status in ('PAPER_EXPLICIT', 'AUTHOR_CLAIM') and coalesce(quoted, 0) = 0 and missing = 0")
     on_bad = quoted.where("bad = 1")
-    loose = edges.join(edges.select("id", F.explode("provenance").alias("anchor_id")).join(bad, "anchor_id", "left_semi").select("id").distinct(), "id", "left_semi")
+    loose = edges.select("id", F.explode("provenance").alias("anchor_id")).join(bad, "anchor_id", "left_semi")
+    # Written, so that what the edges' two joins shuffle is deleted before the other checks shuffle.
+    wrong = written(edge_faults(edges, nodes).where("fault is not null"), "edge_faults")
     owner = evidence.join(nodes.select(F.col("id").alias("supports_object_id"), "provenance"), "supports_object_id").where(~F.array_contains("provenance", F.col("anchor_id")))
     marked = [df.select("id", "verification_status", "verification_scope") for df in (nodes, edges)]
     scoped = marked[0].unionByName(marked[1]).where(~F.col("verification_status").isin(*REVIEWED) & F.col("verification_scope").isNotNull())
@@ -186,7 +192,7 @@ def report(papers: DataFrame, pages: DataFrame, spans: DataFrame, anchors: DataF
         issues(unquoted, "INVALID_NODE", F.col("id"), "Attributed text does not match its source"),
         issues(orphans(nodes, edges), "ORPHAN_NODE", F.col("id"), "In no relationship", True),
         issues(repeats(nodes), "DUPLICATE_CANDIDATE", F.col("id"), F.concat(F.lit("Same type and text as "), F.col("previous")), True),
-        issues(edge_faults(edges, nodes).where("fault is not null"), "INVALID_EDGE", F.col("id"), F.col("fault")),
+        issues(wrong, "INVALID_EDGE", F.col("id"), F.col("fault")),
         issues(edges.where(F.size("provenance") == 0), "INVALID_EDGE", F.col("id"), "No evidence anchors"),
         issues(loose, "INVALID_EDGE", F.col("id"), "Cites an invalid anchor"),
         issues(scoped, "CONFLICTING_VERIFICATION", F.col("id"), "An unreviewed status carries a review scope"),

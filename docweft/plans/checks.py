@@ -281,10 +281,12 @@ def evidence_graph(spark, sf_dir) -> dict[str, DataFrame]:
         "id", F.lit("p").alias("paper_id"), "type", "layer", F.col("label").alias("text"), F.lit("BACKGROUND_KNOWLEDGE").alias("epistemic_status"), F.when(reviewed, "VERIFIED").otherwise("CANDIDATE").alias("verification_status"),
         F.when(reviewed, "SCIENTIFIC_VALIDITY").when((F.col("type") == "EVIDENCE") & (F.col("_k") % 11 == 0), "SOURCE_ATTRIBUTION").alias("verification_scope"), F.when(F.col("type") == "PAPER", F.array().cast("array<string>")).otherwise(F.array(name("a", F.col("_k") % suppliers))).alias("provenance"), F.lit(2).alias("version"), "_k",
     )
-    e = edges(spark, sf_dir).distinct().select(F.concat_ws(">", "source_node_id", "target_node_id").alias("id"), F.lit("p").alias("paper_id"), "source_node_id", "target_node_id", "relation_type", F.lit("SUPPORTED").alias("verification_status"), F.lit(None).cast("string").alias("verification_scope"), F.array(F.lit("a9")).alias("provenance"), F.lit(1).alias("version"))
+    # Dealt by source: the first join of the edges' check needs no other shuffle of them.
+    e = edges(spark, sf_dir).repartition("source_node_id").distinct().select(F.concat_ws(">", "source_node_id", "target_node_id").alias("id"), F.lit("p").alias("paper_id"), "source_node_id", "target_node_id", "relation_type", F.lit("SUPPORTED").alias("verification_status"), F.lit(None).cast("string").alias("verification_scope"), F.array(F.lit("a9")).alias("provenance"), F.lit(1).alias("version"))
     evidence = n.where("type = 'CLAIM'").select(F.concat(F.lit("ev:"), F.col("id")).alias("id"), F.col("id").alias("supports_object_id"), F.when(F.col("_k") % 17 == 0, "a0").otherwise(name("a", F.col("_k") % suppliers)).alias("anchor_id"), "_k")
-    prints = integrity.fingerprints(n.select("id", "provenance", *(F.col(c) if c in n.columns else F.lit(None).cast("string").alias(c) for c in integrity.PRINTED)), t["anchors"], integrity.PRINTED)
-    reviews = n.where("verification_status = 'VERIFIED'").join(prints, "id").select(
+    verified = n.where("verification_status = 'VERIFIED'")
+    prints = integrity.fingerprints(verified.select("id", "provenance", *(F.col(c) if c in n.columns else F.lit(None).cast("string").alias(c) for c in integrity.PRINTED)), t["anchors"], integrity.PRINTED)
+    reviews = verified.join(prints, "id").select(
         F.concat(F.lit("r:"), F.col("id")).alias("id"), F.col("id").alias("object_id"), F.lit("node").alias("object_kind"), F.lit(1).alias("object_version"), F.lit("p").alias("paper_id"), F.lit("h").alias("source_hash"), F.lit("VERIFIED").alias("decision"), F.lit("SCIENTIFIC_VALIDITY").alias("scope"),
         F.lit("me").alias("reviewer"), F.lit("it is well founded").alias("reason"), F.lit("theory").alias("scientific_basis"), F.when(F.col("_k") % 26 == 0, F.col("fingerprint")).otherwise("stale").alias("evidence_fingerprint"),
     )

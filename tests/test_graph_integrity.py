@@ -78,6 +78,24 @@ def test_report(spark):
     assert "INVALID_ANCHOR" not in codes
 
 
+def test_report_shuffles_little_of_edges(spark):
+    """What a report of 20,000 edges with long names leaves in shuffle files: not the joins of the edges' check, nor edges joined with themselves."""
+    papers, pages, spans, anchors = tables(spark)
+    named = lambda x: F.sha2(F.concat(F.lit("n"), x.cast("string")), 256)
+    rows = lambda df: df.select("id", F.lit("p").alias("paper_id"), *(F.lit(v).alias(k) for k, v in (("type", "METHOD"), ("layer", "SEMANTIC"), ("text", ""), ("epistemic_status", "BACKGROUND_KNOWLEDGE"), ("verification_status", "CANDIDATE"), ("version", 1))), F.lit(None).cast("string").alias("verification_scope"), F.array(F.lit("a1")).alias("provenance"))
+    n = rows(spark.range(2000).select(named(F.col("id")).alias("id")))
+    e = spark.range(20000).select(F.sha2(F.concat(F.lit("e"), F.col("id").cast("string")), 256).alias("id"), named(F.col("id") % 2000).alias("source_node_id"), named((F.col("id") * 7 + 1) % 2003).alias("target_node_id"))
+    e = e.withColumns({"paper_id": F.lit("p"), "relation_type": F.lit("USES"), "verification_status": F.lit("SUPPORTED"), "verification_scope": F.lit(None).cast("string"), "provenance": F.array(F.lit("a1")), "version": F.lit(1)})
+    e = spark.createDataFrame(e.toArrow())
+    files = lambda: {f.toString(): f.length() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if "shuffle_" in f.getName()}
+    evidence = spark.createDataFrame([], "id string, supports_object_id string, anchor_id string")
+    had = files()
+    found = integrity.report(papers, pages, spans, anchors, n, e, evidence).groupBy("code").count().collect()
+    left = sum(size for name, size in files().items() if name not in had)
+    assert {r.code: r["count"] for r in found}["INVALID_EDGE"] == sum((i * 7 + 1) % 2003 >= 2000 or i % 2000 == (i * 7 + 1) % 2003 for i in range(20000))
+    assert left < 20000 * 250, left
+
+
 @pytest.mark.parametrize(("change", "fault"), [({"source_hash": "old"}, "stale"), ({"end_char": 5}, "range"), ({"page_number": 2}, "ownership"), ({"bbox": {**BOX, "x1": 99.0}}, "coordinates"), ({"paper_id": "q"}, "this paper")])
 def test_anchor_faults(spark, change, fault):
     papers, pages, spans, anchors = tables(spark)
