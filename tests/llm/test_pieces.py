@@ -100,6 +100,50 @@ def test_fits_is_merging_again(both):
         assert m.fits(a, b) == (m.merging(m.piece[a] + m.piece[b])[0] == [m.piece[a], m.piece[b]])
 
 
+def test_no_word_is_encoded_for_itself(both, monkeypatch):
+    """Unlike words, of many texts, take their steps together and are no work of their own each."""
+    m, lib = both
+    rng = random.Random(5)
+    text = " ".join("".join(rng.choice("etaoinshrdlu\u00e9\u00e0") for _ in range(rng.randint(4, 14))) for _ in range(20_000))
+    calls = []
+    monkeypatch.setattr(m, "encode_chunk", lambda chunk, own=m.encode_chunk: calls.append(chunk) or own(chunk))
+    assert np.frombuffer(b"".join(m.encode(text)), "<u4").tolist() == lib.encode(text)
+    assert not calls
+
+
+@pytest.mark.parametrize("sizes", [{}, {"PAIRS": 3000, "BLOCK": 500, "LANE": 16}, {"STEPS": 0, "LONG": 5}, {"SLICE": 40, "BLOCK": 300}])
+def test_many_texts_at_once(both, monkeypatch, sizes):
+    """Texts of one block leave each other alone, also with a small memory of pairs, without a table of steps, and cut often."""
+    for name, value in sizes.items():
+        monkeypatch.setattr(pieces, name, value)
+    with open(PATH, "rb") as f:
+        m = pieces.Model(f.read())
+    lib, rng = both[1], random.Random(6)
+    words = [*both[0].texts, "naïve", "🤖", "你好", "\x00", "  ", "\n", "x=1;", "pneumonoultra", "e" * 300, "", "", ""]
+    texts = ["".join(rng.choice(words) for _ in range(rng.randint(0, 12))) for _ in range(1500)] + ["the " * 100, " " * 250, "", "▁"]
+    ids, numbers, back = ([[] for _ in texts] for _ in range(3))
+    for rows, own, at in m.blocks(texts, True):
+        (digits, n_at), (out, t_at) = m.written(own, at), m.spelled(own, at)
+        for k, row in enumerate(rows):
+            ids[row] += own[at[k] : at[k + 1]].tolist()
+            numbers[row].append(digits[n_at[k] : n_at[k + 1]].tobytes())
+            back[row].append(out[t_at[k] : t_at[k + 1]].tobytes())
+    want = [lib.encode(t, add_eos=True) for t in texts]
+    assert ids == want
+    assert [b"".join(x).decode() for x in numbers] == ["".join(f" {i}" for i in w) for w in want]
+    assert [b"".join(x).decode().removeprefix(" ") for x in back] == [lib.decode(w) for w in want]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(st.one_of(st.integers(0, 31_999), st.integers(0, 258), st.sampled_from([2, 229, 162, 197])), max_size=8), min_size=1, max_size=4))
+def test_any_parts_are_spelled(both, parts):
+    """Each part's ids are decoded on their own, also such as make no characters."""
+    m, _ = both
+    out, at = m.spelled(np.array(sum(parts, []), np.int32), np.cumsum([0, *map(len, parts)]))
+    got = [out[a:b].tobytes().decode() for a, b in zip(at, at[1:], strict=False)]
+    assert got == ["".join(m.decode([np.array(p, "<u4").tobytes()], True)) for p in parts]
+
+
 def test_other_models_are_refused():
     with pytest.raises(ValueError, match="merge-type"):
         pieces.Model(made([("a", -1.0)], kind=1))
