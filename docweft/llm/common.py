@@ -216,7 +216,7 @@ def roots(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def give_back() -> None:
-    """At the end of a task: returns freed memory to the system, as Python workers stay for later tasks of other kinds."""
+    """At the end of a task, or of work in the driver: returns freed memory to the system, as Python workers and the driver stay for later work of other kinds."""
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)

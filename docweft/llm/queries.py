@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, exact_dedup, jaccard_join, language, lattice, licenses, merkle, mixing, pieces, secrets, spelling, toxicity, url_filter
+from .common import give_back
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -54,7 +55,9 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def toxicity_machine(docs: DataFrame, labels: DataFrame) -> toxicity.Machine:
     """Learned from labels whose crc32(doc_id) mod 3 is not 1."""
-    return toxicity.train(*toxicity.labelled_sample(docs, labels.where(fold("doc_id", 3) != 1), "doc_id", "text", "toxic"))
+    machine = toxicity.train(*toxicity.labelled_sample(docs, labels.where(fold("doc_id", 3) != 1), "doc_id", "text", "toxic"))
+    give_back()  # training is over, but the driver's process stays
+    return machine
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -108,7 +108,8 @@ def _dense(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     used, col = np.unique(f, return_inverse=True)
     out = np.zeros((len(words), len(used)))
     out[w, col] = v
-    return out / np.maximum(np.linalg.norm(out, axis=1), 1e-12)[:, None], used
+    out /= np.maximum(np.linalg.norm(out, axis=1), 1e-12)[:, None]
+    return out, used
 
 
 def pieces(text: str) -> list[str]:
@@ -191,12 +192,14 @@ def train(texts: list[str], labels: list[int]) -> Machine:
     """Multiple-instance training on whole texts with 0/1 labels."""
     none = Machine(np.zeros(0, np.int64), np.zeros(0), -1.0, 50.0, 0.0)
     # Near copies count once, else the rare words of a copied text would look like marks: texts with equal smallest word hashes.
-    bags, met = [], set()
+    bags, met, own = [], set(), {}  # own: equal words of different texts are one string
     for text, y in zip(texts, labels, strict=True):
         bag = {w.lower().strip(".,;:!?\"'()") for w in pieces(text)} - {""}
         key = (y, *sorted(zlib.crc32(w.encode()) for w in bag)[:2])
-        bags.append(bag if key not in met else None)
+        words = (own.setdefault(w, w) for w in sorted(bag))
+        bags.append(None if key in met else {*words} if y else [*words])  # clean texts' words are only gone through: a list takes less
         met.add(key)
+    del texts, met, own
     labels = [y for b, y in zip(bags, labels, strict=True) if b]
     bags = [b for b in bags if b]
     toxic = [b for b, y in zip(bags, labels, strict=True) if y]
@@ -225,7 +228,7 @@ def train(texts: list[str], labels: list[int]) -> Machine:
         negatives = sorted({*negatives, *(w for _, w in hard[:HARD])})
     machine = fit(positives, negatives)
     # The score passes the threshold where half of the gap between clean texts' worst words and insults is crossed.
-    top = np.sort(machine.worst([" ".join(sorted(b)) for b in clean]))
+    top = np.sort(machine.worst([" ".join(b) for b in clean]))
     low = np.sort(machine.worst([" ".join(sorted(b)) for b in toxic]))
     cuts = np.unique(np.concatenate([top, low]))
     errors = np.searchsorted(low, cuts, "right") / len(low) + 1 - np.searchsorted(top, cuts, "right") / len(top)

@@ -1,6 +1,7 @@
 """Language ID and toxicity: exact parts against brute force, held-out accuracy, odd inputs."""
 
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -248,6 +249,35 @@ def test_training_repeats():
     assert np.array_equal(a.features, b.features) and np.array_equal(a.weights, b.weights) and a.shift == b.shift
 
 
+def test_training_holds_a_word_once(monkeypatch):
+    """What training keeps of the sample in the driver grows with the different words, and little with their repetitions."""
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(20_000)]
+    texts = [" ".join(rng.sample(vocabulary, 1000)) for _ in range(200)]
+    held = []
+
+    def marks(*_):
+        held.append(tracemalloc.get_traced_memory()[0])
+        return []
+
+    monkeypatch.setattr(toxicity, "marks", marks)
+    tracemalloc.start()
+    try:
+        toxicity.train(texts, [int(i % 10 == 0) for i in range(200)])
+    finally:
+        tracemalloc.stop()
+    assert held[0] < 10e6  # a string for each word of each text takes 16 MB
+
+
+def test_training_leaves_the_driver_small(spark, machine, monkeypatch):
+    """What training freed goes back to the system at once, and not when the driver next allocates."""
+    given = []
+    monkeypatch.setattr(queries, "give_back", lambda: given.append(True), raising=False)
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    again = queries.toxicity_machine(docs, labels)
+    assert given == [True] and np.array_equal(again.weights, machine.weights)
+
+
 def test_letters_of_any_script():
     """Insults of other scripts, and weights looked up in a cube and by search alike."""
     texts = [f"слово{i} и {'дурачина' if i % 2 else 'прохожий'} здесь 今天{chr(0x4E00 + i)}" for i in range(80)]
